@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import packing, ring, token_output
-from tidemark.llm.common import work_path
+from tidemark.llm import chat, packing, qda, ring, rules, simhash, token_output
+from tidemark.llm.common import materialize, work_path
 from tidemark.llm.tokens import vocabulary_path
 
 
@@ -22,6 +22,28 @@ def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.read_tokens(spark, path)
 
 
+def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokenizer = vocabulary_path("byte_bpe_50k.json")
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    return chat.digests(materialize(chat.format_chats(turns, tokenizer), "chats"), tokenizer)
+
+
+def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents"), words_in=3)
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = rules.apply_policy(rules.ledger(_table(spark, sf_dir, "documents")), rules.POLICIES["v1"])
+    base = F.col("failed").bitwiseAND(F.lit(rules.POLICIES["base"])) != 0
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), "kept", F.col("failed").alias("failed_rules"))
+
+
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return qda.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), vocabulary_path("byte_bpe_50k.json"), end_id=0, capacity=2048)
 
@@ -33,8 +55,12 @@ def op8_hash_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_output": op1_token_output,
+    "op2_chat_formatting": op2_chat_formatting,
+    "op5_simhash_near_dedup": op5_simhash_near_dedup,
+    "op6_quality_rules": op6_quality_rules,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_hash_ring_shards": op8_hash_ring_shards,
+    "op9_quality_classifier": op9_quality_classifier,
 }
 
 #: DuckDB SQL of those that SQL can express.
