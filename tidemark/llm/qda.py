@@ -155,3 +155,15 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
     rows = materialize(measured(docs.withColumn("doc_id", F.col("doc_id").cast("long"))), "statistics")
     found = scored(rows, fit(rows, labels))
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def keep(docs: DataFrame, model: Discriminant, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs, with all their columns, whose score reaches the threshold: one pass, nothing is shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                x = np.array([statistics(t) for t in texts_of(part)]).reshape(-1, len(STATISTICS))
+                yield part.filter(pa.array(model.scores(x) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
