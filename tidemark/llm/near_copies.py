@@ -132,8 +132,8 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield of(*held)
 
 
-def shingle_set(text: str) -> set[bytes]:
-    return set(shingle_digests(text, WORDS).tobytes()[k : k + 8] for k in range(0, 8 * len(shingle_digests(text, WORDS)), 8))
+def shingle_set(text: str) -> set[int]:
+    return set(np.ascontiguousarray(shingle_digests(text, WORDS)).view(np.int64).ravel().tolist())
 
 
 def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
