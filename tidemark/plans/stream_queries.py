@@ -1 +1,55 @@
-"""To be filled."""
+"""Streams over ``events``: what has come out when everything there has been read."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.operators.candles import instant
+from tidemark.plans.market_queries import BARS, bars
+from tidemark.plans.registry import query, result
+from tidemark.streaming import stream as S
+
+
+def _checkpoint(spark: SparkSession) -> str:
+    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='spark-stream-')}"
+    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file stream takes a folder or a pattern; the pattern fits the table whether it is a file or a folder."""
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")
+
+
+def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = _events(spark, sf_dir)
+    return events.select(F.col("event_type").alias("symbol"), instant("ts").alias("time"), F.col("value").alias("price"), F.lit(1.0).alias("quantity"), F.col("event_id").alias("tick_id"))
+
+
+@query(f"WITH {BARS} SELECT symbol, t, open, high, low, close, volume FROM bars WHERE t + 3600 <= (SELECT epoch(max(ts)) - 7200 FROM events)")
+def stream_candles(spark, sf_dir):
+    """Closed candles only: those that end before the watermark."""
+    name = f"candles_{uuid.uuid4().hex}"
+    return result(S.run_to_table(S.candles(ticks(spark, sf_dir)), name, _checkpoint(spark)), "symbol", "timestamp", "open", "high", "low", "close", "volume")
+
+
+@query("SELECT DISTINCT user_id FROM events")
+def stream_unseen_users(spark, sf_dir):
+    """The first event of each user while the watermark keeps the user."""
+    events = _events(spark, sf_dir).select("user_id", instant("ts").alias("time"))
+    rows = S.unseen(events, "user_id", "time", "100 days")
+    return S.run_to_table(rows, f"users_{uuid.uuid4().hex}", _checkpoint(spark)).select("user_id")
+
+
+@query()
+def stream_filters(spark, sf_dir):
+    """EWMA and Kalman levels of the candles' closes with state per symbol, row by row as in the batch operators."""
+    folder = f"{_checkpoint(spark)}-bars"
+    bars(spark, sf_dir).select("symbol", "timestamp", F.col("close").alias("x")).write.parquet(folder)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    rows = spark.readStream.schema("symbol string, timestamp timestamp, x double").parquet(folder)
+    return result(S.run_to_table(S.filters(rows, 2 / 13), f"filters_{uuid.uuid4().hex}", _checkpoint(spark)), "symbol", "timestamp", "ewma", "kalman")

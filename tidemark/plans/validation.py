@@ -66,15 +66,15 @@ def threshold_sweep(scored: DataFrame, thresholds: Sequence[float], keys: Sequen
     return ledger.metrics(ledger.equity(rows, by), ledger.trades(rows, by), by).withColumn("cash_return", F.lit(0.0))
 
 
-def summarize_thresholds(m: DataFrame, keys: Sequence[str], least_trades: int = 1, most_drawdown: float = -0.5) -> DataFrame:
+def summarize_thresholds(m: DataFrame, keys: Sequence[str], least_trades: int = 1, most_drawdown: float = -0.5, least_return: float = 0.0) -> DataFrame:
     """Medians and sums over the folds per threshold, and whether it is eligible."""
     rows = m.groupBy(*keys, "threshold").agg(F.sum("n_trades").alias("n_trades"), F.median("total_return").alias("median_return"), F.median("max_drawdown").alias("median_drawdown"), F.median("turnover").alias("median_turnover"), F.count(F.lit(1)).alias("n_folds"))
-    return rows.withColumn("eligible", ((F.col("n_trades") >= least_trades) & (F.col("median_drawdown") >= most_drawdown) & (F.col("median_return") >= 0)).cast("int"))
+    return rows.withColumn("eligible", ((F.col("n_trades") >= least_trades) & (F.col("median_drawdown") >= most_drawdown) & (F.col("median_return") >= least_return)).cast("int"))
 
 
 def rank_eligible(df: DataFrame, keys: Sequence[str], order: Sequence) -> DataFrame:
     """rank among the eligible rows of each key; the others have none."""
-    w = Window.partitionBy(*keys, "eligible").orderBy(*order)
+    w = Window.partitionBy(*keys, F.col("eligible")).orderBy(*order)
     return df.withColumn("rank", F.when(F.col("eligible") == 1, F.row_number().over(w)))
 
 
