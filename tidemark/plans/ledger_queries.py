@@ -9,7 +9,7 @@ from tidemark.functions.windows import change, ordered
 from tidemark.operators import ledger as L
 from tidemark.operators import technical as K
 from tidemark.plans.market_queries import BARS, RET, VOL, W, bars, exp_mean, win
-from tidemark.plans.registry import query, result
+from tidemark.plans.base import query, result
 
 
 def signals(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import candles as C
 from tidemark.operators import features as X
 from tidemark.operators import technical as K
-from tidemark.plans.registry import query, result
+from tidemark.plans.base import query, result
 
 BARS = """bars AS (SELECT event_type AS symbol, (floor(epoch(ts) / 3600) * 3600)::BIGINT AS t, first(value ORDER BY ts, event_id) AS open, max(value) AS high,
  min(value) AS low, last(value ORDER BY ts, event_id) AS close, count(*)::DOUBLE AS volume FROM events GROUP BY 1, 2)"""

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.candles import instant
 from tidemark.plans.market_queries import BARS, bars
-from tidemark.plans.registry import query, result
+from tidemark.plans.base import query, result
 from tidemark.streaming import stream as S
 
 

@@ -9,7 +9,7 @@ from tidemark.functions.windows import as_of
 from tidemark.operators import features as X
 from tidemark.operators import text as T
 from tidemark.plans.market_queries import BARS, RET, W, bars, exp_mean
-from tidemark.plans.registry import query, result
+from tidemark.plans.base import query, result
 
 UP, DOWN = ["the", "and", "la", "die"], ["of", "to", "de", "der"]
 START = 1704067200  # 2024-01-01

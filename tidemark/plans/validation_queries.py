@@ -10,7 +10,7 @@ from tidemark.operators import ledger as L
 from tidemark.plans import validation as V
 from tidemark.plans.ledger_queries import SIGNALS, chain, met, signals
 from tidemark.plans.market_queries import BARS, RET, VOL, W, bars
-from tidemark.plans.registry import query, result
+from tidemark.plans.base import query, result
 
 SIZES = "sizes AS (SELECT symbol, count(*) AS n FROM bars GROUP BY symbol)"
 
