@@ -6,7 +6,7 @@ rendered form is safe too. The loss mask is derived from the finished ids by pre
 END that closes it. A conversation is written as chunks of whole turns, so a conversation of any length is assembled
 and read back as a stream in bounded memory.
 
-Defined results: null role or text is empty; turns with the same number are ordered by role and text; a null conv_id is
+Defined results: null role or text is empty; turns with the same number are ordered by role and a hash of the text; a null conv_id is
 a conversation of its own; other columns are ignored; an empty table gives no rows.
 """
 
