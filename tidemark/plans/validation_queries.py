@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import features as X
 from tidemark.operators import ledger as L
+from tidemark.plans import experiments as E
 from tidemark.plans import validation as V
 from tidemark.plans.ledger_queries import SIGNALS, chain, met, signals
 from tidemark.plans.market_queries import BARS, RET, VOL, W, bars
@@ -146,3 +147,38 @@ def experiment_symbol_interval_grid(spark, sf_dir):
     rows = rows.withColumn("signal", F.coalesce((F.col("close") > F.lag("close", 6).over(w)).cast("int"), F.lit(0)))
     m = L.metrics(L.equity(rows, keys), L.trades(rows, keys), keys).withColumn("eligible", (F.col("n_trades") >= 5).cast("int"))
     return V.rank_eligible(m, [], [F.col("total_return").desc(), "symbol", "interval"]).select("symbol", "interval", "n_trades", "eligible", "rank")
+
+
+@query(f"WITH {BARS}, d AS (SELECT t, percent_rank() OVER (ORDER BY t) AS r FROM (SELECT DISTINCT t FROM bars)) SELECT symbol, bars.t, CASE WHEN r < 0.6 THEN 'train' ELSE 'test' END AS part FROM bars JOIN d ON d.t = bars.t")
+def validation_time_cut(spark, sf_dir):
+    return result(E.time_cut(bars(spark, sf_dir), 0.6), "symbol", "timestamp", "part")
+
+
+@query(f"WITH {BARS}, {SIGNALS}, r AS (SELECT *, close / lag(close, 24) OVER w - 1 AS tr FROM sig {W}) SELECT symbol, t, round(CASE WHEN tr < 0 THEN -1 WHEN tr >= 0 THEN p END, 6) AS probability FROM r")
+def experiment_regime_routing(spark, sf_dir):
+    rows = X.regime(signals(spark, sf_dir)).withColumnRenamed("probability", "global_score")
+    return result(E.route_by_regime(rows, {"bull": "global_score", "bear": "global_score"}, bull_only=True), "symbol", "timestamp", "probability")
+
+
+VARIANTS = f"var AS (SELECT symbol, t, open, high, low, close, signal, 'base' AS variant FROM sig UNION ALL SELECT symbol, t, open, high, low, close, 1 - signal, 'inverse' FROM sig UNION ALL SELECT symbol, t, open, high, low, close, CASE WHEN (t // 3600) % 24 < 12 THEN signal ELSE 0 END, 'mornings' FROM sig)"  # noqa: F541
+VKEY = "symbol, variant"
+
+
+@query(f"""WITH {BARS}, {SIGNALS}, {VARIANTS}, {chain('var', VKEY)}, {met(VKEY)}, c AS (SELECT a.symbol, a.variant, a.total_return - b.total_return AS d FROM met a JOIN met b ON b.symbol = a.symbol AND b.variant = 'base' WHERE a.variant != 'base')
+ SELECT variant, count(*) AS n_folds, count(*) FILTER (d > 0) AS n_improved, concat_ws(',', CASE WHEN count(*) FILTER (d > 0) < 0.5 * count(*) THEN 'few_folds_improved' END, CASE WHEN median(d) <= 0 THEN 'no_median_gain' END) AS reasons FROM c GROUP BY 1""")
+def experiment_gate(spark, sf_dir):
+    """Signal variants as a key of one ledger query, each compared with the baseline per symbol."""
+    morning = F.when(F.floor(F.unix_seconds("timestamp") / 3600) % 24 < 12, F.col("signal")).otherwise(0)
+    rows = E.run_grid(signals(spark, sf_dir), {"base": lambda d: d, "inverse": lambda d: d.withColumn("signal", 1 - F.col("signal")), "mornings": lambda d: d.withColumn("signal", morning)})
+    by = ["symbol", "variant"]
+    m = L.metrics(L.equity(rows, by), L.trades(rows, by), by)
+    return E.gate(E.against_baseline(m, "base", ["symbol"]), ["variant"], most_turnover=1e300).select("variant", "n_folds", "n_improved", "reasons")
+
+
+@query()
+def experiment_model_classes(spark, sf_dir):
+    """Logistic regression, forest and boosted trees on one chronological cut."""
+    b = X.label(X.volume_ratio(X.realized_vol(X.returns(bars(spark, sf_dir)))), 1, 0.003, 0.1)
+    rows = E.time_cut(b, 0.6).where("target is not null").select("symbol", "timestamp", "target", "part", *MODEL)
+    scored = E.compare_models(rows.where("part = 'train'"), rows.where("part = 'test'"), MODEL)
+    return result(V.classification_metrics(scored.withColumn("predicted", (F.col("probability") >= 0.5).cast("int")), ["model"]))
