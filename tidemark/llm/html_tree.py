@@ -31,12 +31,12 @@ from tidemark.llm.common import slices
 
 # Element names of HTML by their part in a page.
 MAIN = ["article", "main"]
-BOILERPLATE = ["nav", "header", "footer", "aside", "form", "head", "title", "menu", "dialog", "button", "label", "fieldset", "legend", "figcaption", "address"]
+BOILERPLATE = ["nav", "header", "footer", "aside", "form", "head", "title", "menu", "dialog", "button", "label", "fieldset", "legend"]
 BLOCKS = [
     "html", "body", "div", "section", "p", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "li", "dl", "dt", "dd", "table", "thead", "tbody",
-    "tfoot", "tr", "td", "th", "caption", "blockquote", "pre", "figure", "details", "summary", "center", "hgroup",
+    "tfoot", "tr", "td", "th", "caption", "blockquote", "pre", "figure", "figcaption", "details", "summary", "address", "center", "hgroup",
 ]
-SILENT = ["script", "style", "noscript", "template", "textarea", "select", "svg", "math", "iframe", "object", "video", "audio", "canvas", "option", "datalist"]
+SILENT = ["script", "style", "noscript", "template", "textarea", "select", "svg", "iframe", "object", "video", "audio", "canvas", "option", "datalist"]
 #: Elements that a start tag of the same group closes.
 CLOSES = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
 #: Words of class, id and role that mark what is not main text.
@@ -47,15 +47,17 @@ MARKS = [
     "disqus", "search", "pagination", "pager", "tags", "toolbar", "complementary", "contentinfo", "copyright", "disclaimer", "alert", "skip",
 ]
 
+#: Words of class, id and role that mark main text, if none of the others stands there.
+CONTENT_MARKS = ["article", "content", "post", "entry", "story", "main", "text"]
 #: Elements whose classes describe the page.
 UNMARKED = ["html", "body", "main", "article"]
 
 TAGS = ["#text", "other", *MAIN, *BOILERPLATE, *BLOCKS]
 TAG = {t: k for k, t in enumerate(TAGS)}
-#: Features of a node: its tag, a mark, then bins of a text's length, links and punctuation.
+#: Features of a node: its tag, a mark (none, boilerplate, content), then bins of a text's length, links and punctuation.
 MARKED = len(TAGS)
-LENGTH, LINKS, PUNCT = MARKED + 2, MARKED + 10, MARKED + 14
-N_FEATURES = MARKED + 18
+LENGTH, LINKS, PUNCT = MARKED + 3, MARKED + 11, MARKED + 15
+N_FEATURES = MARKED + 19
 
 #: Prior odds of what a page says outright, and how many labelled nodes count in full: nodes of a page are no independent draws.
 SURE, ENOUGH = 1e5, 20.0
@@ -63,7 +65,7 @@ SURE, ENOUGH = 1e5, 20.0
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _NAMES = re.compile(r"(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 _WORD = re.compile(r"[a-z]+")
-_MARKS, _SILENT, _MAIN, _BOILER = frozenset(MARKS), frozenset(SILENT), frozenset(MAIN), frozenset(BOILERPLATE)
+_MARKS, _SILENT, _MAIN, _BOILER, _CONTENT = (frozenset(x) for x in (MARKS, SILENT, MAIN, BOILERPLATE, CONTENT_MARKS))
 _END = {t: re.compile(rf"</{t}\s*>", re.I) for t in SILENT if t != "option"}
 
 
@@ -74,12 +76,12 @@ class Nodes:
     parent: list[int] = field(default_factory=list)
     depth: list[int] = field(default_factory=list)
     tag: list[int] = field(default_factory=list)
-    marked: list[bool] = field(default_factory=list)
+    marked: list[int] = field(default_factory=list)
     label: list[bool] = field(default_factory=list)
     page: list[int] = field(default_factory=list)
     texts: list[tuple[int, str, int]] = field(default_factory=list)  # node, text, characters in links
 
-    def add(self, parent: int, tag: int, marked: bool, label: bool, page: int) -> int:
+    def add(self, parent: int, tag: int, marked: int, label: bool, page: int) -> int:
         self.parent.append(parent)
         self.depth.append(self.depth[parent] + 1 if parent >= 0 else 0)
         self.tag.append(tag)
@@ -91,7 +93,7 @@ class Nodes:
 
 def parse(page: int, source: str, nodes: Nodes) -> bool:
     """Adds a page's nodes; returns whether the page marks its article."""
-    root = nodes.add(-1, TAG["other"], False, False, page)
+    root = nodes.add(-1, TAG["other"], 0, False, page)
     stack: list[tuple[str, int]] = [("", root)]
     held: list[str] = []
     links, in_link, labelled, at = 0, False, False, 0
@@ -109,7 +111,7 @@ def parse(page: int, source: str, nodes: Nodes) -> bool:
             text = " ".join("".join(held).split())
             if text:
                 node = stack[-1][1]
-                nodes.texts.append((nodes.add(node, TAG["#text"], False, nodes.label[node], page), text, links))
+                nodes.texts.append((nodes.add(node, TAG["#text"], 0, nodes.label[node], page), text, links))
             held.clear()
         links = 0
 
@@ -152,10 +154,10 @@ def parse(page: int, source: str, nodes: Nodes) -> bool:
                     break
             parent = stack[-1][1]
             words = {w for v in _NAMES.findall(m[3]) for w in _WORD.findall(v.lower())} if m[3] else ()
-            marked = not _MARKS.isdisjoint(words) and name not in UNMARKED
-            main = name in _MAIN and not marked
+            marked = 0 if name in UNMARKED else 1 if not _MARKS.isdisjoint(words) else 2 * (not _CONTENT.isdisjoint(words))
+            main = name in _MAIN
             labelled |= main
-            label = (main or nodes.label[parent]) and not marked and name not in _BOILER
+            label = (main or nodes.label[parent]) and marked != 1 and name not in _BOILER
             if not m[3].endswith("/"):
                 stack.append((name, nodes.add(parent, TAG[name], marked, label, page)))
     close_block()
@@ -185,7 +187,7 @@ def prior_counts() -> tuple[np.ndarray, np.ndarray]:
     for t in MAIN:
         single[TAG[t]] = 0.2, 40
         pairs[TAG[t]] = (1, 20), (0.1, 20)
-    single[MARKED], single[MARKED + 1] = (10, 10), (SURE, 1 / SURE)
+    single[MARKED], single[MARKED + 1], single[MARKED + 2] = (10, 10), (SURE, 1 / SURE), (0.2, 20)
     for t in TAGS:
         if t not in MAIN and t not in BOILERPLATE:
             pairs[TAG[t]] = (60, 0.1), (0.1, 60)
