@@ -10,12 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import cdc, decontam, near_copies, packing, qda
-from tidemark.llm.common import work_path
+from tidemark.llm.common import small_batches, work_path
 from tidemark.llm.tokens import vocabulary_path
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
+    small_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     rows = qda.measured(docs)
     model = qda.fit(rows, labels)
@@ -24,17 +25,20 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of exact or near copies stays (5-word shingles, Jaccard 0.8 or more)."""
+    small_batches(spark)
     return near_copies.keep_one(docs)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 50 words or more stay in their first document and are cut from the others."""
+    small_batches(spark)
     cut = cdc.remove_passages(docs, cdc.repeated_passages(docs))
     return cut.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
+    small_batches(spark)
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     hit = decontam.contaminated(docs, benchmark).select("doc_id").where("doc_id is not null").distinct()
     return docs.join(hit, "doc_id", "left_anti").select(*docs.columns)
@@ -42,6 +46,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, as pieces of sequences of 2048 tokens."""
+    small_batches(spark)
     return packing.pack(docs, vocabulary_path("byte_bpe_50k.json"), end_id=0, capacity=2048)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -10,8 +11,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Bytes of text that an Arrow operator takes in hand at once.
+#: Bytes of text that an Arrow operator takes in hand at once, and rows of an Arrow batch on its way to Python.
 SLICE_BYTES = 4_000_000
+BATCH_ROWS = "2000"
+
+try:  # large arrays go back to the system when they are freed, so that a reused worker stays small
+    ctypes.CDLL(None).mallopt(-3, 4 << 20)  # M_MMAP_THRESHOLD
+except (OSError, AttributeError):  # not glibc
+    pass
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Texts are long: with Spark's default of 10,000 rows a batch of them is held several times outside of the heap."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import cdc, chat, decontam, html_tree, packing, qda, ring, rules, simhash, token_output
-from tidemark.llm.common import materialize, work_path
+from tidemark.llm.common import materialize, small_batches, work_path
 from tidemark.llm.tokens import vocabulary_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
