@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialize, slices, texts_of
+from tidemark.llm.common import free_units, materialize, slices, texts_of
 
 MIN_CHUNK, MAX_CHUNK, CUT_BITS = 24, 64, 4
 MIN_WORDS = 50
@@ -69,6 +69,7 @@ def chunks(docs: DataFrame) -> DataFrame:
     """digest, doc_id, pos (start * 256 + length) of every chunk of MIN_CHUNK bytes or more, once per document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_units()
         import xxhash
 
         digest = xxhash.xxh3_64_digest
@@ -96,6 +97,7 @@ def anchors(docs: DataFrame) -> DataFrame:
     grouped = hits.groupBy("doc_id", "first_id").agg(F.collect_list("pos").alias("spots"))  # at most a document's chunks
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_units()
         for batch in batches:
             keep, spots = [], []
             for k, own in enumerate(batch.column("spots").to_pylist()):
@@ -122,6 +124,7 @@ def _bit_map(ids: DataFrame) -> np.ndarray:
     block = 1 << 16
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_units()
         own = np.zeros(MAP_BITS // 8, np.uint8)
         for batch in batches:
             at = _mixed(batch.column(0).to_numpy())
@@ -148,6 +151,7 @@ def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
     bits = _bit_map(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_units()
         for batch in batches:
             at = _mixed(batch.column("doc_id").to_numpy())
             yield batch.filter(pa.array((bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)))
@@ -208,6 +212,7 @@ def whole_words(raw: bytes, a: int, b: int) -> tuple[int, int]:
 
 def _verify(min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_units()
         for batch in batches:
             rows = []
             for k in range(batch.num_rows):
@@ -261,6 +266,7 @@ def remove_passages(docs: DataFrame, passages: DataFrame) -> DataFrame:
     place = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_units()
         for batch in batches:
             spans_of = batch.column("_spans").to_pylist()
             columns = [batch.column(c) for c in names]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import sys
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -21,6 +22,15 @@ except (OSError, AttributeError):  # not glibc
     pass
 
 
+def free_units() -> None:
+    """Drops the tokenizers' units that a reused Python worker still holds from an earlier packing or token stage."""
+    tokens = sys.modules.get("tidemark.llm.tokens")
+    if tokens and tokens._OPENED:
+        tokens._OPENED.clear()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)
+
+
 def small_batches(spark: SparkSession) -> None:
     """Texts are long: with Spark's default of 10,000 rows a batch of them is held several times outside of the heap."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.cdc import _only
-from tidemark.llm.common import materialize, slices, texts_of
+from tidemark.llm.common import free_units, materialize, slices, texts_of
 from tidemark.llm.components import connected_components
 from tidemark.llm.simhash import shingle_digests
 
@@ -59,6 +59,7 @@ def _nodes(docs: DataFrame) -> DataFrame:
     """node (hash of the text), doc_id (its smallest), wide: one row per distinct text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_units()
         for batch in batches:
             for part in slices(batch):
                 wide = [f.tobytes() if (f := wide_fingerprint(t)) is not None else None for t in texts_of(part)]
@@ -145,6 +146,7 @@ def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     texts = materialize(texts.join(used, (texts["doc_id"] == used["rep"]) & (texts["node"] == used["node"])).select(texts["node"], "text").dropDuplicates(["node"]), "texts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_units()
         kept, last = {}, None
         for batch in batches:
             ok = []

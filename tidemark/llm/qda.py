@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialize, slices, texts_of
+from tidemark.llm.common import free_units, materialize, slices, texts_of
 
 STATISTICS = [
     "log_words", "word_length", "word_length_spread", "vocabulary", "upper", "symbols", "punctuation", "digits",
@@ -73,6 +73,7 @@ def measured(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in sent.schema if f.name != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_units()
         for batch in batches:
             for part in slices(batch):
                 found = np.array([statistics(t) for t in texts_of(part)]).reshape(-1)
@@ -143,6 +144,7 @@ def scored(rows: DataFrame, model: Discriminant) -> DataFrame:
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "x"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_units()
         for batch in batches:
             score = model.scores(batch.column("x").flatten().to_numpy().reshape(-1, len(STATISTICS)))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(score)], [*columns, "score"])
@@ -161,6 +163,7 @@ def keep(docs: DataFrame, model: Discriminant, threshold: float = THRESHOLD) ->
     """The rows of docs, with all their columns, whose score reaches the threshold: one pass, nothing is shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_units()
         for batch in batches:
             for part in slices(batch):
                 x = np.array([statistics(t) for t in texts_of(part)]).reshape(-1, len(STATISTICS))
