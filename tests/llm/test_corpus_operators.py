@@ -227,6 +227,49 @@ def test_near_copies_keep_one(spark, odd):
     assert ids.count(4) == 1 and None in ids and 0 in ids and 1 not in ids
 
 
+def linked_brute(texts):
+    """Components of all pairs that share a list of the index and have a Jaccard similarity of 0.8."""
+    sets = [near_copies.shingle_set(t) for t in texts]
+    place = {x: k for k, x in enumerate(sorted(set().union(*sets)))}
+    m = np.zeros((len(texts), len(place)), np.float32)
+    for k, own in enumerate(sets):
+        m[k, [place[x] for x in own]] = 1
+    both, n = m @ m.T, m.sum(1)
+    near = both >= near_copies.MIN_JACCARD * (n[:, None] + n[None, :] - both)
+    wide = np.array([near_copies.wide_fingerprint(t) for t in texts])
+    blocks = wide.reshape(len(texts), near_copies.BLOCKS, near_copies.WIDTH)
+    first = np.ascontiguousarray(wide[:, :8]).view(np.uint64).ravel()
+    for k in range(len(texts)):
+        near[k] &= ((blocks[k] == blocks).sum(2) >= near_copies.SHARED).any(1) & (np.bitwise_count(first[k] ^ first) <= near_copies.FIRST_BITS)
+        near[k, k] = True
+    labels = np.arange(len(texts))
+    while True:
+        least = np.where(near, labels[None, :], len(texts)).min(1)
+        if (least == labels).all():
+            return labels
+        labels = least
+
+
+def edited(rng, words, at, n):
+    out = list(words)
+    for k in at:
+        out[k] = f"x{rng.integers(0, 1 << 40)}"
+    assert len(at) == n
+    return out
+
+
+def test_near_copies_of_one_original_edited_apart(spark):
+    rng = np.random.default_rng(11)
+    texts = []
+    for _ in range(15):
+        base = [f"w{rng.integers(0, 1 << 30)}" for _ in range(300)]
+        slots = rng.permutation(np.arange(5, 295, 6))[:32].reshape(8, 4)
+        texts += [" ".join(base), *(" ".join(edited(rng, base, s, 4)) for s in slots)]
+    kept = sorted(r.doc_id for r in near_copies.keep_one(docs_of(spark, texts)).select("doc_id").collect())
+    labels = linked_brute(texts)
+    assert kept == sorted(set(labels.tolist())) and len(kept) < 25
+
+
 def brute_measures(t):
     w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
     c = collections.Counter(tuple(w[i : i + 8]) for i in range(len(w) - 7))

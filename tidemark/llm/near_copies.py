@@ -7,8 +7,8 @@ of a block's 5 positions match (found with probability 0.89 at 0.8, 0.98 at 0.85
 clearly different first words of the fingerprint are dropped, the others are verified on their whole shingle sets.
 
 Exact copies are one node. Two rounds, so that a large group of near copies is never paired with itself: the first
-uses ROUND_ONE blocks and, in lists longer than SMALL_LIST, only links to leaders; its components keep one text each,
-and the second round searches all blocks among the texts that are left.
+uses ROUND_ONE blocks; the second searches all blocks among all distinct texts and skips only pairs that the first has
+already put into one component. In lists longer than SMALL_LIST both make links to leaders.
 
 Defined results: exact copies (null and empty texts count as equal) keep the row with the smallest doc_id; texts
 without words are linked to their exact copies only, texts of fewer than 5 words have their whole sequence as one
@@ -76,7 +76,7 @@ def _node() -> F.Column:
 
 
 def _candidates(nodes: DataFrame, blocks: int) -> DataFrame:
-    """Distinct pairs (a, b) of nodes that share a list."""
+    """Distinct pairs (a, b) of nodes that share a list and have different roots."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -88,17 +88,19 @@ def _candidates(nodes: DataFrame, blocks: int) -> DataFrame:
                 keys = place << 24 | chosen[..., 0] << 16 | chosen[..., 1] << 8 | chosen[..., 2]
                 each = blocks * len(_TRIPLES)
                 first = wide.reshape(len(wide), -1)[:, :8].copy().view(np.int64).ravel()
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(part.column("node").to_numpy(), each)), pa.array(np.repeat(first, each))], ["key", "node", "first"])
+                columns = (keys.ravel(), *(np.repeat(x, each) for x in (part.column("node").to_numpy(), first, part.column("root").to_numpy())))
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "node", "first", "root"])
 
-    rows = nodes.where("wide is not null").mapInArrow(spread, "key long, node long, first long")
+    rows = nodes.where("wide is not null").mapInArrow(spread, "key long, node long, first long, root long")
     return rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_pairs, "a long, b long").distinct()
 
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by key: all near pairs of a short list; links to leaders in a long one."""
-    held = [np.zeros(0, np.int64)] * 3
+    """Rows sorted by key: all near pairs of a short list; links to leaders in a long one; none inside a root."""
+    held = [np.zeros(0, np.int64)] * 4
 
-    def of(keys: np.ndarray, nodes: np.ndarray, first: np.ndarray) -> pa.RecordBatch:
+    def of(keys: np.ndarray, nodes: np.ndarray, first: np.ndarray, roots: np.ndarray) -> pa.RecordBatch:
+        first = first.view(np.uint64)  # bitwise_count takes the absolute value of signed numbers
         cuts = np.flatnonzero(keys[1:] != keys[:-1]) + 1
         starts, sizes = np.concatenate(([0], cuts)), np.diff(np.concatenate(([0], cuts, [len(keys)])))
         a, b = [], []
@@ -107,24 +109,23 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not len(ok):
                 break
             ok = ok[ok + step < len(keys)]
-            ok = ok[keys[ok] == keys[ok + step]]
+            ok = ok[(keys[ok] == keys[ok + step]) & (roots[ok] != roots[ok + step])]
             ok = ok[np.bitwise_count(first[ok] ^ first[ok + step]) <= FIRST_BITS]
             a.append(nodes[ok])
             b.append(nodes[ok + step])
         for k, n in zip(starts[sizes > SMALL_LIST].tolist(), sizes[sizes > SMALL_LIST].tolist(), strict=True):
-            own, bits = nodes[k : k + n], first[k : k + n]
-            while len(own) > 1:
+            own, bits, root = nodes[k : k + n], first[k : k + n], roots[k : k + n]
+            while len(own) > 1 and (root != root[0]).any():
                 near = np.bitwise_count(bits ^ bits[0]) <= FIRST_BITS
-                near[0] = False
-                a.append(np.full(int(near.sum()), own[0]))
-                b.append(own[near])
-                near[0] = True
-                own, bits = own[~near], bits[~near]
+                linked = near & (root != root[0])
+                a.append(np.full(int(linked.sum()), own[0]))
+                b.append(own[linked])
+                own, bits, root = own[~near], bits[~near], root[~near]
         a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
         return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
     for batch in batches:
-        held = [np.concatenate((x, batch.column(c).to_numpy())) for x, c in zip(held, ("key", "node", "first"), strict=True)]
+        held = [np.concatenate((x, batch.column(c).to_numpy())) for x, c in zip(held, ("key", "node", "first", "root"), strict=True)]
         last = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0
         if last:
             yield of(*(x[:last] for x in held))
@@ -163,14 +164,25 @@ def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def _joined(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """nodes (node, doc_id, wide) with root: the smallest node of the component that the links make."""
+    roots = connected_components(links)
+    return materialize(nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "round")
+
+
 def groups(docs: DataFrame) -> DataFrame:
     """node, doc_id, root: the group (smallest linked node) of every distinct text."""
     nodes = _nodes(docs)
-    first = materialize(connected_components(_verified(docs, nodes, _candidates(nodes, ROUND_ONE))), "round")
-    left = nodes.join(first.where("node != root"), "node", "left_anti")
-    second = connected_components(_verified(docs, nodes, _candidates(left, BLOCKS))).select(F.col("node").alias("root"), F.col("root").alias("last"))
-    named = nodes.select("node", "doc_id").join(first, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    return named.join(second, "root", "left").select("node", "doc_id", F.coalesce("last", "root").alias("root"))
+    alone = nodes.withColumn("root", F.col("node"))
+    named = _joined(nodes, _verified(docs, nodes, _candidates(alone, ROUND_ONE)))
+    links = _verified(docs, nodes, _candidates(named, BLOCKS))
+    named = _joined(nodes, _stars(named).union(links))
+    return named.select("node", "doc_id", "root")
+
+
+def _stars(named: DataFrame) -> DataFrame:
+    """The components as links to their roots."""
+    return named.where("node != root").select(F.col("node").alias("a"), F.col("root").alias("b"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
