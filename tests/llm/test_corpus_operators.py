@@ -270,6 +270,31 @@ def test_near_copies_of_one_original_edited_apart(spark):
     assert kept == sorted(set(labels.tolist())) and len(kept) < 25
 
 
+def test_near_copies_in_long_lists(spark):
+    rng = np.random.default_rng(12)
+    base = [f"w{rng.integers(0, 1 << 30)}" for _ in range(120)]
+    texts = []
+    for _ in range(350):  # related texts (about 0.7), each with one near copy
+        own = edited(rng, base, rng.choice(np.arange(5, 115, 6), 2, replace=False), 2)
+        texts += [" ".join(own), " ".join([*own[:-2], "y", f"z{rng.integers(0, 1 << 30)}"])]
+    lists = collections.Counter(key for t in texts for b, w in enumerate(near_copies.wide_fingerprint(t).reshape(-1, near_copies.WIDTH)) for key in [(b, *w[:3].tolist())])
+    assert max(lists.values()) > near_copies.SMALL_LIST
+    kept = sorted(r.doc_id for r in near_copies.keep_one(docs_of(spark, texts)).select("doc_id").collect())
+    assert kept == sorted(set(linked_brute(texts).tolist()))
+
+
+def test_near_copies_pairs_of_a_long_list_are_whole():
+    rng = np.random.default_rng(13)
+    n = 60
+    nodes = np.sort(rng.integers(-(1 << 62), 1 << 62, n))
+    first = rng.integers(0, 1 << 10, n)
+    batch = pa.RecordBatch.from_arrays([pa.array(np.full(n, 5)), pa.array(nodes), pa.array(first), pa.array(nodes)], ["key", "node", "first", "root"])
+    out = pa.Table.from_batches(list(near_copies._pairs(iter([batch])))).to_pandas()
+    assert sorted(out[out.key.notna()].a) == nodes.tolist() and 0 < out.key.isna().sum() < n
+    members = pa.RecordBatch.from_arrays([pa.array(np.full(n, 5)), pa.array(nodes), pa.array(first), pa.array(nodes), pa.array(np.full(n, 2))], ["group", "a", "first", "root", "side"])
+    assert sum(b.num_rows for b in near_copies._all_pairs(iter([members]))) == n * (n - 1) // 2
+
+
 def brute_measures(t):
     w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
     c = collections.Counter(tuple(w[i : i + 8]) for i in range(len(w) - 7))

@@ -8,7 +8,9 @@ clearly different first words of the fingerprint are dropped, the others are ver
 
 Exact copies are one node. Two rounds, so that a large group of near copies is never paired with itself: the first
 uses ROUND_ONE blocks; the second searches all blocks among all distinct texts and skips only pairs that the first has
-already put into one component. In lists longer than SMALL_LIST both make links to leaders.
+already put into one component. In lists longer than SMALL_LIST both make links to leaders only; what these leave
+apart in round two is then paired in full, in parts of PART members that Spark spreads. So every pair that shares a
+list is verified or inside one verified component, and only texts that are related but no copies cost all their pairs.
 
 Defined results: exact copies (null and empty texts count as equal) keep the row with the smallest doc_id; texts
 without words are linked to their exact copies only, texts of fewer than 5 words have their whole sequence as one
@@ -32,7 +34,7 @@ from tidemark.llm.simhash import shingle_digests
 
 WORDS, MIN_JACCARD = 5, 0.8
 BLOCKS, WIDTH, SHARED = 16, 5, 3
-ROUND_ONE, SMALL_LIST = 2, 24
+ROUND_ONE, SMALL_LIST, PART = 2, 24, 2048
 #: Of 64 bits, pairs at 0.8 differ in 10 (standard deviation 3), unrelated ones in 32 (4).
 FIRST_BITS = 22
 _TRIPLES = np.array(list(combinations(range(WIDTH), SHARED)))
@@ -75,8 +77,9 @@ def _node() -> F.Column:
     return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
-def _candidates(nodes: DataFrame, blocks: int) -> DataFrame:
-    """Distinct pairs (a, b) of nodes that share a list and have different roots."""
+def _listed(nodes: DataFrame, blocks: int) -> DataFrame:
+    """a, b: pairs of nodes that share a list and have different roots; with a key, a: members of a long list that is
+    not of one root (first: their first words)."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -92,18 +95,18 @@ def _candidates(nodes: DataFrame, blocks: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "node", "first", "root"])
 
     rows = nodes.where("wide is not null").mapInArrow(spread, "key long, node long, first long, root long")
-    return rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_pairs, "a long, b long").distinct()
+    return rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_pairs, "key long, a long, b long, first long")
 
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by key: all near pairs of a short list; links to leaders in a long one; none inside a root."""
+    """Rows sorted by key: all near pairs of a short list; links to leaders in a long one, then its members; none inside a root."""
     held = [np.zeros(0, np.int64)] * 4
 
     def of(keys: np.ndarray, nodes: np.ndarray, first: np.ndarray, roots: np.ndarray) -> pa.RecordBatch:
         first = first.view(np.uint64)  # bitwise_count takes the absolute value of signed numbers
         cuts = np.flatnonzero(keys[1:] != keys[:-1]) + 1
         starts, sizes = np.concatenate(([0], cuts)), np.diff(np.concatenate(([0], cuts, [len(keys)])))
-        a, b = [], []
+        a, b, long = [], [], []
         for step in range(1, SMALL_LIST):  # members `step` apart in a short list
             ok = np.flatnonzero(np.repeat((sizes > step) & (sizes <= SMALL_LIST), sizes))
             if not len(ok):
@@ -114,7 +117,12 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             a.append(nodes[ok])
             b.append(nodes[ok + step])
         for k, n in zip(starts[sizes > SMALL_LIST].tolist(), sizes[sizes > SMALL_LIST].tolist(), strict=True):
-            own, bits, root = nodes[k : k + n], first[k : k + n], roots[k : k + n]
+            root = roots[k : k + n]
+            if (root == root[0]).all():
+                continue
+            long.append(np.arange(k, k + n))
+            mixed = np.argsort((nodes[k : k + n] ^ keys[k]).view(np.uint64) * _ODD[0])  # each list has leaders of its own
+            own, bits, root = nodes[k : k + n][mixed], first[k : k + n][mixed], root[mixed]
             while len(own) > 1 and (root != root[0]).any():
                 near = np.bitwise_count(bits ^ bits[0]) <= FIRST_BITS
                 linked = near & (root != root[0])
@@ -122,7 +130,10 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 b.append(own[linked])
                 own, bits, root = own[~near], bits[~near], root[~near]
         a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+        long = np.concatenate(long) if long else np.zeros(0, np.int64)
+        none = [pa.nulls(n, pa.int64()) for n in (len(a), len(long))]
+        columns = ((none[0], keys[long]), (np.minimum(a, b), nodes[long]), (np.maximum(a, b), none[1]), (none[0], first[long].view(np.int64)))
+        return pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array(x) for x in c]) for c in columns], ["key", "a", "b", "first"])
 
     for batch in batches:
         held = [np.concatenate((x, batch.column(c).to_numpy())) for x, c in zip(held, ("key", "node", "first", "root"), strict=True)]
@@ -134,13 +145,53 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield of(*held)
 
 
+def _rest(members: DataFrame, named: DataFrame) -> DataFrame:
+    """All near pairs (a, b) with different roots of the long lists: each list in parts of PART members, each two parts
+    a group of their own."""
+    rows = members.join(named.select(F.col("node").alias("a"), "root"), "a")
+    lists = rows.groupBy("key").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi"), F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("_n")).where("_lo < _hi")
+    rows = rows.join(lists.select("key", "_n"), "key").withColumn("_p", F.pmod(F.xxhash64("a"), "_n").cast("int"))
+    rows = rows.withColumn("_q", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    side = F.when(F.col("_p") == F.col("_q"), 2).when(F.col("_p") < F.col("_q"), 0).otherwise(1).cast("long")
+    rows = rows.select(F.xxhash64("key", F.least("_p", "_q"), F.greatest("_p", "_q")).alias("group"), "a", "first", "root", side.alias("side"))
+    return rows.repartition("group").sortWithinPartitions("group").mapInArrow(_all_pairs, "a long, b long").distinct()
+
+
+def _all_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by group: near pairs of both sides (0 and 1), or of all rows (2)."""
+    names = ("group", "a", "first", "root", "side")
+    held = [np.zeros(0, np.int64)] * len(names)
+
+    def of(_: np.ndarray, nodes: np.ndarray, first: np.ndarray, roots: np.ndarray, sides: np.ndarray) -> Iterator[pa.RecordBatch]:
+        first = first.view(np.uint64)
+        for k in range(0, len(nodes), 256):
+            own = slice(k, k + 256)
+            near = (np.bitwise_count(first[own, None] ^ first[None, :]) <= FIRST_BITS) & (roots[own, None] != roots[None, :]) & (nodes[own, None] < nodes[None, :])
+            near &= (sides[own, None] != sides[None, :]) | (sides[own, None] == 2)
+            x, y = np.nonzero(near)
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[own][x]), pa.array(nodes[y])], ["a", "b"])
+
+    def lists(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        cuts = np.flatnonzero(np.diff(rows[0])) + 1
+        for own in zip(*(np.split(x, cuts) for x in rows), strict=True):
+            yield from of(*own)
+
+    for batch in batches:
+        held = [np.concatenate((x, batch.column(c).to_numpy())) for x, c in zip(held, names, strict=True)]
+        last = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0
+        if last:
+            yield from lists([x[:last] for x in held])
+            held = [x[last:] for x in held]
+    if len(held[0]):
+        yield from lists(held)
+
+
 def shingle_set(text: str) -> set[int]:
     return set(np.ascontiguousarray(shingle_digests(text, WORDS)).view(np.int64).ravel().tolist())
 
 
 def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (a, b) whose shingle sets have a Jaccard similarity of MIN_JACCARD or more."""
-    pairs = materialize(pairs, "pairs")
     names = nodes.select("node", F.col("doc_id").alias("rep"))
     used = materialize(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(names, "node"), "used")
     texts = _only(docs, used.select("rep")).select("doc_id", "text", _node().alias("node"))
@@ -174,12 +225,22 @@ def groups(docs: DataFrame) -> DataFrame:
     """node, doc_id, root: the group (smallest linked node) of every distinct text."""
     nodes = _nodes(docs)
     alone = nodes.withColumn("root", F.col("node"))
-    named = _joined(nodes, _verified(docs, nodes, _candidates(alone, ROUND_ONE)))
-    links = _verified(docs, nodes, _candidates(named, BLOCKS))
-    named = _joined(nodes, _stars(named).union(links))
+    pairs = materialize(_pairs_of(_listed(alone, ROUND_ONE)), "pairs")
+    named = _joined(nodes, _verified(docs, nodes, pairs))
+    listed = materialize(_listed(named, BLOCKS), "listed")
+    tried = materialize(_pairs_of(listed), "pairs")
+    named = _joined(nodes, _stars(named).union(_verified(docs, nodes, tried)))
+    members = listed.where("key is not null").select("key", "a", "first")
+    pairs = materialize(_rest(members, named).join(tried, ["a", "b"], "left_anti"), "pairs")
+    if not pairs.isEmpty():
+        named = _joined(nodes, _stars(named).union(_verified(docs, nodes, pairs)))
     return named.select("node", "doc_id", "root")
 
 
+def _pairs_of(listed: DataFrame) -> DataFrame:
+    return listed.where("key is null").select("a", "b").distinct()
+
+
 def _stars(named: DataFrame) -> DataFrame:
     """The components as links to their roots."""
     return named.where("node != root").select(F.col("node").alias("a"), F.col("root").alias("b"))
