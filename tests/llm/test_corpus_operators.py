@@ -177,6 +177,21 @@ def test_op4_odd_inputs(spark, odd):
     assert decontam.contaminated(odd, bench).count() >= 0
 
 
+def random_items(seed, n, words=37):
+    rng = np.random.default_rng(seed)
+    return [" ".join(f"w{x}" for x in rng.integers(0, 4000, words)) for _ in range(n)]
+
+
+def test_op4_small_and_hot_tables(spark):
+    items = random_items(21, 3)
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    few = docs_of(spark, [f"one two {items[0]} three", items[1], "nothing here"])
+    assert sorted((r.doc_id, r.item_id) for r in decontam.contaminated(few, bench).collect()) == [(0, 0), (1, 1)]
+    texts = [f"{f} {items[0] if k % 3 == 0 else items[1] if k == 100 else ''} {f}" for k, f in enumerate(random_items(22, 300, 20))]
+    want = {(k, 0) for k in range(0, 300, 3)} | {(100, 1)}
+    assert {(r.doc_id, r.item_id) for r in decontam.contaminated(docs_of(spark, texts), bench).collect()} == want
+
+
 def components(fps):
     fps = np.asarray(fps, np.uint64)
     near, labels = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 3, np.arange(len(fps))
