@@ -192,6 +192,16 @@ def test_op4_small_and_hot_tables(spark):
     assert {(r.doc_id, r.item_id) for r in decontam.contaminated(docs_of(spark, texts), bench).collect()} == want
 
 
+def test_op4_many_items(spark):
+    items = random_items(23, 1500)
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    around = random_items(24, 300, 30)
+    docs = docs_of(spark, [f"{around[k]} {items[5 * k]} {around[-k]}" for k in range(300)])
+    got = {r.doc_id: r for r in decontam.contaminated(docs, bench).collect() if r.lcs_share == 1.0}
+    assert {(r.doc_id, r.item_id) for r in got.values()} == {(k, 5 * k) for k in range(300)}
+    assert sum(r.cosine is not None for r in got.values()) >= 290
+
+
 def components(fps):
     fps = np.asarray(fps, np.uint64)
     near, labels = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 3, np.arange(len(fps))
