@@ -202,6 +202,15 @@ def test_op4_many_items(spark):
     assert sum(r.cosine is not None for r in got.values()) >= 290
 
 
+def test_op4_forms_of_words(spark):
+    items = [" ".join(w.capitalize() + "X" for w in t.split()) for t in random_items(25, 3)]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    forms = ["({})", '"{}."', "*{}*", "[{}],", "{}", "- {}"]
+    texts = [" ".join(forms[k % 6].format(w) for k, w in enumerate(items[0].split())), "\xa0".join(items[1].split()), "\u2003\x1c".join(items[2].swapcase().split()), None, "- *"]
+    got = {(r.doc_id, r.item_id): r.lcs_share for r in decontam.contaminated(docs_of(spark, texts), bench).collect()}
+    assert got == {(0, 0): 1.0, (1, 1): 1.0, (2, 2): 1.0}
+
+
 def components(fps):
     fps = np.asarray(fps, np.uint64)
     near, labels = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 3, np.arange(len(fps))
