@@ -16,19 +16,20 @@ from pyspark.sql import functions as F
 SLICE_BYTES = 4_000_000
 BATCH_ROWS = "2000"
 
-try:  # large arrays go back to the system when they are freed, so that a reused worker stays small
-    ctypes.CDLL(None).mallopt(-3, 4 << 20)  # M_MMAP_THRESHOLD
-except (OSError, AttributeError):  # not glibc
-    pass
-
-
 def free_units() -> None:
-    """Drops the tokenizers' units that a reused Python worker still holds from an earlier packing or token stage."""
+    """Drops the tokenizer's units that a reused Python worker still holds from an earlier packing or token stage."""
     tokens = sys.modules.get("tidemark.llm.tokens")
     if tokens and tokens._OPENED:
         tokens._OPENED.clear()
-        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
-            trim(0)
+        trim()
+
+
+def trim() -> None:
+    """Gives freed memory back to the system, so that a reused worker starts its next task small."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        pass
 
 
 def small_batches(spark: SparkSession) -> None:

@@ -13,7 +13,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: A task forgets the units that it has encoded beyond this number, so that its memory is bounded.
-MAX_UNITS = 800_000
+MAX_UNITS = 500_000
+#: A character between units that are encoded together; units that hold it are encoded one by one.
+MARK = "\x01"
 _OPENED: dict[tuple[str, bool], "UnitEncoder"] = {}
 
 
@@ -37,13 +39,16 @@ class UnitEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.plain, self.joined = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.plain = Tokenizer.from_file(path)
         self.plain.encode_special_tokens = True  # what looks like a special token in a text is text
-        self.separator = "<|endoftext|>"
-        self.separator_id = self.joined.token_to_id(self.separator)
+        self.between = f" {MARK}" if keeps_space else f" {MARK} "  # stands alone, as a word's white space goes with the word
+        self.mark = self._plain_ids([self.between])[0]
         self.keeps_space = keeps_space
         self.clear()
 
+    def _plain_ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.plain.encode_batch_fast(texts, add_special_tokens=False)]
+
     def clear(self) -> None:
         self.inside: dict[str, int] = {}
         self.leading: dict[str, int] = {}
@@ -78,20 +83,20 @@ class UnitEncoder:
         parts = pc.split_pattern(pc.replace_substring(column, "\n", " \n" if self.keeps_space else " "), " ")
         bounds = parts.offsets.to_numpy()
         coded = parts.values.dictionary_encode()
-        codes, words = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_pylist()
+        codes, words = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         firsts = bounds[:-1]
         odd_docs: list[int] = []
         if self.keeps_space:
-            odd = np.fromiter((not _stands_after_space(w) for w in words), bool, len(words))
+            odd = pc.match_substring_regex(coded.dictionary, _MAYBE_ODD).to_numpy(zero_copy_only=False).copy()
+            for k in np.flatnonzero(odd).tolist():
+                odd[k] = not _stands_after_space(words[k])
             at = np.flatnonzero(odd[codes])
             at = at[~np.isin(at, firsts)]
             odd_docs = sorted(set((np.searchsorted(bounds, at, "right") - 1).tolist()))
             units = self._ids_of(words, self.inside, lambda w: w if w[:1] == "\n" else " " + w, skip=odd)
-            leading = [words[c] for c in codes[firsts]]
-            lead = self._ids_of(list(dict.fromkeys(leading)), self.leading, lambda w: w)
-            lead = dict(zip(dict.fromkeys(leading), lead.tolist(), strict=True))
+            first, place = np.unique(codes[firsts], return_inverse=True)
             at_unit = units[codes]
-            at_unit[firsts] = [lead[w] for w in leading]
+            at_unit[firsts] = self._ids_of([words[c] for c in first.tolist()], self.leading, None)[place]
         else:
             at_unit = self._ids_of(words, self.inside, lambda w: w)[codes]
         flat = self._gather(at_unit)
@@ -104,31 +109,53 @@ class UnitEncoder:
         return np.concatenate(docs), np.concatenate(([0], np.cumsum([len(d) for d in docs]))).astype(np.int64)
 
     def _ids_of(self, words: list[str], known: dict[str, int], unit, skip=None) -> np.ndarray:
-        """The numbers of the words' units; units not met before are encoded."""
-        new = [w for k, w in enumerate(words) if w not in known and (skip is None or not skip[k])]
-        for k in range(0, len(new), 20_000):
-            self._add(new[k : k + 20_000], known, unit)
+        """The numbers of the words' units (unit: their texts; None: the words alone); units not met before are encoded."""
         units = np.fromiter((known.get(w, 0) for w in words), np.int64, len(words))
+        new = units == 0
+        if skip is not None:
+            new &= ~skip
+        if new.any():
+            places = np.flatnonzero(new)
+            lengths = []
+            added = []
+            for k in range(0, len(places), 20_000):
+                ids, n = self._encoded([words[p] for p in places[k : k + 20_000].tolist()], unit)
+                added.append(ids)
+                lengths.append(n)
+            units[places] = self._keep(np.concatenate(added), np.concatenate(lengths))
+            known.update(zip([words[p] for p in places.tolist()], units[places].tolist(), strict=True))
         self.hits[units] += 1
         return units
 
-    def _add(self, words: list[str], known: dict[str, int], unit) -> None:
-        safe = [w for w in words if "<|" not in w]
-        if safe:
-            ids = np.asarray(self.joined.encode_batch_fast([self.separator.join(map(unit, safe))], add_special_tokens=False)[0].ids, np.uint32)
-            cuts = np.concatenate(([-1], np.flatnonzero(ids == self.separator_id), [len(ids)]))
-            self._keep(safe, ids[ids != self.separator_id], np.diff(cuts) - 1, known)
-        for w in words:
-            if "<|" in w:
-                ids = np.asarray(self.plain.encode(unit(w), add_special_tokens=False).ids, np.uint32)
-                self._keep([w], ids, np.asarray([len(ids)]), known)
-
-    def _keep(self, words: list[str], ids: np.ndarray, lengths: np.ndarray, known: dict[str, int]) -> None:
-        known.update(zip(words, range(len(self.starts), len(self.starts) + len(words)), strict=True))
+    def _encoded(self, words: list[str], unit) -> tuple[np.ndarray, np.ndarray]:
+        """The words' ids in a row and how many each has. A word that holds MARK, and a leading word, is encoded alone."""
+        if unit is not None:
+            texts = list(map(unit, words))
+            joined = self.between.join(texts)
+            if joined.count(MARK) == len(words) - 1:
+                ids = np.asarray(self._plain_ids([joined])[0], np.uint32)
+                ends = np.append(np.flatnonzero(ids == self.mark[-1]) + 1, len(ids) + len(self.mark))
+                kept = np.ones(len(ids), bool)
+                for k in range(len(self.mark)):
+                    kept[ends[:-1] - 1 - k] = False
+                return ids[kept], np.diff(ends, prepend=0) - len(self.mark)
+        else:
+            texts = words
+        alone = self._plain_ids(texts)
+        return np.fromiter((i for ids in alone for i in ids), np.uint32), np.fromiter(map(len, alone), np.int64, len(alone))
+
+    def _keep(self, ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Adds units; returns their numbers."""
+        first = len(self.starts)
         self.starts = np.concatenate((self.starts, len(self.pool) + np.cumsum(lengths) - lengths))
         self.lengths = np.concatenate((self.lengths, lengths))
-        self.hits = np.concatenate((self.hits, np.zeros(len(words), np.int64)))
+        self.hits = np.concatenate((self.hits, np.zeros(len(lengths), np.int64)))
         self.pool = np.concatenate((self.pool, ids))
+        return np.arange(first, first + len(lengths))
+
+
+#: What _stands_after_space may deny: it looks at these only.
+_MAYBE_ODD = r"^\n?([^!-~]|$)"
 
 
 def _stands_after_space(part: str) -> bool:
