@@ -65,7 +65,7 @@ _CODERS: dict[str, UnitEncoder] = {}
 
 
 @settings(max_examples=150, deadline=None)
-@given(st.lists(st.text(alphabet="ab.' \n\té<|>1", max_size=30), max_size=5))
+@given(st.lists(st.text(alphabet="ab.', \n\té<|>1\x01\r", max_size=30), max_size=5))
 def test_units_on_any_text(texts):
     coder = _CODERS.setdefault("bytes", UnitEncoder(BYTES, True)) if "bytes" not in _CODERS else _CODERS["bytes"]
     ids, at = coder.encode(pa.array(texts, pa.string()))
@@ -73,6 +73,15 @@ def test_units_on_any_text(texts):
         assert ids[at[k] : at[k + 1]].tolist() == coder.plain.encode(t, add_special_tokens=False).ids
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(alphabet="aBs.,'\u2019\u0301 \n$7\x01É", max_size=30), max_size=5))
+def test_units_on_any_text_uncased(texts):
+    coder = _CODERS.setdefault("words", UnitEncoder(WORDS, False)) if "words" not in _CODERS else _CODERS["words"]
+    ids, at = coder.encode(pa.array(texts, pa.string()))
+    for k, t in enumerate(texts):
+        assert ids[at[k] : at[k + 1]].tolist() == coder.plain.encode(t, add_special_tokens=False).ids
+
+
 def test_op1_round_trip(spark, odd, empty):
     path = work_path(spark, "t")
     token_output.write_tokens(odd, path, WORDS, end_id=2)

@@ -7,6 +7,8 @@ encodes a distinct unit once with the tokenizers library and keeps its ids; text
 from __future__ import annotations
 
 import os
+import string
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +18,8 @@ import pyarrow.compute as pc
 MAX_UNITS = 500_000
 #: A character between units that are encoded together; units that hold it are encoded one by one.
 MARK = "\x01"
+#: ASCII punctuation but the apostrophe.
+TAIL = string.punctuation.replace("'", "")
 _OPENED: dict[tuple[str, bool], "UnitEncoder"] = {}
 
 
@@ -52,6 +56,7 @@ class UnitEncoder:
     def clear(self) -> None:
         self.inside: dict[str, int] = {}
         self.leading: dict[str, int] = {}
+        self.tails: dict[str, int] = {}
         self.pool = np.zeros(0, np.uint32)
         self.starts, self.lengths, self.hits = (np.zeros(1, np.int64) for _ in range(3))  # unit 0 is empty
 
@@ -63,7 +68,7 @@ class UnitEncoder:
             return self.clear()
         number = np.full(len(self.hits), -1, np.int64)
         number[kept] = np.arange(len(kept))
-        self.inside, self.leading = ({w: n for w, k in d.items() if (n := int(number[k])) >= 0} for d in (self.inside, self.leading))
+        self.inside, self.leading, self.tails = ({w: n for w, k in d.items() if (n := int(number[k])) >= 0} for d in (self.inside, self.leading, self.tails))
         self.pool, self.lengths = self._gather(kept), self.lengths[kept]
         self.starts = np.cumsum(self.lengths) - self.lengths
         self.hits = np.zeros(len(kept), np.int64)
@@ -110,23 +115,49 @@ class UnitEncoder:
 
     def _ids_of(self, words: list[str], known: dict[str, int], unit, skip=None) -> np.ndarray:
         """The numbers of the words' units (unit: their texts; None: the words alone); units not met before are encoded."""
-        units = np.fromiter((known.get(w, 0) for w in words), np.int64, len(words))
+        units = np.fromiter(map(known.get, words, repeat(0)), np.int64, len(words))
         new = units == 0
         if skip is not None:
             new &= ~skip
         if new.any():
             places = np.flatnonzero(new)
-            lengths = []
-            added = []
-            for k in range(0, len(places), 20_000):
-                ids, n = self._encoded([words[p] for p in places[k : k + 20_000].tolist()], unit)
-                added.append(ids)
-                lengths.append(n)
-            units[places] = self._keep(np.concatenate(added), np.concatenate(lengths))
-            known.update(zip([words[p] for p in places.tolist()], units[places].tolist(), strict=True))
+            added = [words[p] for p in places.tolist()]
+            units[places] = self._whole(added, unit) if unit is None else self._in_parts(added, known, unit)
+            known.update(zip(added, units[places].tolist(), strict=True))
         self.hits[units] += 1
         return units
 
+    def _in_parts(self, words: list[str], known: dict[str, int], unit) -> np.ndarray:
+        """A word is a stem and the punctuation behind it, as both vocabularies cut between a letter or digit and a
+        punctuation mark (TAIL leaves the apostrophe out); the uncased one has a word's ids for its lower case, too."""
+        column = pa.array(words, pa.large_string())
+        stems = pc.utf8_rtrim(column, characters=TAIL)
+        cut = pc.and_(pc.not_equal(stems, column), pc.match_substring_regex(stems, r"[\p{L}\p{N}]$")).to_numpy(zero_copy_only=False)
+        bases = [x if c else w for w, x, c in zip(words, stems.to_numpy(zero_copy_only=False).tolist(), cut.tolist(), strict=True)]
+        if not self.keeps_space:
+            bases = [w.lower() if w.isascii() else w for w in bases]
+        distinct = dict.fromkeys(bases)
+        base = np.fromiter(map(known.get, distinct, repeat(0)), np.int64, len(distinct))
+        new = [w for w, k in zip(distinct, base.tolist(), strict=True) if not k]
+        base[base == 0] = self._whole(new, unit)
+        distinct = dict(zip(distinct, base.tolist(), strict=True))
+        known.update(distinct)
+        units = np.fromiter(map(distinct.__getitem__, bases), np.int64, len(bases))
+        if cut.any():
+            at = np.flatnonzero(cut)
+            tails = [words[k][len(bases[k]) :] for k in at.tolist()]
+            self._ids_of(list(dict.fromkeys(tails)), self.tails, None)
+            both = np.stack((units[at], np.fromiter(map(self.tails.__getitem__, tails), np.int64, len(tails))), 1)
+            units[at] = self._keep(self._gather(both.ravel()), self.lengths[both].sum(1))
+        return units
+
+    def _whole(self, words: list[str], unit) -> np.ndarray:
+        """Encodes and keeps words; returns their numbers."""
+        done = [self._encoded(words[k : k + 20_000], unit) for k in range(0, len(words), 20_000)]
+        if not done:
+            return np.zeros(0, np.int64)
+        return self._keep(np.concatenate([ids for ids, _ in done]), np.concatenate([n for _, n in done]))
+
     def _encoded(self, words: list[str], unit) -> tuple[np.ndarray, np.ndarray]:
         """The words' ids in a row and how many each has. A word that holds MARK, and a leading word, is encoded alone."""
         if unit is not None:
