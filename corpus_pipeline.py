@@ -37,11 +37,9 @@ def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Rows whose texts hold a benchmark item go, whatever their doc_id is."""
     small_batches(spark)
-    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    hit = decontam.contaminated(docs, benchmark).select("doc_id").where("doc_id is not null").distinct()
-    return docs.join(hit, "doc_id", "left_anti").select(*docs.columns)
+    return decontam.remove(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
