@@ -271,20 +271,14 @@ def test_near_copies_keep_one(spark, odd):
 
 
 def linked_brute(texts):
-    """Components of all pairs that share a list of the index and have a Jaccard similarity of 0.8."""
-    sets = [near_copies.shingle_set(t) for t in texts]
+    """Components of all pairs of texts with a Jaccard similarity of 0.8 or more."""
+    sets = [near_copies.shingle_set(t).tolist() for t in texts]
     place = {x: k for k, x in enumerate(sorted(set().union(*sets)))}
     m = np.zeros((len(texts), len(place)), np.float32)
     for k, own in enumerate(sets):
         m[k, [place[x] for x in own]] = 1
     both, n = m @ m.T, m.sum(1)
-    near = both >= near_copies.MIN_JACCARD * (n[:, None] + n[None, :] - both)
-    wide = np.array([near_copies.wide_fingerprint(t) for t in texts])
-    blocks = wide.reshape(len(texts), near_copies.BLOCKS, near_copies.WIDTH)
-    first = np.ascontiguousarray(wide[:, :8]).view(np.uint64).ravel()
-    for k in range(len(texts)):
-        near[k] &= ((blocks[k] == blocks).sum(2) >= near_copies.SHARED).any(1) & (np.bitwise_count(first[k] ^ first) <= near_copies.FIRST_BITS)
-        near[k, k] = True
+    near = 5 * both >= 4 * (n[:, None] + n[None, :] - both)
     labels = np.arange(len(texts))
     while True:
         least = np.where(near, labels[None, :], len(texts)).min(1)
@@ -320,22 +314,39 @@ def test_near_copies_in_long_lists(spark):
     for _ in range(350):  # related texts (about 0.7), each with one near copy
         own = edited(rng, base, rng.choice(np.arange(5, 115, 6), 2, replace=False), 2)
         texts += [" ".join(own), " ".join([*own[:-2], "y", f"z{rng.integers(0, 1 << 30)}"])]
-    lists = collections.Counter(key for t in texts for b, w in enumerate(near_copies.wide_fingerprint(t).reshape(-1, near_copies.WIDTH)) for key in [(b, *w[:3].tolist())])
-    assert max(lists.values()) > near_copies.SMALL_LIST
     kept = sorted(r.doc_id for r in near_copies.keep_one(docs_of(spark, texts)).select("doc_id").collect())
     assert kept == sorted(set(linked_brute(texts).tolist()))
 
 
-def test_near_copies_pairs_of_a_long_list_are_whole():
-    rng = np.random.default_rng(13)
-    n = 60
-    nodes = np.sort(rng.integers(-(1 << 62), 1 << 62, n))
-    first = rng.integers(0, 1 << 10, n)
-    batch = pa.RecordBatch.from_arrays([pa.array(np.full(n, 5)), pa.array(nodes), pa.array(first), pa.array(nodes)], ["key", "node", "first", "root"])
-    out = pa.Table.from_batches(list(near_copies._pairs(iter([batch])))).to_pandas()
-    assert sorted(out[out.key.notna()].a) == nodes.tolist() and 0 < out.key.isna().sum() < n
-    members = pa.RecordBatch.from_arrays([pa.array(np.full(n, 5)), pa.array(nodes), pa.array(first), pa.array(nodes), pa.array(np.full(n, 2))], ["group", "a", "first", "root", "side"])
-    assert sum(b.num_rows for b in near_copies._all_pairs(iter([members]))) == n * (n - 1) // 2
+def test_near_copies_find_every_pair(spark):
+    """Pairs at 0.75 to 0.9, families edited apart, a passage in a third of the texts, texts of that passage only, short texts, copies."""
+    rng = np.random.default_rng(14)
+    word = lambda n: [f"w{x}" for x in rng.integers(0, 1 << 40, n)]
+    common, texts = word(70), []
+    for k in range(150):
+        own = word(int(rng.integers(60, 200)))
+        if k % 3 == 0:
+            own = own[:20] + common + own[20:]
+        texts.append(" ".join(own))
+        n = int(len(own) * rng.uniform(0.015, 0.06))  # a word stands in 5 shingles
+        texts.append(" ".join(edited(rng, own, at := rng.choice(len(own), n, replace=False), len(at))))
+    for _ in range(120):
+        n = int(rng.integers(0, 4))
+        texts.append(" ".join(edited(rng, common, rng.choice(70, n, replace=False), n)))
+    texts += [" ".join(word(n)) for n in (1, 2, 4, 5, 6)] + ["", " ", "a b", "A B", texts[0], texts[0]]
+    rng.shuffle(texts)
+    labels = linked_brute([t or "" for t in texts])
+    first = {t: k for k, t in reversed(list(enumerate(texts)))}
+    want = sorted({min(j for j in range(len(texts)) if labels[j] == labels[k]) if near_copies.shingle_set(t).size else first[t] for k, t in enumerate(texts)})
+    kept = near_copies.keep_one(docs_of(spark, texts)).select("doc_id").collect()
+    assert sorted(r.doc_id for r in kept) == want
+
+
+def test_near_copies_keep_columns_of_any_name(spark):
+    rows = [(1, "a b c d e f g", 7, 8, "x", 9), (2, "a b c d e f g", 1, 2, "y", 3), (None, "a", 4, 5, "z", 6), (3, None, 0, 0, None, 0), (3, None, 0, 0, None, 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _n int, _k int, root string, row int")
+    got = near_copies.keep_one(docs)
+    assert got.columns == docs.columns and sorted(map(str, got.collect())) == sorted(str(r) for k, r in enumerate(docs.collect()) if k not in (1, 4))
 
 
 def brute_measures(t):

@@ -119,8 +119,8 @@ def _mixed(ids: np.ndarray) -> np.ndarray:
     return ((h ^ h >> np.uint64(31)) % np.uint64(MAP_BITS)).astype(np.int64)
 
 
-def _bit_map(ids: DataFrame) -> np.ndarray:
-    """Bits of the ids in a map of MAP_BITS bits, gathered in blocks: its size does not depend on the data."""
+def bit_map(ids: DataFrame) -> np.ndarray:
+    """Bits of the ids (one long column) in a map of MAP_BITS bits, gathered in blocks: its size does not depend on the data."""
     block = 1 << 16
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,15 +146,19 @@ def _bit_map(ids: DataFrame) -> np.ndarray:
     return out
 
 
+def has_bit(bits: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    at = _mixed(ids)
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+
+
 def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """doc_id, text of the documents whose bit is set: those in ids, and few others."""
-    bits = _bit_map(ids)
+    bits = bit_map(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         free_units()
         for batch in batches:
-            at = _mixed(batch.column("doc_id").to_numpy())
-            yield batch.filter(pa.array((bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)))
+            yield batch.filter(pa.array(has_bit(bits, batch.column("doc_id").to_numpy())))
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null").mapInArrow(run, "doc_id long, text string")
 

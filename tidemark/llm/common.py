@@ -12,9 +12,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Bytes of text that an Arrow operator takes in hand at once, and rows of an Arrow batch on its way to Python.
+#: Bytes of text that an Arrow operator takes in hand at once, and rows and bytes of an Arrow batch on its way to Python.
 SLICE_BYTES = 4_000_000
-BATCH_ROWS = "2000"
+BATCH_ROWS, BATCH_BYTES = "2000", "8000000"
 
 def free_units() -> None:
     """Drops the tokenizer's units that a reused Python worker still holds from an earlier packing or token stage."""
@@ -35,6 +35,7 @@ def trim() -> None:
 def small_batches(spark: SparkSession) -> None:
     """Texts are long: with Spark's default of 10,000 rows a batch of them is held several times outside of the heap."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
 def shared_dir(spark: SparkSession) -> str:

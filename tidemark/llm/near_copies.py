@@ -1,257 +1,303 @@
-"""One document of each group of near copies: SimHash candidates from byte positions, exact Jaccard verification.
-
-Fingerprints here are wide (16 blocks of 5 bytes, of 5-word shingles), so that texts with a Jaccard similarity of 0.8
-agree in some bytes: such a pair differs in about 15 % of the bits and a byte is equal with probability 0.27. The
-inverted index lists a text under every set of 3 equal byte positions of a block; a pair shares a list if at least 3
-of a block's 5 positions match (found with probability 0.89 at 0.8, 0.98 at 0.85, 0.999 at 0.9). Pairs of a list with
-clearly different first words of the fingerprint are dropped, the others are verified on their whole shingle sets.
-
-Exact copies are one node. Two rounds, so that a large group of near copies is never paired with itself: the first
-uses ROUND_ONE blocks; the second searches all blocks among all distinct texts and skips only pairs that the first has
-already put into one component. In lists longer than SMALL_LIST both make links to leaders only; what these leave
-apart in round two is then paired in full, in parts of PART members that Spark spreads. So every pair that shares a
-list is verified or inside one verified component, and only texts that are related but no copies cost all their pairs.
-
-Defined results: exact copies (null and empty texts count as equal) keep the row with the smallest doc_id; texts
-without words are linked to their exact copies only, texts of fewer than 5 words have their whole sequence as one
-shingle; rows with a null doc_id are kept; of fully repeated rows one is kept; all columns are kept.
+"""One document of each group of near copies: 5-word shingles, Jaccard similarity of MIN_JACCARD or more, complete.
+
+1. Texts are reduced to their sets of shingle hashes and a SimHash fingerprint, in one pass.
+2. The fingerprints go through the byte-position index of ``simhash``: its links are verified on the whole sets. This
+   joins most copies before anything is paired.
+3. The rest is found by prefixes. In any fixed order of all shingles, two sets with a Jaccard similarity of 0.8 share
+   one of the first ``n - ceil(0.8 n) + 1`` shingles of each. The order is: shingles that many texts hold last, then by
+   hash; so a passage that many documents share makes no lists unless a text is made of such passages. Which shingles
+   are frequent is counted in Spark and kept as a bit map of fixed size; any map gives a valid order, so it never decides.
+4. The lists are worked off in three turns, each of which verifies pairs and merges what they join. First: all pairs of
+   short lists, links to leaders in long ones (lists of frequent shingles are cut into SALTS parts). Second: one member
+   for each group in a list, against the largest group. Third: all pairs of different groups in the long lists, in parts
+   of PART members that Spark spreads. So every pair that shares a list is verified or inside a verified group, while a
+   large group of copies is never paired with itself.
+
+Pairs are verified on the sets alone (63 bits of each shingle's hash), by sorted intersections.
+
+Defined results: exact copies (null and empty texts count as equal, by SHA-256) keep the row with the smallest doc_id;
+texts without words are linked to their exact copies only, texts of fewer than 5 words have their whole sequence as one
+shingle; rows with a null doc_id are kept; of fully repeated rows one is kept; texts that share a doc_id are documents
+of their own; all columns are kept, whatever their names are; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from itertools import combinations
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.cdc import _only
+from tidemark.llm import simhash
+from tidemark.llm.cdc import bit_map, has_bit
 from tidemark.llm.common import free_units, materialize, slices, texts_of
 from tidemark.llm.components import connected_components
-from tidemark.llm.simhash import shingle_digests
 
 WORDS, MIN_JACCARD = 5, 0.8
-BLOCKS, WIDTH, SHARED = 16, 5, 3
-ROUND_ONE, SMALL_LIST, PART = 2, 24, 2048
-#: Of 64 bits, pairs at 0.8 differ in 10 (standard deviation 3), unrelated ones in 32 (4).
-FIRST_BITS = 22
-_TRIPLES = np.array(list(combinations(range(WIDTH), SHARED)))
-_ODD = np.random.default_rng(99).integers(0, 1 << 63, BLOCKS * WIDTH // 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-
-
-def wide_fingerprint(text: str) -> np.ndarray | None:
-    """BLOCKS x WIDTH bytes by majority over the shingles' bits; None without words."""
-    rows = shingle_digests(text, WORDS)
-    if not len(rows):
-        return None
-    h = np.ascontiguousarray(rows).view(">u8").ravel().astype(np.uint64)
-    ones = np.zeros(BLOCKS * WIDTH * 8, np.int64)
-    for at in range(0, len(h), 1024):
-        x = h[at : at + 1024, None] * _ODD[None, :]
-        x ^= x >> np.uint64(32)
-        x *= np.uint64(0xD6E8FEB86659FD93)
-        x ^= x >> np.uint64(29)
-        ones += np.unpackbits(x.view(np.uint8), axis=1).sum(0, dtype=np.int64)
-    return np.packbits(2 * ones > len(h))
+#: A shingle in more texts is frequent; the share of a text's shingles that is counted (prefixes hold a fifth).
+FREQUENT, COUNTED = 64, 0.3
+SHORT_LIST, SALTS, PART = 16, 32, 2048
+#: Fingerprints of a long list that differ in fewer bits are linked to one leader; others are left to the later turns.
+LEADER_BITS = 16
+_TOP = np.uint64(1 << 63)
 
 
-def _nodes(docs: DataFrame) -> DataFrame:
-    """node (hash of the text), doc_id (its smallest), wide: one row per distinct text."""
+def shingle_set(text: str) -> np.ndarray:
+    """Sorted distinct hashes (63 bits) of the shingles."""
+    rows = simhash.shingle_digests(text, WORDS)
+    return np.unique(np.ascontiguousarray(rows).view(">u8").ravel().astype(np.uint64) >> np.uint64(1))
+
+
+def prefix_length(n: np.ndarray | int):
+    return n - (4 * n + 4) // 5 + 1
+
+
+def near(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two sets of distinct hashes have a Jaccard similarity of MIN_JACCARD or more."""
+    a, b = len(x), len(y)
+    if not a or not b or 5 * min(a, b) < 4 * max(a, b):
+        return False
+    both = np.sort(np.concatenate((x, y)))
+    return 9 * int((both[1:] == both[:-1]).sum()) >= 4 * (a + b)
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, digest (SHA-256 of the text), text; rows with a doc_id only."""
+    digest = F.unhex(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
+    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), digest.alias("digest"), "text")
+
+
+def _filtered(rows: DataFrame, bits: np.ndarray, with_bit: bool = True) -> DataFrame:
+    """The rows whose doc_id has (or lacks) its bit; a null has none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         free_units()
         for batch in batches:
-            for part in slices(batch):
-                wide = [f.tobytes() if (f := wide_fingerprint(t)) is not None else None for t in texts_of(part)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("node"), pa.array(wide, pa.binary())], ["doc_id", "node", "wide"])
+            ids = batch.column("doc_id")
+            there = has_bit(bits, ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)) & ids.is_valid().to_numpy(zero_copy_only=False)
+            yield batch.filter(pa.array(there == with_bit))
 
-    keyed = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), _node().alias("node"), "text")
-    first = keyed.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    rows = materialize(keyed.select("doc_id", "node", "text").mapInArrow(run, "doc_id long, node long, wide binary"), "wide")
-    return materialize(rows.join(first, ["node", "doc_id"]).dropDuplicates(["node"]), "nodes")
+    return rows.mapInArrow(run, rows.schema)
 
 
-def _node() -> F.Column:
-    return F.xxhash64(F.coalesce("text", F.lit("")))
+def _frequent(rows: DataFrame) -> np.ndarray:
+    """A bit map of the shingles in more than FREQUENT texts, counted on the first COUNTED of each text by hash."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_units()
+        for batch in batches:
+            for part in slices(batch):
+                sets = [x[: int(COUNTED * len(x)) + 1] for x in map(shingle_set, texts_of(part))]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], ["token"])
 
-def _listed(nodes: DataFrame, blocks: int) -> DataFrame:
-    """a, b: pairs of nodes that share a list and have different roots; with a key, a: members of a long list that is
-    not of one root (first: their first words)."""
+    counts = rows.select("text").mapInArrow(run, "token long").groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    return bit_map(materialize(counts.where(F.col("n") > FREQUENT).select("token"), "frequent"))
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
-                wide = np.frombuffer(b"".join(part.column("wide").to_pylist()), np.uint8).reshape(-1, BLOCKS, WIDTH)
-                chosen = wide[:, :blocks, :][:, :, _TRIPLES].astype(np.int64)  # text x block x triple x 3
-                place = (np.arange(blocks)[:, None] * len(_TRIPLES) + np.arange(len(_TRIPLES)))[None]
-                keys = place << 24 | chosen[..., 0] << 16 | chosen[..., 1] << 8 | chosen[..., 2]
-                each = blocks * len(_TRIPLES)
-                first = wide.reshape(len(wide), -1)[:, :8].copy().view(np.int64).ravel()
-                columns = (keys.ravel(), *(np.repeat(x, each) for x in (part.column("node").to_numpy(), first, part.column("root").to_numpy())))
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "node", "first", "root"])
-
-    rows = nodes.where("wide is not null").mapInArrow(spread, "key long, node long, first long, root long")
-    return rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_pairs, "key long, a long, b long, first long")
-
-
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by key: all near pairs of a short list; links to leaders in a long one, then its members; none inside a root."""
-    held = [np.zeros(0, np.int64)] * 4
-
-    def of(keys: np.ndarray, nodes: np.ndarray, first: np.ndarray, roots: np.ndarray) -> pa.RecordBatch:
-        first = first.view(np.uint64)  # bitwise_count takes the absolute value of signed numbers
-        cuts = np.flatnonzero(keys[1:] != keys[:-1]) + 1
-        starts, sizes = np.concatenate(([0], cuts)), np.diff(np.concatenate(([0], cuts, [len(keys)])))
-        a, b, long = [], [], []
-        for step in range(1, SMALL_LIST):  # members `step` apart in a short list
-            ok = np.flatnonzero(np.repeat((sizes > step) & (sizes <= SMALL_LIST), sizes))
-            if not len(ok):
-                break
-            ok = ok[ok + step < len(keys)]
-            ok = ok[(keys[ok] == keys[ok + step]) & (roots[ok] != roots[ok + step])]
-            ok = ok[np.bitwise_count(first[ok] ^ first[ok + step]) <= FIRST_BITS]
-            a.append(nodes[ok])
-            b.append(nodes[ok + step])
-        for k, n in zip(starts[sizes > SMALL_LIST].tolist(), sizes[sizes > SMALL_LIST].tolist(), strict=True):
-            root = roots[k : k + n]
-            if (root == root[0]).all():
-                continue
-            long.append(np.arange(k, k + n))
-            mixed = np.argsort((nodes[k : k + n] ^ keys[k]).view(np.uint64) * _ODD[0])  # each list has leaders of its own
-            own, bits, root = nodes[k : k + n][mixed], first[k : k + n][mixed], root[mixed]
-            while len(own) > 1 and (root != root[0]).any():
-                near = np.bitwise_count(bits ^ bits[0]) <= FIRST_BITS
-                linked = near & (root != root[0])
-                a.append(np.full(int(linked.sum()), own[0]))
-                b.append(own[linked])
-                own, bits, root = own[~near], bits[~near], root[~near]
-        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
-        long = np.concatenate(long) if long else np.zeros(0, np.int64)
-        none = [pa.nulls(n, pa.int64()) for n in (len(a), len(long))]
-        columns = ((none[0], keys[long]), (np.minimum(a, b), nodes[long]), (np.maximum(a, b), none[1]), (none[0], first[long].view(np.int64)))
-        return pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array(x) for x in c]) for c in columns], ["key", "a", "b", "first"])
-
-    for batch in batches:
-        held = [np.concatenate((x, batch.column(c).to_numpy())) for x, c in zip(held, ("key", "node", "first", "root"), strict=True)]
-        last = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0
-        if last:
-            yield of(*(x[:last] for x in held))
-            held = [x[last:] for x in held]
-    if len(held[0]):
-        yield of(*held)
-
-
-def _rest(members: DataFrame, named: DataFrame) -> DataFrame:
-    """All near pairs (a, b) with different roots of the long lists: each list in parts of PART members, each two parts
-    a group of their own."""
-    rows = members.join(named.select(F.col("node").alias("a"), "root"), "a")
-    lists = rows.groupBy("key").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi"), F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("_n")).where("_lo < _hi")
-    rows = rows.join(lists.select("key", "_n"), "key").withColumn("_p", F.pmod(F.xxhash64("a"), "_n").cast("int"))
-    rows = rows.withColumn("_q", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
-    side = F.when(F.col("_p") == F.col("_q"), 2).when(F.col("_p") < F.col("_q"), 0).otherwise(1).cast("long")
-    rows = rows.select(F.xxhash64("key", F.least("_p", "_q"), F.greatest("_p", "_q")).alias("group"), "a", "first", "root", side.alias("side"))
-    return rows.repartition("group").sortWithinPartitions("group").mapInArrow(_all_pairs, "a long, b long").distinct()
-
-
-def _all_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by group: near pairs of both sides (0 and 1), or of all rows (2)."""
-    names = ("group", "a", "first", "root", "side")
-    held = [np.zeros(0, np.int64)] * len(names)
-
-    def of(_: np.ndarray, nodes: np.ndarray, first: np.ndarray, roots: np.ndarray, sides: np.ndarray) -> Iterator[pa.RecordBatch]:
-        first = first.view(np.uint64)
-        for k in range(0, len(nodes), 256):
-            own = slice(k, k + 256)
-            near = (np.bitwise_count(first[own, None] ^ first[None, :]) <= FIRST_BITS) & (roots[own, None] != roots[None, :]) & (nodes[own, None] < nodes[None, :])
-            near &= (sides[own, None] != sides[None, :]) | (sides[own, None] == 2)
-            x, y = np.nonzero(near)
-            yield pa.RecordBatch.from_arrays([pa.array(nodes[own][x]), pa.array(nodes[y])], ["a", "b"])
-
-    def lists(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        cuts = np.flatnonzero(np.diff(rows[0])) + 1
-        for own in zip(*(np.split(x, cuts) for x in rows), strict=True):
-            yield from of(*own)
-
-    for batch in batches:
-        held = [np.concatenate((x, batch.column(c).to_numpy())) for x, c in zip(held, names, strict=True)]
-        last = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0
-        if last:
-            yield from lists([x[:last] for x in held])
-            held = [x[last:] for x in held]
-    if len(held[0]):
-        yield from lists(held)
-
-
-def shingle_set(text: str) -> set[int]:
-    return set(np.ascontiguousarray(shingle_digests(text, WORDS)).view(np.int64).ravel().tolist())
-
-
-def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose shingle sets have a Jaccard similarity of MIN_JACCARD or more."""
-    names = nodes.select("node", F.col("doc_id").alias("rep"))
-    used = materialize(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(names, "node"), "used")
-    texts = _only(docs, used.select("rep")).select("doc_id", "text", _node().alias("node"))
-    texts = materialize(texts.join(used, (texts["doc_id"] == used["rep"]) & (texts["node"] == used["node"])).select(texts["node"], "text").dropDuplicates(["node"]), "texts")
 
+def _nodes(docs: DataFrame) -> DataFrame:
+    """node, doc_id, digest, n, fp, prefix, tokens (the set in order, frequent ones with the top bit): one row per
+    distinct text, and few of its copies, which the root (the digest's smallest node) joins."""
+    keyed = _keyed(docs)
+    least = keyed.groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
+    rows = _filtered(keyed, bit_map(materialize(least.select("doc_id"), "least")))
+    frequent = _frequent(rows)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_units()
+        for batch in batches:
+            for part in slices(batch):
+                sets, prints = [], []
+                for text in texts_of(part):
+                    x = shingle_set(text)
+                    x[has_bit(frequent, x.view(np.int64))] |= _TOP
+                    sets.append(np.sort(x))
+                    prints.append(simhash.fingerprint(text, WORDS))
+                firsts = [x[: prefix_length(len(x))].view(np.int64) if len(x) else x.view(np.int64) for x in sets]
+                columns = [
+                    part.column("doc_id"), part.column("digest"), pa.array(list(map(len, sets)), pa.int64()), pa.array(np.asarray(prints, np.uint64).view(np.int64)),
+                    pa.array(firsts, pa.list_(pa.int64())), pa.array([x.tobytes() for x in sets], pa.binary()),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "digest", "n", "fp", "prefix", "tokens"])
+
+    made = rows.mapInArrow(run, "doc_id long, digest binary, n long, fp long, prefix array<long>, tokens binary")
+    return materialize(made.withColumn("node", F.monotonically_increasing_id()), "nodes")
+
+
+def _merged(names: DataFrame, links: DataFrame) -> DataFrame:
+    """names(node, root) after the links (a, b) between nodes."""
+    apart = links.join(names.select(F.col("node").alias("a"), F.col("root").alias("x")), "a").join(names.select(F.col("node").alias("b"), F.col("root").alias("y")), "b")
+    moved = connected_components(apart.select(F.col("x").alias("a"), F.col("y").alias("b")).where("a != b")).select(F.col("node").alias("root"), F.col("root").alias("_to"))
+    return materialize(names.join(moved, "root", "left").select("node", F.coalesce("_to", "root").alias("root")), "names")
+
+
+def _verified(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         free_units()
-        kept, last = {}, None
         for batch in batches:
-            ok = []
-            for a, x, y in zip(batch.column("a").to_pylist(), batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                if a != last:
-                    kept, last = shingle_set(x or ""), a
-                other = shingle_set(y or "")
-                both = len(kept & other)
-                ok.append(both >= MIN_JACCARD * (len(kept) + len(other) - both))
+            x, y = (batch.column(c).to_pylist() for c in ("x", "y"))
+            ok = [near(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)) for p, q in zip(x, y, strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    left = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a")
-    both = left.join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    left = pairs.join(nodes.select(F.col("node").alias("a"), F.col("tokens").alias("x")), "a")
+    both = left.join(nodes.select(F.col("node").alias("b"), F.col("tokens").alias("y")), "b")
+    return materialize(both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "links")
 
 
-def _joined(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """nodes (node, doc_id, wide) with root: the smallest node of the component that the links make."""
-    roots = connected_components(links)
-    return materialize(nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "round")
+def _fingerprint_pairs(nodes: DataFrame) -> DataFrame:
+    """The links of the byte-position index, and nodes with the same fingerprint, as pairs of nodes."""
+    own = nodes.where("n > 0").select("node", "fp")
+    first = materialize(own.groupBy("fp").agg(F.min("node").alias("b")), "prints")
+    same = own.join(first, "fp").select(F.col("node").alias("a"), "b")
+    links = simhash.links(first.select("fp"))
+    apart = links.join(first.select(F.col("fp").alias("a"), F.col("b").alias("x")), "a").join(first.select(F.col("fp").alias("b"), F.col("b").alias("y")), "b")
+    return same.union(apart.select("x", "y")).where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def groups(docs: DataFrame) -> DataFrame:
-    """node, doc_id, root: the group (smallest linked node) of every distinct text."""
-    nodes = _nodes(docs)
-    alone = nodes.withColumn("root", F.col("node"))
-    pairs = materialize(_pairs_of(_listed(alone, ROUND_ONE)), "pairs")
-    named = _joined(nodes, _verified(docs, nodes, pairs))
-    listed = materialize(_listed(named, BLOCKS), "listed")
-    tried = materialize(_pairs_of(listed), "pairs")
-    named = _joined(nodes, _stars(named).union(_verified(docs, nodes, tried)))
-    members = listed.where("key is not null").select("key", "a", "first")
-    pairs = materialize(_rest(members, named).join(tried, ["a", "b"], "left_anti"), "pairs")
-    if not pairs.isEmpty():
-        named = _joined(nodes, _stars(named).union(_verified(docs, nodes, pairs)))
-    return named.select("node", "doc_id", "root")
+def _lists(nodes: DataFrame, names: DataFrame) -> DataFrame:
+    """token, node, n, fp, root: a row for each shingle of a prefix."""
+    own = nodes.where("n > 0").select("node", "n", "fp", "prefix").join(names, "node")
+    return own.select(F.explode("prefix").alias("token"), "node", "n", "fp", "root")
+
+
+def _grouped(names: list[str], of: Callable[..., Iterator[tuple[np.ndarray, np.ndarray]]]) -> Callable:
+    """For rows sorted by the first column: ``of`` on whole groups of rows at a time, each column an array."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_units()
+        held = [np.zeros(0, np.int64)] * len(names)
+        for batch in batches:
+            held = [np.concatenate((x, batch.column(c).to_numpy())) for x, c in zip(held, names, strict=True)]
+            last = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0
+            if last:
+                yield from made(*(x[:last] for x in held))
+                held = [x[last:] for x in held]
+        if len(held[0]):
+            yield from made(*held)
+
+    def made(*columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for a, b in of(*columns):
+            if len(a):
+                found = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b)), 1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
+
+    return run
+
+
+def _sizes_fit(m: np.ndarray, n: np.ndarray) -> np.ndarray:
+    return 5 * np.minimum(m, n) >= 4 * np.maximum(m, n)
+
+
+def _cuts(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    cuts = np.flatnonzero(keys[1:] != keys[:-1]) + 1
+    return np.concatenate(([0], cuts)), np.diff(np.concatenate(([0], cuts, [len(keys)])))
+
+
+def _first_turn(key: np.ndarray, node: np.ndarray, n: np.ndarray, fp: np.ndarray, root: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of a short list, links to leaders in a long one, none inside a root."""
+    starts, sizes = _cuts(key)
+    fp = fp.view(np.uint64)  # bitwise_count takes the absolute value of signed numbers
+    for step in range(1, SHORT_LIST):  # members ``step`` apart
+        ok = np.flatnonzero(np.repeat((sizes > step) & (sizes <= SHORT_LIST), sizes))
+        ok = ok[ok + step < len(key)]
+        if not len(ok):
+            break
+        ok = ok[(key[ok] == key[ok + step]) & (root[ok] != root[ok + step]) & _sizes_fit(n[ok], n[ok + step])]
+        yield node[ok], node[ok + step]
+    for k, size in zip(starts[sizes > SHORT_LIST].tolist(), sizes[sizes > SHORT_LIST].tolist(), strict=True):
+        own = np.arange(k, k + size)
+        own = own[np.argsort(node[own].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15))]  # the same leaders in all lists
+        while len(own) > 1 and (root[own] != root[own[0]]).any():
+            close = np.bitwise_count(fp[own] ^ fp[own[0]]) <= LEADER_BITS
+            linked = own[close & (root[own] != root[own[0]]) & _sizes_fit(n[own], n[own[0]])]
+            yield np.full(len(linked), node[own[0]]), node[linked]
+            own = own[~close]
+
+
+def _all_pairs(key: np.ndarray, node: np.ndarray, n: np.ndarray, side: np.ndarray, root: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of different roots of both sides (0 and 1), or of all rows (2), of each key."""
+    starts, sizes = _cuts(key)
+    for k, size in zip(starts.tolist(), sizes.tolist(), strict=True):
+        all_ = slice(k, k + size)
+        for at in range(k, k + size, 256):
+            own = slice(at, min(at + 256, k + size))
+            ok = (root[own, None] != root[None, all_]) & _sizes_fit(n[own, None], n[None, all_]) & (node[own, None] < node[None, all_])
+            ok &= (side[own, None] != side[None, all_]) | (side[own, None] == 2)
+            x, y = np.nonzero(ok)
+            yield node[own][x], node[all_][y]
+
+
+def _from_lists(rows: DataFrame, names: list[str], of: Callable) -> DataFrame:
+    return rows.repartition("key").sortWithinPartitions("key").select("key", *names).mapInArrow(_grouped(["key", *names], of), "a long, b long").distinct()
+
+
+def _leader_pairs(lists: DataFrame) -> DataFrame:
+    salt = F.when(F.col("token") < 0, F.pmod(F.xxhash64("node"), F.lit(SALTS))).otherwise(F.lit(0))
+    rows = lists.withColumn("key", F.when(F.col("token") < 0, F.xxhash64("token", salt)).otherwise(F.col("token")))
+    return _from_lists(rows, ["node", "n", "fp", "root"], _first_turn)
+
+
+def _group_pairs(lists: DataFrame) -> DataFrame:
+    """One member for each root in a list, against that of the root with most members."""
+    each = lists.groupBy("token", "root").agg(F.count(F.lit(1)).alias("m"), F.min_by("node", F.xxhash64("token", "node")).alias("node"))
+    largest = each.groupBy("token").agg(F.max(F.struct("m", "root", "node")).alias("_l"))
+    pairs = each.join(largest, "token").where("root != _l.root").select(F.least("node", "_l.node").alias("a"), F.greatest("node", "_l.node").alias("b"))
+    return pairs.distinct()
+
+
+def _rest(lists: DataFrame, tokens: DataFrame) -> DataFrame:
+    """All pairs of different roots: each list in parts of PART members, each two parts a group of their own."""
+    rows = lists.join(tokens.select("token", F.ceil(F.col("members") / PART).cast("int").alias("_n")), "token").withColumn("_p", F.pmod(F.xxhash64("node"), "_n").cast("int"))
+    rows = rows.withColumn("_q", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    side = F.when(F.col("_p") == F.col("_q"), 2).when(F.col("_p") < F.col("_q"), 0).otherwise(1).cast("long")
+    rows = rows.withColumn("side", side).withColumn("key", F.xxhash64("token", F.least("_p", "_q"), F.greatest("_p", "_q")))
+    return _from_lists(rows, ["node", "n", "side", "root"], _all_pairs)
 
-def _pairs_of(listed: DataFrame) -> DataFrame:
-    return listed.where("key is null").select("a", "b").distinct()
 
+def _open(nodes: DataFrame, names: DataFrame, before: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """The lists longer than SHORT_LIST that hold several roots, and their tokens (with the number of members)."""
+    lists = _lists(nodes, names)
+    if before is not None:
+        lists = lists.join(before.select("token"), "token")
+    counts = lists.groupBy("token").agg(F.count(F.lit(1)).alias("members"), F.min("root").alias("_lo"), F.max("root").alias("_hi"))
+    tokens = materialize(counts.where((F.col("members") > SHORT_LIST) & (F.col("_lo") < F.col("_hi"))).select("token", "members"), "open")
+    return lists.join(tokens.select("token"), "token"), tokens
 
-def _stars(named: DataFrame) -> DataFrame:
-    """The components as links to their roots."""
-    return named.where("node != root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+
+def groups(docs: DataFrame) -> DataFrame:
+    """node, doc_id, digest, root: the group (a linked node) of every distinct text."""
+    nodes = _nodes(docs)
+    least = nodes.groupBy("digest").agg(F.min("node").alias("root"))
+    names = materialize(nodes.select("node", "digest").join(least, "digest").select("node", "root"), "names")
+    names = _merged(names, _verified(nodes, materialize(_fingerprint_pairs(nodes), "pairs")))
+    names = _merged(names, _verified(nodes, materialize(_leader_pairs(_lists(nodes, names)), "pairs")))
+    lists, tokens = _open(nodes, names)
+    if not tokens.isEmpty():
+        names = _merged(names, _verified(nodes, materialize(_group_pairs(lists), "pairs")))
+        lists, tokens = _open(nodes, names, tokens)
+        if not tokens.isEmpty():
+            names = _merged(names, _verified(nodes, materialize(_rest(lists, tokens), "pairs")))
+    return nodes.select("node", "doc_id", "digest").join(names, "node")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs without near copies: of each group the row with the smallest doc_id stays."""
+    """docs without near copies: of each group the row with the smallest doc_id stays.
+
+    Rows that surely stay are passed on in one pass; those whose doc_id is in a bit map of the others (at any size a
+    superset) are joined exactly.
+    """
     found = materialize(groups(docs), "groups")
-    kept = found.groupBy("root").agg(F.min("doc_id").alias("_id")).join(found.select("root", "doc_id", F.col("node").alias("_node")), "root").where("doc_id = _id").select("_id", "_node")
-    keyed = docs.withColumn("_n", _node())
-    chosen = keyed.join(kept, (keyed["doc_id"] == kept["_id"]) & (keyed["_n"] == kept["_node"]))
-    one = Window.partitionBy("_id", "_node").orderBy("_n")
-    single = chosen.withColumn("_k", F.row_number().over(one)).where("_k = 1").select(*docs.columns)
-    return single.unionByName(docs.where("doc_id is null"))
+    kept = materialize(found.groupBy("root").agg(F.min(F.struct("doc_id", "digest")).alias("_k")).select("_k.*"), "kept")
+    ids = _keyed(docs).select("doc_id", "digest").groupBy("doc_id", "digest").agg(F.count(F.lit(1)).alias("_n"))
+    staying = kept.select("doc_id", "digest", F.lit(True).alias("_there"))
+    doubtful = ids.join(staying, ["doc_id", "digest"], "left").where("_n > 1 or _there is null").select("doc_id")
+    bits = bit_map(materialize(doubtful, "doubtful"))
+    held = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held)
+    sure = _filtered(rows, bits, with_bit=False).select("row.*")
+    digest = F.unhex(F.sha2(F.coalesce("row.text", F.lit("")).cast("binary"), 256))
+    other = _filtered(rows, bits).withColumn("digest", digest).join(staying, ["doc_id", "digest"])
+    one = Window.partitionBy("doc_id", "digest").orderBy(F.lit(1))
+    single = other.withColumn("_at", F.row_number().over(one)).where("_at = 1").select("row.*")
+    return sure.unionByName(single)
