@@ -27,27 +27,70 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import simhash
 from tidemark.llm.cdc import bit_map, has_bit
-from tidemark.llm.common import free_units, materialize, slices, texts_of
+from tidemark.llm.common import free_units, materialize, slices
 from tidemark.llm.components import connected_components
 
 WORDS, MIN_JACCARD = 5, 0.8
-#: A shingle in more texts is frequent; the share of a text's shingles that is counted (prefixes hold a fifth).
+#: A shingle in more texts is frequent; the share of the hashes that is counted (prefixes hold a fifth).
 FREQUENT, COUNTED = 64, 0.3
 SHORT_LIST, SALTS, PART = 16, 32, 2048
 #: Fingerprints of a long list that differ in fewer bits are linked to one leader; others are left to the later turns.
 LEADER_BITS = 16
 _TOP = np.uint64(1 << 63)
+_ODD = np.random.default_rng(99).integers(0, 1 << 63, WORDS + 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def shingles(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of every run of WORDS words of all texts in a row, repeats included, and where each text starts (one
+    more for the end). Words are parted by ASCII white space, A-Z are lower-cased."""
+    import xxhash
+
+    column = pc.fill_null(column.cast(pa.large_string()), "")
+    for c in "\t\n\r\x0b\x0c":
+        column = pc.replace_substring(column, c, " ")
+    parts = pc.split_pattern(column, " ")
+    coded = parts.values.dictionary_encode()
+    digest = xxhash.xxh3_64_intdigest
+    words = [w.encode("utf-8", "surrogatepass") for w in pc.ascii_lower(coded.dictionary).to_numpy(zero_copy_only=False).tolist()]
+    hashes = np.fromiter((digest(w) if w else 0 for w in words), np.uint64, len(words))
+    held = np.fromiter(map(bool, words), bool, len(words))[codes := coded.indices.to_numpy()]
+    flat = hashes[codes][held]
+    bounds = np.concatenate(([0], np.cumsum(held)))[parts.offsets.to_numpy()]
+    sizes = np.diff(bounds)
+    mixed = np.zeros(max(len(flat) - WORDS + 1, 0), np.uint64)
+    for k in range(WORDS):
+        mixed += flat[k : k + len(mixed)] * _ODD[k]
+    counts = np.maximum(sizes - WORDS + 1, sizes > 0)
+    starts = np.concatenate(([0], np.cumsum(counts)))
+    at = np.repeat(bounds[:-1] - starts[:-1], counts) + np.arange(starts[-1])
+    out = np.zeros(starts[-1], np.uint64)
+    whole = np.repeat(sizes >= WORDS, counts)
+    out[whole] = mixed[at[whole]]
+    for t in np.flatnonzero((sizes > 0) & (sizes < WORDS)).tolist():
+        own = flat[bounds[t] : bounds[t + 1]]
+        out[starts[t]] = (own * _ODD[: len(own)]).sum() + np.uint64(len(own)) * _ODD[WORDS]
+    out ^= out >> np.uint64(32)
+    out *= np.uint64(0xD6E8FEB86659FD93)
+    return out ^ out >> np.uint64(29), starts
 
 
 def shingle_set(text: str) -> np.ndarray:
     """Sorted distinct hashes (63 bits) of the shingles."""
-    rows = simhash.shingle_digests(text, WORDS)
-    return np.unique(np.ascontiguousarray(rows).view(">u8").ravel().astype(np.uint64) >> np.uint64(1))
+    return np.unique(shingles(pa.array([text]))[0] >> np.uint64(1))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """A SimHash fingerprint: the bits that more than half of the hashes have."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 4096):
+        ones += np.unpackbits(hashes[at : at + 4096].view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
 
 
 def prefix_length(n: np.ndarray | int):
@@ -83,14 +126,15 @@ def _filtered(rows: DataFrame, bits: np.ndarray, with_bit: bool = True) -> DataF
 
 
 def _frequent(rows: DataFrame) -> np.ndarray:
-    """A bit map of the shingles in more than FREQUENT texts, counted on the first COUNTED of each text by hash."""
+    """A bit map of the shingles that occur more than FREQUENT times, of those with a hash in the lowest COUNTED share."""
+    bound = np.uint64(int(COUNTED * (1 << 63)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         free_units()
         for batch in batches:
             for part in slices(batch):
-                sets = [x[: int(COUNTED * len(x)) + 1] for x in map(shingle_set, texts_of(part))]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], ["token"])
+                found = shingles(part.column("text"))[0] >> np.uint64(1)
+                yield pa.RecordBatch.from_arrays([pa.array(found[found < bound].view(np.int64))], ["token"])
 
     counts = rows.select("text").mapInArrow(run, "token long").groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     return bit_map(materialize(counts.where(F.col("n") > FREQUENT).select("token"), "frequent"))
@@ -108,12 +152,13 @@ def _nodes(docs: DataFrame) -> DataFrame:
         free_units()
         for batch in batches:
             for part in slices(batch):
+                hashes, at = shingles(part.column("text"))
+                tokens = hashes >> np.uint64(1)
+                tokens[has_bit(frequent, tokens.view(np.int64))] |= _TOP
                 sets, prints = [], []
-                for text in texts_of(part):
-                    x = shingle_set(text)
-                    x[has_bit(frequent, x.view(np.int64))] |= _TOP
-                    sets.append(np.sort(x))
-                    prints.append(simhash.fingerprint(text, WORDS))
+                for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+                    sets.append(np.unique(tokens[a:b]))
+                    prints.append(majority(hashes[a:b]))
                 firsts = [x[: prefix_length(len(x))].view(np.int64) if len(x) else x.view(np.int64) for x in sets]
                 columns = [
                     part.column("doc_id"), part.column("digest"), pa.array(list(map(len, sets)), pa.int64()), pa.array(np.asarray(prints, np.uint64).view(np.int64)),
