@@ -32,13 +32,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import simhash
-from tidemark.llm.cdc import bit_map, has_bit
+from tidemark.llm.cdc import bit_map, filtered, has_bit
 from tidemark.llm.common import free_units, materialize, slices
 from tidemark.llm.components import connected_components
 
 WORDS, MIN_JACCARD = 5, 0.8
 #: A shingle in more texts is frequent; the share of the hashes that is counted (prefixes hold a fifth).
-FREQUENT, COUNTED = 64, 0.3
+FREQUENT, COUNTED = 64, 0.25
 SHORT_LIST, SALTS, PART = 16, 32, 2048
 #: Fingerprints of a long list that differ in fewer bits are linked to one leader; others are left to the later turns.
 LEADER_BITS = 16
@@ -112,19 +112,6 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), digest.alias("digest"), "text")
 
 
-def _filtered(rows: DataFrame, bits: np.ndarray, with_bit: bool = True) -> DataFrame:
-    """The rows whose doc_id has (or lacks) its bit; a null has none."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        free_units()
-        for batch in batches:
-            ids = batch.column("doc_id")
-            there = has_bit(bits, ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)) & ids.is_valid().to_numpy(zero_copy_only=False)
-            yield batch.filter(pa.array(there == with_bit))
-
-    return rows.mapInArrow(run, rows.schema)
-
-
 def _frequent(rows: DataFrame) -> np.ndarray:
     """A bit map of the shingles that occur more than FREQUENT times, of those with a hash in the lowest COUNTED share."""
     bound = np.uint64(int(COUNTED * (1 << 63)))
@@ -141,11 +128,11 @@ def _frequent(rows: DataFrame) -> np.ndarray:
 
 
 def _nodes(docs: DataFrame) -> DataFrame:
-    """node, doc_id, digest, n, fp, prefix, tokens (the set in order, frequent ones with the top bit): one row per
-    distinct text, and few of its copies, which the root (the digest's smallest node) joins."""
+    """node, doc_id, digest, n, fp, tokens (the set in order, frequent ones with the top bit): one row per distinct
+    text, and few of its copies, which the root (the digest's smallest node) joins."""
     keyed = _keyed(docs)
     least = keyed.groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
-    rows = _filtered(keyed, bit_map(materialize(least.select("doc_id"), "least")))
+    rows = filtered(keyed, bit_map(materialize(least.select("doc_id"), "least")))
     frequent = _frequent(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,35 +146,63 @@ def _nodes(docs: DataFrame) -> DataFrame:
                 for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
                     sets.append(np.unique(tokens[a:b]))
                     prints.append(majority(hashes[a:b]))
-                firsts = [x[: prefix_length(len(x))].view(np.int64) if len(x) else x.view(np.int64) for x in sets]
                 columns = [
                     part.column("doc_id"), part.column("digest"), pa.array(list(map(len, sets)), pa.int64()), pa.array(np.asarray(prints, np.uint64).view(np.int64)),
-                    pa.array(firsts, pa.list_(pa.int64())), pa.array([x.tobytes() for x in sets], pa.binary()),
+                    pa.array([x.tobytes() for x in sets], pa.binary()),
                 ]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "digest", "n", "fp", "prefix", "tokens"])
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "digest", "n", "fp", "tokens"])
 
-    made = rows.mapInArrow(run, "doc_id long, digest binary, n long, fp long, prefix array<long>, tokens binary")
+    made = rows.mapInArrow(run, "doc_id long, digest binary, n long, fp long, tokens binary")
     return materialize(made.withColumn("node", F.monotonically_increasing_id()), "nodes")
 
 
 def _merged(names: DataFrame, links: DataFrame) -> DataFrame:
     """names(node, root) after the links (a, b) between nodes."""
+    if links.isEmpty():
+        return names
     apart = links.join(names.select(F.col("node").alias("a"), F.col("root").alias("x")), "a").join(names.select(F.col("node").alias("b"), F.col("root").alias("y")), "b")
     moved = connected_components(apart.select(F.col("x").alias("a"), F.col("y").alias("b")).where("a != b")).select(F.col("node").alias("root"), F.col("root").alias("_to"))
     return materialize(names.join(moved, "root", "left").select("node", F.coalesce("_to", "root").alias("root")), "names")
 
 
-def _verified(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        free_units()
-        for batch in batches:
-            x, y = (batch.column(c).to_pylist() for c in ("x", "y"))
-            ok = [near(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)) for p, q in zip(x, y, strict=True)]
-            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+def may_be_near(x: np.ndarray, y: np.ndarray, m: int, n: int) -> bool:
+    """Whether the prefixes x, y of sets with m and n elements allow MIN_JACCARD: they hold all common elements up to the
+    smaller of their last ones, behind which each set has only so many left."""
+    if not len(x) or not len(y) or 5 * min(m, n) < 4 * max(m, n):
+        return False
+    both, last = np.sort(np.concatenate((x, y))), min(x[-1], y[-1])
+    common = int((both[1:] == both[:-1]).sum())
+    left = min(m - int(np.searchsorted(x, last, "right")), n - int(np.searchsorted(y, last, "right")))
+    return 9 * (common + left) >= 4 * (m + n)
+
+
+def _with_sets(nodes: DataFrame, pairs: DataFrame, prefix: bool) -> DataFrame:
+    """a, b, m, n, x, y: the pairs with their sizes and sets (or the prefixes of these); only sets in use are moved."""
+    used = pairs.select(F.col("a").alias("node")).union(pairs.select("b"))
+    sets = filtered(nodes.select("node", "n", "tokens"), bit_map(used), column="node")
+    if prefix:
+        sets = sets.withColumn("tokens", F.expr("substring(tokens, 1, CAST(8 * (n - (4 * n + 4) DIV 5 + 1) AS INT))"))
+    left = pairs.select("a", "b").join(sets.select(F.col("node").alias("a"), F.col("n").alias("m"), F.col("tokens").alias("x")), "a")
+    return left.join(sets.select(F.col("node").alias("b"), "n", F.col("tokens").alias("y")), "b").select("a", "b", "m", "n", "x", "y")
+
+
+def _verified(nodes: DataFrame, names: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The near pairs (a, b) of different roots: first by the bound that the prefixes give, then on the whole sets."""
+
+    def test(of: Callable) -> Callable:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            free_units()
+            for batch in batches:
+                rows = zip(*(batch.column(c).to_pylist() for c in ("x", "y", "m", "n")), strict=True)
+                ok = [of(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), m, n) for x, y, m, n in rows]
+                yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    left = pairs.join(nodes.select(F.col("node").alias("a"), F.col("tokens").alias("x")), "a")
-    both = left.join(nodes.select(F.col("node").alias("b"), F.col("tokens").alias("y")), "b")
-    return materialize(both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "links")
+        return run
+
+    apart = pairs.join(names.select(F.col("node").alias("a"), F.col("root").alias("x")), "a").join(names.select(F.col("node").alias("b"), F.col("root").alias("y")), "b")
+    tried = materialize(apart.where("x != y").select("a", "b"), "pairs")
+    possible = materialize(_with_sets(nodes, tried, True).mapInArrow(test(may_be_near), "a long, b long"), "possible")
+    return materialize(_with_sets(nodes, possible, False).mapInArrow(test(lambda x, y, m, n: near(x, y)), "a long, b long"), "links")
 
 
 def _fingerprint_pairs(nodes: DataFrame) -> DataFrame:
@@ -200,10 +215,18 @@ def _fingerprint_pairs(nodes: DataFrame) -> DataFrame:
     return same.union(apart.select("x", "y")).where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _lists(nodes: DataFrame, names: DataFrame) -> DataFrame:
-    """token, node, n, fp, root: a row for each shingle of a prefix."""
-    own = nodes.where("n > 0").select("node", "n", "fp", "prefix").join(names, "node")
-    return own.select(F.explode("prefix").alias("token"), "node", "n", "fp", "root")
+def _lists(nodes: DataFrame) -> DataFrame:
+    """token, node, fp: a row for each shingle of a prefix."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_units()
+        for batch in batches:
+            sets = [np.frombuffer(x, np.int64) for x in batch.column("tokens").to_pylist()]
+            firsts = [x[: prefix_length(len(x))] for x in sets]
+            row = pa.array(np.repeat(np.arange(len(firsts)), list(map(len, firsts))))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(firsts)), batch.column("node").take(row), batch.column("fp").take(row)], ["token", "node", "fp"])
+
+    return nodes.where("n > 0").select("node", "fp", "tokens").mapInArrow(run, "token long, node long, fp long")
 
 
 def _grouped(names: list[str], of: Callable[..., Iterator[tuple[np.ndarray, np.ndarray]]]) -> Callable:
@@ -230,17 +253,13 @@ def _grouped(names: list[str], of: Callable[..., Iterator[tuple[np.ndarray, np.n
     return run
 
 
-def _sizes_fit(m: np.ndarray, n: np.ndarray) -> np.ndarray:
-    return 5 * np.minimum(m, n) >= 4 * np.maximum(m, n)
-
-
 def _cuts(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     cuts = np.flatnonzero(keys[1:] != keys[:-1]) + 1
     return np.concatenate(([0], cuts)), np.diff(np.concatenate(([0], cuts, [len(keys)])))
 
 
-def _first_turn(key: np.ndarray, node: np.ndarray, n: np.ndarray, fp: np.ndarray, root: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All pairs of a short list, links to leaders in a long one, none inside a root."""
+def _first_turn(key: np.ndarray, node: np.ndarray, fp: np.ndarray, token: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of a short list; links to leaders in a long one, and its token (as a pair with itself)."""
     starts, sizes = _cuts(key)
     fp = fp.view(np.uint64)  # bitwise_count takes the absolute value of signed numbers
     for step in range(1, SHORT_LIST):  # members ``step`` apart
@@ -248,26 +267,27 @@ def _first_turn(key: np.ndarray, node: np.ndarray, n: np.ndarray, fp: np.ndarray
         ok = ok[ok + step < len(key)]
         if not len(ok):
             break
-        ok = ok[(key[ok] == key[ok + step]) & (root[ok] != root[ok + step]) & _sizes_fit(n[ok], n[ok + step])]
+        ok = ok[key[ok] == key[ok + step]]
         yield node[ok], node[ok + step]
+    yield token[starts[sizes > SHORT_LIST]], token[starts[sizes > SHORT_LIST]]
     for k, size in zip(starts[sizes > SHORT_LIST].tolist(), sizes[sizes > SHORT_LIST].tolist(), strict=True):
         own = np.arange(k, k + size)
         own = own[np.argsort(node[own].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15))]  # the same leaders in all lists
-        while len(own) > 1 and (root[own] != root[own[0]]).any():
+        while len(own) > 1:
             close = np.bitwise_count(fp[own] ^ fp[own[0]]) <= LEADER_BITS
-            linked = own[close & (root[own] != root[own[0]]) & _sizes_fit(n[own], n[own[0]])]
+            linked = own[1:][close[1:]]
             yield np.full(len(linked), node[own[0]]), node[linked]
             own = own[~close]
 
 
-def _all_pairs(key: np.ndarray, node: np.ndarray, n: np.ndarray, side: np.ndarray, root: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _all_pairs(key: np.ndarray, node: np.ndarray, side: np.ndarray, root: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of different roots of both sides (0 and 1), or of all rows (2), of each key."""
     starts, sizes = _cuts(key)
     for k, size in zip(starts.tolist(), sizes.tolist(), strict=True):
         all_ = slice(k, k + size)
         for at in range(k, k + size, 256):
             own = slice(at, min(at + 256, k + size))
-            ok = (root[own, None] != root[None, all_]) & _sizes_fit(n[own, None], n[None, all_]) & (node[own, None] < node[None, all_])
+            ok = (root[own, None] != root[None, all_]) & (node[own, None] < node[None, all_])
             ok &= (side[own, None] != side[None, all_]) | (side[own, None] == 2)
             x, y = np.nonzero(ok)
             yield node[own][x], node[all_][y]
@@ -277,17 +297,32 @@ def _from_lists(rows: DataFrame, names: list[str], of: Callable) -> DataFrame:
     return rows.repartition("key").sortWithinPartitions("key").select("key", *names).mapInArrow(_grouped(["key", *names], of), "a long, b long").distinct()
 
 
-def _leader_pairs(lists: DataFrame) -> DataFrame:
-    salt = F.when(F.col("token") < 0, F.pmod(F.xxhash64("node"), F.lit(SALTS))).otherwise(F.lit(0))
-    rows = lists.withColumn("key", F.when(F.col("token") < 0, F.xxhash64("token", salt)).otherwise(F.col("token")))
-    return _from_lists(rows, ["node", "n", "fp", "root"], _first_turn)
+def _leader_pairs(nodes: DataFrame) -> DataFrame:
+    """a, b: pairs of nodes; a = b: the token of a long list. Lists of frequent shingles are cut into parts."""
+    salt = F.pmod(F.xxhash64("node"), F.lit(SALTS))
+    rows = _lists(nodes).withColumn("key", F.when(F.col("token") < 0, F.xxhash64("token", salt)).otherwise(F.col("token")))
+    return _from_lists(rows, ["node", "fp", "token"], _first_turn)
 
 
-def _group_pairs(lists: DataFrame) -> DataFrame:
+def _long_lists(nodes: DataFrame, names: DataFrame, tokens: DataFrame) -> DataFrame:
+    """token, node, root of the lists in tokens (and few others, whose pairs are found once more)."""
+    return filtered(_lists(nodes).select("token", "node"), bit_map(tokens.select("token")), column="token").join(names, "node")
+
+
+def _members(lists: DataFrame) -> DataFrame:
+    """token, root, m, node: the groups in a list, with their numbers of members and one of these."""
+    return materialize(lists.groupBy("token", "root").agg(F.count(F.lit(1)).alias("m"), F.min_by("node", F.xxhash64("token", "node")).alias("node")), "members")
+
+
+def _open(members: DataFrame) -> DataFrame:
+    """token, members: the lists that hold several groups."""
+    return materialize(members.groupBy("token").agg(F.sum("m").alias("members"), F.count(F.lit(1)).alias("_r")).where("_r > 1").select("token", "members"), "open")
+
+
+def _group_pairs(members: DataFrame) -> DataFrame:
     """One member for each root in a list, against that of the root with most members."""
-    each = lists.groupBy("token", "root").agg(F.count(F.lit(1)).alias("m"), F.min_by("node", F.xxhash64("token", "node")).alias("node"))
-    largest = each.groupBy("token").agg(F.max(F.struct("m", "root", "node")).alias("_l"))
-    pairs = each.join(largest, "token").where("root != _l.root").select(F.least("node", "_l.node").alias("a"), F.greatest("node", "_l.node").alias("b"))
+    largest = members.groupBy("token").agg(F.max(F.struct("m", "root", "node")).alias("_l"))
+    pairs = members.join(largest, "token").where("root != _l.root").select(F.least("node", "_l.node").alias("a"), F.greatest("node", "_l.node").alias("b"))
     return pairs.distinct()
 
 
@@ -297,17 +332,7 @@ def _rest(lists: DataFrame, tokens: DataFrame) -> DataFrame:
     rows = rows.withColumn("_q", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
     side = F.when(F.col("_p") == F.col("_q"), 2).when(F.col("_p") < F.col("_q"), 0).otherwise(1).cast("long")
     rows = rows.withColumn("side", side).withColumn("key", F.xxhash64("token", F.least("_p", "_q"), F.greatest("_p", "_q")))
-    return _from_lists(rows, ["node", "n", "side", "root"], _all_pairs)
-
-
-def _open(nodes: DataFrame, names: DataFrame, before: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """The lists longer than SHORT_LIST that hold several roots, and their tokens (with the number of members)."""
-    lists = _lists(nodes, names)
-    if before is not None:
-        lists = lists.join(before.select("token"), "token")
-    counts = lists.groupBy("token").agg(F.count(F.lit(1)).alias("members"), F.min("root").alias("_lo"), F.max("root").alias("_hi"))
-    tokens = materialize(counts.where((F.col("members") > SHORT_LIST) & (F.col("_lo") < F.col("_hi"))).select("token", "members"), "open")
-    return lists.join(tokens.select("token"), "token"), tokens
+    return _from_lists(rows, ["node", "side", "root"], _all_pairs)
 
 
 def groups(docs: DataFrame) -> DataFrame:
@@ -315,14 +340,16 @@ def groups(docs: DataFrame) -> DataFrame:
     nodes = _nodes(docs)
     least = nodes.groupBy("digest").agg(F.min("node").alias("root"))
     names = materialize(nodes.select("node", "digest").join(least, "digest").select("node", "root"), "names")
-    names = _merged(names, _verified(nodes, materialize(_fingerprint_pairs(nodes), "pairs")))
-    names = _merged(names, _verified(nodes, materialize(_leader_pairs(_lists(nodes, names)), "pairs")))
-    lists, tokens = _open(nodes, names)
-    if not tokens.isEmpty():
-        names = _merged(names, _verified(nodes, materialize(_group_pairs(lists), "pairs")))
-        lists, tokens = _open(nodes, names, tokens)
-        if not tokens.isEmpty():
-            names = _merged(names, _verified(nodes, materialize(_rest(lists, tokens), "pairs")))
+    names = _merged(names, _verified(nodes, names, _fingerprint_pairs(nodes)))
+    found = materialize(_leader_pairs(nodes), "found")
+    names = _merged(names, _verified(nodes, names, found.where("a != b")))
+    long = found.where("a = b").select(F.col("a").alias("token"))
+    if not long.isEmpty():
+        members = _members(_long_lists(nodes, names, long))
+        names = _merged(names, _verified(nodes, names, _group_pairs(members)))
+        open_ = _open(_members(_long_lists(nodes, names, _open(members))))
+        if not open_.isEmpty():
+            names = _merged(names, _verified(nodes, names, _rest(_long_lists(nodes, names, open_), open_)))
     return nodes.select("node", "doc_id", "digest").join(names, "node")
 
 
@@ -340,9 +367,9 @@ def keep_one(docs: DataFrame) -> DataFrame:
     bits = bit_map(materialize(doubtful, "doubtful"))
     held = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held)
-    sure = _filtered(rows, bits, with_bit=False).select("row.*")
+    sure = filtered(rows, bits, with_bit=False).select("row.*")
     digest = F.unhex(F.sha2(F.coalesce("row.text", F.lit("")).cast("binary"), 256))
-    other = _filtered(rows, bits).withColumn("digest", digest).join(staying, ["doc_id", "digest"])
+    other = filtered(rows, bits).withColumn("digest", digest).join(staying, ["doc_id", "digest"])
     one = Window.partitionBy("doc_id", "digest").orderBy(F.lit(1))
     single = other.withColumn("_at", F.row_number().over(one)).where("_at = 1").select("row.*")
     return sure.unionByName(single)
