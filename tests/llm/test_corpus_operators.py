@@ -149,12 +149,57 @@ def test_op3_against_all_windows(spark, small):
         at = len(texts[r.doc_id][: r.start_char].split())
         assert len(texts[r.doc_id][r.start_char : r.end_char].split()) == r.n_words >= 50 and r.first_doc_id < r.doc_id
         got[r.doc_id].update(range(at, at + r.n_words))
-    periodic = {i for i in want if len({local.set_index("doc_id").text[i].split()[j] for j in want[i]}) < 5}
-    assert not set(got) - set(want) and not set(want) - set(got) - periodic
+    assert got == want
     left = dict(cdc.remove_passages(docs, found).select("doc_id", "text").collect())
     assert all(left[i] == t for i, t in texts.items() if i not in got) and all(len(left[i]) < len(texts[i]) for i in got)
 
 
+def windows_brute(texts):
+    first, want = {}, collections.defaultdict(set)
+    for i, t in enumerate(texts):
+        w = t.split()
+        for j in range(len(w) - 49):
+            if first.setdefault(" ".join(w[j : j + 50]), i) != i:
+                want[i].update(range(j, j + 50))
+    return want
+
+
+def test_op3_pieces_short_words_and_periods(spark):
+    """Passages of 50 to 70 words whose pieces stand in earlier documents, words of 1 to 8 letters, periodic text, edited families."""
+    rng = np.random.default_rng(6)
+    texts = []
+    for length in range(1, 9):
+        word = lambda n: ["".join(rng.choice(list("abcdefghijklmnop"), length)) for _ in range(n)]  # noqa: B023, E731
+        for _ in range(12):
+            p = word(int(rng.integers(50, 70)))
+            for _ in range(4):  # pieces, before the passage itself
+                a = int(rng.integers(0, len(p) - 30))
+                texts.append(word(15) + p[a : a + 30] + word(15))
+            texts.append(word(9) + p[:25] + word(1) + p[26:] + word(12))  # a word changed
+            texts.append(word(int(rng.integers(0, 30))) + p + word(20))
+            texts.append(word(int(rng.integers(0, 30))) + p + word(20))
+    for period in (1, 2, 3, 5, 7):
+        unit = word(period)
+        texts += [unit * (80 // period), word(3) + unit * (130 // period) + word(2)]
+    texts += [texts[5] + texts[6], texts[6] + texts[5]]
+    texts = [" ".join(t) for t in texts]
+    got, want = collections.defaultdict(set), windows_brute(texts)
+    for r in cdc.repeated_passages(docs_of(spark, texts)).collect():
+        at = len(texts[r.doc_id][: r.start_char].split())
+        got[r.doc_id].update(range(at, at + r.n_words))
+        own, held = texts[r.doc_id][r.start_char : r.end_char].split(), " ".join(texts[r.first_doc_id].split())
+        assert len(own) == r.n_words and all(" ".join(own[k : k + 50]) in held for k in range(len(own) - 49))
+    assert got == want
+
+
+def test_op3_keeps_columns_of_any_name(spark):
+    text = " ".join(f"é{k}" for k in range(60))
+    rows = [(1, text, 7, 8, 9), (2, f"a {text} b", 1, 2, 3), (None, text, 4, 5, 6), (2, "other text", 0, 0, 0)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, _k int, key int, c0 int")
+    out = cdc.remove_passages(docs, cdc.repeated_passages(docs))
+    assert out.columns == docs.columns and sorted(map(str, out.collect())) == sorted(str(r) for r in docs.withColumn("text", F.when(F.col("_k") == 1, "a  b").otherwise(F.col("text"))).collect())
+
+
 def test_op3_shift_and_odd_inputs(spark, odd, empty):
     rng = np.random.default_rng(5)
     word = lambda n: " ".join("".join(rng.choice(list("abcdefgh"), 6)) for _ in range(n))

@@ -1,117 +1,164 @@
 """Substring deduplication by content-defined chunking.
 
-A gear rolling hash over the last 16 bytes cuts every text where the content says so, so that an insertion moves
-chunks without changing them. Chunks are deduplicated by digest: grouped minima find, for each digest in two documents
-or more, the document with the smallest doc_id; every other document's chunk is a hit. Hits that stand together are
-anchors, from which an exact comparison with the first document's text extends the match byte by byte to its true
-ends. Matches of ``min_words`` words or more are repeated passages; the first document keeps its copy.
-
-Texts are moved for documents with anchors only: a bit map of fixed size lets most others be skipped before the
-shuffle (at any size it only saves work, it never decides). The hot digest of a common passage is met by partial
-aggregation, then by a join that Spark splits by itself.
-
-Defined results: null and empty texts have no chunks; rows with a null doc_id are left as they are and are never a
-first document; rows that share a doc_id count as one document with several texts; repeats inside one document are
-not cross-document passages and stay; other columns are ignored; an empty table gives no rows.
+1. A gear rolling hash over the last 16 bytes is read at the end of every word; a chunk ends where it is least among the
+   words around (AROUND on both sides), and after MAX_WORDS words at the latest. So where chunks end is decided by the
+   text nearby, and an insertion moves chunks without changing them. Lengths are counted in words, so short words make
+   no difference, and text that repeats itself has the same chunks again and again.
+2. Chunks are deduplicated by digest: Spark groups them and keeps the digests that several documents hold. A document's
+   chunks with such digests make regions; regions of LEAST_WORDS words or more are candidates. (Two documents with 50
+   words in common have the same chunks inside of them, except in the first and last ten or so.)
+3. For candidates only, the runs of ``min_words`` words that reach into a region are compared by 128-bit digests of
+   their words: grouped minima give the smallest doc_id that holds the same run, whichever documents share its pieces.
+   Runs in a row with the same first document are one passage; the first document keeps its copy.
+
+Only texts with candidates are moved, each once; no text is brought to another one. A hot digest (a passage in a third of
+all documents) is met by partial aggregation, then by a join that Spark splits by itself.
+
+Defined results: words are parted by ASCII white space, and two passages are equal if their words are; null and empty
+texts have no chunks; rows with a null doc_id are left as they are and are never a first document; rows that share a
+doc_id count as one document with several texts; repeats inside one document are not cross-document passages and stay;
+other columns are ignored and kept, whatever their names are; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import free_units, materialize, slices, texts_of
+from tidemark.llm.common import free_units, materialize, slices
 
-MIN_CHUNK, MAX_CHUNK, CUT_BITS = 24, 64, 4
 MIN_WORDS = 50
-#: Hits of a document with one first document that are this near belong together; fewer bytes are no anchor.
-NEAR_BYTES, ANCHOR_BYTES = 160, 64
-#: Text around the anchors that is compared.
-MARGIN = 800
+AROUND, MAX_WORDS, LEAST_WORDS = 3, 8, 12
 MAP_BITS = 1 << 25
-SPACES = b" \t\n\r\x0b\x0c"
 
-#: The gear table: 256 random 16-bit numbers from a fixed seed.
+#: The gear table: 256 random 16-bit numbers from a fixed seed; none for the padding between texts.
 GEAR = np.random.default_rng(20240607).integers(0, 1 << 16, 256, dtype=np.uint16)
-
-
-def chunk_ends(raw: bytes) -> list[int]:
-    """Where chunks end: the rolling hash has its top bits zero, MIN_CHUNK at least and MAX_CHUNK at most."""
-    if not raw:
-        return []
-    h = GEAR[np.frombuffer(raw, np.uint8)]
+GEAR[0] = 0
+#: Factors of the polynomials over words (odd, so that they have inverses modulo 2**64).
+_FACTORS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
+_INVERSES = tuple(np.uint64(pow(int(f), -1, 1 << 64)) for f in _FACTORS)
+
+
+@dataclass(frozen=True)
+class Words:
+    """The words of several texts in a row."""
+
+    hashes: np.ndarray
+    bounds: np.ndarray  # first word of each text; one more for the end
+    start: np.ndarray  # first byte of each word in its text
+    size: np.ndarray  # bytes of each word
+    gear: np.ndarray  # the rolling hash at each word's end
+
+
+def words_of(column: pa.Array) -> Words:
+    import xxhash
+
+    column = pc.fill_null(column.cast(pa.large_string()), "")
+    for c in "\t\n\r\x0b\x0c":
+        column = pc.replace_substring(column, c, " ")
+    parts = pc.split_pattern(column, " ")
+    coded, offsets = parts.values.dictionary_encode(), parts.offsets.to_numpy()
+    digest = xxhash.xxh3_64_intdigest
+    words = [w.encode("utf-8", "surrogatepass") for w in coded.dictionary.to_numpy(zero_copy_only=False).tolist()]
+    hashes = np.fromiter(map(digest, words), np.uint64, len(words))[coded.indices.to_numpy()]
+    size = pc.binary_length(parts.values).to_numpy()
+    after = np.cumsum(size + 1)
+    base = np.repeat(np.concatenate(([0], after))[offsets[:-1]], np.diff(offsets))
+    start = after - size - 1 - base
+    held = size > 0
+    padded = pc.binary_join_element_wise(column, pa.scalar("\0" * 16, pa.large_string()), pa.scalar("", pa.large_string()))
+    ends = np.repeat(np.frombuffer(padded.buffers()[1], np.int64, len(padded) + 1, padded.offset * 8)[:-1], np.diff(offsets)) + start + size - 1
+    h = GEAR[np.frombuffer(padded.buffers()[2], np.uint8)]
     for s in (1, 2, 4, 8):  # sums of 2, 4, 8, 16 shifted entries
         rolled = h.copy()
         rolled[s:] += h[:-s] << np.uint16(s)
         h = rolled
-    marks = np.flatnonzero(h >> np.uint16(16 - CUT_BITS) == 0) + 1
-    ends, last = [], 0
-    for x in marks.tolist():
-        while x - last > MAX_CHUNK:
-            last += MAX_CHUNK
-            ends.append(last)
-        if x - last >= MIN_CHUNK:
-            ends.append(x)
-            last = x
-    while len(raw) - last > MAX_CHUNK:
-        last += MAX_CHUNK
-        ends.append(last)
-    if last < len(raw):
-        ends.append(len(raw))
-    return ends
+    return Words(hashes[held], np.concatenate(([0], np.cumsum(held)))[offsets], start[held], size[held], h[ends[held]])
+
+
+def chunk_ends(words: Words) -> np.ndarray:
+    """Where chunks end (numbers of the words behind them), all texts in a row."""
+    n = len(words.gear)
+    if not n:
+        return np.zeros(0, np.int64)
+    text = np.repeat(np.arange(len(words.bounds) - 1), np.diff(words.bounds))
+    least = np.ones(n, bool)
+    for k in range(1, AROUND + 1):
+        beside = text[k:] == text[:-k]
+        least[k:] &= ~beside | (words.gear[k:] <= words.gear[:-k])
+        least[:-k] &= ~beside | (words.gear[:-k] <= words.gear[k:])
+    ends = np.unique(np.concatenate((np.flatnonzero(least) + 1, words.bounds[1:][np.diff(words.bounds) > 0])))
+    gaps = np.diff(ends, prepend=0)
+    more = (gaps - 1) // MAX_WORDS  # cuts inside of long gaps
+    inside = np.repeat(ends - gaps, more) + (np.arange(int(more.sum())) - np.repeat(np.cumsum(more) - more, more) + 1) * MAX_WORDS
+    return np.sort(np.concatenate((ends, inside)))
+
+
+def run_hashes(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray, lane: int = 0) -> np.ndarray:
+    """A hash of the words from each start to each end: differences of running sums, moved to the same place."""
+    powers, back = (np.full(len(hashes) + 1, f, np.uint64) for f in (_FACTORS[lane], _INVERSES[lane]))
+    powers[0] = back[0] = 1
+    powers, back = np.multiply.accumulate(powers), np.multiply.accumulate(back)
+    sums = np.zeros(len(hashes) + 1, np.uint64)
+    np.cumsum(hashes * powers[:-1], out=sums[1:])
+    out = (sums[ends] - sums[starts]) * back[starts] + (ends - starts).astype(np.uint64)
+    out ^= out >> np.uint64(32)
+    out *= np.uint64(0xFF51AFD7ED558CCD)
+    return out ^ out >> np.uint64(29)
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), "text").where("doc_id is not null and text is not null")
 
 
 def chunks(docs: DataFrame) -> DataFrame:
-    """digest, doc_id, pos (start * 256 + length) of every chunk of MIN_CHUNK bytes or more, once per document."""
+    """digest, doc_id, key (hash of the text), pos (first word * 256 + words) of every chunk."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         free_units()
-        import xxhash
-
-        digest = xxhash.xxh3_64_digest
         for batch in batches:
             for part in slices(batch):
-                found, pos, n = [], [], []
-                for text in texts_of(part):
-                    raw = text.encode("utf-8", "surrogatepass")
-                    ends = chunk_ends(raw)
-                    spans = [(a, b) for a, b in zip([0, *ends], ends) if b - a >= MIN_CHUNK]  # noqa: B905
-                    found += [digest(raw[a:b]) for a, b in spans]
-                    pos += [a << 8 | b - a for a, b in spans]
-                    n.append(len(spans))
-                ids = part.column("doc_id").take(pa.array(np.repeat(np.arange(len(n)), n)))
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(found), "<i8")), ids, pa.array(pos, pa.int64())], ["digest", "doc_id", "pos"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null").mapInArrow(run, "digest long, doc_id long, pos long")
-
-
-def anchors(docs: DataFrame) -> DataFrame:
-    """doc_id, first_id, spots: the chunks of a document that its first documents hold too, where enough stand together."""
+                words = words_of(part.column("text"))
+                ends = chunk_ends(words)
+                starts = np.concatenate(([0], ends[:-1])) if len(ends) else ends
+                text = np.searchsorted(words.bounds, starts, "right") - 1
+                row = pa.array(text)
+                found = run_hashes(words.hashes, starts, ends).view(np.int64)
+                pos = (starts - words.bounds[text]) << 8 | ends - starts
+                yield pa.RecordBatch.from_arrays([pa.array(found), part.column("doc_id").take(row), part.column("key").take(row), pa.array(pos)], ["digest", "doc_id", "key", "pos"])
+
+    return _keyed(docs).mapInArrow(run, "digest long, doc_id long, key long, pos long")
+
+
+def regions(docs: DataFrame) -> DataFrame:
+    """doc_id, key, spans: first word and word behind of the regions of chunks that other documents hold too."""
     cut = materialize(chunks(docs), "chunks")
-    firsts = cut.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id")).where("first_id < last_id").select("digest", "first_id")
-    hits = cut.join(firsts, "digest").where("doc_id != first_id").select("doc_id", "first_id", "pos")
-    grouped = hits.groupBy("doc_id", "first_id").agg(F.collect_list("pos").alias("spots"))  # at most a document's chunks
+    shared = cut.groupBy("digest").agg(F.min("doc_id").alias("_lo"), F.max("doc_id").alias("_hi")).where("_lo < _hi").select("digest")
+    grouped = cut.join(shared, "digest").groupBy("doc_id", "key").agg(F.collect_set("pos").alias("pos"))  # at most a document's chunks
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         free_units()
         for batch in batches:
-            keep, spots = [], []
-            for k, own in enumerate(batch.column("spots").to_pylist()):
-                own = np.unique(np.asarray(own, np.int64))
-                start, length = own >> 8, own & 255
-                groups = np.split(np.arange(len(own)), np.flatnonzero(start[1:] - (start + length)[:-1] > NEAR_BYTES) + 1)
-                kept = [own[g] for g in groups if length[g].sum() >= ANCHOR_BYTES]
-                if kept:
+            keep, spans = [], []
+            for k, own in enumerate(batch.column("pos")):
+                own = np.sort(own.values.to_numpy())
+                start, end = own >> 8, (own >> 8) + (own & 255)
+                first = np.flatnonzero(np.concatenate(([True], start[1:] != end[:-1])))
+                a, b = start[first], np.concatenate((end[first[1:] - 1], end[-1:]))
+                long = b - a >= LEAST_WORDS
+                if long.any():
                     keep.append(k)
-                    spots.append(np.concatenate(kept))
+                    spans.append(np.stack((a[long], b[long]), 1).ravel())
             take = pa.array(keep, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(take), batch.column("first_id").take(take), pa.array(spots, pa.list_(pa.int64()))], ["doc_id", "first_id", "spots"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(take), batch.column("key").take(take), pa.array(spans, pa.list_(pa.int64()))], ["doc_id", "key", "spans"])
 
-    return materialize(grouped.mapInArrow(run, "doc_id long, first_id long, spots array<long>"), "anchors")
+    return materialize(grouped.mapInArrow(run, "doc_id long, key long, spans array<long>"), "regions")
 
 
 def _mixed(ids: np.ndarray) -> np.ndarray:
@@ -151,139 +198,90 @@ def has_bit(bits: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
 
 
-def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """doc_id, text of the documents whose bit is set: those in ids, and few others."""
-    bits = bit_map(ids)
+def filtered(rows: DataFrame, bits: np.ndarray, with_bit: bool = True, column: str = "doc_id") -> DataFrame:
+    """The rows whose id has (or lacks) its bit; a null has none. It saves moving the other rows and never decides."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         free_units()
         for batch in batches:
-            yield batch.filter(pa.array(has_bit(bits, batch.column("doc_id").to_numpy())))
+            ids = batch.column(column)
+            there = has_bit(bits, ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)) & ids.is_valid().to_numpy(zero_copy_only=False)
+            yield batch.filter(pa.array(there == with_bit))
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null").mapInArrow(run, "doc_id long, text string")
+    return rows.mapInArrow(run, rows.schema)
 
 
-def _cut_around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A document's text around each group of anchors: (first_id, doc_id, key, base, base_char, spots, part)."""
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary())
-    names = ["first_id", "doc_id", "key", "base", "base_char", "spots", "part"]
-    for batch in batches:
-        for piece in slices(batch):
-            rows = []
-            for doc, text, key, first, spots in zip(*(piece.column(c).to_pylist() for c in ("doc_id", "text", "key", "first_id", "spots")), strict=True):
-                raw = text.encode("utf-8", "surrogatepass")
-                own = np.asarray(spots, np.int64)
-                start, end = own >> 8, (own >> 8) + (own & 255)
-                for g in np.split(np.arange(len(own)), np.flatnonzero(start[1:] - end[:-1] > NEAR_BYTES) + 1):
-                    if end[g[-1]] > len(raw):
-                        continue  # another text with this doc_id
-                    a, b = max(0, int(start[g[0]]) - MARGIN), min(len(raw), int(end[g[-1]]) + MARGIN)
-                    while a and raw[a] & 0xC0 == 0x80:
-                        a -= 1
-                    rows.append((first, doc, key, a, len(raw[:a].decode("utf-8", "surrogatepass")), own[g] - (a << 8), raw[a:b] if b < len(raw) else raw[a:] + b"\0"))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
-
-
-def common_run(a: bytes, i: int, b: bytes, j: int, step: int) -> int:
-    """How many bytes agree from a[i] and b[j] on, forwards (step 1) or backwards from before them (step -1)."""
-    most = min(len(a) - i, len(b) - j) if step > 0 else min(i, j)
-    done, size = 0, 64
-    while done < most:
-        size = min(size, most - done)
-        x = a[i + done : i + done + size] if step > 0 else a[i - done - size : i - done]
-        y = b[j + done : j + done + size] if step > 0 else b[j - done - size : j - done]
-        if x != y:
-            apart = np.flatnonzero(np.frombuffer(x, np.uint8) != np.frombuffer(y, np.uint8))
-            return done + int(apart[0] if step > 0 else size - 1 - apart[-1])
-        done += size
-        size *= 2
-    return done
-
-
-def whole_words(raw: bytes, a: int, b: int) -> tuple[int, int]:
-    """The part of [a, b) that holds whole words only, without white space at its ends."""
-    while a < b and a and raw[a - 1] not in SPACES and raw[a] not in SPACES:
-        a += 1
-    while b > a and b < len(raw) and raw[b] not in SPACES and raw[b - 1] not in SPACES:
-        b -= 1
-    while a < b and raw[a] in SPACES:
-        a += 1
-    while b > a and raw[b - 1] in SPACES:
-        b -= 1
-    return a, b
-
-
-def _verify(min_words: int):
+def runs(docs: DataFrame, found: DataFrame, min_words: int) -> DataFrame:
+    """h1, h2, doc_id, key, at, start_char, end_char of the runs of min_words words that reach into a region."""
+    least = min(LEAST_WORDS, min_words)
+    names = ["h1", "h2", "doc_id", "key", "at", "start_char", "end_char"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         free_units()
         for batch in batches:
-            rows = []
-            for k in range(batch.num_rows):
-                part, spots = batch.column("part")[k].as_py(), batch.column("spots")[k].as_py()
-                at_end = part[-1:] == b"\0"
-                part = part[:-1] if at_end else part
-                # a \0 that no text shares stands for the text behind the part
-                own, base, base_char = (part if at_end else part + b"\0"), batch.column("base")[k].as_py(), batch.column("base_char")[k].as_py()
-                first = batch.column("text")[k].as_py().encode("utf-8", "surrogatepass")
-                done = 0
-                for spot in spots:
-                    start, length = spot >> 8, spot & 255
-                    if start + length <= done:
-                        continue
-                    at, best = first.find(part[start : start + length]), (0, 0, 0)
-                    while at >= 0:
-                        a = start - common_run(part, start, first, at, -1)
-                        b = start + common_run(part, start, first, at, 1)
-                        a, b = whole_words(own, a, b) if a or not base else whole_words(own, a + 1, b)
-                        if (n := len(part[a:b].split())) > best[0]:
-                            best = (n, a, b)
-                        if n >= min_words:
-                            break
-                        at = first.find(part[start : start + length], at + 1)
-                    n, a, b = best
-                    if n >= min_words:
-                        done = b
-                        char = base_char + len(part[:a].decode("utf-8", "replace"))
-                        rows.append((batch.column("doc_id")[k].as_py(), batch.column("key")[k].as_py(), char, char + len(part[a:b].decode("utf-8", "replace")), n, batch.column("first_id")[k].as_py()))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["doc_id", "key", "start_char", "end_char", "n_words", "first_doc_id"])
-
-    return run
+            for part in slices(batch):
+                words = words_of(part.column("text"))
+                first = words.bounds[:-1]
+                step = np.zeros(len(words.hashes) + 1, np.int64)
+                for k, own in enumerate(part.column("spans")):
+                    spans, last = own.values.to_numpy().reshape(-1, 2), words.bounds[k + 1] - first[k] - min_words
+                    a, b = np.maximum(spans[:, 0] - min_words + least, 0), np.minimum(spans[:, 1] - least, last) + 1
+                    ok = a < b
+                    np.add.at(step, first[k] + a[ok], 1)
+                    np.add.at(step, first[k] + b[ok], -1)
+                starts = np.flatnonzero(np.cumsum(step)[:-1] > 0)
+                text = np.searchsorted(words.bounds, starts, "right") - 1
+                begin, end = words.start[starts], words.start[starts + min_words - 1] + words.size[starts + min_words - 1]
+                for k, (a, b) in enumerate(zip(np.searchsorted(text, np.arange(len(first))), np.searchsorted(text, np.arange(len(first)), "right"), strict=True)):
+                    if a < b and len(raw := part.column("text")[k].as_py().encode("utf-8", "surrogatepass")) and not raw.isascii():
+                        chars = np.concatenate(([0], np.cumsum(np.frombuffer(raw, np.uint8) & 0xC0 != 0x80)))
+                        begin[a:b], end[a:b] = chars[begin[a:b]], chars[end[a:b]]
+                lanes = [run_hashes(words.hashes, starts, starts + min_words, lane).view(np.int64) for lane in (0, 1)]
+                row = pa.array(text)
+                columns = [pa.array(lanes[0]), pa.array(lanes[1]), part.column("doc_id").take(row), part.column("key").take(row), pa.array(starts - first[text]), pa.array(begin), pa.array(end)]
+                yield pa.RecordBatch.from_arrays([c.cast(pa.int64()) for c in columns], names)
+
+    own = filtered(_keyed(docs), bit_map(found.select("doc_id"))).join(found, ["doc_id", "key"]).select("doc_id", "key", "text", "spans")
+    return own.mapInArrow(run, ", ".join(f"{c} long" for c in names))
 
 
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, key (hash of its text), start_char, end_char, n_words, first_doc_id of every repeated passage."""
-    found = anchors(docs)
-    own = _only(docs, found.select("doc_id")).withColumn("key", F.xxhash64("text"))
-    around = own.join(found, "doc_id").select("doc_id", "text", "key", "first_id", "spots").mapInArrow(_cut_around, "first_id long, doc_id long, key long, base long, base_char long, spots array<long>, part binary")
-    first = _only(docs, found.select("first_id")).withColumnRenamed("doc_id", "first_id")
-    both = around.join(first, "first_id").select("first_id", "doc_id", "key", "base", "base_char", "spots", "part", "text")
-    return both.mapInArrow(_verify(min_words), "doc_id long, key long, start_char long, end_char long, n_words long, first_doc_id long").distinct()
+    held = materialize(runs(docs, regions(docs), min_words), "runs")
+    firsts = held.groupBy("h1", "h2").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("_hi")).where("first_doc_id < _hi").drop("_hi")
+    hits = held.join(firsts, ["h1", "h2"]).where("doc_id != first_doc_id")
+    place = F.dense_rank().over(Window.partitionBy("doc_id", "key", "first_doc_id").orderBy("at"))  # at most a document's words
+    passages = hits.withColumn("_run", F.col("at") - place).groupBy("doc_id", "key", "first_doc_id", "_run").agg(
+        F.min("start_char").alias("start_char"), F.max("end_char").alias("end_char"), (F.max("at") - F.min("at") + min_words).cast("long").alias("n_words")
+    )
+    return passages.select("doc_id", "key", "start_char", "end_char", "n_words", "first_doc_id")
 
 
 def remove_passages(docs: DataFrame, passages: DataFrame) -> DataFrame:
-    """docs with the passages taken out of their texts (all columns kept; a text may become empty)."""
-    spans = passages.groupBy(F.col("doc_id").alias("_d"), F.col("key").alias("_k")).agg(F.collect_list(F.struct("start_char", "end_char")).alias("_spans"))
-    joined = docs.join(spans, (docs["doc_id"] == spans["_d"]) & (F.xxhash64(docs["text"]) == spans["_k"]), "left").drop("_d", "_k")
-    names = docs.columns
-    place = names.index("text")
+    """docs with the passages taken out of their texts (all columns kept; a text may become empty).
+
+    Rows whose doc_id is not in a bit map of the passages' are passed on in one pass, the others are joined."""
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    text, doc_id = (names[docs.columns.index(c)] for c in ("text", "doc_id"))
+    spans = materialize(passages.groupBy("doc_id", "key").agg(F.collect_list(F.struct("start_char", "end_char")).alias("spans")), "spans")
+    rows = docs.toDF(*names)
+    bits, schema = bit_map(spans.select("doc_id")), rows.schema
+    same = filtered(rows.withColumn("doc_id", F.col(doc_id).cast("long")), bits, with_bit=False).drop("doc_id")
+    other = filtered(rows.withColumn("doc_id", F.col(doc_id).cast("long")), bits).withColumn("key", F.xxhash64(text)).join(spans, ["doc_id", "key"], "left").select(*names, "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         free_units()
         for batch in batches:
-            spans_of = batch.column("_spans").to_pylist()
             columns = [batch.column(c) for c in names]
-            if any(spans_of):
-                texts = columns[place].to_pylist()
-                for k, own in enumerate(spans_of):
-                    if own:
-                        kept, last = [], 0
-                        for a, b in sorted((s["start_char"], s["end_char"]) for s in own):
-                            kept.append(texts[k][last : max(a, last)])
-                            last = max(last, b)
-                        texts[k] = "".join([*kept, texts[k][last:]])
-                columns[place] = pa.array(texts, columns[place].type)
+            texts = columns[names.index(text)].to_pylist()
+            for k, own in enumerate(batch.column("spans").to_pylist()):
+                if own:
+                    kept, last = [], 0
+                    for a, b in sorted((s["start_char"], s["end_char"]) for s in own):
+                        kept.append(texts[k][last : max(a, last)])
+                        last = max(last, b)
+                    texts[k] = "".join([*kept, texts[k][last:]])
+            columns[names.index(text)] = pa.array(texts, columns[names.index(text)].type)
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return joined.mapInArrow(run, docs.schema)
+    return same.unionByName(other.mapInArrow(run, schema)).toDF(*docs.columns)
