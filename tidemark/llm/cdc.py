@@ -4,13 +4,14 @@
    words around (AROUND on both sides), and after MAX_WORDS words at the latest. So where chunks end is decided by the
    text nearby, and an insertion moves chunks without changing them. Lengths are counted in words, so short words make
    no difference, and text that repeats itself has the same chunks again and again.
-2. Chunks are deduplicated by digest: Spark groups them and keeps the digests that several documents hold. A document's
-   chunks with such digests make regions; regions of LEAST_WORDS words or more are candidates. (Two documents with 50
-   words in common have the same chunks inside of them, except in the first and last ten or so.)
-3. For candidates only, the runs of ``min_words`` words that reach into a region are compared by 128-bit digests of
-   their words: grouped minima give the smallest doc_id that holds the same run, whichever documents share its pieces.
-   Runs in a row with the same first document are one passage; the first document keeps its copy.
-
+2. Chunks are deduplicated by digest: Spark groups them and keeps the digests that several documents hold. Documents
+   with LEAST_WORDS words in a row in such chunks are candidates.
+3. In candidates, a run of ``min_words`` words can be repeated only if all chunks that lie inside of it, and whose ends
+   are decided by words inside of it, are held by several documents. Those runs are compared by 128-bit digests of their
+   words: grouped minima give the smallest doc_id that holds the same run, whichever documents share its pieces. Runs in
+   a row with the same first document are one passage; the first document keeps its copy.
+
+A copy of a whole earlier text is found by a digest of the text, and neither it nor its chunks count in these steps.
 Only texts with candidates are moved, each once; no text is brought to another one. A hot digest (a passage in a third of
 all documents) is met by partial aggregation, then by a join that Spark splits by itself.
 
@@ -22,6 +23,7 @@ other columns are ignored and kept, whatever their names are; an empty table giv
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,10 +33,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import free_units, materialize, slices
+from tidemark.llm.common import apart, discard, free_units, materialize, slices
 
 MIN_WORDS = 50
+SPACES = " \t\n\r\x0b\x0c"
 AROUND, MAX_WORDS, LEAST_WORDS = 3, 8, 12
+#: Words before a place that its rolling hash may reach into: at most 16 bytes, of one letter and a blank each at least.
+REACH = 8
 MAP_BITS = 1 << 25
 
 #: The gear table: 256 random 16-bit numbers from a fixed seed; none for the padding between texts.
@@ -82,22 +87,24 @@ def words_of(column: pa.Array) -> Words:
     return Words(hashes[held], np.concatenate(([0], np.cumsum(held)))[offsets], start[held], size[held], h[ends[held]])
 
 
-def chunk_ends(words: Words) -> np.ndarray:
-    """Where chunks end (numbers of the words behind them), all texts in a row."""
+def chunk_ends(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Where chunks end (numbers of the words behind them), all texts in a row, and which of the ends the text nearby
+    decides (not the length of the chunk)."""
     n = len(words.gear)
     if not n:
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, bool)
     text = np.repeat(np.arange(len(words.bounds) - 1), np.diff(words.bounds))
     least = np.ones(n, bool)
     for k in range(1, AROUND + 1):
         beside = text[k:] == text[:-k]
-        least[k:] &= ~beside | (words.gear[k:] <= words.gear[:-k])
+        least[k:] &= ~beside | (words.gear[k:] < words.gear[:-k])
         least[:-k] &= ~beside | (words.gear[:-k] <= words.gear[k:])
     ends = np.unique(np.concatenate((np.flatnonzero(least) + 1, words.bounds[1:][np.diff(words.bounds) > 0])))
     gaps = np.diff(ends, prepend=0)
     more = (gaps - 1) // MAX_WORDS  # cuts inside of long gaps
     inside = np.repeat(ends - gaps, more) + (np.arange(int(more.sum())) - np.repeat(np.cumsum(more) - more, more) + 1) * MAX_WORDS
-    return np.sort(np.concatenate((ends, inside)))
+    order = np.argsort(both := np.concatenate((ends, inside)), kind="stable")
+    return both[order], (np.arange(len(both)) < len(ends))[order]
 
 
 def run_hashes(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray, lane: int = 0) -> np.ndarray:
@@ -114,51 +121,63 @@ def run_hashes(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray, lane: i
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), "text").where("doc_id is not null and text is not null")
+    """doc_id, key (hash of the text), check (another one and the length), text; without nulls."""
+    check = F.concat_ws(" ", F.crc32(F.col("text").cast("binary")), F.octet_length("text"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), check.alias("check"), "text").where("doc_id is not null and text is not null")
+
+
+def whole_copies(docs: DataFrame) -> DataFrame:
+    """doc_id, key, first_doc_id of the rows whose whole text stands in an earlier document."""
+    rows = _keyed(docs).select("doc_id", "key", "check")
+    first = rows.groupBy("key", "check").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("_hi")).where("first_doc_id < _hi").drop("_hi")
+    return materialize(rows.join(first, ["key", "check"]).where("doc_id != first_doc_id").select("doc_id", "key", "first_doc_id").distinct(), "copies")
+
+
+def _without(rows: DataFrame, copies: DataFrame, bits: np.ndarray) -> DataFrame:
+    """The rows that are no copies: those without a bit pass, the others are joined exactly."""
+    other = filtered(rows, bits).join(apart(copies.select("doc_id", "key")), ["doc_id", "key"], "left_anti")
+    return filtered(rows, bits, with_bit=False).unionByName(other)
 
 
-def chunks(docs: DataFrame) -> DataFrame:
-    """digest, doc_id, key (hash of the text), pos (first word * 256 + words) of every chunk."""
+def chunks(rows: DataFrame) -> DataFrame:
+    """digest, doc_id, pos (first word * 256 + words) of every chunk."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         free_units()
         for batch in batches:
             for part in slices(batch):
                 words = words_of(part.column("text"))
-                ends = chunk_ends(words)
+                ends, _ = chunk_ends(words)
                 starts = np.concatenate(([0], ends[:-1])) if len(ends) else ends
                 text = np.searchsorted(words.bounds, starts, "right") - 1
                 row = pa.array(text)
                 found = run_hashes(words.hashes, starts, ends).view(np.int64)
                 pos = (starts - words.bounds[text]) << 8 | ends - starts
-                yield pa.RecordBatch.from_arrays([pa.array(found), part.column("doc_id").take(row), part.column("key").take(row), pa.array(pos)], ["digest", "doc_id", "key", "pos"])
+                yield pa.RecordBatch.from_arrays([pa.array(found), part.column("doc_id").take(row), pa.array(pos)], ["digest", "doc_id", "pos"])
 
-    return _keyed(docs).mapInArrow(run, "digest long, doc_id long, key long, pos long")
+    return rows.select("doc_id", "text").mapInArrow(run, "digest long, doc_id long, pos long")
 
 
-def regions(docs: DataFrame) -> DataFrame:
-    """doc_id, key, spans: first word and word behind of the regions of chunks that other documents hold too."""
-    cut = materialize(chunks(docs), "chunks")
+def candidates(rows: DataFrame) -> DataFrame:
+    """doc_id, pos: the chunks that other documents hold too, of documents with LEAST_WORDS words of them in a row."""
+    cut = materialize(chunks(rows), "chunks")
     shared = cut.groupBy("digest").agg(F.min("doc_id").alias("_lo"), F.max("doc_id").alias("_hi")).where("_lo < _hi").select("digest")
-    grouped = cut.join(shared, "digest").groupBy("doc_id", "key").agg(F.collect_set("pos").alias("pos"))  # at most a document's chunks
+    grouped = cut.join(shared, "digest").groupBy("doc_id").agg(F.collect_set("pos").alias("pos"))  # at most a document's chunks
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         free_units()
         for batch in batches:
-            keep, spans = [], []
-            for k, own in enumerate(batch.column("pos")):
+            keep = []
+            for own in batch.column("pos"):
                 own = np.sort(own.values.to_numpy())
                 start, end = own >> 8, (own >> 8) + (own & 255)
-                first = np.flatnonzero(np.concatenate(([True], start[1:] != end[:-1])))
-                a, b = start[first], np.concatenate((end[first[1:] - 1], end[-1:]))
-                long = b - a >= LEAST_WORDS
-                if long.any():
-                    keep.append(k)
-                    spans.append(np.stack((a[long], b[long]), 1).ravel())
-            take = pa.array(keep, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(take), batch.column("key").take(take), pa.array(spans, pa.list_(pa.int64()))], ["doc_id", "key", "spans"])
+                first = np.flatnonzero(np.concatenate(([True], start[1:] > end[:-1])))
+                keep.append(bool((np.concatenate((end[first[1:] - 1], end[-1:])) - start[first] >= LEAST_WORDS).any()))
+            yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return materialize(grouped.mapInArrow(run, "doc_id long, key long, spans array<long>"), "regions")
+    found = materialize(grouped.mapInArrow(run, "doc_id long, pos array<long>"), "candidates")
+    discard(cut)
+    return found
 
 
 def _mixed(ids: np.ndarray) -> np.ndarray:
@@ -167,29 +186,29 @@ def _mixed(ids: np.ndarray) -> np.ndarray:
 
 
 def bit_map(ids: DataFrame) -> np.ndarray:
-    """Bits of the ids (one long column) in a map of MAP_BITS bits, gathered in blocks: its size does not depend on the data."""
-    block = 1 << 16
+    """Bits of the ids (one long column) in a map of MAP_BITS bits: its size does not depend on the data."""
+    block = 1 << 19  # bits
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         free_units()
-        own = np.zeros(MAP_BITS // 8, np.uint8)
         for batch in batches:
-            at = _mixed(batch.column(0).to_numpy())
-            np.bitwise_or.at(own, at >> 3, (1 << (at & 7)).astype(np.uint8))
-        rows = [(k, own[k : k + block].tobytes()) for k in range(0, len(own), block) if own[k : k + block].any()]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["k", "bits"])
+            at = np.unique(_mixed(batch.column(0).to_numpy()))
+            yield pa.RecordBatch.from_arrays([pa.array(at // block), pa.array(at)], ["block", "place"])
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, np.ndarray] = {}
+    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_units()
+        own: dict[int, np.ndarray] = {}
         for batch in batches:
-            for k, bits in zip(batch.column("k").to_pylist(), batch.column("bits").to_pylist(), strict=True):
-                held[k] = held.get(k, 0) | np.frombuffer(bits, np.uint8)
-        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array([v.tobytes() for v in held.values()], pa.binary())], ["k", "bits"])
+            at = batch.column("place").to_numpy()
+            for k in np.unique(at // block).tolist():
+                bits = own.setdefault(k, np.zeros(block // 8, np.uint8))
+                np.bitwise_or.at(bits, at[at // block == k] % block >> 3, (1 << (at[at // block == k] & 7)).astype(np.uint8))
+        yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.int64()), pa.array([zlib.compress(v.tobytes(), 1) for v in own.values()], pa.binary())], ["block", "bits"])
 
     out = np.zeros(MAP_BITS // 8, np.uint8)
-    few = ids.distinct().mapInArrow(run, "k long, bits binary").repartition(8, "k").mapInArrow(add, "k long, bits binary")
-    for r in few.collect():  # MAP_BITS bits
-        out[r["k"] : r["k"] + block] = np.frombuffer(r["bits"], np.uint8)
+    rows = ids.mapInArrow(places, "block long, place long").distinct().repartition(8, "block").mapInArrow(gathered, "block long, bits binary")
+    for r in rows.collect():  # MAP_BITS bits at most
+        out[r["block"] * (block // 8) : (r["block"] + 1) * (block // 8)] = np.frombuffer(zlib.decompress(r["bits"]), np.uint8)
     return out
 
 
@@ -198,23 +217,50 @@ def has_bit(bits: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
 
 
-def filtered(rows: DataFrame, bits: np.ndarray, with_bit: bool = True, column: str = "doc_id") -> DataFrame:
+def of_ids(batch: pa.RecordBatch, bits: np.ndarray, with_bit: bool = True, column: str = "doc_id") -> pa.RecordBatch:
     """The rows whose id has (or lacks) its bit; a null has none. It saves moving the other rows and never decides."""
+    ids = batch.column(column)
+    there = has_bit(bits, ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)) & ids.is_valid().to_numpy(zero_copy_only=False)
+    return batch.filter(pa.array(there == with_bit))
 
+
+def filtered(rows: DataFrame, bits: np.ndarray, with_bit: bool = True, column: str = "doc_id") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         free_units()
         for batch in batches:
-            ids = batch.column(column)
-            there = has_bit(bits, ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)) & ids.is_valid().to_numpy(zero_copy_only=False)
-            yield batch.filter(pa.array(there == with_bit))
+            yield of_ids(batch, bits, with_bit, column)
 
     return rows.mapInArrow(run, rows.schema)
 
 
-def runs(docs: DataFrame, found: DataFrame, min_words: int) -> DataFrame:
-    """h1, h2, doc_id, key, at, start_char, end_char of the runs of min_words words that reach into a region."""
-    least = min(LEAST_WORDS, min_words)
-    names = ["h1", "h2", "doc_id", "key", "at", "start_char", "end_char"]
+def possible_starts(words: Words, shared: list[np.ndarray], min_words: int) -> np.ndarray:
+    """The first words of the runs in which no chunk speaks against a repetition; shared: each text's chunks in others.
+
+    A chunk [a, b) that others do not hold speaks against the runs [s, s + min_words) that hold it with AROUND words
+    behind, and before it a decided end with the words that decided it."""
+    ends, decided = chunk_ends(words)
+    starts = np.concatenate(([0], ends[:-1])) if len(ends) else ends
+    text = np.searchsorted(words.bounds, starts, "right") - 1
+    pos = (starts - words.bounds[text]) << 8 | ends - starts
+    known = np.zeros(len(ends), bool)
+    for k, (a, b) in enumerate(zip(np.searchsorted(text, np.arange(len(shared))), np.searchsorted(text, np.arange(len(shared)), "right"), strict=True)):
+        known[a:b] = np.isin(pos[a:b], shared[k])
+    begins = np.concatenate(([True], decided[:-1])) if len(decided) else decided
+    at = np.maximum.accumulate(np.where(begins, starts, 0)) if len(starts) else starts  # the decided end before each chunk
+    low, high = words.bounds[text], words.bounds[text + 1] - min_words
+    first, last = np.maximum(ends + AROUND - min_words, low), np.minimum(at - AROUND - 1 - REACH, high)
+    against = ~known & (first <= last)
+    step = np.zeros(len(words.hashes) + 1, np.int64)
+    np.add.at(step, first[against], 1)
+    np.add.at(step, last[against] + 1, -1)
+    ok = np.cumsum(step)[:-1] == 0
+    whole = np.repeat(words.bounds[1:] - min_words, np.diff(words.bounds))
+    return np.flatnonzero(ok & (np.arange(len(ok)) <= whole))
+
+
+def runs(rows: DataFrame, found: DataFrame, min_words: int) -> DataFrame:
+    """h1, h2, doc_id, key (hash of the text), at (first word), chars (first << 32 | behind) of the runs to compare."""
+    names = ["h1", "h2", "doc_id", "key", "at", "chars"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         free_units()
@@ -222,39 +268,59 @@ def runs(docs: DataFrame, found: DataFrame, min_words: int) -> DataFrame:
             for part in slices(batch):
                 words = words_of(part.column("text"))
                 first = words.bounds[:-1]
-                step = np.zeros(len(words.hashes) + 1, np.int64)
-                for k, own in enumerate(part.column("spans")):
-                    spans, last = own.values.to_numpy().reshape(-1, 2), words.bounds[k + 1] - first[k] - min_words
-                    a, b = np.maximum(spans[:, 0] - min_words + least, 0), np.minimum(spans[:, 1] - least, last) + 1
-                    ok = a < b
-                    np.add.at(step, first[k] + a[ok], 1)
-                    np.add.at(step, first[k] + b[ok], -1)
-                starts = np.flatnonzero(np.cumsum(step)[:-1] > 0)
+                starts = possible_starts(words, [x.values.to_numpy() for x in part.column("pos")], min_words)
                 text = np.searchsorted(words.bounds, starts, "right") - 1
                 begin, end = words.start[starts], words.start[starts + min_words - 1] + words.size[starts + min_words - 1]
                 for k, (a, b) in enumerate(zip(np.searchsorted(text, np.arange(len(first))), np.searchsorted(text, np.arange(len(first)), "right"), strict=True)):
-                    if a < b and len(raw := part.column("text")[k].as_py().encode("utf-8", "surrogatepass")) and not raw.isascii():
+                    if a < b and not (raw := part.column("text")[k].as_py().encode("utf-8", "surrogatepass")).isascii():
                         chars = np.concatenate(([0], np.cumsum(np.frombuffer(raw, np.uint8) & 0xC0 != 0x80)))
                         begin[a:b], end[a:b] = chars[begin[a:b]], chars[end[a:b]]
                 lanes = [run_hashes(words.hashes, starts, starts + min_words, lane).view(np.int64) for lane in (0, 1)]
-                row = pa.array(text)
-                columns = [pa.array(lanes[0]), pa.array(lanes[1]), part.column("doc_id").take(row), part.column("key").take(row), pa.array(starts - first[text]), pa.array(begin), pa.array(end)]
+                row, chars = pa.array(text), begin.astype(np.int64) << 32 | end
+                columns = [pa.array(lanes[0]), pa.array(lanes[1]), part.column("doc_id").take(row), part.column("key").take(row), pa.array(starts - first[text]), pa.array(chars)]
                 yield pa.RecordBatch.from_arrays([c.cast(pa.int64()) for c in columns], names)
 
-    own = filtered(_keyed(docs), bit_map(found.select("doc_id"))).join(found, ["doc_id", "key"]).select("doc_id", "key", "text", "spans")
+    own = filtered(rows, bit_map(found.select("doc_id"))).join(apart(found), "doc_id").select("doc_id", "key", "text", "pos")
     return own.mapInArrow(run, ", ".join(f"{c} long" for c in names))
 
 
+def _whole_passages(rows: DataFrame, copies: DataFrame, bits: np.ndarray, min_words: int) -> DataFrame:
+    names = ["doc_id", "key", "start_char", "end_char", "n_words", "first_doc_id"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_units()
+        for batch in batches:
+            found = []
+            for doc, key, text, first in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "key", "text", "first_doc_id")), strict=True):
+                plain = text.strip(SPACES)
+                if (n := len(plain.encode("utf-8", "surrogatepass").split())) >= min_words:
+                    start = len(text) - len(text.lstrip(SPACES))
+                    found.append((doc, key, start, start + len(plain), n, first))
+            columns = zip(*found, strict=True) if found else [[]] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
+
+    held = filtered(rows, bits).join(apart(copies), ["doc_id", "key"]).select("doc_id", "key", "text", "first_doc_id")
+    return held.mapInArrow(run, ", ".join(f"{c} long" for c in names)).distinct()
+
+
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, key (hash of its text), start_char, end_char, n_words, first_doc_id of every repeated passage."""
-    held = materialize(runs(docs, regions(docs), min_words), "runs")
+    copies = whole_copies(docs)
+    bits = bit_map(copies.select("doc_id"))
+    rows = _keyed(docs).drop("check")
+    distinct = _without(rows, copies, bits)
+    found = candidates(distinct)
+    held = materialize(runs(distinct, found, min_words), "runs")
     firsts = held.groupBy("h1", "h2").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("_hi")).where("first_doc_id < _hi").drop("_hi")
     hits = held.join(firsts, ["h1", "h2"]).where("doc_id != first_doc_id")
     place = F.dense_rank().over(Window.partitionBy("doc_id", "key", "first_doc_id").orderBy("at"))  # at most a document's words
     passages = hits.withColumn("_run", F.col("at") - place).groupBy("doc_id", "key", "first_doc_id", "_run").agg(
-        F.min("start_char").alias("start_char"), F.max("end_char").alias("end_char"), (F.max("at") - F.min("at") + min_words).cast("long").alias("n_words")
+        F.min(F.shiftright("chars", 32)).alias("start_char"), F.max(F.col("chars").bitwiseAND(F.lit((1 << 32) - 1))).alias("end_char"), (F.max("at") - F.min("at") + min_words).cast("long").alias("n_words")
     )
-    return passages.select("doc_id", "key", "start_char", "end_char", "n_words", "first_doc_id")
+    passages = passages.select("doc_id", "key", "start_char", "end_char", "n_words", "first_doc_id")
+    out = materialize(passages.unionByName(_whole_passages(rows, copies, bits, min_words)), "passages")
+    discard(copies, found, held)
+    return out
 
 
 def remove_passages(docs: DataFrame, passages: DataFrame) -> DataFrame:
@@ -267,7 +333,7 @@ def remove_passages(docs: DataFrame, passages: DataFrame) -> DataFrame:
     rows = docs.toDF(*names)
     bits, schema = bit_map(spans.select("doc_id")), rows.schema
     same = filtered(rows.withColumn("doc_id", F.col(doc_id).cast("long")), bits, with_bit=False).drop("doc_id")
-    other = filtered(rows.withColumn("doc_id", F.col(doc_id).cast("long")), bits).withColumn("key", F.xxhash64(text)).join(spans, ["doc_id", "key"], "left").select(*names, "spans")
+    other = filtered(rows.withColumn("doc_id", F.col(doc_id).cast("long")), bits).withColumn("key", F.xxhash64(text)).join(apart(spans), ["doc_id", "key"], "left").select(*names, "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         free_units()

@@ -13,19 +13,20 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Bytes of text that an Arrow operator takes in hand at once, and rows and bytes of an Arrow batch on its way to Python.
-SLICE_BYTES = 4_000_000
+SLICE_BYTES = 2_000_000
 BATCH_ROWS, BATCH_BYTES = "2000", "8000000"
 
 def free_units() -> None:
-    """Drops the tokenizer's units that a reused Python worker still holds from an earlier packing or token stage."""
+    """Starts a task in a small worker: what an earlier task of a reused one left free, and a tokenizer's units, go."""
     tokens = sys.modules.get("tidemark.llm.tokens")
-    if tokens and tokens._OPENED:
+    if tokens:
         tokens._OPENED.clear()
-        trim()
+    trim()
 
 
 def trim() -> None:
-    """Gives freed memory back to the system, so that a reused worker starts its next task small."""
+    """Gives freed memory back to the system."""
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
     except (OSError, AttributeError):  # not glibc
@@ -50,6 +51,12 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
+def apart(df: DataFrame) -> DataFrame:
+    """A side of a join that is never broadcast: so the Python steps before and behind the join are in stages of their
+    own, and an executor has one Python worker for each core, not one for each step."""
+    return df.hint("merge")
+
+
 def work_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/tidemark/{tag}-{uuid.uuid4().hex}"
 
@@ -57,8 +64,18 @@ def work_path(spark: SparkSession, tag: str) -> str:
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Writes df to the shared folder and reads it back: the lineage is cut, and a lost executor costs no recomputation."""
     path = work_path(df.sparkSession, tag)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.work_table = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of materialize whose successors are written."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.work_table)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def salted_rank(df: DataFrame, group: list[str], order: list[str], name: str, salts: int = 64) -> DataFrame:

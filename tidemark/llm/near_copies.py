@@ -32,8 +32,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import simhash
-from tidemark.llm.cdc import bit_map, filtered, has_bit
-from tidemark.llm.common import free_units, materialize, slices
+from tidemark.llm.cdc import bit_map, filtered, has_bit, of_ids
+from tidemark.llm.common import apart, discard, free_units, materialize, slices
 from tidemark.llm.components import connected_components
 
 WORDS, MIN_JACCARD = 5, 0.8
@@ -112,18 +112,18 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), digest.alias("digest"), "text")
 
 
-def _frequent(rows: DataFrame) -> np.ndarray:
+def _frequent(rows: DataFrame, bits: np.ndarray) -> np.ndarray:
     """A bit map of the shingles that occur more than FREQUENT times, of those with a hash in the lowest COUNTED share."""
     bound = np.uint64(int(COUNTED * (1 << 63)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         free_units()
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(of_ids(batch, bits)):
                 found = shingles(part.column("text"))[0] >> np.uint64(1)
                 yield pa.RecordBatch.from_arrays([pa.array(found[found < bound].view(np.int64))], ["token"])
 
-    counts = rows.select("text").mapInArrow(run, "token long").groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    counts = rows.select("doc_id", "text").mapInArrow(run, "token long").groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     return bit_map(materialize(counts.where(F.col("n") > FREQUENT).select("token"), "frequent"))
 
 
@@ -132,13 +132,13 @@ def _nodes(docs: DataFrame) -> DataFrame:
     text, and few of its copies, which the root (the digest's smallest node) joins."""
     keyed = _keyed(docs)
     least = keyed.groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
-    rows = filtered(keyed, bit_map(materialize(least.select("doc_id"), "least")))
-    frequent = _frequent(rows)
+    bits = bit_map(materialize(least.select("doc_id"), "least"))
+    frequent = _frequent(keyed, bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         free_units()
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(of_ids(batch, bits)):
                 hashes, at = shingles(part.column("text"))
                 tokens = hashes >> np.uint64(1)
                 tokens[has_bit(frequent, tokens.view(np.int64))] |= _TOP
@@ -152,7 +152,7 @@ def _nodes(docs: DataFrame) -> DataFrame:
                 ]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "digest", "n", "fp", "tokens"])
 
-    made = rows.mapInArrow(run, "doc_id long, digest binary, n long, fp long, tokens binary")
+    made = keyed.mapInArrow(run, "doc_id long, digest binary, n long, fp long, tokens binary")
     return materialize(made.withColumn("node", F.monotonically_increasing_id()), "nodes")
 
 
@@ -182,8 +182,8 @@ def _with_sets(nodes: DataFrame, pairs: DataFrame, prefix: bool) -> DataFrame:
     sets = filtered(nodes.select("node", "n", "tokens"), bit_map(used), column="node")
     if prefix:
         sets = sets.withColumn("tokens", F.expr("substring(tokens, 1, CAST(8 * (n - (4 * n + 4) DIV 5 + 1) AS INT))"))
-    left = pairs.select("a", "b").join(sets.select(F.col("node").alias("a"), F.col("n").alias("m"), F.col("tokens").alias("x")), "a")
-    return left.join(sets.select(F.col("node").alias("b"), "n", F.col("tokens").alias("y")), "b").select("a", "b", "m", "n", "x", "y")
+    left = apart(pairs.select("a", "b")).join(sets.select(F.col("node").alias("a"), F.col("n").alias("m"), F.col("tokens").alias("x")), "a")
+    return apart(left).join(sets.select(F.col("node").alias("b"), "n", F.col("tokens").alias("y")), "b").select("a", "b", "m", "n", "x", "y")
 
 
 def _verified(nodes: DataFrame, names: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -202,7 +202,9 @@ def _verified(nodes: DataFrame, names: DataFrame, pairs: DataFrame) -> DataFrame
     apart = pairs.join(names.select(F.col("node").alias("a"), F.col("root").alias("x")), "a").join(names.select(F.col("node").alias("b"), F.col("root").alias("y")), "b")
     tried = materialize(apart.where("x != y").select("a", "b"), "pairs")
     possible = materialize(_with_sets(nodes, tried, True).mapInArrow(test(may_be_near), "a long, b long"), "possible")
-    return materialize(_with_sets(nodes, possible, False).mapInArrow(test(lambda x, y, m, n: near(x, y)), "a long, b long"), "links")
+    links = materialize(_with_sets(nodes, possible, False).mapInArrow(test(lambda x, y, m, n: near(x, y)), "a long, b long"), "links")
+    discard(tried, possible)
+    return links
 
 
 def _fingerprint_pairs(nodes: DataFrame) -> DataFrame:
@@ -215,14 +217,16 @@ def _fingerprint_pairs(nodes: DataFrame) -> DataFrame:
     return same.union(apart.select("x", "y")).where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _lists(nodes: DataFrame) -> DataFrame:
-    """token, node, fp: a row for each shingle of a prefix."""
+def _lists(nodes: DataFrame, bits: np.ndarray | None = None) -> DataFrame:
+    """token, node, fp: a row for each shingle of a prefix (with its bit set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         free_units()
         for batch in batches:
             sets = [np.frombuffer(x, np.int64) for x in batch.column("tokens").to_pylist()]
             firsts = [x[: prefix_length(len(x))] for x in sets]
+            if bits is not None:
+                firsts = [x[has_bit(bits, x)] for x in firsts]
             row = pa.array(np.repeat(np.arange(len(firsts)), list(map(len, firsts))))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(firsts)), batch.column("node").take(row), batch.column("fp").take(row)], ["token", "node", "fp"])
 
@@ -306,7 +310,7 @@ def _leader_pairs(nodes: DataFrame) -> DataFrame:
 
 def _long_lists(nodes: DataFrame, names: DataFrame, tokens: DataFrame) -> DataFrame:
     """token, node, root of the lists in tokens (and few others, whose pairs are found once more)."""
-    return filtered(_lists(nodes).select("token", "node"), bit_map(tokens.select("token")), column="token").join(names, "node")
+    return _lists(nodes, bit_map(tokens.select("token"))).select("token", "node").join(names, "node")
 
 
 def _members(lists: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import free_units, materialize, slices, texts_of
+from tidemark.llm.common import apart, free_units, materialize, slices, texts_of
 
 STATISTICS = [
     "log_words", "word_length", "word_length_spread", "vocabulary", "upper", "symbols", "punctuation", "digits",
@@ -105,7 +105,7 @@ def held_out(doc_id) -> F.Column:
 def fit(rows: DataFrame, labels: DataFrame) -> Discriminant:
     """rows(doc_id, x); labels(doc_id, quality): fitted on the labelled rows that are not held out."""
     truth = labels.where("quality in (0, 1) and doc_id is not null").select("doc_id", F.col("quality").cast("int").alias("c"))
-    train = truth.where(~held_out(F.col("doc_id"))).join(rows.select("doc_id", "x"), "doc_id").select("c", "x")
+    train = truth.where(~held_out(F.col("doc_id"))).join(apart(rows.select("doc_id", "x")), "doc_id").select("c", "x")
     d = len(STATISTICS)
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: A task forgets the units that it has encoded beyond this number, so that its memory is bounded.
-MAX_UNITS = 500_000
+MAX_UNITS = 300_000
 #: A character between units that are encoded together; units that hold it are encoded one by one.
 MARK = "\x01"
 #: ASCII punctuation but the apostrophe.
