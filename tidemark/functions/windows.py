@@ -1,4 +1,4 @@
-"""Window building blocks: guarded rolling aggregates, affine scans (EWMA, Kalman) in blocks, as-of columns."""
+"""Window building blocks: guarded rolling aggregates, affine scans (EWMA, Kalman) in nested blocks, as-of columns."""
 
 from __future__ import annotations
 
@@ -26,60 +26,103 @@ def change(x: Column, n: int, w: WindowSpec) -> Column:
     return F.try_divide(x, F.lag(x, n).over(w)) - 1
 
 
-def affine_scan(df: DataFrame, c: Column, u: Column, out: str, keys: Sequence[str] = KEYS, order: str = ORDER, block: int = 128) -> DataFrame:
-    """Adds y[t] = c[t] * y[t-1] + u[t] (y before the first row is 0) without a loop over rows.
+def affine_scans(df: DataFrame, maps: dict[str, tuple[Column, Column]], keys: Sequence[str] = KEYS, order: str = ORDER, block: int = 64) -> DataFrame:
+    """Adds for each (c, u) in maps y[t] = c[t] * y[t-1] + u[t] (y before the first row is 0), all in one scan.
 
-    A key's rows are cut into blocks. Inside a block, running products and sums give y up to the carry that enters it;
-    one row per block is scanned for the carries, and these are joined back.
+    A map y -> c y + u is composed with others without divisions, so no c is too small. Maps are composed inside blocks
+    of ``block`` rows, blocks inside blocks of blocks, and so on; a row composes at most ``block`` maps of each level, so
+    the work is linear in a key's rows. All levels use one partitioning by key and join nothing.
     """
-    rows = df.withColumn("_p", F.row_number().over(ordered(keys, order)) - 1).withColumn("_b", F.floor(F.col("_p") / block))
-    inside = Window.partitionBy(*keys, "_b").orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("_c", F.product(c).over(inside)).withColumn("_u", u)
-    rows = rows.withColumn("_y", F.col("_c") * F.sum(F.col("_u") / F.col("_c")).over(inside))
-    ends = rows.groupBy(*keys, "_b").agg(F.struct(F.max_by("_c", "_p").alias("c"), F.max_by("_y", "_p").alias("y")).alias("_e"))
-    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    carries = ends.withColumn("_carry", F.aggregate(F.collect_list("_e").over(before), F.lit(0.0), lambda acc, e: e["c"] * acc + e["y"])).drop("_e")
-    return rows.join(carries, [*keys, "_b"]).withColumn(out, F.col("_c") * F.col("_carry") + F.col("_y")).drop("_p", "_b", "_c", "_u", "_y", "_carry")
+    names = list(maps)
+    one = F.struct(*[F.lit(x).alias(f"{k}{i}") for i in range(len(names)) for k, x in (("c", 1.0), ("u", 0.0))])
+
+    def then(first: Column, second: Column) -> Column:
+        return F.struct(*[x for i in range(len(names)) for x in ((first[f"c{i}"] * second[f"c{i}"]).alias(f"c{i}"), (second[f"c{i}"] * first[f"u{i}"] + second[f"u{i}"]).alias(f"u{i}"))])
+
+    own = F.struct(*[x for i, n in enumerate(names) for x in (maps[n][0].cast("double").alias(f"c{i}"), maps[n][1].cast("double").alias(f"u{i}"))])
+    rows = df.withColumn("_p", F.row_number().over(ordered(keys, order)) - 1).withColumn("_m0", own)
+    size, parts = 1, []
+    for level in (1, 2, 3):  # _m: the map of the rows since the last multiple of ``size``
+        inside = Window.partitionBy(*keys, F.floor(F.col("_p") / (size * block))).orderBy("_p")
+        if level == 1:
+            frame = F.collect_list("_m0").over(inside.rowsBetween(Window.unboundedPreceding, 0))
+        else:
+            ends = F.when(F.col("_p") % size == size - 1, F.col(f"_e{level - 1}"))
+            frame = F.collect_list(ends).over(inside.rowsBetween(Window.unboundedPreceding, -1))
+        rows = rows.withColumn(f"_m{level}", F.aggregate(frame, one, then))
+        parts.append(f"_m{level}")
+        rows = rows.withColumn(f"_e{level}", F.col("_m1") if level == 1 else then(F.col(f"_m{level}"), F.col(f"_e{level - 1}")))
+        size *= block
+    ends = F.when(F.col("_p") % size == size - 1, F.col("_e3"))
+    rows = rows.withColumn("_m4", F.aggregate(F.collect_list(ends).over(Window.partitionBy(*keys).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), one, then))
+    rows = rows.withColumn("_all", then(F.col("_m4"), F.col("_e3")))
+    return rows.withColumns({n: F.col(f"_all.u{i}") for i, n in enumerate(names)}).drop("_p", "_all", *[f"_m{k}" for k in range(5)], *[f"_e{k}" for k in (1, 2, 3)])
+
+
+def affine_scan(df: DataFrame, c: Column, u: Column, out: str, keys: Sequence[str] = KEYS, order: str = ORDER, block: int = 64) -> DataFrame:
+    return affine_scans(df, {out: (c, u)}, keys, order, block)
+
+
+def ewmas(df: DataFrame, means: dict[str, tuple[Column, float, int]], keys: Sequence[str] = KEYS, order: str = ORDER) -> DataFrame:
+    """For each (x, alpha, min_periods) the exponential mean, unadjusted: the first value starts it, a missing value
+    carries it and weakens its weight. All means come from one scan."""
+    w = ordered(keys, order)
+    before, until = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(Window.unboundedPreceding, 0)
+    rows = df.withColumns({f"_x{i}": x for i, (x, _, _) in enumerate(means.values())}).withColumn("_at", F.row_number().over(w))
+    rows = rows.withColumns({f"_n{i}": F.count(f"_x{i}").over(until) for i in range(len(means))})
+    rows = rows.withColumns({f"_b{i}": F.last(F.when(F.col(f"_x{i}").isNotNull(), F.col("_at")), ignorenulls=True).over(before) for i in range(len(means))})
+    maps = {}
+    for i, (_, alpha, _) in enumerate(means.values()):
+        x, old = F.col(f"_x{i}"), F.pow(F.lit(1.0 - alpha), F.col("_at") - F.col(f"_b{i}"))
+        later = x.isNotNull() & F.col(f"_b{i}").isNotNull()
+        maps[f"_y{i}"] = (F.when(later, old / (old + alpha)).when(x.isNotNull(), 0.0).otherwise(1.0), F.when(later, alpha * x / (old + alpha)).when(x.isNotNull(), x).otherwise(0.0))
+    scanned = affine_scans(rows, maps, keys, order)
+    out = {n: F.when(F.col(f"_n{i}") >= max(least, 1), F.col(f"_y{i}")) for i, (n, (_, _, least)) in enumerate(means.items())}
+    return scanned.withColumns(out).drop("_at", *[f"_{k}{i}" for k in "xnby" for i in range(len(means))])
 
 
 def ewma(df: DataFrame, x: Column, alpha: float, out: str, keys: Sequence[str] = KEYS, order: str = ORDER, min_periods: int = 1) -> DataFrame:
-    """Exponential mean, unadjusted: the first value starts it, a missing value carries it and weakens its weight."""
-    w = ordered(keys, order)
-    rows = df.withColumn("_x", x).withColumn("_n", F.count("_x").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_at", F.row_number().over(w))
-    rows = rows.withColumn("_prev", F.last(F.when(F.col("_x").isNotNull(), F.col("_at")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
-    old = F.pow(F.lit(1 - alpha), F.col("_at") - F.col("_prev"))
-    value = F.col("_x").isNotNull()
-    c = F.when(value & F.col("_prev").isNotNull(), old / (old + alpha)).otherwise(F.lit(1.0))
-    u = F.when(value & F.col("_prev").isNotNull(), alpha * F.col("_x") / (old + alpha)).when(value, F.col("_x")).otherwise(F.lit(0.0))
-    scanned = affine_scan(rows, c, u, "_y0", keys, order)
-    return scanned.withColumn(out, F.when(F.col("_n") >= max(min_periods, 1), F.col("_y0"))).drop("_x", "_n", "_at", "_prev", "_y0")
+    return ewmas(df, {out: (x, alpha, min_periods)}, keys, order)
 
 
 def span_alpha(span: int) -> float:
     return 2.0 / (span + 1)
 
 
-def kalman(df: DataFrame, x: Column, out: str, q: float = 0.01, r: float = 0.25, keys: Sequence[str] = KEYS, order: str = ORDER) -> DataFrame:
-    """Random-walk Kalman filter from state 0 and variance 1: the gains depend on the position only."""
+def kalman_gain(df: DataFrame, q: float = 0.01, r: float = 0.25, keys: Sequence[str] = KEYS, order: str = ORDER) -> Column:
+    """The gains of a random-walk Kalman filter from variance 1: they depend on the position only and converge."""
     gains, p = [], 1.0
     while len(gains) < 200:
         p += q
         gains.append(p / (p + r))
         p *= 1 - gains[-1]
-    at = F.row_number().over(ordered(keys, order))
-    rows = df.withColumn("_g", F.element_at(F.array(*map(F.lit, gains)), F.least(at, F.lit(len(gains)))))
+    return F.element_at(F.array(*map(F.lit, gains)), F.least(F.row_number().over(ordered(keys, order)), F.lit(len(gains))))
+
+
+def kalman(df: DataFrame, x: Column, out: str, q: float = 0.01, r: float = 0.25, keys: Sequence[str] = KEYS, order: str = ORDER) -> DataFrame:
+    """Random-walk Kalman filter from state 0 and variance 1."""
+    rows = df.withColumn("_g", kalman_gain(df, q, r, keys, order))
     return affine_scan(rows, 1 - F.col("_g"), F.col("_g") * x, out, keys, order).drop("_g")
 
 
-def as_of(left: DataFrame, right: DataFrame, by: Sequence[str], left_time: Column, right_time: Column, values: Sequence[str], forward: bool = False) -> DataFrame:
+def as_of(left: DataFrame, right: DataFrame, by: Sequence[str], left_time: Column, right_time: Column, values: Sequence[str], forward: bool = False, block: int = 86400) -> DataFrame:
     """For each left row the values of the nearest right row at or before (forward: at or after) its time.
 
-    Both sides are merged in time order and the last right row is carried on: one shuffle, no range join.
+    Both sides are merged in time order inside blocks of ``block`` seconds, so a long series is many tasks; a block
+    starts with the last right row of the blocks before it, which one row per block carries on. No range join.
     """
     a = left.withColumn("_t", left_time).withColumn("_side", F.lit(1))
     b = right.select(*by, right_time.alias("_t"), F.struct(*values).alias("_v")).withColumn("_side", F.lit(0))
-    both = a.unionByName(b, allowMissingColumns=True)
-    time = F.col("_t").desc() if forward else F.col("_t").asc()
-    w = Window.partitionBy(*by).orderBy(time, "_side").rowsBetween(Window.unboundedPreceding, 0)
+    both = a.unionByName(b, allowMissingColumns=True).withColumn("_k", F.floor(F.col("_t").cast("double") / block))
+    time, place = (F.col("_t").desc(), F.col("_k").desc()) if forward else (F.col("_t").asc(), F.col("_k").asc())
+    last = F.min_by if forward else F.max_by
+    ends = both.groupBy(*by, "_k").agg(last(F.when(F.col("_side") == 0, F.col("_v")), F.when(F.col("_side") == 0, F.col("_t"))).alias("_end"))
+    before = Window.partitionBy(*by).orderBy(place).rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select(*[F.col(k).alias(f"_by{i}") for i, k in enumerate(by)], F.col("_k").alias("_b"), F.last("_end", ignorenulls=True).over(before).alias("_carry"))
+    w = Window.partitionBy(*by, "_k").orderBy(time, "_side").rowsBetween(Window.unboundedPreceding, 0)
     found = both.withColumn("_v", F.last("_v", ignorenulls=True).over(w)).where("_side = 1")
+    same = F.col("_k").eqNullSafe(F.col("_b"))
+    for i, k in enumerate(by):
+        same = same & found[k].eqNullSafe(F.col(f"_by{i}"))
+    found = found.join(carried, same, "left").withColumn("_v", F.coalesce("_v", "_carry"))
     return found.select(*left.columns, *[F.col("_v")[v].alias(v) for v in values])

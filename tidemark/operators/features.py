@@ -8,17 +8,17 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.windows import change, ewma, ordered, roll, span_alpha
+from tidemark.functions.windows import change, ewmas, ordered, roll, span_alpha
 
 RETURNS = (1, 3, 6, 12, 24, 72)
 #: Feature columns of each group; calendar features are never clipped.
 GROUPS: dict[str, list[str]] = {
-    "baseline": ["return_1h", "return_3h", "return_6h", "return_12h", "return_24h", "realized_volatility_24h", "volume_ratio_24h", "rsi_14", "sma_24_distance", "sma_168_distance", "ema_12_26_distance"],
+    "baseline": ["return_1h", "return_6h", "return_24h", "realized_volatility_24h", "volume_ratio_24h", "rsi_14"],
+    "trend": ["sma_24_distance", "sma_168_distance", "ema_12_26_distance"],
     "volatility": ["high_low_range_1h", "realized_volatility_change_24h", "volatility_percentile_168h"],
     "volume": ["volume_zscore_24h", "volume_zscore_168h", "dollar_volume_zscore_168h"],
     "calendar": ["hour_sin", "hour_cos", "day_of_week_sin", "day_of_week_cos", "weekend_flag"],
-    "momentum": ["return_72h"],
-    "position": ["drawdown_from_24h_high", "distance_from_24h_low"],
+    "momentum_reversal": ["return_3h", "return_12h", "return_72h", "drawdown_from_24h_high", "distance_from_24h_low"],
 }
 
 
@@ -55,8 +55,7 @@ def sma_distance(df: DataFrame, n: int) -> DataFrame:
 
 
 def ema_distance(df: DataFrame, fast: int = 12, slow: int = 26) -> DataFrame:
-    rows = ewma(df, F.col("close"), span_alpha(fast), "_fast", min_periods=fast)
-    rows = ewma(rows, F.col("close"), span_alpha(slow), "_slow", min_periods=slow)
+    rows = ewmas(df, {"_fast": (F.col("close"), span_alpha(fast), fast), "_slow": (F.col("close"), span_alpha(slow), slow)})
     return rows.withColumn(f"ema_{fast}_{slow}_distance", F.try_divide("_fast", "_slow") - 1).drop("_fast", "_slow")
 
 

@@ -80,23 +80,75 @@ def drawdown(df: DataFrame, keys: Sequence[str] = ("symbol",), of: str = "equity
     return df.withColumn("drawdown", F.col(of) / top - 1)
 
 
-def metrics(eq: DataFrame, fills: DataFrame, keys: Sequence[str] = ("symbol",), capital: float = CAPITAL) -> DataFrame:
-    """Total and annualised return, drawdown, Sharpe, trades, win rate, profit factor, turnover, costs, exposure."""
+def metrics(eq: DataFrame, fills: DataFrame, keys: Sequence[str] = ("symbol",)) -> DataFrame:
+    """Total and annualised return, drawdown, Sharpe, fills, win rate, profit factor, turnover, costs, exposure.
+
+    Returns and turnover are against the first equity value; trades are fills; win rate, mean return and profit factor
+    (null without losses) are of the round trips' returns."""
     w = ordered(keys)
     rows = drawdown(eq, keys).withColumn("_r", F.col("equity") / F.lag("equity").over(w) - 1)
     a = rows.groupBy(*keys).agg(
-        F.max_by("equity", "timestamp").alias("_end"), F.min("drawdown").alias("max_drawdown"), F.avg("_r").alias("_m"), F.stddev_samp("_r").alias("_sd"), F.avg("exposure").alias("exposure"),
+        F.max_by("equity", "timestamp").alias("_end"), F.min_by("equity", "timestamp").alias("_start"), F.min("drawdown").alias("max_drawdown"), F.avg("_r").alias("_m"), F.stddev_samp("_r").alias("_sd"), F.avg("exposure").alias("exposure"),
         ((F.max(F.unix_seconds("timestamp")) - F.min(F.unix_seconds("timestamp"))) / 3600).alias("_h"),
-    ).select(
-        *keys, (F.col("_end") / capital - 1).alias("total_return"), F.when(F.col("_h") >= 24, F.pow(F.col("_end") / capital, 8766 / F.col("_h")) - 1).alias("annual_return"),
+    )
+    total = F.col("_end") / F.col("_start")
+    a = a.select(
+        *keys, "_start", (total - 1).alias("total_return"), F.when((F.col("_h") >= 24) & (total > 0), F.pow(total, 8766 / F.col("_h")) - 1).alias("annual_return"),
         "max_drawdown", F.when(F.col("_sd") > 0, F.col("_m") / F.col("_sd") * F.sqrt(F.lit(8766.0))).alias("sharpe"), "exposure",
     )
-    b = fills.groupBy(*keys).agg((F.sum("notional") / capital).alias("turnover"), F.sum("fee").alias("fees"), F.sum("slippage").alias("slippage_cost"))
-    r = F.col("pnl")
+    b = fills.groupBy(*keys).agg(F.sum("notional").alias("_notional"), F.sum("fee").alias("fees"), F.sum("slippage").alias("slippage_cost"), F.count(F.lit(1)).alias("n_trades"))
+    r = F.col("return")
     c = round_trips(fills, keys).groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n_trades"), F.avg((r > 0).cast("double")).alias("win_rate"), F.avg("return").alias("mean_trade_return"), F.try_divide(F.sum(F.when(r > 0, r).otherwise(0.0)), F.nullif(-F.sum(F.when(r < 0, r).otherwise(0.0)), F.lit(0.0))).alias("profit_factor")
+        F.avg((r > 0).cast("double")).alias("win_rate"), F.avg(r).alias("mean_trade_return"), F.try_divide(F.sum(F.when(r > 0, r).otherwise(0.0)), F.nullif(-F.sum(F.when(r < 0, r).otherwise(0.0)), F.lit(0.0))).alias("profit_factor")
+    )
+    rows = a.join(b, list(keys), "left").join(c, list(keys), "left").na.fill(0.0, ["_notional", "fees", "slippage_cost"]).na.fill(0, ["n_trades"])
+    return rows.withColumn("turnover", F.col("_notional") / F.col("_start")).drop("_notional", "_start")
+
+
+def check_ledger_input(df: DataFrame, keys: Sequence[str] = ("symbol",)) -> DataFrame:
+    """keys, rule, n: runs with fewer than two rows, timestamps that are missing or not unique."""
+    each = df.groupBy(*keys, "timestamp").agg(F.count(F.lit(1)).alias("_n"))
+    rows = each.groupBy(*keys).agg(F.sum("_n").alias("rows"), F.sum(F.when(F.col("timestamp").isNull(), F.col("_n")).otherwise(0)).alias("missing"), F.sum(F.when(F.col("_n") > 1, F.col("_n") - 1).otherwise(0)).alias("repeated"))
+    rules = F.array_compact(F.array(*[F.when(cond, F.struct(F.lit(name).alias("rule"), n.alias("n"))) for name, cond, n in (("too_few_rows", F.col("rows") < 2, F.col("rows")), ("missing_timestamp", F.col("missing") > 0, F.col("missing")), ("repeated_timestamp", F.col("repeated") > 0, F.col("repeated")))]))
+    return rows.select(*keys, F.explode(rules).alias("_r")).select(*keys, "_r.*")
+
+
+def join_predictions(market: DataFrame, predictions: DataFrame, on: Sequence[str] = ("timestamp",)) -> DataFrame:
+    """market with the predictions' signal: 0 where there is none, clipped to 0 and 1."""
+    rows = market.drop("signal").join(predictions.select(*on, "signal"), list(on), "left")
+    return rows.withColumn("signal", F.greatest(F.lit(0), F.least(F.lit(1), F.coalesce("signal", F.lit(0)))).cast("int"))
+
+
+def trading_statistics(eq: DataFrame, trips: DataFrame, keys: Sequence[str] = ("symbol",), bars: float = 6048.0, capital: float = CAPITAL) -> DataFrame:
+    """Sharpe and Sortino on ``bars`` a year, Calmar, mean win and loss, hours held. Ratios that would be infinite are
+    null and flagged (no_downside, no_drawdown, no_losses). Returns above -1e-12 are rounding and no losses."""
+    rows = drawdown(eq, keys).withColumn("_r", F.col("equity") / F.lag("equity").over(ordered(keys)) - 1)
+    a = rows.groupBy(*keys).agg(F.avg("_r").alias("_m"), F.stddev_samp("_r").alias("_sd"), F.stddev_samp(F.when(F.col("_r") < -1e-12, F.col("_r"))).alias("_dd"), F.min("drawdown").alias("_low"), F.max_by("equity", "timestamp").alias("_end"))
+    varies, year = F.coalesce(F.col("_sd") > 0, F.lit(False)), bars**0.5
+    a = a.select(
+        *keys, F.when(varies, F.col("_m") / F.col("_sd") * year).otherwise(0.0).alias("sharpe"), F.when(~varies, 0.0).when(F.col("_dd") > 0, F.col("_m") / F.col("_dd") * year).alias("sortino"), (-F.col("_low")).alias("max_drawdown"),
+        F.when(F.col("_low") < 0, (F.col("_end") / capital - 1) / -F.col("_low")).alias("calmar"), (varies & ~F.coalesce(F.col("_dd") > 0, F.lit(False))).cast("int").alias("no_downside"), (F.col("_low") >= 0).cast("int").alias("no_drawdown"),
     )
-    return a.join(b, list(keys), "left").join(c, list(keys), "left").na.fill(0.0, ["turnover", "fees", "slippage_cost"]).na.fill(0, ["n_trades"])
+    p = F.col("pnl")
+    b = trips.groupBy(*keys).agg(F.coalesce(F.avg(F.when(p > 0, p)), F.lit(0.0)).alias("mean_win"), F.coalesce(F.avg(F.when(p <= 0, p)), F.lit(0.0)).alias("mean_loss"), F.avg("hours").alias("mean_hours"), F.try_divide(F.sum(F.when(p > 0, p).otherwise(0.0)), F.nullif(-F.sum(F.when(p <= 0, p).otherwise(0.0)), F.lit(0.0))).alias("profit_factor"))
+    return a.join(b, list(keys), "left").withColumn("no_losses", F.isnull("profit_factor").cast("int"))
+
+
+def compare_runs(named: dict[str, DataFrame], keys: Sequence[str] = ("symbol",)) -> DataFrame:
+    """The metrics of several strategies below each other, with the difference to the first one's total return."""
+    first = next(iter(named))
+    rows = None
+    for name, df in named.items():
+        own = df.select(*keys, F.lit(name).alias("strategy"), "total_return", "max_drawdown", "sharpe", "n_trades")
+        rows = own if rows is None else rows.unionByName(own)
+    base = F.max(F.when(F.col("strategy") == first, F.col("total_return"))).over(Window.partitionBy(*keys))
+    return rows.withColumn("excess_return", F.col("total_return") - base)
+
+
+def symbol_breakdown(trips: DataFrame) -> DataFrame:
+    """Trades, profit and win rate per symbol, with the rank by total profit."""
+    rows = trips.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), F.sum("pnl").alias("total_pnl"), F.avg("pnl").alias("mean_pnl"), F.avg((F.col("pnl") > 0).cast("double")).alias("win_rate"))
+    return rows.withColumn("place", F.row_number().over(Window.orderBy(F.col("total_pnl").desc(), "symbol")))  # one row per symbol
 
 
 def benchmark_signals(df: DataFrame, lookback: int = 24) -> DataFrame:
@@ -135,17 +187,46 @@ def trade_stats(trips: DataFrame, keys: Sequence[str] = ("symbol",)) -> DataFram
 # Risk as table operators.
 
 
-def size_orders(orders: DataFrame, capital: float, risk: float = 0.02, most: float = 0.1, stop: float = 0.05, target_vol: float = 0.02) -> DataFrame:
-    """Sizes by fixed fraction, volatility, quarter Kelly and confidence; the least within the capacity, and its name."""
-    fixed = F.least(F.lit(capital * risk / stop), F.lit(capital * most))
-    vol = F.greatest(F.lit(0.01 * capital), F.least(F.lit(most * capital), capital * most * F.try_divide(F.lit(target_vol), F.col("volatility"))))
-    kelly = F.greatest(F.lit(0.0), F.least(F.lit(most), 0.25 * (F.col("win_rate") - F.try_divide(1 - F.col("win_rate"), F.col("payoff"))))) * capital
-    sure = most * capital * F.greatest(F.lit(0.25), F.least(F.lit(1.0), F.col("confidence")))
-    sizes = [("fixed", fixed), ("volatility", vol), ("kelly", kelly), ("confidence", sure), ("capacity", F.col("capacity"))]
+def size_orders(orders: DataFrame, capital: float, risk: float = 0.02, most: float = 0.1, target_vol: float = 0.02, base: float = 0.05, sure: tuple[float, float] = (0.55, 0.80)) -> DataFrame:
+    """Sizes by fixed fraction, volatility, quarter Kelly and confidence; the least within the capacity, and its name.
+
+    orders: volatility, win_rate, mean_win, mean_loss, confidence, capacity. Without a positive volatility the base size
+    holds; Kelly inputs outside their ranges give 1 % of the capital; below the least confidence there is no position."""
+    top = F.lit(capital * most)
+    fixed = F.least(F.lit(capital * risk), top)
+    vol = F.when(F.col("volatility") > 0, F.greatest(F.lit(0.01 * capital), F.least(capital * base * F.try_divide(F.lit(target_vol), F.col("volatility")), top))).otherwise(F.least(F.lit(capital * base), top))
+    p, b = F.col("win_rate"), F.try_divide("mean_win", "mean_loss")
+    valid = (p > 0) & (p < 1) & (F.col("mean_win") > 0) & (F.col("mean_loss") > 0)
+    share = F.try_divide(p * b - (1 - p), b)
+    kelly = F.when(F.coalesce(valid, F.lit(False)), F.when(share <= 0, 0.0).otherwise(capital * F.least(0.25 * share, F.lit(most)))).otherwise(min(capital * 0.01, capital * most))
+    step = F.least((F.col("confidence") - sure[0]) / (sure[1] - sure[0]), F.lit(1.0))
+    weighted = F.when(F.col("confidence") < sure[0], 0.0).otherwise(top * (0.25 + 0.75 * step))
+    sizes = [("fixed", fixed), ("volatility", vol), ("kelly", kelly), ("confidence", weighted), ("capacity", F.col("capacity"))]
     best = F.array_min(F.array(*[F.struct(F.round(v, 8).alias("size"), F.lit(n).alias("limit")) for n, v in sizes]))
     return orders.withColumns({f"size_{n}": v for n, v in sizes[:-1]}).withColumn("_b", best).withColumn("size", F.col("_b.size")).withColumn("limited_by", F.col("_b.limit")).drop("_b")
 
 
+def open_risk(positions: DataFrame) -> DataFrame:
+    """Per position (side 1 or -1): profit so far, risk to the stop, potential to the take, reward for risk."""
+    q, p, side = F.col("quantity"), F.col("price"), F.coalesce("side", F.lit(1))
+    rows = positions.withColumns({"unrealized": q * (p - F.col("entry_price")) * side, "unrealized_percent": F.try_divide(p - F.col("entry_price"), F.col("entry_price")) * side, "risk_to_stop": q * (p - F.col("stop")) * side, "potential": q * (F.col("take") - p) * side})
+    return rows.withColumn("reward_risk", F.when(F.col("risk_to_stop") > 0, F.col("potential") / F.col("risk_to_stop")))
+
+
+def check_entries(candidates: DataFrame, snapshot: DataFrame, capital: float, most_positions: int = 5, single: float = 0.2, total: float = 0.8, sector: float = 0.4) -> DataFrame:
+    """candidates(symbol, sector, size) against the open positions (symbol, sector, value): the first limit that an
+    entry would break, each candidate on its own; null: none."""
+    all_ = snapshot.agg(F.count(F.lit(1)).alias("_n"), F.coalesce(F.sum("value"), F.lit(0.0)).alias("_value"))
+    by_sector = snapshot.groupBy("sector").agg(F.sum("value").alias("_sector"))
+    held = snapshot.select("symbol").distinct().withColumn("_held", F.lit(True))
+    rows = candidates.join(all_, how="cross").join(by_sector, "sector", "left").join(held, "symbol", "left")  # all_: one row
+    reason = (
+        F.when(F.col("_n") >= most_positions, "positions").when(F.col("_held"), "duplicate").when(F.col("size") > single * capital, "single")
+        .when(F.col("_value") + F.col("size") > total * capital, "exposure").when(F.coalesce("_sector", F.lit(0.0)) + F.col("size") > sector * capital, "sector")
+    )
+    return rows.withColumn("rejected_by", reason).select(*candidates.columns, "rejected_by")
+
+
 def stop_levels(positions: DataFrame, stop: float = 0.05, multiple: float = 2.0, reward: float = 2.0) -> DataFrame:
     e, a = F.col("entry_price"), F.col("atr")
     return positions.withColumns({"stop_fixed": e * (1 - stop), "take_fixed": e * (1 + stop * reward), "stop_atr": e - multiple * a, "take_atr": e + multiple * a * reward})

@@ -5,31 +5,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.windows import change, ewma, ordered, roll, span_alpha
+from tidemark.functions.windows import change, ewma, ewmas, ordered, roll, span_alpha
 
 
 def _flag(cond) -> F.Column:
     return F.coalesce(cond, F.lit(False)).cast("int")
 
 
-def rsi_exponential(df: DataFrame, n: int = 14) -> DataFrame:
-    """RSI of exponential means (alpha 1/n) of gains and losses; null where there is no loss."""
+def rsi_exponential(df: DataFrame, ns: tuple[int, ...] = (6, 14)) -> DataFrame:
+    """RSI of exponential means (span n) of gains and losses, from the first row on; null while there is no loss."""
     step = F.col("close") - F.lag("close").over(ordered())
-    rows = df.withColumn("_g", F.greatest(step, F.lit(0.0) * step)).withColumn("_l", F.greatest(-step, F.lit(0.0) * step))
-    rows = ewma(ewma(rows, F.col("_g"), 1 / n, "_gain", min_periods=n), F.col("_l"), 1 / n, "_loss", min_periods=n)
-    out = 100 - 100 / (1 + F.try_divide("_gain", "_loss"))
-    rows = rows.withColumn(f"rsi_exp_{n}", out).drop("_g", "_l", "_gain", "_loss")
-    return rows.withColumn("rsi_oversold", _flag(F.col(f"rsi_exp_{n}") < 30)).withColumn("rsi_overbought", _flag(F.col(f"rsi_exp_{n}") > 70))
+    rows = df.withColumn("_g", F.when(step > 0, step).otherwise(0.0)).withColumn("_l", F.when(step < 0, -step).otherwise(0.0))
+    rows = ewmas(rows, {f"_{k}{n}": (F.col(f"_{k}"), span_alpha(n), 1) for n in ns for k in "gl"})
+    rows = rows.withColumns({f"rsi_exp_{n}": 100 - 100 / (1 + F.try_divide(f"_g{n}", f"_l{n}")) for n in ns}).drop("_g", "_l", *[f"_{k}{n}" for n in ns for k in "gl"])
+    return rows.withColumn("rsi_oversold", _flag(F.col(f"rsi_exp_{ns[-1]}") < 30)).withColumn("rsi_overbought", _flag(F.col(f"rsi_exp_{ns[-1]}") > 70))
 
 
 def rsi_divergence(df: DataFrame, rsi: str, n: int = 5) -> DataFrame:
+    """-1: the price rose and the index did not; 1: the index rose and the price did not; unknown changes are no rise."""
     w = ordered()
-    price, index = F.col("close") - F.lag("close", n).over(w), F.col(rsi) - F.lag(rsi, n).over(w)
-    return df.withColumn("rsi_divergence", F.when((price < 0) & (index > 0), 1).when((price > 0) & (index < 0), -1).otherwise(0))
+    price, index = (F.coalesce(F.col(c) - F.lag(c, n).over(w) > 0, F.lit(False)) for c in ("close", rsi))
+    return df.withColumn("_p", price).withColumn("_i", index).withColumn("rsi_divergence", F.col("_i").cast("int") - F.col("_p").cast("int")).drop("_p", "_i")
 
 
 def macd(df: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9, of: str = "close", prefix: str = "macd") -> DataFrame:
-    rows = ewma(ewma(df, F.col(of), span_alpha(fast), "_f"), F.col(of), span_alpha(slow), "_s")
+    rows = ewmas(df, {"_f": (F.col(of), span_alpha(fast), 1), "_s": (F.col(of), span_alpha(slow), 1)})
     rows = rows.withColumn(prefix, F.col("_f") - F.col("_s")).drop("_f", "_s")
     rows = ewma(rows, F.col(prefix), span_alpha(signal), f"{prefix}_signal")
     rows = rows.withColumn(f"{prefix}_histogram", F.col(prefix) - F.col(f"{prefix}_signal"))
@@ -62,45 +62,66 @@ def true_range(df: DataFrame) -> DataFrame:
     return df.withColumn("true_range", F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - before), F.abs(F.col("low") - before)))
 
 
-def atr(df: DataFrame, n: int = 14) -> DataFrame:
-    rows = ewma(true_range(df), F.col("true_range"), 1 / n, f"atr_{n}", min_periods=n)
-    rows = rows.withColumn(f"atr_{n}_percent", F.try_divide(f"atr_{n}", "close") * 100)
-    mean = roll(F.avg, F.col(f"atr_{n}"), 20, ordered())
-    return rows.withColumn("atr_expansion", _flag(F.col(f"atr_{n}") > 1.5 * mean)).withColumn("atr_contraction", _flag(F.col(f"atr_{n}") < 0.7 * mean))
+def atr(df: DataFrame, ns: tuple[int, ...] = (7, 14)) -> DataFrame:
+    """Exponential means (span n) of the true range, as shares of the close, expansion and contraction of the last."""
+    rows = ewmas(true_range(df), {f"atr_{n}": (F.col("true_range"), span_alpha(n), 1) for n in ns})
+    rows = rows.withColumns({f"atr_{n}_percent": F.try_divide(f"atr_{n}", "close") for n in ns})
+    last = F.col(f"atr_{ns[-1]}")
+    mean = roll(F.avg, last, 20, ordered())
+    return rows.withColumn("atr_expansion", _flag(last > 1.5 * mean)).withColumn("atr_contraction", _flag(last < 0.7 * mean))
 
 
 def adx(df: DataFrame, n: int = 14) -> DataFrame:
+    """Directional index (span n), strength 0, 1, 2 (up to 20, 40, 100), direction where it is above 20."""
     w = ordered()
     up, down = F.col("high") - F.lag("high").over(w), F.lag("low").over(w) - F.col("low")
     rows = true_range(df).withColumn("_up", F.when((up > down) & (up > 0), up).otherwise(0.0)).withColumn("_dn", F.when((down > up) & (down > 0), down).otherwise(0.0))
-    for x, out in (("true_range", "_atr"), ("_up", "_pu"), ("_dn", "_pd")):
-        rows = ewma(rows, F.col(x), 1 / n, out, min_periods=n)
+    rows = ewmas(rows, {out: (F.col(x), span_alpha(n), 1) for x, out in (("true_range", "_atr"), ("_up", "_pu"), ("_dn", "_pd"))})
     rows = rows.withColumn("plus_di", 100 * F.try_divide("_pu", "_atr")).withColumn("minus_di", 100 * F.try_divide("_pd", "_atr"))
     rows = rows.withColumn("_dx", 100 * F.try_divide(F.abs(F.col("plus_di") - F.col("minus_di")), F.col("plus_di") + F.col("minus_di")))
-    rows = ewma(rows, F.col("_dx"), 1 / n, "adx", min_periods=n)
-    strength = F.when(F.col("adx") <= 0, None).when(F.col("adx") <= 20, "weak").when(F.col("adx") <= 40, "moderate").when(F.col("adx") <= 100, "strong")
-    rows = rows.withColumn("adx_strength", strength).withColumn("adx_bullish", _flag(F.col("plus_di") > F.col("minus_di")))
+    rows = ewma(rows, F.col("_dx"), span_alpha(n), "adx")
+    strength = F.when(F.col("adx") <= 0, None).when(F.col("adx") <= 20, 0.0).when(F.col("adx") <= 40, 1.0).when(F.col("adx") <= 100, 2.0)
+    strong = F.col("adx") > 20
+    rows = rows.withColumn("trend_strength", strength).withColumn("adx_bullish", _flag((F.col("plus_di") > F.col("minus_di")) & strong)).withColumn("adx_bearish", _flag((F.col("minus_di") > F.col("plus_di")) & strong))
     return rows.drop("_up", "_dn", "_atr", "_pu", "_pd", "_dx", "true_range")
 
 
 def moving_averages(df: DataFrame) -> DataFrame:
+    """Simple and exponential means, the close against them, crosses, and (SMA 20 - SMA 50) / close."""
     w = ordered()
-    rows = df
+    rows = ewmas(df, {f"ema_{n}": (F.col("close"), span_alpha(n), 1) for n in (12, 26)})
     for n in (10, 20, 50):
         rows = rows.withColumn(f"sma_{n}", roll(F.avg, F.col("close"), n, w))
-    rows = rows.withColumn("above_sma_20", _flag(F.col("close") > F.col("sma_20"))).withColumn("ma_spread", F.try_divide(F.col("sma_10") - F.col("sma_50"), F.col("sma_50")))
+    rows = rows.withColumns({f"close_vs_sma_{n}": F.try_divide(F.col("close") - F.col(f"sma_{n}"), F.col(f"sma_{n}")) for n in (10, 20, 50)})
+    rows = rows.withColumns({f"above_sma_{n}": _flag(F.col("close") > F.col(f"sma_{n}")) for n in (20, 50)}).withColumn("ma_spread", F.try_divide(F.col("sma_20") - F.col("sma_50"), F.col("close")))
     above = F.col("sma_20") > F.col("sma_50")
     rows = rows.withColumn("_a", F.coalesce(above, F.lit(False))).withColumn("_w", F.lag("_a").over(w))
     return rows.withColumn("golden_cross", _flag(F.col("_a") & ~F.coalesce("_w", F.lit(True)))).withColumn("death_cross", _flag(~F.col("_a") & F.coalesce("_w", F.lit(False)))).drop("_a", "_w")
 
 
+def taker_ratio(df: DataFrame, bought: str = "taker_buy_volume", n: int = 20) -> DataFrame:
+    """Share of the volume that takers bought and its mean; df as it is if it has no such column."""
+    if bought not in df.columns:
+        return df
+    rows = df.withColumn("taker_buy_ratio", F.try_divide(F.col(bought), F.col("volume")))
+    return rows.withColumn("taker_buy_ratio_mean", roll(F.avg, F.col("taker_buy_ratio"), n, ordered()))
+
+
+def annual_volatility(df: DataFrame, ns: tuple[int, ...] = (6, 12, 24, 72), hours: float = 8760.0) -> DataFrame:
+    """Sample deviation of the returns in n bars, a year's, and the shortest against the longest."""
+    w = ordered()
+    rows = df.withColumn("_r", change(F.col("close"), 1, w))
+    rows = rows.withColumns({f"annual_volatility_{n}": roll(F.stddev_samp, F.col("_r"), n, w) * F.sqrt(F.lit(hours)) for n in ns}).drop("_r")
+    return rows.withColumn("volatility_ratio", F.try_divide(f"annual_volatility_{ns[0]}", f"annual_volatility_{ns[-1]}"))
+
+
 def volume_indicators(df: DataFrame, n: int = 20) -> DataFrame:
     w = ordered()
     running = w.rowsBetween(Window.unboundedPreceding, 0)
     rows = df.withColumn("volume_ratio_20", F.try_divide(F.col("volume"), roll(F.avg, F.col("volume"), n, w)))
     rows = rows.withColumn("volume_spike", _flag(F.col("volume_ratio_20") > 2))
-    step = F.coalesce(F.signum(F.col("close") - F.lag("close").over(w)), F.lit(0.0))
-    rows = rows.withColumn("_s", F.col("volume") * step).withColumn("_v", F.col("volume") * F.coalesce(change(F.col("close"), 1, w), F.lit(0.0)))
+    step = F.signum(F.col("close") - F.lag("close").over(w))
+    rows = rows.withColumn("_s", F.col("volume") * step).withColumn("_v", F.col("volume") * change(F.col("close"), 1, w))
     rows = rows.withColumn("obv", F.sum("_s").over(running)).withColumn("volume_price_trend", F.sum("_v").over(running))
     rows = rows.withColumn("obv_rising", _flag(F.col("obv") > roll(F.avg, F.col("obv"), n, w))).drop("_s", "_v")
     rows = rows.withColumn("_tp", (F.col("high") + F.col("low") + F.col("close")) / 3)

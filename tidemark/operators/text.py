@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.windows import ewma, kalman, ordered, span_alpha
+from tidemark.functions.windows import affine_scans, kalman_gain, ordered, span_alpha
 from tidemark.operators.candles import bucket, hour_grid
 
 PUNCTUATION = ".,!?;:()[]{}\"'"
@@ -74,9 +74,10 @@ def hourly_sentiment(posts: DataFrame, comments: DataFrame, half: float = 5.0) -
     rows = rows.withColumn("sentiment_missing", F.isnull("sentiment_count").cast("int")).na.fill(0, ["submission_count", "comment_count", "sentiment_count", "n_sources"])
     rows = rows.withColumn("reliability", F.col("sentiment_count") / (F.col("sentiment_count") + half)).withColumn("_z", F.coalesce("sentiment_mean", F.lit(0.0)))
     rows = rows.withColumn("shrunk_mean", F.col("_z") * F.col("reliability"))
-    rows = ewma(ewma(rows, F.col("_z"), span_alpha(6), "ewma_6"), F.col("_z"), span_alpha(24), "ewma_24").withColumn("ewma_diff", F.col("ewma_6") - F.col("ewma_24"))
-    rows = rows.withColumn("sentiment_lag_1", F.lag("_z").over(ordered()))
-    return kalman(rows, F.col("_z"), "kalman").drop("_z")
+    rows = rows.withColumn("sentiment_lag_1", F.lag("_z").over(ordered())).withColumn("_g", kalman_gain(rows)).withColumn("_first", F.isnull(F.lag("_z").over(ordered())))
+    maps = {f"ewma_{n}": (F.when(F.col("_first"), 0.0).otherwise(1 - span_alpha(n)), F.when(F.col("_first"), F.col("_z")).otherwise(span_alpha(n) * F.col("_z"))) for n in (6, 24)}
+    rows = affine_scans(rows, {**maps, "kalman": (1 - F.col("_g"), F.col("_g") * F.col("_z"))})
+    return rows.withColumn("ewma_diff", F.col("ewma_6") - F.col("ewma_24")).drop("_z", "_g", "_first")
 
 
 def dynamics(df: DataFrame, of: str = "sentiment") -> DataFrame:
@@ -86,7 +87,7 @@ def dynamics(df: DataFrame, of: str = "sentiment") -> DataFrame:
     rows = rows.withColumn("acceleration", F.col("velocity") - F.lag("velocity").over(w))
     for n in (3, 6, 12, 24):
         rows = rows.withColumn(f"mean_{n}", F.avg(of).over(w.rowsBetween(1 - n, 0))).withColumn(f"momentum_{n}", F.col(of) - F.col(f"mean_{n}"))
-    gain, loss = F.greatest("velocity", F.lit(0.0) * F.col("velocity")), F.greatest(-F.col("velocity"), F.lit(0.0) * F.col("velocity"))
+    gain, loss = F.when(F.col("velocity") > 0, F.col("velocity")).otherwise(0.0), F.when(F.col("velocity") < 0, -F.col("velocity")).otherwise(0.0)
     rows = rows.withColumn("_g", gain).withColumn("_l", loss)
     frame = w.rowsBetween(-13, 0)
     return rows.withColumn("sentiment_rsi", 100 - 100 / (1 + F.try_divide(F.avg("_g").over(frame), F.avg("_l").over(frame)))).drop("_g", "_l")
@@ -95,25 +96,25 @@ def dynamics(df: DataFrame, of: str = "sentiment") -> DataFrame:
 def distribution(posts: DataFrame, of: str = "sentiment_score") -> DataFrame:
     """Per hour and symbol, where there are two posts or more: spread, shape, extremes, polarity."""
     x = F.col(of)
-    n = F.count(F.lit(1))
+    n = F.count(x)
     rows = posts.groupBy("symbol", bucket(F.col("timestamp"), 3600).alias("timestamp")).agg(
         n.alias("n"), F.stddev_samp(x).alias("std"), F.percentile(x, 0.5).alias("median"), F.skewness(x).alias("_s"), F.kurtosis(x).alias("_k"), (F.percentile(x, 0.75) - F.percentile(x, 0.25)).alias("iqr"), F.max(x).alias("max"), F.min(x).alias("min"),
-        F.avg((x > 0.5).cast("double")).alias("extreme_up"), F.avg((x < -0.5).cast("double")).alias("extreme_down"), F.avg((F.abs(x) < 0.1).cast("double")).alias("neutral"), F.avg(F.abs(x)).alias("polarity"),
+        F.avg((x > 0.5).cast("double")).alias("extreme_up"), F.avg((x < -0.5).cast("double")).alias("extreme_down"), F.avg(((x >= -0.1) & (x <= 0.1)).cast("double")).alias("neutral"), F.abs(F.avg(x)).alias("_m"),
     ).where("n >= 2")
     c = F.col("n")
     skew = F.when((c < 3) | (F.col("std") == 0), 0.0).otherwise(F.col("_s") * F.sqrt(c * (c - 1)) / F.nullif(c - 2, F.lit(0)))
-    return rows.withColumn("skew", skew).withColumn("kurtosis", F.when((c < 4) | (F.col("std") == 0), 0.0).otherwise(F.col("_k"))).withColumn("range", F.col("max") - F.col("min")).withColumn("consensus", 1 - F.least(F.col("std"), F.lit(1.0))).drop("_s", "_k")
+    return rows.withColumn("skew", skew).withColumn("kurtosis", F.when((c < 4) | (F.col("std") == 0), 0.0).otherwise(F.col("_k"))).withColumn("range", F.col("max") - F.col("min")).withColumn("polarity", F.col("_m") / (F.col("std") + 0.01)).withColumn("consensus", 1 - F.least(F.col("std") / 0.5, F.lit(1.0))).drop("_s", "_k", "_m")
 
 
 def engagement(posts: DataFrame, of: str = "sentiment_score") -> DataFrame:
-    """Weighted by log1p(max(score, 0) + 2 * comments) inside an hour; the top fifth's mean and its divergence."""
+    """Weighted by log1p(max(score, 0) + 2 * comments) inside an hour, its divergence from the mean, the top fifth's mean."""
     rows = posts.withColumn("e", (F.greatest(F.col("score"), F.lit(0)) + 2 * F.col("num_comments")).cast("double")).withColumn("h", bucket(F.col("timestamp"), 3600))
     top = F.percentile("e", F.lit(0.8)).over(Window.partitionBy("symbol", "h"))
     rows = rows.withColumn("_w", F.log1p("e")).withColumn("_top", top)
     out = rows.groupBy("symbol", F.col("h").alias("timestamp")).agg(
-        F.coalesce(F.try_divide(F.sum(F.col("_w") * F.col(of)), F.sum("_w")), F.avg(of)).alias("weighted_mean"), F.avg(F.when(F.col("e") >= F.col("_top"), F.col(of))).alias("high_mean"), F.avg(of).alias("mean"), F.sum("e").alias("total_engagement"), F.max("e").alias("max_engagement")
+        F.coalesce(F.try_divide(F.sum(F.col("_w") * F.col(of)), F.sum("_w")), F.avg(of)).alias("weighted_mean"), F.avg(F.when(F.col("e") >= F.col("_top"), F.col(of))).alias("high_mean"), F.avg(of).alias("mean"), F.sum("e").alias("total_engagement"), F.max("e").alias("max_engagement"), F.avg("e").alias("mean_engagement"), F.coalesce(F.stddev_samp("e"), F.lit(0.0)).alias("std_engagement")
     )
-    return out.withColumn("divergence", F.col("high_mean") - F.col("mean"))
+    return out.withColumn("divergence", F.col("weighted_mean") - F.col("mean"))
 
 
 def by_source(posts: DataFrame, names: Sequence[str], of: str = "sentiment_score") -> DataFrame:
@@ -130,25 +131,72 @@ def level_regime(df: DataFrame, of: str = "sentiment") -> DataFrame:
 
 
 def cross_symbol(df: DataFrame, of: str = "sentiment") -> DataFrame:
-    """Market mean, deviation and breadth per timestamp, each symbol's relative value and z-score."""
+    """Market mean, deviation and breadth per timestamp, each symbol's relative value and z-score.
+
+    Breadth is the share of all symbols, present at this time or not; the z-score is null where nothing deviates. A
+    table with a single symbol is its own market."""
     w = Window.partitionBy("timestamp")
-    rows = df.withColumn("market_mean", F.avg(of).over(w)).withColumn("market_std", F.stddev_samp(of).over(w)).withColumn("market_breadth", F.avg((F.col(of) > 0).cast("double")).over(w))
-    return rows.withColumn("relative", F.col(of) - F.col("market_mean")).withColumn("zscore", F.coalesce(F.try_divide("relative", F.nullif("market_std", F.lit(0.0))), F.lit(0.0)))
+    rows = df.join(df.agg(F.countDistinct("symbol").alias("_all")), how="cross")  # one row
+    several, x = F.col("_all") > 1, F.col(of)
+    rows = rows.withColumn("market_mean", F.when(several, F.avg(of).over(w)).otherwise(x)).withColumn("market_std", F.when(several, F.stddev_samp(of).over(w)).otherwise(0.0))
+    rows = rows.withColumn("market_breadth", F.count_if(x > 0).over(w) / F.col("_all"))
+    rows = rows.withColumn("relative", F.when(several, x - F.col("market_mean")).otherwise(0.0))
+    return rows.withColumn("zscore", F.when(several, F.try_divide("relative", F.nullif("market_std", F.lit(0.0)))).otherwise(0.0)).drop("_all")
+
+
+def reversals(df: DataFrame, of: str = "sentiment", back: int = 3, window: int = 6, threshold: float = 0.2) -> DataFrame:
+    """1: near the low of its window ``back`` bars ago (up to 1.1 of it) and now higher by more than the threshold;
+    -1: near the high (0.9 of it or more) and now lower, which wins; 0 otherwise, and in series shorter than the window."""
+    w = ordered()
+    x, past = F.col(of), w.rowsBetween(1 - window - back, -back)
+    rows = df.withColumns({"_was": F.lag(of, back).over(w), "_lo": F.min(of).over(past), "_hi": F.max(of).over(past), "_l": F.count(F.lit(1)).over(Window.partitionBy("symbol")) >= window})
+    down = (F.col("_was") >= F.col("_hi") * 0.9) & (x < F.col("_was") - threshold)
+    up = (F.col("_was") <= F.col("_lo") * 1.1) & (x > F.col("_was") + threshold)
+    return rows.withColumn("reversal", F.when(F.col("_l") & down, -1).when(F.col("_l") & up, 1).otherwise(0)).drop("_was", "_lo", "_hi", "_l")
+
+
+def velocity_regime(df: DataFrame, of: str = "velocity") -> DataFrame:
+    """-2 to 2 by the right-closed bounds -0.05, -0.01, 0.01, 0.05."""
+    x = F.col(of)
+    return df.withColumn("velocity_code", F.when(x <= -0.05, -2).when(x <= -0.01, -1).when(x <= 0.01, 0).when(x <= 0.05, 1).when(x.isNotNull(), 2))
 
 
 def join_sentiment(market: DataFrame, hourly: DataFrame, values: Sequence[str]) -> DataFrame:
-    """market with the hour's sentiment (the last row of a timestamp); missing hours get 0 and a flag."""
-    last = hourly.groupBy("timestamp").agg(*[F.last(v).alias(v) for v in values])
+    """market with the hour's sentiment (of several rows of a timestamp the greatest, whichever task reads first);
+    missing hours get 0 and a flag."""
+    last = hourly.groupBy("timestamp").agg(F.max(F.struct(*values)).alias("_v")).select("timestamp", *[F.col("_v")[v].alias(v) for v in values])
     rows = market.join(last.withColumn("_there", F.lit(1)), "timestamp", "left")
     return rows.withColumn("sentiment_join_missing", F.isnull("_there").cast("int")).na.fill(0, list(values)).drop("_there")
 
 
 def lead_lag(posts: DataFrame, market: DataFrame, lags: Sequence[int]) -> DataFrame:
-    """Correlation of a post's engagement and sentiment with the market return a number of hours later."""
-    rows = posts.select(bucket(F.col("timestamp"), 3600).alias("h"), F.col("score").cast("double").alias("e"), "sentiment_score", F.explode(F.array(*map(F.lit, lags))).alias("lag"))
-    rows = rows.withColumn("timestamp", F.timestamp_seconds(F.unix_seconds("h") + F.col("lag") * 3600))
-    found = rows.join(market.select("timestamp", F.col("return_1h").alias("r")), "timestamp").where("r is not null")
-    return found.groupBy("lag").agg(F.corr("e", "r").alias("corr_engagement"), F.corr("sentiment_score", "r").alias("corr_sentiment"), F.count(F.lit(1)).alias("n"))
+    """Per symbol of the market: correlation of a post's engagement and sentiment with the return a number of hours later.
+
+    Posts are summed up per hour before they meet the lags, so only hours are multiplied by them."""
+    e, s = F.col("score").cast("double"), F.col("sentiment_score")
+    sums = [F.count(F.lit(1)).alias("k"), F.sum(e).alias("e"), F.sum(e * e).alias("ee"), F.sum(s).alias("s"), F.sum(s * s).alias("ss")]
+    hours = posts.groupBy(F.unix_seconds(bucket(F.col("timestamp"), 3600)).alias("h")).agg(*sums)
+    rows = hours.withColumn("lag", F.explode(F.array(*map(F.lit, lags)))).withColumn("_t", F.col("h") + F.col("lag") * 3600)
+    bars = market.where("return_1h is not null").select("symbol", F.unix_seconds("timestamp").alias("_t"), F.col("return_1h").alias("r"))
+    k, r = F.col("k"), F.col("r")
+    found = rows.join(bars, "_t").groupBy("symbol", "lag").agg(
+        F.sum(k).alias("n"), F.sum(k * r).alias("r"), F.sum(k * r * r).alias("rr"), F.sum("e").alias("e"), F.sum("ee").alias("ee"), F.sum(F.col("e") * r).alias("er"), F.sum("s").alias("s"), F.sum("ss").alias("ss"), F.sum(F.col("s") * r).alias("sr")
+    )
+
+    def corr(x: str) -> Column:
+        n, spread = F.col("n"), lambda a, aa: F.col("n") * F.col(aa) - F.col(a) * F.col(a)
+        both = spread(x, x + x) * spread("r", "rr")
+        return F.when(both > 0, (n * F.col(x + "r") - F.col(x) * F.col("r")) / F.sqrt(both))
+
+    return found.select("symbol", "lag", corr("e").alias("corr_engagement"), corr("s").alias("corr_sentiment"), "n")
+
+
+def mean_lags(rows: DataFrame) -> DataFrame:
+    """Per lag the mean correlations over the symbols, and whether it is the best one by the absolute mean."""
+    means = rows.groupBy("lag").agg(F.avg("corr_engagement").alias("corr_engagement"), F.avg("corr_sentiment").alias("corr_sentiment"))
+    best = means.agg(*[F.max_by("lag", F.struct(F.abs(c), -F.col("lag"))).alias(f"_{c}") for c in ("corr_engagement", "corr_sentiment")])
+    out = means.join(best, how="cross")  # one row
+    return out.select("lag", "corr_engagement", "corr_sentiment", *[(F.col("lag") == F.col(f"_{c}")).cast("int").alias(f"best_{c[5:]}") for c in ("corr_engagement", "corr_sentiment")])
 
 
 def correlation_pairs(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -159,5 +207,9 @@ def correlation_pairs(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def content_hash(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """A hash of the rows whatever their order: count and sum of row hashes."""
-    return df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.conv(F.substring(F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cols]), 256), 1, 12), 16, 10).cast("decimal(38,0)")).cast("string").alias("digest"))
+    """A hash of the rows whatever their order: their number and the sum of the rows' SHA-256 in four parts of 64 bits,
+    modulo 10**38. Values are quoted with their lengths, so a null is not an empty string and no separator is ambiguous."""
+    value = [F.concat(F.coalesce(F.length(F.col(c).cast("string")).cast("string"), F.lit("-")), F.lit(":"), F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in cols]
+    rows = df.select(F.sha2(F.concat(*value), 256).alias("h"))
+    part = lambda k: F.sum(F.conv(F.substring("h", 16 * k + 1, 16), 16, 10).cast("decimal(38,0)")).cast("string").alias(f"digest_{k}")
+    return rows.agg(F.count(F.lit(1)).alias("n"), *[part(k) for k in range(4)])

@@ -37,8 +37,8 @@ def chain(source: str, keys: str) -> str:
 
 
 def met(keys: str) -> str:
-    return f"""met AS (SELECT {keys}, arg_max(equity, t) / 10000.0 - 1 AS total_return, min(drawdown) AS max_drawdown, CASE WHEN stddev_samp(r) > 0 THEN avg(r) / stddev_samp(r) * sqrt(8766.0) END AS sharpe, avg(exposure) AS exposure FROM dd GROUP BY {keys}),
- mef AS (SELECT {keys}, sum(notional) / 10000.0 AS turnover, sum(fee) AS fees FROM fil GROUP BY {keys}), met3 AS (SELECT {keys}, count(*) AS n_trades, avg((pnl > 0)::INT) AS win_rate, avg(ret) AS mean_trade_return, sum(CASE WHEN pnl > 0 THEN pnl ELSE 0 END) / nullif(-sum(CASE WHEN pnl < 0 THEN pnl ELSE 0 END), 0) AS profit_factor FROM tri GROUP BY {keys})"""
+    return f"""met AS (SELECT {keys}, arg_max(equity, t) / arg_min(equity, t) - 1 AS total_return, arg_min(equity, t) AS first_equity, min(drawdown) AS max_drawdown, CASE WHEN stddev_samp(r) > 0 THEN avg(r) / stddev_samp(r) * sqrt(8766.0) END AS sharpe, avg(exposure) AS exposure FROM dd GROUP BY {keys}),
+ mef AS (SELECT {keys}, sum(notional) AS notional, sum(fee) AS fees, count(*) AS n_trades FROM fil GROUP BY {keys}), met3 AS (SELECT {keys}, avg((ret > 0)::INT) AS win_rate, avg(ret) AS mean_trade_return, sum(CASE WHEN ret > 0 THEN ret ELSE 0 END) / nullif(-sum(CASE WHEN ret < 0 THEN ret ELSE 0 END), 0) AS profit_factor FROM tri GROUP BY {keys})"""
 
 
 KEY = "symbol"
@@ -70,24 +70,64 @@ def ledger_round_trips(spark, sf_dir):
     return result(rows)
 
 
-@query(f"WITH {BARS}, {SIGNALS}, {chain('sig', KEY)}, {met(KEY)} SELECT symbol, printf('%.6e', total_return) AS total_return, round(max_drawdown, 6) AS max_drawdown, round(sharpe, 6) AS sharpe, round(exposure, 6) AS exposure, printf('%.6e', turnover) AS turnover, n_trades, round(win_rate, 6) AS win_rate, round(mean_trade_return, 6) AS mean_trade_return, round(profit_factor, 6) AS profit_factor FROM met JOIN mef USING (symbol) JOIN met3 USING (symbol)")
+@query(f"WITH {BARS}, {SIGNALS}, {chain('sig', KEY)}, {met(KEY)} SELECT symbol, printf('%.6e', total_return) AS total_return, round(max_drawdown, 6) AS max_drawdown, round(sharpe, 6) AS sharpe, round(exposure, 6) AS exposure, printf('%.6e', notional / first_equity) AS turnover, n_trades, round(win_rate, 6) AS win_rate, round(mean_trade_return, 6) AS mean_trade_return, round(profit_factor, 6) AS profit_factor FROM met JOIN mef USING (symbol) JOIN met3 USING (symbol)")
 def ledger_metrics(spark, sf_dir):
     s = signals(spark, sf_dir)
     rows = L.metrics(L.equity(s), L.trades(s)).withColumn("total_return", F.format_string("%.6e", "total_return")).withColumn("turnover", F.format_string("%.6e", "turnover"))
     return result(rows, "symbol", "total_return", "max_drawdown", "sharpe", "exposure", "turnover", "n_trades", "win_rate", "mean_trade_return", "profit_factor")
 
 
+@query(f"""WITH {BARS}, {SIGNALS}, {chain('sig', KEY)}, a AS (SELECT symbol, avg(r) AS m, stddev_samp(r) AS sd, stddev_samp(r) FILTER (r < -1e-12) AS dd, min(drawdown) AS low, arg_max(equity, t) AS e FROM dd GROUP BY 1),
+ b AS (SELECT symbol, coalesce(avg(pnl) FILTER (pnl > 0), 0) AS w, coalesce(avg(pnl) FILTER (pnl <= 0), 0) AS l, avg(hours) AS h, sum(CASE WHEN pnl > 0 THEN pnl ELSE 0 END) / nullif(-sum(CASE WHEN pnl <= 0 THEN pnl ELSE 0 END), 0) AS pf FROM tri GROUP BY 1)
+ SELECT symbol, round(CASE WHEN sd > 0 THEN m / sd * sqrt(6048) ELSE 0 END, 6) AS sharpe, round(CASE WHEN sd > 0 THEN CASE WHEN dd > 0 THEN m / dd * sqrt(6048) END ELSE 0 END, 6) AS sortino, printf('%.6e', (e / 10000 - 1) / -low) AS calmar, printf('%.6e', w) AS mean_win, printf('%.6e', l) AS mean_loss, round(h, 6) AS mean_hours, round(pf, 6) AS profit_factor FROM a JOIN b USING (symbol)""")
+def ledger_statistics(spark, sf_dir):
+    s = signals(spark, sf_dir)
+    rows = L.trading_statistics(L.equity(s), L.round_trips(L.trades(s))).withColumns({c: F.format_string("%.6e", c) for c in ("calmar", "mean_win", "mean_loss")})
+    return result(rows, "symbol", "sharpe", "sortino", "calmar", "mean_win", "mean_loss", "mean_hours", "profit_factor")
+
+
+@query(f"WITH {BARS}, {SIGNALS}, {chain('sig', KEY)}, a AS (SELECT symbol, count(*) AS n, sum(pnl) AS p, avg((pnl > 0)::INT) AS w FROM tri GROUP BY 1) SELECT symbol, n, printf('%.6e', p) AS total_pnl, round(w, 6) AS win_rate, row_number() OVER (ORDER BY p DESC, symbol)::INT AS place FROM a")
+def ledger_symbol_breakdown(spark, sf_dir):
+    rows = L.symbol_breakdown(L.round_trips(L.trades(signals(spark, sf_dir)))).withColumn("total_pnl", F.format_string("%.6e", "total_pnl"))
+    return result(rows, "symbol", "n", "total_pnl", "win_rate", "place")
+
+
+@query(f"WITH {BARS}, b AS (SELECT symbol, CASE WHEN t % 7 = 0 THEN NULL ELSE t // 7200 END AS t FROM bars), e AS (SELECT symbol, t, count(*) AS n FROM b GROUP BY 1, 2), r AS (SELECT symbol, sum(n) AS rows, sum(CASE WHEN t IS NULL THEN n ELSE 0 END) AS missing, sum(CASE WHEN n > 1 THEN n - 1 ELSE 0 END) AS repeated FROM e GROUP BY 1) SELECT symbol, 'missing_timestamp' AS rule, missing::BIGINT AS n FROM r WHERE missing > 0 UNION ALL SELECT symbol, 'repeated_timestamp', repeated::BIGINT FROM r WHERE repeated > 0 UNION ALL SELECT symbol, 'too_few_rows', rows::BIGINT FROM r WHERE rows < 2")
+def ledger_input_checks(spark, sf_dir):
+    """Bars with some timestamps taken away and others made equal."""
+    t = F.unix_seconds("timestamp")
+    rows = bars(spark, sf_dir).withColumn("timestamp", F.when(t % 7 == 0, None).otherwise(F.timestamp_seconds(F.floor(t / 7200))))
+    return L.check_ledger_input(rows)
+
+
+@query(f"WITH {BARS}, {SIGNALS}, p AS (SELECT symbol, t, signal * 3 - 1 AS signal FROM sig WHERE t % 10800 != 0) SELECT b.symbol, b.t, greatest(0, least(1, coalesce(p.signal, 0)))::INT AS signal FROM bars b LEFT JOIN p ON p.symbol = b.symbol AND p.t = b.t")
+def join_market_predictions(spark, sf_dir):
+    p = signals(spark, sf_dir).where(F.unix_seconds("timestamp") % 10800 != 0).withColumn("signal", F.col("signal") * 3 - 1)
+    return result(L.join_predictions(bars(spark, sf_dir), p, ["symbol", "timestamp"]), "symbol", "timestamp", "signal")
+
+
 BENCH = f"ben AS (SELECT b.*, k.benchmark, CASE k.benchmark WHEN 'cash' THEN 0 WHEN 'buy_and_hold' THEN 1 ELSE m END AS signal FROM (SELECT *, coalesce((close / lag(close, 24) OVER w - 1 > 0)::INT, 0) AS m FROM bars {W}) b, (SELECT unnest(['cash', 'buy_and_hold', 'momentum']) AS benchmark) k)"
 BKEY = "symbol, benchmark"
 
 
-@query(f"WITH {BARS}, {BENCH}, {chain('ben', BKEY)}, {met(BKEY)} SELECT symbol, benchmark, printf('%.6e', total_return) AS total_return, round(max_drawdown, 6) AS max_drawdown, round(exposure, 6) AS exposure, coalesce(n_trades, 0) AS n_trades FROM met LEFT JOIN met3 USING (symbol, benchmark)")
+@query(f"WITH {BARS}, {BENCH}, {chain('ben', BKEY)}, {met(BKEY)} SELECT symbol, benchmark, printf('%.6e', total_return) AS total_return, round(max_drawdown, 6) AS max_drawdown, round(exposure, 6) AS exposure, coalesce(n_trades, 0) AS n_trades FROM met LEFT JOIN mef USING (symbol, benchmark)")
 def ledger_benchmarks(spark, sf_dir):
     s, by = L.benchmark_signals(bars(spark, sf_dir)), ["symbol", "benchmark"]
     rows = L.metrics(L.equity(s, by), L.trades(s, by), by).withColumn("total_return", F.format_string("%.6e", "total_return"))
     return result(rows, "symbol", "benchmark", "total_return", "max_drawdown", "exposure", "n_trades")
 
 
+@query(f"""WITH {BARS}, {SIGNALS}, {BENCH}, al AS (SELECT symbol, t, open, high, low, close, volume, 'strategy' AS strategy, signal FROM sig UNION ALL SELECT symbol, t, open, high, low, close, volume, benchmark, signal FROM ben), {chain('al', 'symbol, strategy')}, {met('symbol, strategy')}
+ SELECT symbol, strategy, printf('%.6e', total_return) AS total_return, round(max_drawdown, 6) AS max_drawdown, round(sharpe, 6) AS sharpe, coalesce(n_trades, 0) AS n_trades, printf('%.5e', total_return - max(CASE WHEN strategy = 'strategy' THEN total_return END) OVER (PARTITION BY symbol)) AS excess_return FROM met LEFT JOIN mef USING (symbol, strategy)""")
+def ledger_comparison(spark, sf_dir):
+    s, b = signals(spark, sf_dir), L.benchmark_signals(bars(spark, sf_dir))
+    named = {"strategy": L.metrics(L.equity(s), L.trades(s))}
+    every = L.metrics(L.equity(b, ["symbol", "benchmark"]), L.trades(b, ["symbol", "benchmark"]), ["symbol", "benchmark"])
+    named |= {k: every.where(F.col("benchmark") == k) for k in ("cash", "buy_and_hold", "momentum")}
+    rows = L.compare_runs(named)
+    return result(rows.withColumn("total_return", F.format_string("%.6e", "total_return")).withColumn("excess_return", F.format_string("%.5e", "excess_return")))
+
+
 @query(f"WITH {BARS} SELECT symbol, round(arg_max(close, t) / arg_min(close, t) * 0.999 * 0.999 - 1, 6) AS buy_hold_return FROM bars GROUP BY symbol")
 def ledger_buy_and_hold(spark, sf_dir):
     return result(L.buy_and_hold(bars(spark, sf_dir)))
@@ -124,17 +164,17 @@ def risk_halt_flags(spark, sf_dir):
 
 
 @query(f"""WITH {BARS}, {RET}, {VOL}, {SIGNALS}, o AS (SELECT v.symbol, v.t, v.realized_volatility_24h AS volatility, s.p AS confidence, 400.0 + v.t % 1000 AS capacity FROM vol v JOIN sig s ON s.symbol = v.symbol AND s.t = v.t WHERE v.realized_volatility_24h IS NOT NULL),
- z AS (SELECT *, least(10000.0 * 0.02 / 0.05, 1000.0) AS f, greatest(100.0, least(1000.0, 1000.0 * 0.02 / nullif(volatility, 0))) AS vo, 10000.0 * greatest(0, least(0.1, 0.25 * (0.55 - 0.45 / 1.5))) AS k, 1000.0 * greatest(0.25, least(1.0, confidence)) AS c FROM o)
- SELECT symbol, t, round(f, 6) AS size_fixed, round(vo, 6) AS size_volatility, round(k, 6) AS size_kelly, round(c, 6) AS size_confidence, round(least(f, vo, k, c, capacity), 6) AS size FROM z""")
+ z AS (SELECT *, least(10000.0 * 0.02, 1000.0) AS f, CASE WHEN volatility > 0 THEN greatest(100.0, least(500.0 * 0.02 / volatility, 1000.0)) ELSE 500.0 END AS vo, CASE WHEN t % 5 = 0 THEN 100.0 ELSE 10000.0 * greatest(0, least(0.1, 0.25 * (0.55 * 1.5 - 0.45) / 1.5)) END AS k, CASE WHEN confidence < 0.55 THEN 0.0 ELSE 1000.0 * (0.25 + 0.75 * least((confidence - 0.55) / 0.25, 1.0)) END AS c FROM o)
+ SELECT symbol, t, round(f, 6) AS size_fixed, round(vo, 6) AS size_volatility, round(k, 6) AS size_kelly, round(c, 6) AS size_confidence, round(least(f, vo, k, c, capacity), 6) AS size, (list_sort([{{'v': round(f, 8), 'n': 'fixed'}}, {{'v': round(vo, 8), 'n': 'volatility'}}, {{'v': round(k, 8), 'n': 'kelly'}}, {{'v': round(c, 8), 'n': 'confidence'}}, {{'v': round(capacity, 8), 'n': 'capacity'}}]))[1].n AS limited_by FROM z""")
 def risk_position_sizes(spark, sf_dir):
     from tidemark.operators.features import realized_vol, returns
 
     rows = realized_vol(returns(signals(spark, sf_dir), [1])).where("realized_volatility_24h is not null")
-    orders = rows.withColumns({"volatility": F.col("realized_volatility_24h"), "confidence": F.col("probability"), "capacity": 400.0 + F.unix_seconds("timestamp") % 1000, "win_rate": F.lit(0.55), "payoff": F.lit(1.5)})
-    return result(L.size_orders(orders, 10_000.0), "symbol", "timestamp", "size_fixed", "size_volatility", "size_kelly", "size_confidence", "size")
+    orders = rows.withColumns({"volatility": F.col("realized_volatility_24h"), "confidence": F.col("probability"), "capacity": 400.0 + F.unix_seconds("timestamp") % 1000, "win_rate": F.when(F.unix_seconds("timestamp") % 5 == 0, 1.0).otherwise(0.55), "mean_win": F.lit(0.03), "mean_loss": F.lit(0.02)})
+    return result(L.size_orders(orders, 10_000.0), "symbol", "timestamp", "size_fixed", "size_volatility", "size_kelly", "size_confidence", "size", "limited_by")
 
 
-@query(f"""WITH {BARS}, tr AS (SELECT *, greatest(high - low, abs(high - lag(close) OVER w), abs(low - lag(close) OVER w)) AS tr FROM bars {W}), a AS (SELECT *, {exp_mean('tr', 1 / 14, 14)} AS atr FROM tr {W})
+@query(f"""WITH {BARS}, tr AS (SELECT *, greatest(high - low, abs(high - lag(close) OVER w), abs(low - lag(close) OVER w)) AS tr FROM bars {W}), a AS (SELECT *, {exp_mean('tr', 2 / 15)} AS atr FROM tr {W})
  SELECT symbol, t, round(close * 0.95, 6) AS stop_fixed, round(close * 1.1, 6) AS take_fixed, round(close - 2 * atr, 6) AS stop_atr, round(close + 4 * atr, 6) AS take_atr FROM a""")
 def risk_stop_levels(spark, sf_dir):
     rows = K.atr(bars(spark, sf_dir)).withColumns({"entry_price": F.col("close"), "atr": F.col("atr_14")})
@@ -166,3 +206,21 @@ def risk_cooldown(spark, sf_dir):
     trips = L.round_trips(L.trades(signals(spark, sf_dir)))
     exits = trips.where("exit_time is not null").select("symbol", F.col("exit_time").alias("timestamp"))
     return result(L.in_cooldown(bars(spark, sf_dir).select("symbol", "timestamp"), exits, 6), "symbol", "timestamp", "last_exit", "cooling")
+
+
+@query(f"""WITH {BARS}, p AS (SELECT *, first_value(close) OVER w AS ep, CASE WHEN t % 7200 = 0 THEN 1 ELSE -1 END AS side FROM bars {W}), q AS (SELECT *, ep * (1 - 0.1 * side) AS stop, ep * (1 + 0.3 * side) AS take FROM p)
+ SELECT symbol, t, round(volume * (close - ep) * side, 6) + 0.0 AS unrealized, round((close - ep) / ep * side, 6) + 0.0 AS unrealized_percent, round(volume * (close - stop) * side, 6) AS risk_to_stop, round(volume * (take - close) * side, 6) AS potential, round(CASE WHEN volume * (close - stop) * side > 0 THEN (take - close) * side / ((close - stop) * side) END, 5) AS reward_risk FROM q""")
+def risk_open_positions(spark, sf_dir):
+    rows = bars(spark, sf_dir).withColumn("entry_price", F.first("close").over(ordered())).withColumns({"quantity": F.col("volume"), "price": F.col("close"), "side": F.when(F.unix_seconds("timestamp") % 7200 == 0, 1).otherwise(-1)})
+    rows = rows.withColumns({"stop": F.col("entry_price") * (1 - 0.1 * F.col("side")), "take": F.col("entry_price") * (1 + 0.3 * F.col("side"))})
+    rows = L.open_risk(rows).withColumn("reward_risk", F.round("reward_risk", 5))
+    return result(rows, "symbol", "timestamp", "unrealized", "unrealized_percent", "risk_to_stop", "potential", "reward_risk").withColumns({c: F.col(c) + 0.0 for c in ("unrealized", "unrealized_percent")})
+
+
+@query(f"""WITH {BARS}, h AS (SELECT symbol, symbol AS sector, sum(volume) AS value FROM bars WHERE symbol < 'p' GROUP BY 1), c AS (SELECT symbol, t, symbol AS sector, (t // 3600 % 50)::DOUBLE * 100 AS size FROM bars), a AS (SELECT count(*) AS n, coalesce(sum(value), 0) AS v FROM h)
+ SELECT c.symbol, c.t, CASE WHEN n >= 5 THEN 'positions' WHEN h.symbol IS NOT NULL THEN 'duplicate' WHEN size > 2000 THEN 'single' WHEN v + size > 8000 THEN 'exposure' WHEN coalesce(h.value, 0) + size > 1000 THEN 'sector' END AS rejected_by FROM c CROSS JOIN a LEFT JOIN h ON h.symbol = c.symbol""")
+def risk_entry_checks(spark, sf_dir):
+    b = bars(spark, sf_dir).withColumn("sector", F.col("symbol"))
+    held = b.where("symbol < 'p'").groupBy("symbol", "sector").agg(F.sum("volume").alias("value"))
+    c = b.select("symbol", "timestamp", "sector", (F.floor(F.unix_seconds("timestamp") / 3600) % 50 * 100.0).alias("size"))
+    return result(L.check_entries(c, held, 10_000.0, 5, 0.2, 0.8, 0.1), "symbol", "timestamp", "rejected_by")

@@ -168,7 +168,7 @@ def feature_mad_clip(spark, sf_dir):
 @query()
 def feature_dataset(spark, sf_dir):
     """All groups with flags, clipped columns and label: the model table."""
-    groups = ["baseline", "volatility", "volume", "calendar"]
+    groups = list(X.GROUPS)
     rows = X.label(X.build(bars(spark, sf_dir), groups), 12, X.cost_buffer("round_trip", 0.001, 0.0005), 0.1)
     return result(rows, "symbol", "timestamp", *X.feature_columns(groups), "target")
 
@@ -215,14 +215,14 @@ def label_first_barrier(spark, sf_dir):
 
 # Technical indicators.
 
-STEP = f"d AS (SELECT *, close - lag(close) OVER w AS s FROM bars {W}), g AS (SELECT *, CASE WHEN s IS NOT NULL THEN greatest(s, 0) END AS g, CASE WHEN s IS NOT NULL THEN greatest(-s, 0) END AS l FROM d)"
+STEP = f"d AS (SELECT *, close - lag(close) OVER w AS s FROM bars {W}), g AS (SELECT *, CASE WHEN s > 0 THEN s ELSE 0.0 END AS g, CASE WHEN s < 0 THEN -s ELSE 0.0 END AS l FROM d)"
 
 
-@query(f"""WITH {BARS}, {STEP}, e AS (SELECT symbol, t, close, {exp_mean('g', 1 / 14, 14)} AS a, {exp_mean('l', 1 / 14, 14)} AS b FROM g {W}), r AS (SELECT *, CASE WHEN b != 0 THEN 100 - 100 / (1 + a / b) END AS rsi FROM e)
- SELECT symbol, t, round(rsi, 6) AS rsi_exp_14, coalesce(rsi < 30, false)::INT AS rsi_oversold, coalesce(rsi > 70, false)::INT AS rsi_overbought,
- CASE WHEN close - lag(close, 5) OVER w < 0 AND rsi - lag(rsi, 5) OVER w > 0 THEN 1 WHEN close - lag(close, 5) OVER w > 0 AND rsi - lag(rsi, 5) OVER w < 0 THEN -1 ELSE 0 END AS rsi_divergence FROM r {W}""")
+@query(f"""WITH {BARS}, {STEP}, e AS (SELECT symbol, t, close, {exp_mean('g', 2 / 15)} AS a, {exp_mean('l', 2 / 15)} AS b, {exp_mean('g', 2 / 7)} AS a6, {exp_mean('l', 2 / 7)} AS b6 FROM g {W}), r AS (SELECT *, CASE WHEN b != 0 THEN 100 - 100 / (1 + a / b) END AS rsi, CASE WHEN b6 != 0 THEN 100 - 100 / (1 + a6 / b6) END AS rsi6 FROM e),
+ x AS (SELECT *, coalesce(close - lag(close, 5) OVER w > 0, false) AS pu, coalesce(rsi - lag(rsi, 5) OVER w > 0, false) AS iu FROM r {W})
+ SELECT symbol, t, round(rsi, 6) AS rsi_exp_14, round(rsi6, 6) AS rsi_exp_6, coalesce(rsi < 30, false)::INT AS rsi_oversold, coalesce(rsi > 70, false)::INT AS rsi_overbought, CASE WHEN pu AND NOT iu THEN -1 WHEN iu AND NOT pu THEN 1 ELSE 0 END AS rsi_divergence FROM x""")
 def technical_rsi(spark, sf_dir):
-    return result(K.rsi_divergence(K.rsi_exponential(bars(spark, sf_dir)), "rsi_exp_14"), "symbol", "timestamp", "rsi_exp_14", "rsi_oversold", "rsi_overbought", "rsi_divergence")
+    return result(K.rsi_divergence(K.rsi_exponential(bars(spark, sf_dir)), "rsi_exp_14"), "symbol", "timestamp", "rsi_exp_14", "rsi_exp_6", "rsi_oversold", "rsi_overbought", "rsi_divergence")
 
 
 @query(f"""WITH {BARS}, m AS (SELECT symbol, t, ({exp_mean('close', 2 / 13)}) - ({exp_mean('close', 2 / 27)}) AS macd FROM bars {W}), s AS (SELECT *, {exp_mean('macd', 0.2)} AS sig FROM m {W}), h AS (SELECT *, macd - sig AS hist, macd > sig AS a FROM s)
@@ -246,27 +246,41 @@ def technical_bollinger(spark, sf_dir):
 TR = f"tr AS (SELECT *, greatest(high - low, abs(high - lag(close) OVER w), abs(low - lag(close) OVER w)) AS tr, high - lag(high) OVER w AS up, lag(low) OVER w - low AS dn FROM bars {W})"
 
 
-@query(f"""WITH {BARS}, {TR}, a AS (SELECT *, {exp_mean('tr', 1 / 14, 14)} AS atr FROM tr {W}) SELECT symbol, t, round(tr, 6) AS true_range, round(atr, 6) AS atr_14, round(atr / close * 100, 6) AS atr_14_percent,
+@query(f"""WITH {BARS}, {TR}, a AS (SELECT *, {exp_mean('tr', 2 / 15)} AS atr, {exp_mean('tr', 2 / 8)} AS atr7 FROM tr {W}) SELECT symbol, t, round(tr, 6) AS true_range, round(atr7, 6) AS atr_7, round(atr, 6) AS atr_14, round(atr7 / close, 6) AS atr_7_percent, round(atr / close, 6) AS atr_14_percent,
  coalesce(atr > 1.5 * ({win('avg(atr)', 20)}), false)::INT AS atr_expansion, coalesce(atr < 0.7 * ({win('avg(atr)', 20)}), false)::INT AS atr_contraction FROM a""")
 def technical_atr(spark, sf_dir):
-    return result(K.atr(bars(spark, sf_dir)), "symbol", "timestamp", "true_range", "atr_14", "atr_14_percent", "atr_expansion", "atr_contraction")
+    return result(K.atr(bars(spark, sf_dir)), "symbol", "timestamp", "true_range", "atr_7", "atr_14", "atr_7_percent", "atr_14_percent", "atr_expansion", "atr_contraction")
 
 
 @query(f"""WITH {BARS}, {TR}, m AS (SELECT *, CASE WHEN up > dn AND up > 0 THEN up ELSE 0 END AS pu, CASE WHEN dn > up AND dn > 0 THEN dn ELSE 0 END AS pd FROM tr),
- e AS (SELECT symbol, t, {exp_mean('tr', 1 / 14, 14)} AS a, {exp_mean('pu', 1 / 14, 14)} AS u, {exp_mean('pd', 1 / 14, 14)} AS d FROM m {W}), i AS (SELECT *, 100 * u / a AS pdi, 100 * d / a AS mdi FROM e),
- x AS (SELECT *, 100 * abs(pdi - mdi) / (pdi + mdi) AS dx FROM i), y AS (SELECT *, {exp_mean('dx', 1 / 14, 14)} AS adx FROM x {W})
- SELECT symbol, t, round(pdi, 6) AS plus_di, round(mdi, 6) AS minus_di, round(adx, 6) AS adx, CASE WHEN adx <= 0 THEN NULL WHEN adx <= 20 THEN 'weak' WHEN adx <= 40 THEN 'moderate' WHEN adx <= 100 THEN 'strong' END AS adx_strength, coalesce(pdi > mdi, false)::INT AS adx_bullish FROM y""")
+ e AS (SELECT symbol, t, {exp_mean('tr', 2 / 15)} AS a, {exp_mean('pu', 2 / 15)} AS u, {exp_mean('pd', 2 / 15)} AS d FROM m {W}), i AS (SELECT *, 100 * u / nullif(a, 0) AS pdi, 100 * d / nullif(a, 0) AS mdi FROM e),
+ x AS (SELECT *, 100 * abs(pdi - mdi) / nullif(pdi + mdi, 0) AS dx FROM i), y AS (SELECT *, {exp_mean('dx', 2 / 15)} AS adx FROM x {W})
+ SELECT symbol, t, round(pdi, 6) AS plus_di, round(mdi, 6) AS minus_di, round(adx, 6) AS adx, CASE WHEN adx <= 0 THEN NULL WHEN adx <= 20 THEN 0.0::DOUBLE WHEN adx <= 40 THEN 1.0::DOUBLE WHEN adx <= 100 THEN 2.0::DOUBLE END AS trend_strength,
+ coalesce(pdi > mdi AND adx > 20, false)::INT AS adx_bullish, coalesce(mdi > pdi AND adx > 20, false)::INT AS adx_bearish FROM y""")
 def technical_adx(spark, sf_dir):
-    return result(K.adx(bars(spark, sf_dir)), "symbol", "timestamp", "plus_di", "minus_di", "adx", "adx_strength", "adx_bullish")
+    return result(K.adx(bars(spark, sf_dir)), "symbol", "timestamp", "plus_di", "minus_di", "adx", "trend_strength", "adx_bullish", "adx_bearish")
 
 
-@query(f"""WITH {BARS}, m AS (SELECT *, {win('avg(close)', 10)} AS s10, {win('avg(close)', 20)} AS s20, {win('avg(close)', 50)} AS s50 FROM bars), a AS (SELECT *, coalesce(s20 > s50, false) AS a FROM m)
- SELECT symbol, t, round(s10, 6) AS sma_10, round(s20, 6) AS sma_20, round(s50, 6) AS sma_50, coalesce(close > s20, false)::INT AS above_sma_20, round((s10 - s50) / s50, 6) AS ma_spread, (a AND NOT coalesce(lag(a) OVER w, true))::INT AS golden_cross, (NOT a AND coalesce(lag(a) OVER w, false))::INT AS death_cross FROM a {W}""")
+@query(f"""WITH {BARS}, m AS (SELECT *, {win('avg(close)', 10)} AS s10, {win('avg(close)', 20)} AS s20, {win('avg(close)', 50)} AS s50, {exp_mean('close', 2 / 13)} AS e12, {exp_mean('close', 2 / 27)} AS e26 FROM bars {W}), a AS (SELECT *, coalesce(s20 > s50, false) AS a FROM m)
+ SELECT symbol, t, round(s10, 6) AS sma_10, round(s20, 6) AS sma_20, round(s50, 6) AS sma_50, round(e12, 6) AS ema_12, round(e26, 6) AS ema_26, round((close - s10) / s10, 6) AS close_vs_sma_10, round((close - s50) / s50, 6) AS close_vs_sma_50, coalesce(close > s20, false)::INT AS above_sma_20, coalesce(close > s50, false)::INT AS above_sma_50,
+ round((s20 - s50) / close, 6) AS ma_spread, (a AND NOT coalesce(lag(a) OVER w, true))::INT AS golden_cross, (NOT a AND coalesce(lag(a) OVER w, false))::INT AS death_cross FROM a {W}""")
 def technical_moving_averages(spark, sf_dir):
-    return result(K.moving_averages(bars(spark, sf_dir)), "symbol", "timestamp", "sma_10", "sma_20", "sma_50", "above_sma_20", "ma_spread", "golden_cross", "death_cross")
+    return result(K.moving_averages(bars(spark, sf_dir)), "symbol", "timestamp", "sma_10", "sma_20", "sma_50", "ema_12", "ema_26", "close_vs_sma_10", "close_vs_sma_50", "above_sma_20", "above_sma_50", "ma_spread", "golden_cross", "death_cross")
 
 
-@query(f"""WITH {BARS}, a AS (SELECT *, volume * coalesce(sign(close - lag(close) OVER w), 0) AS s, volume * coalesce(close / lag(close) OVER w - 1, 0) AS v, (high + low + close) / 3 AS tp FROM bars {W}),
+@query(f"""WITH {BARS}, b AS (SELECT *, volume * (t // 3600 % 4) / 4.0 AS tb FROM bars), r AS (SELECT *, tb / volume AS tr FROM b) SELECT symbol, t, round(tr, 6) AS taker_buy_ratio, round({win('avg(tr)', 20)}, 6) AS taker_buy_ratio_mean FROM r""")
+def technical_taker_ratio(spark, sf_dir):
+    rows = bars(spark, sf_dir).withColumn("taker_buy_volume", F.col("volume") * (F.floor(F.unix_seconds("timestamp") / 3600) % 4) / 4.0)
+    return result(K.taker_ratio(rows), "symbol", "timestamp", "taker_buy_ratio", "taker_buy_ratio_mean")
+
+
+@query(f"""WITH {BARS}, {RET}, v AS (SELECT *, {', '.join(f"({win('stddev_samp(return_1h)', n)}) * sqrt(8760.0) AS v{n}" for n in (6, 12, 24, 72))} FROM ret) SELECT symbol, t, {', '.join(f'round(v{n}, 4) AS annual_volatility_{n}' for n in (6, 12, 24, 72))}, round(v6 / v72, 6) AS volatility_ratio FROM v""")
+def technical_annual_volatility(spark, sf_dir):
+    rows = K.annual_volatility(bars(spark, sf_dir))
+    return result(rows.withColumns({f"annual_volatility_{n}": F.round(f"annual_volatility_{n}", 4) for n in (6, 12, 24, 72)}), "symbol", "timestamp", *[f"annual_volatility_{n}" for n in (6, 12, 24, 72)], "volatility_ratio")
+
+
+@query(f"""WITH {BARS}, a AS (SELECT *, volume * sign(close - lag(close) OVER w) AS s, volume * (close / lag(close) OVER w - 1) AS v, (high + low + close) / 3 AS tp FROM bars {W}),
  b AS (SELECT *, sum(s) OVER w AS obv, sum(v) OVER w AS vpt, CASE WHEN tp > lag(tp) OVER w THEN tp * volume ELSE 0 END AS pos, CASE WHEN tp < lag(tp) OVER w THEN tp * volume ELSE 0 END AS neg FROM a {W})
  SELECT symbol, t, round(volume / ({win('avg(volume)', 20)}), 6) AS volume_ratio_20, coalesce(volume / ({win('avg(volume)', 20)}) > 2, false)::INT AS volume_spike, round(obv, 6) AS obv, round(vpt, 3) AS volume_price_trend, coalesce(obv > ({win('avg(obv)', 20)}), false)::INT AS obv_rising,
  round(100 - 100 / (1 + ({win('sum(pos)', 14)}) / nullif(({win('sum(neg)', 14)}), 0)), 6) AS mfi_14 FROM b""")

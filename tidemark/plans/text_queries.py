@@ -120,17 +120,17 @@ def sentiment_dynamics(spark, sf_dir):
     return result(T.dynamics(_series(spark, sf_dir)), "symbol", "timestamp", "velocity", "acceleration", "mean_6", "momentum_24")
 
 
-@query(f"""WITH {POSTS}, d AS (SELECT symbol, t // 3600 * 3600 AS t, count(*) AS n, stddev_samp(s) AS sd, median(s) AS m, quantile_cont(s, 0.75) - quantile_cont(s, 0.25) AS iqr, max(s) AS mx, min(s) AS mn, avg((s > 0.5)::INT) AS eu, avg((abs(s) < 0.1)::INT) AS ne, avg(abs(s)) AS po FROM posts GROUP BY 1, 2)
- SELECT symbol, t, n, round(sd, 6) AS std, round(m, 6) AS median, round(iqr, 6) AS iqr, round(mx - mn, 6) AS range, round(eu, 6) AS extreme_up, round(ne, 6) AS neutral, round(po, 6) AS polarity, round(1 - least(sd, 1), 6) AS consensus FROM d WHERE n >= 2""")
+@query(f"""WITH {POSTS}, d AS (SELECT symbol, t // 3600 * 3600 AS t, count(*) AS n, stddev_samp(s) AS sd, median(s) AS m, quantile_cont(s, 0.75) - quantile_cont(s, 0.25) AS iqr, max(s) AS mx, min(s) AS mn, avg((s > 0.5)::INT) AS eu, avg((s >= -0.1 AND s <= 0.1)::INT) AS ne, abs(avg(s)) / (stddev_samp(s) + 0.01) AS po FROM posts GROUP BY 1, 2)
+ SELECT symbol, t, n, round(sd, 6) AS std, round(m, 6) AS median, round(iqr, 6) AS iqr, round(mx - mn, 6) AS range, round(eu, 6) AS extreme_up, round(ne, 6) AS neutral, round(po, 6) AS polarity, round(1 - least(sd / 0.5, 1), 6) AS consensus FROM d WHERE n >= 2""")
 def sentiment_distribution(spark, sf_dir):
     return result(T.distribution(scored(spark, sf_dir)), "symbol", "timestamp", "n", "std", "median", "iqr", "range", "extreme_up", "neutral", "polarity", "consensus")
 
 
 @query(f"""WITH {POSTS}, e AS (SELECT symbol, t // 3600 * 3600 AS t, s, (greatest(score, 0) + 2 * num_comments)::DOUBLE AS e FROM posts), q AS (SELECT *, quantile_cont(e, 0.8) OVER (PARTITION BY symbol, t) AS top FROM e),
- a AS (SELECT symbol, t, coalesce(sum(ln(1 + e) * s) / nullif(sum(ln(1 + e)), 0), avg(s)) AS w, avg(s) FILTER (e >= top) AS h, avg(s) AS m, sum(e) AS te, max(e) AS me FROM q GROUP BY 1, 2)
- SELECT symbol, t, round(w, 6) AS weighted_mean, round(h, 6) AS high_mean, round(h - m, 6) + 0.0 AS divergence, te AS total_engagement, me AS max_engagement FROM a""")
+ a AS (SELECT symbol, t, coalesce(sum(ln(1 + e) * s) / nullif(sum(ln(1 + e)), 0), avg(s)) AS w, avg(s) FILTER (e >= top) AS h, avg(s) AS m, sum(e) AS te, max(e) AS me, avg(e) AS ae, coalesce(stddev_samp(e), 0) AS se FROM q GROUP BY 1, 2)
+ SELECT symbol, t, round(w, 6) AS weighted_mean, round(h, 6) AS high_mean, round(w - m, 6) + 0.0 AS divergence, te AS total_engagement, me AS max_engagement, round(ae, 6) AS mean_engagement, round(se, 6) AS std_engagement FROM a""")
 def sentiment_engagement(spark, sf_dir):
-    return result(T.engagement(scored(spark, sf_dir)), "symbol", "timestamp", "weighted_mean", "high_mean", "divergence", "total_engagement", "max_engagement").withColumn("divergence", F.col("divergence") + 0.0)
+    return result(T.engagement(scored(spark, sf_dir)), "symbol", "timestamp", "weighted_mean", "high_mean", "divergence", "total_engagement", "max_engagement", "mean_engagement", "std_engagement").withColumn("divergence", F.col("divergence") + 0.0)
 
 
 @query(f"""WITH {POSTS}, e AS (SELECT symbol, t // 3600 * 3600 AS t, lower(source) AS source, avg(s) AS m FROM posts GROUP BY 1, 2, 3) SELECT symbol, t, round(max(m) FILTER (source = 'src0'), 6) AS mean_src0, round(max(m) FILTER (source = 'src1'), 6) AS mean_src1, round(1 - coalesce(stddev_samp(m), 0), 6) AS agreement FROM e GROUP BY 1, 2""")
@@ -143,29 +143,50 @@ def sentiment_level_regime(spark, sf_dir):
     return result(T.level_regime(_series(spark, sf_dir)), "symbol", "timestamp", "level")
 
 
-@query(f"""WITH {POSTS}, {SERIES}, c AS (SELECT *, avg(sentiment) OVER x AS m, stddev_samp(sentiment) OVER x AS sd, avg((sentiment > 0)::INT) OVER x AS b FROM ser WINDOW x AS (PARTITION BY t)) SELECT symbol, t, round(m, 6) AS market_mean, round(sd, 6) AS market_std, round(b, 6) AS market_breadth FROM c""")
+@query(f"""WITH {POSTS}, {SERIES}, c AS (SELECT *, avg(sentiment) OVER x AS m, stddev_samp(sentiment) OVER x AS sd, (count(*) FILTER (sentiment > 0) OVER x) / (SELECT count(DISTINCT symbol) FROM ser) AS b FROM ser WINDOW x AS (PARTITION BY t))
+ SELECT symbol, t, round(m, 6) AS market_mean, round(sd, 6) AS market_std, round(b, 6) AS market_breadth, round(sentiment - m, 6) + 0.0 AS relative, round((sentiment - m) / nullif(sd, 0), 5) + 0.0 AS zscore FROM c""")
 def sentiment_cross_symbol(spark, sf_dir):
-    return result(T.cross_symbol(_series(spark, sf_dir)), "symbol", "timestamp", "market_mean", "market_std", "market_breadth")
+    rows = T.cross_symbol(_series(spark, sf_dir)).withColumn("zscore", F.round("zscore", 5))
+    rows = result(rows, "symbol", "timestamp", "market_mean", "market_std", "market_breadth", "relative", "zscore")
+    return rows.withColumn("relative", F.col("relative") + 0.0).withColumn("zscore", F.col("zscore") + 0.0)
 
 
-@query(f"""WITH {BARS}, {POSTS}, a AS (SELECT t // 3600 * 3600 AS t, avg(s) AS m, count(*) AS n FROM posts WHERE doc_id % 3 != 0 GROUP BY 1) SELECT b.symbol, b.t, round(coalesce(m, 0), 6) AS sentiment_mean, coalesce(n, 0) AS sentiment_count, (a.t IS NULL)::INT AS sentiment_join_missing FROM bars b LEFT JOIN a ON a.t = b.t""")
+@query(f"""WITH {BARS}, {POSTS}, a AS (SELECT t // 3600 * 3600 AS t, avg(s) AS m, count(*) AS n FROM posts GROUP BY 1) SELECT b.symbol, b.t, round(coalesce(m, 0), 6) AS sentiment_mean, coalesce(n, 0) AS sentiment_count, (a.t IS NULL)::INT AS sentiment_join_missing FROM bars b LEFT JOIN a ON a.t = b.t""")
 def join_market_sentiment(spark, sf_dir):
-    h = scored(spark, sf_dir).where("doc_id % 3 != 0").groupBy(F.date_trunc("hour", "timestamp").alias("timestamp")).agg(F.avg("sentiment_score").alias("sentiment_mean"), F.count(F.lit(1)).alias("sentiment_count"))
+    h = scored(spark, sf_dir).groupBy(F.date_trunc("hour", "timestamp").alias("timestamp")).agg(F.avg("sentiment_score").alias("sentiment_mean"), F.count(F.lit(1)).alias("sentiment_count"))
     return result(T.join_sentiment(bars(spark, sf_dir), h, ["sentiment_mean", "sentiment_count"]), "symbol", "timestamp", "sentiment_mean", "sentiment_count", "sentiment_join_missing")
 
 
-@query(f"WITH {BARS}, {POSTS}, m AS (SELECT t AS bar_t, close FROM bars WHERE symbol = 'purchase'), p AS (SELECT doc_id, t + doc_id % 3600 AS pt FROM posts) SELECT doc_id, bar_t, round(close, 6) AS close FROM p ASOF LEFT JOIN m ON m.bar_t >= p.pt")
+@query(f"WITH {BARS}, {POSTS}, s AS (SELECT DISTINCT symbol FROM bars), p AS (SELECT doc_id, s.symbol, t + doc_id % 3600 AS pt FROM posts, s) SELECT p.doc_id, p.symbol, bars.t AS bar_t, round(close, 6) AS close FROM p ASOF LEFT JOIN bars ON p.symbol = bars.symbol AND bars.t >= p.pt")
 def join_as_of_forward(spark, sf_dir):
-    market = bars(spark, sf_dir).where("symbol = 'purchase'").select(F.lit(1).alias("one"), "timestamp", F.unix_seconds("timestamp").alias("bar_t"), "close")
-    p = posts(spark, sf_dir).select("doc_id", F.lit(1).alias("one"), F.timestamp_seconds(F.unix_seconds("timestamp") + F.col("doc_id") % 3600).alias("at"))
-    return result(as_of(p, market, ["one"], F.col("at"), F.col("timestamp"), ["bar_t", "close"], forward=True), "doc_id", "bar_t", "close")
+    """Each post with the next bar of every symbol (a handful, so posts are repeated by them)."""
+    market = bars(spark, sf_dir).select("symbol", "timestamp", F.unix_seconds("timestamp").alias("bar_t"), "close")
+    p = posts(spark, sf_dir).select("doc_id", F.timestamp_seconds(F.unix_seconds("timestamp") + F.col("doc_id") % 3600).alias("at"))
+    p = p.join(F.broadcast(market.select("symbol").distinct()), how="cross")
+    return result(as_of(p, market, ["symbol"], F.col("at"), F.col("timestamp"), ["bar_t", "close"], forward=True), "doc_id", "symbol", "bar_t", "close")
 
 
-@query(f"""WITH {BARS}, {RET}, {POSTS}, r AS (SELECT t, return_1h AS r FROM ret WHERE symbol = 'view'), l AS (SELECT unnest(range(1, 25)) AS lag), j AS (SELECT l.lag, p.score, p.s, r.r FROM posts p CROSS JOIN l JOIN r ON r.t = p.t // 3600 * 3600 + l.lag * 3600 WHERE r.r IS NOT NULL)
- SELECT lag::INT AS lag, round(corr(score, r), 6) AS corr_engagement, round(corr(s, r), 6) AS corr_sentiment, count(*) AS n FROM j GROUP BY lag""")
+LAG_SQL = f"""{RET}, {POSTS}, l AS (SELECT unnest(range(1, 25)) AS lag), j AS (SELECT r.symbol, l.lag, p.score, p.s, r.return_1h AS r FROM posts p CROSS JOIN l JOIN ret r ON r.t = p.t // 3600 * 3600 + l.lag * 3600 WHERE r.return_1h IS NOT NULL),
+ c AS (SELECT symbol, lag::INT AS lag, corr(score, r) AS ce, corr(s, r) AS cs, count(*) AS n FROM j GROUP BY 1, 2)"""
+
+
+@query(f"WITH {BARS}, {LAG_SQL} SELECT symbol, lag, round(ce, 5) AS corr_engagement, round(cs, 5) AS corr_sentiment, n FROM c")
 def study_lead_lag(spark, sf_dir):
-    market = X.returns(bars(spark, sf_dir), [1]).where("symbol = 'view'")
-    return result(T.lead_lag(scored(spark, sf_dir), market, list(range(1, 25))), "lag", "corr_engagement", "corr_sentiment", "n")
+    rows = T.lead_lag(scored(spark, sf_dir), X.returns(bars(spark, sf_dir), [1]), list(range(1, 25)))
+    return rows.select("symbol", "lag", F.round("corr_engagement", 5).alias("corr_engagement"), F.round("corr_sentiment", 5).alias("corr_sentiment"), "n")
+
+
+@query(f"""WITH {BARS}, {LAG_SQL}, m AS (SELECT lag, avg(ce) AS ce, avg(cs) AS cs FROM c GROUP BY lag) SELECT lag, round(ce, 5) AS corr_engagement, round(cs, 5) AS corr_sentiment,
+ (row_number() OVER (ORDER BY abs(ce) DESC, lag) = 1)::INT AS best_engagement, (row_number() OVER (ORDER BY abs(cs) DESC, lag) = 1)::INT AS best_sentiment FROM m""")
+def study_best_lag(spark, sf_dir):
+    rows = T.mean_lags(T.lead_lag(scored(spark, sf_dir), X.returns(bars(spark, sf_dir), [1]), list(range(1, 25))))
+    return rows.withColumns({c: F.round(c, 5) for c in ("corr_engagement", "corr_sentiment")})
+
+
+@query(f"""WITH {POSTS}, {SERIES}, r AS (SELECT *, count(*) OVER (PARTITION BY symbol) >= 6 AS long, lag(sentiment, 3) OVER w AS e, min(sentiment) OVER (PARTITION BY symbol ORDER BY t ROWS BETWEEN 8 PRECEDING AND 3 PRECEDING) AS lo, max(sentiment) OVER (PARTITION BY symbol ORDER BY t ROWS BETWEEN 8 PRECEDING AND 3 PRECEDING) AS hi, sentiment - lag(sentiment) OVER w AS v FROM ser {W})
+ SELECT symbol, t, CASE WHEN long AND e >= hi * 0.9::DOUBLE AND sentiment < e - 0.2::DOUBLE THEN -1 WHEN long AND e <= lo * 1.1::DOUBLE AND sentiment > e + 0.2::DOUBLE THEN 1 ELSE 0 END AS reversal, CASE WHEN v <= -0.05 THEN -2 WHEN v <= -0.01 THEN -1 WHEN v <= 0.01 THEN 0 WHEN v <= 0.05 THEN 1 WHEN v IS NOT NULL THEN 2 END AS velocity_code FROM r""")
+def sentiment_reversals(spark, sf_dir):
+    return result(T.velocity_regime(T.dynamics(T.reversals(_series(spark, sf_dir)))), "symbol", "timestamp", "reversal", "velocity_code")
 
 
 @query(f"WITH {BARS}, c AS (SELECT corr(open, close) AS oc, corr(open, volume) AS ov, corr(close, volume) AS cv FROM bars) SELECT 'open' AS a, 'close' AS b, round(oc, 6) AS r FROM c UNION ALL SELECT 'open', 'volume', round(ov, 6) FROM c UNION ALL SELECT 'close', 'volume', round(cv, 6) FROM c")
@@ -173,6 +194,10 @@ def study_correlations(spark, sf_dir):
     return result(T.correlation_pairs(bars(spark, sf_dir), ["open", "close", "volume"]), "a", "b", "r")
 
 
-@query("SELECT count(*) AS n, sum(('0x' || substr(sha256(coalesce(o_orderkey::VARCHAR, '') || '|' || coalesce(o_orderstatus, '')), 1, 12))::BIGINT)::VARCHAR AS digest FROM orders")
+HASHED = ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"]
+QUOTED = " || ".join(f"coalesce(length({c}::VARCHAR)::VARCHAR, '-') || ':' || coalesce({c}::VARCHAR, '')" for c in HASHED)
+
+
+@query(f"WITH h AS (SELECT sha256({QUOTED}) AS h FROM orders) SELECT count(*) AS n, " + ", ".join(f"sum(('0x' || substr(h, {16 * k + 1}, 16))::UBIGINT)::VARCHAR AS digest_{k}" for k in range(4)) + " FROM h")
 def dataset_content_hash(spark, sf_dir):
-    return T.content_hash(spark.read.parquet(f"{sf_dir}/orders.parquet"), ["o_orderkey", "o_orderstatus"])
+    return T.content_hash(spark.read.parquet(f"{sf_dir}/orders.parquet"), HASHED)

@@ -66,10 +66,27 @@ def threshold_sweep(scored: DataFrame, thresholds: Sequence[float], keys: Sequen
     return ledger.metrics(ledger.equity(rows, by), ledger.trades(rows, by), by).withColumn("cash_return", F.lit(0.0))
 
 
-def summarize_thresholds(m: DataFrame, keys: Sequence[str], least_trades: int = 1, most_drawdown: float = -0.5, least_return: float = 0.0) -> DataFrame:
-    """Medians and sums over the folds per threshold, and whether it is eligible."""
-    rows = m.groupBy(*keys, "threshold").agg(F.sum("n_trades").alias("n_trades"), F.median("total_return").alias("median_return"), F.median("max_drawdown").alias("median_drawdown"), F.median("turnover").alias("median_turnover"), F.count(F.lit(1)).alias("n_folds"))
-    return rows.withColumn("eligible", ((F.col("n_trades") >= least_trades) & (F.col("median_drawdown") >= most_drawdown) & (F.col("median_return") >= least_return)).cast("int"))
+def summarize_thresholds(m: DataFrame, keys: Sequence[str], kind: str = "return", most_exposure: float = 0.9) -> DataFrame:
+    """Medians and sums over the folds per threshold, the filters it passes, and whether it is eligible.
+
+    kind "return": trades, a median return of 0 or more and not below cash; "regime": trades, a return above cash and
+    above buy and hold (column buy_hold_return); "interval": that, and an exposure of most_exposure at most."""
+    mean = [c for c in ("precision", "recall", "f1") if c in m.columns]
+    median = [c for c in ("cash_return", "buy_hold_return") if c in m.columns]
+    rows = m.groupBy(*keys, "threshold").agg(
+        F.sum("n_trades").alias("n_trades"), F.median("total_return").alias("median_return"), F.median("max_drawdown").alias("median_drawdown"), F.median("turnover").alias("median_turnover"), F.median("exposure").alias("median_exposure"), F.count(F.lit(1)).alias("n_folds"),
+        *[F.median(c).alias(f"median_{c}") for c in median], *[F.avg(c).alias(f"mean_{c}") for c in mean],
+    )
+    r, cash = F.col("median_return"), F.col("median_cash_return") if "cash_return" in median else F.lit(0.0)
+    passes = {"trades": F.col("n_trades") > 0}
+    if kind == "return":
+        passes |= {"return": r >= 0, "cash": r >= cash}
+    else:
+        passes |= {"cash": r > cash, "buy_hold": r > F.col("median_buy_hold_return")}
+        if kind == "interval":
+            passes["exposure"] = F.col("median_exposure") <= most_exposure
+    rows = rows.withColumns({f"passes_{n}": F.coalesce(c, F.lit(False)).cast("int") for n, c in passes.items()})
+    return rows.withColumn("eligible", F.least(*[F.col(f"passes_{n}") for n in passes]))
 
 
 def rank_eligible(df: DataFrame, keys: Sequence[str], order: Sequence) -> DataFrame:
@@ -78,12 +95,43 @@ def rank_eligible(df: DataFrame, keys: Sequence[str], order: Sequence) -> DataFr
     return df.withColumn("rank", F.when(F.col("eligible") == 1, F.row_number().over(w)))
 
 
-def select_threshold(summary: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Highest return, then smallest drawdown, turnover and threshold."""
-    order = [F.col("median_return").desc(), F.abs(F.col("median_drawdown")), F.col("median_turnover"), F.col("threshold")]
+def select_threshold(summary: DataFrame, keys: Sequence[str], by_exposure: bool = False) -> DataFrame:
+    """Highest return, then smallest drawdown, turnover (exposure) and threshold."""
+    order = [F.col("median_return").desc(), F.abs(F.col("median_drawdown")), F.col("median_turnover"), *[F.col("median_exposure")] * by_exposure, F.col("threshold")]
     return rank_eligible(summary, keys, order).where("rank = 1")
 
 
+#: The threshold that every probability reaches: buy and hold, evaluated in the same sweep.
+ALWAYS = -1.0
+#: The fold number of the holdout rows.
+HOLDOUT = -1
+
+
+def evaluate_grid(scored: DataFrame, keys: Sequence[str], thresholds: Sequence[float], min_train: int, test: int, step: int, share: float = 0.2) -> DataFrame:
+    """Ledger metrics of every candidate (keys), fold and threshold, the holdout (fold HOLDOUT) and buy and hold included:
+    candidates, folds and thresholds are keys of one sweep. buy_hold_return stands beside each row."""
+    rows = split_holdout(scored, share, keys)
+    development = rows.where("part = 'development'").drop("part")
+    folds = walk_forward(development.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")), min_train, test, step)
+    tested = assign_folds(development, folds, keys).drop("pos").unionByName(rows.where("part = 'holdout'").drop("part").withColumn("fold", F.lit(HOLDOUT)))
+    m = threshold_sweep(tested, [ALWAYS, *thresholds], [*keys, "fold"])
+    held = m.where(F.col("threshold") == ALWAYS).select(*keys, "fold", F.col("total_return").alias("buy_hold_return"))
+    return m.where(F.col("threshold") != ALWAYS).join(held, [*keys, "fold"])
+
+
+def select_and_confirm(m: DataFrame, keys: Sequence[str], kind: str = "interval", most_exposure: float = 0.9) -> DataFrame:
+    """Per candidate the selected threshold with its development medians, the holdout's metrics at it, the rank among the
+    candidates, and a decision: confirmed where the holdout is above cash and above buy and hold."""
+    summary = summarize_thresholds(m.where(F.col("fold") != HOLDOUT), keys, kind, most_exposure)
+    chosen = select_threshold(summary, keys, by_exposure=kind == "interval").drop("rank", "eligible")
+    names = ["total_return", "max_drawdown", "exposure", "n_trades", "buy_hold_return"]
+    holdout = m.where(F.col("fold") == HOLDOUT).select(*keys, "threshold", *[F.col(c).alias(f"holdout_{c}") for c in names])
+    out = chosen.join(holdout, [*keys, "threshold"], "left")
+    good = (F.col("holdout_total_return") > 0) & (F.col("holdout_total_return") > F.col("holdout_buy_hold_return"))
+    out = out.withColumn("decision", F.when(F.coalesce(good, F.lit(False)), "confirmed").otherwise("not_confirmed"))
+    return out.withColumn("rank", F.row_number().over(Window.orderBy(F.col("median_return").desc(), *keys)))  # one row per candidate
+
+
 def label_grid(df: DataFrame, horizons: Sequence[int], costs: dict[str, float], vols: Sequence[float]) -> DataFrame:
     """Every row once per candidate (horizon, cost, vol multiplier) with its label: one pass, candidates as keys."""
     w = ordered()
@@ -135,17 +183,16 @@ def fit_logistic(df: DataFrame, features: Sequence[str], keys: Sequence[str], ta
             yield rows[list(keys)].assign(beta=out)
 
     for _ in range(steps):
-        joined = df.join(F.broadcast(beta), list(keys))  # one row per cell
+        joined = df.join(beta, list(keys))  # one row per cell
         eta = sum((F.col("beta")[i] * F.expr(f) for i, f in enumerate(x)), F.lit(0.0))
         rows = joined.withColumn("_p", 1 / (1 + F.exp(-eta))).withColumn("_w", F.col("_p") * (1 - F.col("_p")))
         sums = [F.sum(F.col("_w") * F.expr(x[i]) * F.expr(x[j])).alias(f"h{i}_{j}") for i in range(k) for j in range(i, k)] + [F.sum((F.col(target) - F.col("_p")) * F.expr(x[i])).alias(f"g{i}") for i in range(k)]
         cells = rows.groupBy(*keys).agg(F.first("beta").alias("beta"), *sums)
-        rows_ = cells.select(*keys, "beta", *names).mapInPandas(solve, spec).collect()  # one row per cell
-        beta = df.sparkSession.createDataFrame(rows_, spec)
+        beta = cells.select(*keys, "beta", *names).mapInPandas(solve, spec).checkpoint()
     return beta
 
 
 def predict(df: DataFrame, beta: DataFrame, features: Sequence[str], keys: Sequence[str]) -> DataFrame:
     x = _design(features)
     eta = sum((F.col("beta")[i] * F.expr(f) for i, f in enumerate(x)), F.lit(0.0))
-    return df.join(F.broadcast(beta), list(keys)).withColumn("probability", 1 / (1 + F.exp(-eta))).drop("beta")
+    return df.join(beta, list(keys)).withColumn("probability", 1 / (1 + F.exp(-eta))).drop("beta")
