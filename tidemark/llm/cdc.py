@@ -133,19 +133,29 @@ def whole_copies(docs: DataFrame) -> DataFrame:
     return materialize(rows.join(first, ["key", "check"]).where("doc_id != first_doc_id").select("doc_id", "key", "first_doc_id").distinct(), "copies")
 
 
-def _without(rows: DataFrame, copies: DataFrame, bits: np.ndarray) -> DataFrame:
-    """The rows that are no copies: those without a bit pass, the others are joined exactly."""
-    other = filtered(rows, bits).join(apart(copies.select("doc_id", "key")), ["doc_id", "key"], "left_anti")
-    return filtered(rows, bits, with_bit=False).unionByName(other)
+#: Tables of rows with the bits of the doc_ids that are to be left out while they are read (None: none).
+Sources = list[tuple[DataFrame, np.ndarray | None]]
 
 
-def chunks(rows: DataFrame) -> DataFrame:
+def _without(rows: DataFrame, copies: DataFrame) -> Sources:
+    """The rows that are no copies: those without a bit are read as they are, the others are joined exactly."""
+    if copies.isEmpty():
+        return [(rows, None)]
+    bits = bit_map(copies.select("doc_id"))
+    return [(rows, bits), (filtered(rows, bits).join(apart(copies.select("doc_id", "key")), ["doc_id", "key"], "left_anti"), None)]
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
+def chunks(rows: DataFrame, without: np.ndarray | None = None) -> DataFrame:
     """digest, doc_id, pos (first word * 256 + words) of every chunk."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         free_units()
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch if without is None else of_ids(batch, without, with_bit=False)):
                 words = words_of(part.column("text"))
                 ends, _ = chunk_ends(words)
                 starts = np.concatenate(([0], ends[:-1])) if len(ends) else ends
@@ -158,9 +168,9 @@ def chunks(rows: DataFrame) -> DataFrame:
     return rows.select("doc_id", "text").mapInArrow(run, "digest long, doc_id long, pos long")
 
 
-def candidates(rows: DataFrame) -> DataFrame:
+def candidates(sources: Sources) -> DataFrame:
     """doc_id, pos: the chunks that other documents hold too, of documents with LEAST_WORDS words of them in a row."""
-    cut = materialize(chunks(rows), "chunks")
+    cut = materialize(_union([chunks(*source) for source in sources]), "chunks")
     shared = cut.groupBy("digest").agg(F.min("doc_id").alias("_lo"), F.max("doc_id").alias("_hi")).where("_lo < _hi").select("digest")
     grouped = cut.join(shared, "digest").groupBy("doc_id").agg(F.collect_set("pos").alias("pos"))  # at most a document's chunks
 
@@ -224,11 +234,12 @@ def of_ids(batch: pa.RecordBatch, bits: np.ndarray, with_bit: bool = True, colum
     return batch.filter(pa.array(there == with_bit))
 
 
-def filtered(rows: DataFrame, bits: np.ndarray, with_bit: bool = True, column: str = "doc_id") -> DataFrame:
+def filtered(rows: DataFrame, bits: np.ndarray, with_bit: bool = True, column: str = "doc_id", without: np.ndarray | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         free_units()
         for batch in batches:
-            yield of_ids(batch, bits, with_bit, column)
+            batch = of_ids(batch, bits, with_bit, column)
+            yield batch if without is None else of_ids(batch, without, with_bit=False, column=column)
 
     return rows.mapInArrow(run, rows.schema)
 
@@ -258,7 +269,7 @@ def possible_starts(words: Words, shared: list[np.ndarray], min_words: int) -> n
     return np.flatnonzero(ok & (np.arange(len(ok)) <= whole))
 
 
-def runs(rows: DataFrame, found: DataFrame, min_words: int) -> DataFrame:
+def runs(sources: Sources, found: DataFrame, min_words: int) -> DataFrame:
     """h1, h2, doc_id, key (hash of the text), at (first word), chars (first << 32 | behind) of the runs to compare."""
     names = ["h1", "h2", "doc_id", "key", "at", "chars"]
 
@@ -280,11 +291,12 @@ def runs(rows: DataFrame, found: DataFrame, min_words: int) -> DataFrame:
                 columns = [pa.array(lanes[0]), pa.array(lanes[1]), part.column("doc_id").take(row), part.column("key").take(row), pa.array(starts - first[text]), pa.array(chars)]
                 yield pa.RecordBatch.from_arrays([c.cast(pa.int64()) for c in columns], names)
 
-    own = filtered(rows, bit_map(found.select("doc_id"))).join(apart(found), "doc_id").select("doc_id", "key", "text", "pos")
-    return own.mapInArrow(run, ", ".join(f"{c} long" for c in names))
+    bits = bit_map(found.select("doc_id"))
+    own = [filtered(rows, bits, without=without).join(apart(found), "doc_id").select("doc_id", "key", "text", "pos") for rows, without in sources]
+    return _union(own).mapInArrow(run, ", ".join(f"{c} long" for c in names))
 
 
-def _whole_passages(rows: DataFrame, copies: DataFrame, bits: np.ndarray, min_words: int) -> DataFrame:
+def _whole_passages(rows: DataFrame, copies: DataFrame, min_words: int) -> DataFrame:
     names = ["doc_id", "key", "start_char", "end_char", "n_words", "first_doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -299,18 +311,17 @@ def _whole_passages(rows: DataFrame, copies: DataFrame, bits: np.ndarray, min_wo
             columns = zip(*found, strict=True) if found else [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
 
-    held = filtered(rows, bits).join(apart(copies), ["doc_id", "key"]).select("doc_id", "key", "text", "first_doc_id")
+    held = filtered(rows, bit_map(copies.select("doc_id"))).join(apart(copies), ["doc_id", "key"]).select("doc_id", "key", "text", "first_doc_id")
     return held.mapInArrow(run, ", ".join(f"{c} long" for c in names)).distinct()
 
 
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, key (hash of its text), start_char, end_char, n_words, first_doc_id of every repeated passage."""
     copies = whole_copies(docs)
-    bits = bit_map(copies.select("doc_id"))
     rows = _keyed(docs).drop("check")
-    distinct = _without(rows, copies, bits)
-    found = candidates(distinct)
-    held = materialize(runs(distinct, found, min_words), "runs")
+    sources = _without(rows, copies)
+    found = candidates(sources)
+    held = materialize(runs(sources, found, min_words), "runs")
     firsts = held.groupBy("h1", "h2").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("_hi")).where("first_doc_id < _hi").drop("_hi")
     hits = held.join(firsts, ["h1", "h2"]).where("doc_id != first_doc_id")
     place = F.dense_rank().over(Window.partitionBy("doc_id", "key", "first_doc_id").orderBy("at"))  # at most a document's words
@@ -318,7 +329,8 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         F.min(F.shiftright("chars", 32)).alias("start_char"), F.max(F.col("chars").bitwiseAND(F.lit((1 << 32) - 1))).alias("end_char"), (F.max("at") - F.min("at") + min_words).cast("long").alias("n_words")
     )
     passages = passages.select("doc_id", "key", "start_char", "end_char", "n_words", "first_doc_id")
-    out = materialize(passages.unionByName(_whole_passages(rows, copies, bits, min_words)), "passages")
+    whole = [] if len(sources) == 1 else [_whole_passages(rows, copies, min_words)]
+    out = materialize(_union([passages, *whole]), "passages")
     discard(copies, found, held)
     return out
 

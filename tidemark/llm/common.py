@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Bytes of text that an Arrow operator takes in hand at once, and rows and bytes of an Arrow batch on its way to Python.
-SLICE_BYTES = 2_000_000
-BATCH_ROWS, BATCH_BYTES = "2000", "8000000"
+SLICE_BYTES = 1_500_000
+BATCH_ROWS, BATCH_BYTES = "2000", "4000000"
 
 def free_units() -> None:
     """Starts a task in a small worker: what an earlier task of a reused one left free, and a tokenizer's units, go."""

@@ -14,8 +14,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from tidemark.llm.common import trim
+
 #: A task forgets the units that it has encoded beyond this number, so that its memory is bounded.
-MAX_UNITS = 300_000
+MAX_UNITS = 200_000
 #: A character between units that are encoded together; units that hold it are encoded one by one.
 MARK = "\x01"
 #: ASCII punctuation but the apostrophe.
@@ -49,6 +51,7 @@ class UnitEncoder:
         self.mark = self._plain_ids([self.between])[0]
         self.keeps_space = keeps_space
         self.clear()
+        trim()  # reading the vocabulary takes several times its size
 
     def _plain_ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.plain.encode_batch_fast(texts, add_special_tokens=False)]
