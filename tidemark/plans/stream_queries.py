@@ -2,21 +2,30 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions.shared import new_path
 from tidemark.operators.candles import instant
-from tidemark.plans.market_queries import BARS, bars
 from tidemark.plans.base import query, result
+from tidemark.plans.market_queries import BARS, W, bars
+from tidemark.plans.text_queries import POSTS, scored
 from tidemark.streaming import stream as S
 
 
-def _checkpoint(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='spark-stream-')}"
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+def _source(spark: SparkSession, df: DataFrame) -> DataFrame:
+    """df as a file stream."""
+    folder = new_path(spark, "stream-source")
+    df.write.parquet(folder)
+    return spark.readStream.schema(df.schema).parquet(folder)
+
+
+def _run(spark: SparkSession, stream: DataFrame) -> DataFrame:
+    return S.run_to_table(stream, new_path(spark, "stream"))
+
+
+def _stateful(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,8 +42,7 @@ def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {BARS} SELECT symbol, t, open, high, low, close, volume FROM bars WHERE t + 3600 <= (SELECT epoch(max(ts)) - 7200 FROM events)")
 def stream_candles(spark, sf_dir):
     """Closed candles only: those that end before the watermark."""
-    name = f"candles_{uuid.uuid4().hex}"
-    return result(S.run_to_table(S.candles(ticks(spark, sf_dir)), name, _checkpoint(spark)), "symbol", "timestamp", "open", "high", "low", "close", "volume")
+    return result(_run(spark, S.candles(ticks(spark, sf_dir))), "symbol", "timestamp", "open", "high", "low", "close", "volume")
 
 
 @query("SELECT DISTINCT user_id FROM events")
@@ -42,14 +50,46 @@ def stream_unseen_users(spark, sf_dir):
     """The first event of each user while the watermark keeps the user."""
     events = _events(spark, sf_dir).select("user_id", instant("ts").alias("time"))
     rows = S.unseen(events, "user_id", "time", "100 days")
-    return S.run_to_table(rows, f"users_{uuid.uuid4().hex}", _checkpoint(spark)).select("user_id")
+    return _run(spark, rows).select("user_id")
+
 
+LEVELS = f"""pos AS (SELECT symbol, t, close, row_number() OVER w AS k FROM bars {W}), fil AS (SELECT symbol, t, k, close AS e, 1.01 / 1.26 * close AS y, 1.01 * (1 - 1.01 / 1.26) AS v FROM pos WHERE k = 1
+ UNION ALL SELECT pos.symbol, pos.t, pos.k, fil.e * 11 / 13 + pos.close * 2 / 13, fil.y + (fil.v + 0.01) / (fil.v + 0.26) * (pos.close - fil.y), (1 - (fil.v + 0.01) / (fil.v + 0.26)) * (fil.v + 0.01) FROM fil JOIN pos ON pos.symbol = fil.symbol AND pos.k = fil.k + 1)"""
 
-@query()
+
+@query(f"WITH RECURSIVE {BARS}, {LEVELS} SELECT symbol, t, round(e, 6) AS ewma, round(y, 6) AS kalman FROM fil")
 def stream_filters(spark, sf_dir):
     """EWMA and Kalman levels of the candles' closes with state per symbol, row by row as in the batch operators."""
-    folder = f"{_checkpoint(spark)}-bars"
-    bars(spark, sf_dir).select("symbol", "timestamp", F.col("close").alias("x")).write.parquet(folder)
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    rows = spark.readStream.schema("symbol string, timestamp timestamp, x double").parquet(folder)
-    return result(S.run_to_table(S.filters(rows, 2 / 13), f"filters_{uuid.uuid4().hex}", _checkpoint(spark)), "symbol", "timestamp", "ewma", "kalman")
+    _stateful(spark)
+    rows = _source(spark, bars(spark, sf_dir).select("symbol", "timestamp", F.col("close").alias("x")))
+    return result(_run(spark, S.filters(rows, 2 / 13)), "symbol", "timestamp", "ewma", "kalman")
+
+
+@query(f"WITH {BARS}, b AS (SELECT symbol, t // 14400 * 14400 AS t, first(open ORDER BY t) AS open, max(high) AS high, min(low) AS low, last(close ORDER BY t) AS close, sum(volume) AS volume, count(*) AS n FROM bars GROUP BY 1, 2) SELECT symbol, t, round(open, 6) AS open, round(high, 6) AS high, round(low, 6) AS low, round(close, 6) AS close, volume FROM b WHERE n = 4 AND t + 14400 <= (SELECT max(t) - 7200 FROM bars)")
+def stream_resample(spark, sf_dir):
+    """Complete 4-hour candles from a stream of 1-hour candles, as far as the watermark has come."""
+    rows = _source(spark, bars(spark, sf_dir).select("symbol", "timestamp", "open", "high", "low", "close", "volume"))
+    return result(_run(spark, S.resample(rows, 4)), "symbol", "timestamp", "open", "high", "low", "close", "volume")
+
+
+@query(f"WITH {POSTS} SELECT symbol, t // 3600 * 3600 AS t, round(avg(s), 6) AS sentiment_mean, count(*) AS sentiment_count FROM posts WHERE t // 3600 * 3600 + 3600 <= (SELECT max(t) - 7200 FROM posts) GROUP BY 1, 2")
+def stream_hourly_sentiment(spark, sf_dir):
+    rows = _source(spark, scored(spark, sf_dir).select("symbol", "timestamp", "sentiment_score"))
+    return result(_run(spark, S.hourly_sentiment(rows)), "symbol", "timestamp", "sentiment_mean", "sentiment_count")
+
+
+@query(f"WITH {BARS} SELECT symbol, t, round(close, 6) AS close, round(open / 2, 6) AS sentiment_mean, volume::BIGINT AS sentiment_count FROM bars WHERE volume > 1")
+def stream_with_sentiment(spark, sf_dir):
+    """Candles joined with a stream of hourly values that some hours lack; the hours that have met."""
+    b = bars(spark, sf_dir)
+    left = _source(spark, b.select("symbol", "timestamp", "close"))
+    right = _source(spark, b.where("volume > 1").select("symbol", "timestamp", (F.col("open") / 2).alias("sentiment_mean"), F.col("volume").cast("long").alias("sentiment_count")))
+    return result(_run(spark, S.with_sentiment(left, right)).where("sentiment_mean is not null"), "symbol", "timestamp", "close", "sentiment_mean", "sentiment_count")
+
+
+@query(f"WITH {BARS}, e AS (SELECT symbol, t, max(CASE WHEN t // 3600 % 9 = 0 THEN t END) OVER w AS x FROM bars {W}) SELECT symbol, t, coalesce(t - x < 4 * 3600, false)::INT AS cooling FROM e")
+def stream_cooldown(spark, sf_dir):
+    """Rows less than four hours behind their symbol's last exit, the exit kept in the state store."""
+    _stateful(spark)
+    rows = _source(spark, bars(spark, sf_dir).select("symbol", "timestamp", (F.floor(F.unix_seconds("timestamp") / 3600) % 9 == 0).alias("is_exit")))
+    return result(_run(spark, S.cooldown(rows, 4)), "symbol", "timestamp", "cooling")

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.shared import checkpointed
 from tidemark.functions.windows import ordered
 from tidemark.operators import ledger
 
@@ -188,7 +189,7 @@ def fit_logistic(df: DataFrame, features: Sequence[str], keys: Sequence[str], ta
         rows = joined.withColumn("_p", 1 / (1 + F.exp(-eta))).withColumn("_w", F.col("_p") * (1 - F.col("_p")))
         sums = [F.sum(F.col("_w") * F.expr(x[i]) * F.expr(x[j])).alias(f"h{i}_{j}") for i in range(k) for j in range(i, k)] + [F.sum((F.col(target) - F.col("_p")) * F.expr(x[i])).alias(f"g{i}") for i in range(k)]
         cells = rows.groupBy(*keys).agg(F.first("beta").alias("beta"), *sums)
-        beta = cells.select(*keys, "beta", *names).mapInPandas(solve, spec).checkpoint()
+        beta = checkpointed(cells.select(*keys, "beta", *names).mapInPandas(solve, spec))
     return beta
 
 

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
@@ -84,8 +85,47 @@ def filters(rows: DataFrame, alpha: float, q: float = 0.01, r: float = 0.25) ->
     return rows.groupBy("symbol").transformWithStateInPandas(_Filter(alpha, q, r), schema, "Append", "None")
 
 
-def run_to_table(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Runs a stream over what is there and returns its rows."""
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+class _Cooldown(StatefulProcessor):
+    """The last exit of a symbol, and whether an entry comes too soon after it. keep_ms: a symbol's state goes when it has
+    not been touched for so long (time to live)."""
+
+    def __init__(self, hours: float, keep_ms: int | None):
+        self.hours, self.keep_ms = hours, keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last_exit", "t double", ttlDurationMs=self.keep_ms) if self.keep_ms else handle.getValueState("last_exit", "t double")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        frame = pd.concat(list(rows)).sort_values("timestamp")
+        last = self.last.get()[0] if self.last.exists() else None
+        cooling = []
+        for t, is_exit in zip(frame["timestamp"].map(pd.Timestamp.timestamp), frame["is_exit"], strict=True):
+            if is_exit:
+                last = t
+            cooling.append(int(last is not None and t - last < self.hours * 3600))
+        if last is not None:
+            self.last.update((last,))
+        yield pd.DataFrame({"symbol": key[0], "timestamp": frame["timestamp"], "cooling": cooling})
+
+    def close(self) -> None:
+        pass
+
+
+def cooldown(rows: DataFrame, hours: float, keep_ms: int | None = None) -> DataFrame:
+    """rows(symbol, timestamp, is_exit): whether each row lies less than ``hours`` behind the last exit, itself included.
+    With keep_ms the state is dropped by its age, which needs processing time."""
+    return rows.groupBy("symbol").transformWithStateInPandas(_Cooldown(hours, keep_ms), "symbol string, timestamp timestamp, cooling int", "Append", "ProcessingTime" if keep_ms else "None")
+
+
+def run_to_table(stream: DataFrame, checkpoint: str) -> DataFrame:
+    """Runs a stream over what is there into a Parquet table beside its checkpoint and reads it: no row passes through
+    the driver, and a restarted stream goes on where it was."""
+    folder = f"{checkpoint.rstrip('/')}-rows"
+    query = stream.writeStream.outputMode("append").format("parquet").option("path", folder).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    return stream.sparkSession.read.schema(stream.schema).parquet(folder)
+
+
+def late_rows(query: StreamingQuery) -> int:
+    """Rows that the watermark has dropped so far, of all stateful operators of the progress that Spark keeps."""
+    return sum(o.numRowsDroppedByWatermark for p in query.recentProgress for o in p.stateOperators)
