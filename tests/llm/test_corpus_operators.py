@@ -298,6 +298,15 @@ def test_op5_large_lists_and_chains():
     assert (simhash.local_roots(fps) == components(fps)).all()
 
 
+def test_op5_long_lists_of_four_bytes():
+    rng = np.random.default_rng(7)
+    base = np.uint64(0x1234567800000000)
+    fps = base | rng.integers(0, 1 << 32, 2500, dtype=np.uint64)
+    flips = np.array([sum(1 << int(b) for b in rng.choice(32, int(rng.integers(1, 4)), replace=False)) for _ in range(1500)], np.uint64)
+    fps = np.unique(np.concatenate((fps, fps[:1500] ^ flips)))
+    assert (simhash.local_roots(fps) == components(fps)).all()
+
+
 def test_near_copies_keep_one(spark, odd):
     rng = np.random.default_rng(4)
     base = [[f"w{rng.integers(0, 5000)}" for _ in range(300)] for _ in range(12)]
@@ -476,6 +485,70 @@ def test_op8_counts_and_movement(spark, odd, empty, small):
     assert len(got) == odd.count() and got.groupby("shard").size().max() - got.groupby("shard").size().min() <= 1 and ring.assign_shards(empty, 7).count() == 0
 
 
+def ring_brute(ids, n_shards, points):
+    """Every row walks clockwise from its place on the ring to the first shard with room; own rows of a shard come first."""
+    ring_ = sorted((xxhash.xxh64_intdigest(f"shard {s} point {v}") - (1 << 63), s) for s in range(n_shards) for v in range(points))
+    room = [len(ids) // n_shards + (s < len(ids) % n_shards) for s in range(n_shards)]
+    at = [next((k for k, (p, _) in enumerate(ring_) if h <= p), 0) for h in ids]
+    got, over = collections.Counter(), []
+    for k in range(len(ring_)):
+        for _ in range(at.count(k)):
+            if room[s := ring_[k][1]]:
+                room[s] -= 1
+                got[k, s] += 1
+            else:
+                over.append(k)
+    for k in over:
+        step = k
+        while True:
+            step = (step + 1) % len(ring_)
+            if room[s := ring_[step][1]]:
+                room[s] -= 1
+                got[k, s] += 1
+                break
+    return got
+
+
+def test_op8_against_brute_force(spark):
+    docs = docs_of(spark, [f"text {k % 7}" for k in range(300)], [k % 90 for k in range(300)])
+    hashes = [r.h for r in docs.select(F.xxhash64("doc_id").alias("h")).collect()]
+    got = ring.assign_shards(docs, 7, 16).groupBy("arc", "shard").count().collect()
+    assert {(r.arc, r["shard"]): r["count"] for r in got} == dict(ring_brute(hashes, 7, 16))
+
+
+def test_op8_write_shards(spark, odd):
+    docs = docs_of(spark, [f"text {k % 5}" for k in range(400)], [k % 5 for k in range(400)])
+    for table, n in ((docs, 10), (odd, 3)):
+        path = work_path(spark, "shards")
+        column = ring.write_shards(table, path, n, file_rows=8)
+        back = spark.read.parquet(path)
+        sizes = [r["count"] for r in back.groupBy(column).count().collect()]
+        assert max(sizes) - min(sizes) <= 1 and len(sizes) == n and sum(sizes) == table.count()
+        assert column == "_shard" and sorted(map(str, back.select(*table.columns).collect())) == sorted(map(str, table.collect()))
+
+
+def test_op9_equals_the_unfactored_discriminant(spark):
+    rng = np.random.default_rng(8)
+    d = len(qda.STATISTICS)
+    x, c = rng.normal(size=(400, d)) * np.linspace(0.5, 2, d), (rng.random(400) < 0.4).astype(int)
+    x[c == 1] += 0.7
+    rows = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "doc_id long, x array<double>")
+    labels = spark.createDataFrame([(k, int(v)) for k, v in enumerate(c)], "doc_id long, quality int")
+    model = qda.fit(rows, labels)
+    train = np.array([zlib.crc32(str(k).encode()) % 5 != 0 for k in range(400)])
+    covs = [np.cov(x[train & (c == k)].T, bias=True) for k in (0, 1)]
+    n = [int((train & (c == k)).sum()) for k in (0, 1)]
+    pooled = sum(n[k] * np.diag(covs[k]) for k in (0, 1)) / sum(n)
+    logs = []
+    for k in (0, 1):
+        s = (1 - qda.SHRINKAGE) * covs[k] + qda.SHRINKAGE * np.diag(pooled) * max(np.mean(np.diag(covs[k]) / pooled), qda.FLOOR) + qda.FLOOR * np.diag(pooled)
+        away = x - x[train & (c == k)].mean(0)
+        logs.append(np.log(n[k] / sum(n)) - 0.5 * np.linalg.slogdet(s)[1] - 0.5 * np.einsum("ni,ij,nj->n", away, np.linalg.inv(s), away))
+    want = 1 / (1 + np.exp(-(logs[1] - logs[0]) / qda.TEMPERATURE))
+    got = {r.doc_id: r.score for r in qda.scored(rows, model).collect()}
+    assert np.allclose([got[k] for k in range(400)], want, atol=1e-9)
+
+
 def test_op9_held_out(spark, small, odd, empty):
     sf = small.replace("0.001", "0.01")
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
@@ -507,6 +580,19 @@ def test_op10_pages(spark, small):
     assert html_tree.extract(pages.where("false")).count() == 0
 
 
+def test_op10_odd_quotes_and_long_tags(spark):
+    import time
+
+    odd = ['<article><p title="5" tall">x > y</p></article>', "<article><p a='1\">z</p></article>", '<article><p x="a>b">q</p></article>']
+    pages = spark.createDataFrame([(k, "u", h) for k, h in enumerate(odd)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_tree.extract(pages).collect()}
+    assert got[0] == "x > y" and got[2] == "q"
+    for piece in ('<p a="', "<p a='x ", "<p '\" ", "<a b=", "<!-- x"):
+        began = time.process_time()
+        html_tree.parse(0, piece * 20_000, html_tree.Nodes())
+        assert time.process_time() - began < 5
+
+
 def test_op10_messages_equal_enumeration():
     rng = np.random.default_rng(8)
     single, pairs = rng.random((html_tree.N_FEATURES, 2)) + 0.1, rng.random((len(html_tree.TAGS), 2, 2)) + 0.1

@@ -62,7 +62,8 @@ N_FEATURES = MARKED + 19
 #: Prior odds of what a page says outright, and how many labelled nodes count in full: nodes of a page are no independent draws.
 SURE, ENOUGH = 1e5, 20.0
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: Quotes hold a ">" only behind "="; elsewhere they are part of a name. Possessive, so that no page takes quadratic time.
+_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<![^>]*+>|<\?[^>]*+>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?)*+)>", re.S)
 _NAMES = re.compile(r"(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 _WORD = re.compile(r"[a-z]+")
 _MARKS, _SILENT, _MAIN, _BOILER, _CONTENT = (frozenset(x) for x in (MARKS, SILENT, MAIN, BOILERPLATE, CONTENT_MARKS))
@@ -115,16 +116,20 @@ def parse(page: int, source: str, nodes: Nodes) -> bool:
             held.clear()
         links = 0
 
+    last = source.rfind(">") + 1  # no tag ends behind it
     while True:
-        m = _TOKEN.search(source, at)
+        m = _TOKEN.search(source, at, last)
         if m is None:
-            say(source[at:])
+            comment = source.find("<!--", last)
+            say(source[at:] if comment < 0 else source[at:comment])
             break
         if m.start() > at:
             say(source[at : m.start()])
         at = m.end()
         name = m[2]
         if name is None:
+            if at == last and m[0].startswith("<!--") and not m[0].endswith("-->"):
+                break  # a comment that is never closed
             continue
         name = name.lower()
         if name in _SILENT:

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import salted_rank
+from tidemark.llm.common import materialize, salted_rank
 
 #: The ring is looked up by this many leading bits, then by comparison.
 BUCKET_BITS = 12
@@ -70,29 +70,35 @@ def settle(counts: dict[int, int], ring: list[tuple[int, int]], n_shards: int) -
     return rows
 
 
-def assign_shards(docs: DataFrame, n_shards: int = 40, points: int = 128) -> DataFrame:
-    """doc_id, size, text_crc32, arc, shard, slot of every row."""
+def assign_shards(docs: DataFrame, n_shards: int = 40, points: int = 128, rows: bool = False) -> DataFrame:
+    """doc_id, size, text_crc32, arc, shard, slot of every row (and with ``rows`` the whole row as a struct, ``row``)."""
     spark = docs.sparkSession
     ring = ring_points(n_shards, points)
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(
+    held = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if rows else []
+    keyed = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 16).cast("long").alias("size"),
-        F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64("text").alias("_t"), F.xxhash64("doc_id").alias("_h"),
+        F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64("text").alias("_t"), F.xxhash64("doc_id").alias("_h"), *held,
     ).withColumn("bucket", (F.shiftrightunsigned(F.col("_h"), 64 - BUCKET_BITS).bitwiseXOR(F.lit(1 << (BUCKET_BITS - 1)))).cast("int"))
+    names = ["doc_id", "size", "text_crc32", "_t", "arc", *["row"] * rows]
     arcs = F.broadcast(_arcs(spark, ring))  # shards x points + 2 ** BUCKET_BITS rows at most
-    on_ring = rows.join(arcs, (rows["bucket"] == arcs["bucket"]) & rows["_h"].between(arcs["low"], arcs["high"])).select("doc_id", "size", "text_crc32", "_t", "arc")
+    on_ring = keyed.join(arcs, (keyed["bucket"] == arcs["bucket"]) & keyed["_h"].between(arcs["low"], arcs["high"])).select(*names)
+    on_ring = on_ring if rows else materialize(on_ring, "ring")  # a few numbers a row: the texts are read once
     counts = {r["arc"]: r["count"] for r in on_ring.groupBy("arc").count().collect()}  # shards x points rows at most
     plan = settle(counts, ring, n_shards)
     spans = F.broadcast(spark.createDataFrame(plan, "_arc int, _first long, _last long, shard int, _slot long"))
     numbered = salted_rank(on_ring, ["arc"], ["doc_id", "_t"], "_k", salts=16)
     placed = numbered.join(spans, (F.col("arc") == F.col("_arc")) & F.col("_k").between(F.col("_first"), F.col("_last")))
-    return placed.select("doc_id", "size", "text_crc32", "arc", "shard", (F.col("_slot") + F.col("_k") - F.col("_first")).alias("slot"))
-
-
-def write_shards(docs: DataFrame, path: str, n_shards: int = 40, points: int = 128) -> None:
-    """Writes the documents under shard=<n>/ folders; a hot shard cannot arise, as counts are equal."""
-    placed = assign_shards(docs, n_shards, points).select("doc_id", F.col("text_crc32").alias("_c"), "shard", "slot")
-    keyed = docs.withColumn("_c", F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
-    one = placed.groupBy("doc_id", "_c").agg(F.min_by("shard", "slot").alias("shard"))
-    joined = keyed.join(one, keyed["doc_id"].eqNullSafe(one["doc_id"]) & (keyed["_c"] == one["_c"])).drop(one["doc_id"]).drop("_c")
-    joined.repartition(n_shards, "shard").write.partitionBy("shard").parquet(path)
+    return placed.select("doc_id", "size", "text_crc32", "arc", "shard", (F.col("_slot") + F.col("_k") - F.col("_first")).alias("slot"), *["row"] * rows)
+
+
+def write_shards(docs: DataFrame, path: str, n_shards: int = 40, points: int = 128, file_rows: int = 100_000) -> str:
+    """Writes the documents, with all their columns, under shard=<n>/ folders in files of about ``file_rows`` rows, so a
+    shard is many tasks; repeated rows are placed one by one. Returns the folders' column: shard, or with blanks (_) in
+    front where docs has such a column."""
+    column = "shard"
+    while column in docs.columns:
+        column = f"_{column}"
+    placed = assign_shards(docs, n_shards, points, rows=True).select("row", F.col("shard").alias("_s"), F.floor(F.col("slot") / file_rows).alias("_f"))
+    placed.repartition("_s", "_f").select("row.*", F.col("_s").alias(column)).write.partitionBy(column).parquet(path)
+    return column

@@ -1,14 +1,15 @@
-"""SimHash near duplicates through an inverted index on byte positions.
+"""SimHash near duplicates through an inverted index on byte positions, with count filtering.
 
 Two 64-bit fingerprints with at most 3 differing bits agree in at least 5 of their 8 bytes. The index lists every
-fingerprint under each set of 5 byte positions with the bytes that it has there (56 lists of 40-bit values instead
-of 8 lists of bytes, whose lengths would grow with the corpus). Pairs of a list are tallied (positional bytes that
-they share), kept from the guaranteed 5 matches on, and verified bit by bit. Linked fingerprints form components.
+fingerprint under each set of LISTED byte positions with the bytes that it has there (70 lists of 32-bit values; lists
+of single bytes would grow with the corpus, and their pairs with its square). In a list the positional bytes that a pair
+shares are tallied; pairs with the guaranteed 5 are verified bit by bit. Linked fingerprints form components.
 
-Only distinct fingerprints are linked, so a group of exact copies is one entry. A list holds at most 2**24 distinct
-fingerprints (24 bits are free); from LARGE_LIST on it is linked without looking at all pairs: fingerprints that agree
-outside of 3 of the bits in which the list varies are within distance 3, so chains of equal masked values give the
-same components. From each list only a spanning forest leaves the task.
+Only distinct fingerprints are linked, so a group of exact copies is one entry. A long list is listed again by each
+further byte, as a pair with 5 shared bytes shares one more; a list with 5 fixed bytes that is still longer than
+LARGE_LIST is linked without looking at all pairs: fingerprints that agree outside of 3 of the bits in which the list
+varies are within distance 3, so chains of equal masked values give the same components. From each list only a spanning
+forest leaves the task.
 
 Defined results: a null or wordless text has fingerprint 0 and is linked like any other; rows with a null doc_id get a
 fingerprint and the component of the others that it meets (null if none has an id); repeated rows return repeatedly;
@@ -30,6 +31,8 @@ from tidemark.llm.components import connected_components
 
 MAX_BITS = 3
 SHARED_BYTES = 8 - MAX_BITS
+#: Byte positions of a list; fewer than SHARED_BYTES, so the tally decides.
+LISTED = 4
 LARGE_LIST = 1024
 #: A-Z to a-z on UTF-8 bytes.
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -74,7 +77,7 @@ def fingerprints(docs: DataFrame, words_in: int = 3) -> DataFrame:
 
 def _masks() -> list[int]:
     out = []
-    for kept in combinations(range(8), SHARED_BYTES):
+    for kept in combinations(range(8), LISTED):
         mask = sum(0xFF << (8 * k) for k in kept)
         out.append(mask - (1 << 64) if mask >> 63 else mask)
     return out
@@ -102,6 +105,16 @@ def local_roots(fps: np.ndarray, max_bits: int = MAX_BITS) -> np.ndarray:
             k = parent[k]
         return k
 
+    places = fps.view(np.uint8).reshape(n, 8)
+    free = np.flatnonzero((places != places[0]).any(0))
+    if len(free) > 8 - SHARED_BYTES:
+        for p in free.tolist():
+            order = np.argsort(places[:, p], kind="stable")
+            for own in np.split(order, np.flatnonzero(np.diff(places[order, p])) + 1):
+                for x, y in zip(own.tolist(), own[local_roots(fps[own], max_bits)].tolist(), strict=True):
+                    if x != y and (x := find(x)) != (y := find(y)):
+                        parent[max(x, y)] = min(x, y)
+        return np.array([find(k) for k in range(n)])
     varying = int(np.bitwise_or.reduce(fps ^ fps[0]))
     bits = [b for b in range(64) if varying >> b & 1]
     for free in combinations(bits, min(max_bits, len(bits))):
