@@ -183,3 +183,8 @@ def first_barrier(df: DataFrame, stop: float, take: float, horizon: int) -> Data
     first = F.get(F.array_compact(hit), F.lit(0))
     complete = F.size(ahead) == horizon
     return df.withColumn("_f", first).withColumn("barrier", F.coalesce(F.col("_f.reason"), F.when(complete, "time"))).withColumn("barrier_bar", F.coalesce(F.col("_f.bar"), F.when(complete, horizon))).drop("_f")
+
+
+def complete_cases(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """The rows without a missing value in cols."""
+    return df.na.drop(subset=list(cols))

@@ -213,3 +213,28 @@ def content_hash(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     rows = df.select(F.sha2(F.concat(*value), 256).alias("h"))
     part = lambda k: F.sum(F.conv(F.substring("h", 16 * k + 1, 16), 16, 10).cast("decimal(38,0)")).cast("string").alias(f"digest_{k}")
     return rows.agg(F.count(F.lit(1)).alias("n"), *[part(k) for k in range(4)])
+
+
+def post_violations(df: DataFrame, key: str = "id", time: str = "timestamp") -> DataFrame:
+    """key, rule: rows with an empty id, without a time, or with an id that stands more than once."""
+    for c in (key, time):
+        if c not in df.columns:
+            raise ValueError(f"the table needs the column {c}")
+    empty = F.coalesce(F.trim(F.col(key).cast("string")) == "", F.lit(True))
+    own = df.select(F.col(key), F.explode(F.array_compact(F.array(F.when(empty, F.lit("empty_id")), F.when(F.col(time).isNull(), F.lit("missing_time"))))).alias("rule"))
+    twice = df.where(~empty).groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(key, F.lit("duplicate_id").alias("rule"))
+    return own.unionByName(twice)
+
+
+def normalize_posts(df: DataFrame, key: str = "id", time: str = "timestamp") -> DataFrame:
+    """Rows with an id and a time, texts without nulls, in the order of time and id."""
+    text = {c: F.coalesce(F.col(c), F.lit("")) for c in ("title", "selftext", "body", "text") if c in df.columns}
+    return df.where(F.coalesce(F.trim(F.col(key).cast("string")) != "", F.lit(False)) & F.col(time).isNotNull()).withColumns(text).orderBy(time, key)
+
+
+def feature_diagnostics(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ("symbol",)) -> DataFrame:
+    """Rows, the share of missing values of each column, the share of rows that met no sentiment, mean reliability and count."""
+    extra = {"join_missing_rate": ("sentiment_join_missing", "double"), "mean_reliability": ("reliability", "double"), "mean_count": ("sentiment_count", "double")}
+    return df.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n_rows"), *[F.avg(F.isnull(c).cast("double")).alias(f"{c}_missing_rate") for c in cols], *[F.avg(F.col(c).cast(k)).alias(n) for n, (c, k) in extra.items() if c in df.columns]
+    )

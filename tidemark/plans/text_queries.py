@@ -201,3 +201,25 @@ QUOTED = " || ".join(f"coalesce(length({c}::VARCHAR)::VARCHAR, '-') || ':' || co
 @query(f"WITH h AS (SELECT sha256({QUOTED}) AS h FROM orders) SELECT count(*) AS n, " + ", ".join(f"sum(('0x' || substr(h, {16 * k + 1}, 16))::UBIGINT)::VARCHAR AS digest_{k}" for k in range(4)) + " FROM h")
 def dataset_content_hash(spark, sf_dir):
     return T.content_hash(spark.read.parquet(f"{sf_dir}/orders.parquet"), HASHED)
+
+
+@query("""WITH d AS (SELECT CASE WHEN doc_id % 50 = 0 THEN ' ' ELSE (doc_id // 3)::VARCHAR END AS id, CASE WHEN doc_id % 40 = 1 THEN NULL ELSE doc_id END AS t FROM documents)
+ SELECT id, 'empty_id' AS rule FROM d WHERE trim(id) = '' UNION ALL SELECT id, 'missing_time' FROM d WHERE t IS NULL UNION ALL SELECT id, 'duplicate_id' FROM d WHERE trim(id) != '' GROUP BY id HAVING count(*) > 1""")
+def posts_violations(spark, sf_dir):
+    """Posts with some ids taken away or made equal and some times missing."""
+    i = F.col("doc_id")
+    rows = posts(spark, sf_dir).select(F.when(i % 50 == 0, " ").otherwise(F.floor(i / 3).cast("string")).alias("id"), F.when(i % 40 != 1, F.col("timestamp")).alias("timestamp"))
+    return T.post_violations(rows)
+
+
+@query(f"WITH {BARS}, {RET}, {POSTS}, a AS (SELECT t // 3600 * 3600 AS t, count(*) AS n FROM posts GROUP BY 1) SELECT b.symbol, count(*) AS n_rows, round(avg((return_1h IS NULL)::INT), 6) AS return_1h_missing_rate, round(avg((return_72h IS NULL)::INT), 6) AS return_72h_missing_rate, round(avg((a.t IS NULL)::INT), 6) AS join_missing_rate, round(avg(coalesce(n, 0) / (coalesce(n, 0) + 5)), 6) AS mean_reliability, round(avg(coalesce(n, 0)), 6) AS mean_count FROM ret b LEFT JOIN a ON a.t = b.t GROUP BY 1")
+def sentiment_feature_diagnostics(spark, sf_dir):
+    h = posts(spark, sf_dir).groupBy(F.date_trunc("hour", "timestamp").alias("timestamp")).agg(F.count(F.lit(1)).alias("sentiment_count"))
+    rows = T.join_sentiment(X.returns(bars(spark, sf_dir)), h, ["sentiment_count"]).withColumn("reliability", F.col("sentiment_count") / (F.col("sentiment_count") + 5))
+    return result(T.feature_diagnostics(rows, ["return_1h", "return_72h"]))
+
+
+@query(f"WITH {BARS}, {RET} SELECT symbol, count(*) AS n, min(t) AS first_t FROM ret WHERE return_1h IS NOT NULL AND return_72h IS NOT NULL GROUP BY 1")
+def feature_complete_cases(spark, sf_dir):
+    rows = X.complete_cases(X.returns(bars(spark, sf_dir)), ["return_1h", "return_72h"])
+    return rows.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), F.min(F.unix_seconds("timestamp")).alias("first_t"))

@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 from tidemark.functions.windows import change, ordered
 from tidemark.operators import features as X
 from tidemark.operators import ledger as L
+from tidemark.operators import text as T
 from tidemark.plans import experiments as E
 from tidemark.plans import validation as V
 from tidemark.plans.ledger_queries import SIGNALS, chain, met, signals
 from tidemark.plans.market_queries import BARS, RET, VOL, W, bars
 from tidemark.plans.base import query, result
+from tidemark.plans.text_queries import POSTS, scored
 
 SIZES = "sizes AS (SELECT symbol, count(*) AS n FROM bars GROUP BY symbol)"
 
@@ -212,6 +214,19 @@ def model_walk_forward_logistic(spark, sf_dir):
     return result(V.classification_metrics(tested, keys))
 
 
+def _sentiment_scores() -> dict[str, str]:
+    return {"market": "return_1h", "mean": "return_1h + sentiment_mean", "lagged": "return_1h + coalesce(sentiment_lag, 0)", "count": "return_1h + sentiment_count / 1000.0"}
+
+
+@query(f"WITH {BARS}, {RET}, {POSTS}, a AS (SELECT t // 3600 * 3600 AS t, avg(s) AS m, count(*) AS n FROM posts GROUP BY 1), j AS (SELECT r.*, coalesce(a.m, 0) AS sentiment_mean, coalesce(a.n, 0) AS sentiment_count FROM ret r LEFT JOIN a ON a.t = r.t), l AS (SELECT *, lag(sentiment_mean) OVER w AS sentiment_lag FROM j {W}), gs AS ({' UNION ALL '.join(f'SELECT symbol, t, open, high, low, close, {chr(39)}{n}{chr(39)} AS variant, coalesce(1 / (1 + exp(-({e}))), 0.5) AS p FROM l' for n, e in _sentiment_scores().items())}), {grid_sql('gs', 'symbol, variant', 300, 60, 60, RETURN_GATE)} SELECT symbol, variant, {DON} FROM don")
+def experiment_sentiment_ablation(spark, sf_dir):
+    """The market's score alone and with one form of sentiment at a time, as a key of one sweep."""
+    h = scored(spark, sf_dir).groupBy(F.date_trunc("hour", "timestamp").alias("timestamp")).agg(F.avg("sentiment_score").alias("sentiment_mean"), F.count(F.lit(1)).alias("sentiment_count"))
+    rows = T.join_sentiment(X.returns(bars(spark, sf_dir)), h, ["sentiment_mean", "sentiment_count"]).withColumn("sentiment_lag", F.lag("sentiment_mean").over(ordered()))
+    grid = E.run_grid(rows, {n: lambda d, e=e: d.withColumn("probability", F.coalesce(1 / (1 + F.exp(-F.expr(e))), F.lit(0.5))) for n, e in _sentiment_scores().items()})
+    return confirmed(grid, ["symbol", "variant"], 300, 60, 60, "return")
+
+
 @query(f"WITH {BARS}, d AS (SELECT t, percent_rank() OVER (ORDER BY t) AS r FROM (SELECT DISTINCT t FROM bars)) SELECT symbol, bars.t, CASE WHEN r < 0.6 THEN 'train' ELSE 'test' END AS part FROM bars JOIN d ON d.t = bars.t")
 def validation_time_cut(spark, sf_dir):
     return result(E.time_cut(bars(spark, sf_dir), 0.6), "symbol", "timestamp", "part")
