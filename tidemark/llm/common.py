@@ -34,7 +34,9 @@ def trim() -> None:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Texts are long: with Spark's default of 10,000 rows a batch of them is held several times outside of the heap."""
+    """Texts are long: with Spark's default of 10,000 rows a batch of them is held several times outside of the heap.
+    And every step ends in a table, so a finished step's shuffle files are deleted at once."""
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 

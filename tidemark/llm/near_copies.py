@@ -40,8 +40,9 @@ WORDS, MIN_JACCARD = 5, 0.8
 #: A shingle in more texts is frequent; the share of the hashes that is counted (prefixes hold a fifth).
 FREQUENT, COUNTED = 64, 0.25
 SHORT_LIST, SALTS, PART = 16, 32, 2048
-#: Fingerprints of a long list that differ in fewer bits are linked to one leader; others are left to the later turns.
-LEADER_BITS = 16
+#: Half fingerprints of a long list that differ in so few bits are linked to one leader; others are left to the later turns.
+LEADER_BITS = 8
+_HALF = (1 << 32) - 1
 _TOP = np.uint64(1 << 63)
 _ODD = np.random.default_rng(99).integers(0, 1 << 63, WORDS + 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -218,7 +219,8 @@ def _fingerprint_pairs(nodes: DataFrame) -> DataFrame:
 
 
 def _lists(nodes: DataFrame, bits: np.ndarray | None = None) -> DataFrame:
-    """token, node, fp: a row for each shingle of a prefix (with its bit set)."""
+    """token, node, meta: a row for each shingle of a prefix (with its bit set); meta: half of the fingerprint, and the
+    set's size in the 32 bits above it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         free_units()
@@ -228,9 +230,16 @@ def _lists(nodes: DataFrame, bits: np.ndarray | None = None) -> DataFrame:
             if bits is not None:
                 firsts = [x[has_bit(bits, x)] for x in firsts]
             row = pa.array(np.repeat(np.arange(len(firsts)), list(map(len, firsts))))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(firsts)), batch.column("node").take(row), batch.column("fp").take(row)], ["token", "node", "fp"])
+            meta = batch.column("fp").to_numpy() & _HALF | batch.column("n").to_numpy() << 32
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(firsts)), batch.column("node").take(row), pa.array(meta).take(row)], ["token", "node", "meta"])
 
-    return nodes.where("n > 0").select("node", "fp", "tokens").mapInArrow(run, "token long, node long, fp long")
+    return nodes.where("n > 0").select("node", "n", "fp", "tokens").mapInArrow(run, "token long, node long, meta long")
+
+
+def _sizes_fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether the sizes in two metas allow MIN_JACCARD."""
+    m, n = x >> 32, y >> 32
+    return 5 * np.minimum(m, n) >= 4 * np.maximum(m, n)
 
 
 def _grouped(names: list[str], of: Callable[..., Iterator[tuple[np.ndarray, np.ndarray]]]) -> Callable:
@@ -262,16 +271,16 @@ def _cuts(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(([0], cuts)), np.diff(np.concatenate(([0], cuts, [len(keys)])))
 
 
-def _first_turn(key: np.ndarray, node: np.ndarray, fp: np.ndarray, token: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _first_turn(key: np.ndarray, node: np.ndarray, meta: np.ndarray, token: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """All pairs of a short list; links to leaders in a long one, and its token (as a pair with itself)."""
     starts, sizes = _cuts(key)
-    fp = fp.view(np.uint64)  # bitwise_count takes the absolute value of signed numbers
+    fp = meta & _HALF
     for step in range(1, SHORT_LIST):  # members ``step`` apart
         ok = np.flatnonzero(np.repeat((sizes > step) & (sizes <= SHORT_LIST), sizes))
         ok = ok[ok + step < len(key)]
         if not len(ok):
             break
-        ok = ok[key[ok] == key[ok + step]]
+        ok = ok[(key[ok] == key[ok + step]) & _sizes_fit(meta[ok], meta[ok + step])]
         yield node[ok], node[ok + step]
     yield token[starts[sizes > SHORT_LIST]], token[starts[sizes > SHORT_LIST]]
     for k, size in zip(starts[sizes > SHORT_LIST].tolist(), sizes[sizes > SHORT_LIST].tolist(), strict=True):
@@ -279,19 +288,19 @@ def _first_turn(key: np.ndarray, node: np.ndarray, fp: np.ndarray, token: np.nda
         own = own[np.argsort(node[own].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15))]  # the same leaders in all lists
         while len(own) > 1:
             close = np.bitwise_count(fp[own] ^ fp[own[0]]) <= LEADER_BITS
-            linked = own[1:][close[1:]]
+            linked = own[1:][close[1:] & _sizes_fit(meta[own[1:]], meta[own[0]])]
             yield np.full(len(linked), node[own[0]]), node[linked]
             own = own[~close]
 
 
-def _all_pairs(key: np.ndarray, node: np.ndarray, side: np.ndarray, root: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _all_pairs(key: np.ndarray, node: np.ndarray, meta: np.ndarray, side: np.ndarray, root: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of different roots of both sides (0 and 1), or of all rows (2), of each key."""
     starts, sizes = _cuts(key)
     for k, size in zip(starts.tolist(), sizes.tolist(), strict=True):
         all_ = slice(k, k + size)
         for at in range(k, k + size, 256):
             own = slice(at, min(at + 256, k + size))
-            ok = (root[own, None] != root[None, all_]) & (node[own, None] < node[None, all_])
+            ok = (root[own, None] != root[None, all_]) & (node[own, None] < node[None, all_]) & _sizes_fit(meta[own, None], meta[None, all_])
             ok &= (side[own, None] != side[None, all_]) | (side[own, None] == 2)
             x, y = np.nonzero(ok)
             yield node[own][x], node[all_][y]
@@ -305,12 +314,12 @@ def _leader_pairs(nodes: DataFrame) -> DataFrame:
     """a, b: pairs of nodes; a = b: the token of a long list. Lists of frequent shingles are cut into parts."""
     salt = F.pmod(F.xxhash64("node"), F.lit(SALTS))
     rows = _lists(nodes).withColumn("key", F.when(F.col("token") < 0, F.xxhash64("token", salt)).otherwise(F.col("token")))
-    return _from_lists(rows, ["node", "fp", "token"], _first_turn)
+    return _from_lists(rows, ["node", "meta", "token"], _first_turn)
 
 
 def _long_lists(nodes: DataFrame, names: DataFrame, tokens: DataFrame) -> DataFrame:
     """token, node, root of the lists in tokens (and few others, whose pairs are found once more)."""
-    return _lists(nodes, bit_map(tokens.select("token"))).select("token", "node").join(names, "node")
+    return _lists(nodes, bit_map(tokens.select("token"))).join(names, "node")
 
 
 def _members(lists: DataFrame) -> DataFrame:
@@ -336,7 +345,7 @@ def _rest(lists: DataFrame, tokens: DataFrame) -> DataFrame:
     rows = rows.withColumn("_q", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
     side = F.when(F.col("_p") == F.col("_q"), 2).when(F.col("_p") < F.col("_q"), 0).otherwise(1).cast("long")
     rows = rows.withColumn("side", side).withColumn("key", F.xxhash64("token", F.least("_p", "_q"), F.greatest("_p", "_q")))
-    return _from_lists(rows, ["node", "side", "root"], _all_pairs)
+    return _from_lists(rows, ["node", "meta", "side", "root"], _all_pairs)
 
 
 def groups(docs: DataFrame) -> DataFrame:
