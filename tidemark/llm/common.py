@@ -95,12 +95,12 @@ def salted_rank(df: DataFrame, group: list[str], order: list[str], name: str, sa
     return numbered.join(starts, [*group, "_salt"]).withColumn(name, F.col("_start") + F.col("_at")).drop("_salt", "_start", "_at")
 
 
-def slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBatch]:
-    """Cuts a batch so that each part has about SLICE_BYTES of the column, one row at least."""
+def slices(batch: pa.RecordBatch, column: str = "text", size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Cuts a batch so that each part has about ``size`` bytes of the column, one row at least."""
     if not batch.num_rows:
         return
     per_row = max(1, batch.column(column).nbytes // batch.num_rows)
-    step = max(1, SLICE_BYTES // per_row)
+    step = max(1, size // per_row)
     for at in range(0, batch.num_rows, step):
         yield batch.slice(at, step)
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import materialize, salted_rank, slices
-from tidemark.llm.tokens import encoder
+from tidemark.llm.tokens import TOKEN_BYTES, encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -32,7 +32,7 @@ def pieces_of(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, keeps
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, size=TOKEN_BYTES):
                 ids, at = encoder(tokenizer, keeps_space).encode(part.column("text"))
                 rows, kept = [], []
                 for k, doc_id in enumerate(part.column("doc_id").to_pylist()):

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import slices
-from tidemark.llm.tokens import encoder
+from tidemark.llm.tokens import TOKEN_BYTES, encoder
 
 # Fixed values of the zstd seekable format.
 SEEK_MAGIC = 0x184D2A5E
@@ -121,7 +121,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, keeps_
         part, writer, stream, n_tokens = TaskContext.get().partitionId(), None, None, 0
         name = f"part-{part:06d}-{uuid.uuid4().hex}.tokens.zst"
         for batch in batches:
-            for piece in slices(batch):
+            for piece in slices(batch, size=TOKEN_BYTES):
                 ids, at = encoder(tokenizer, keeps_space).encode(piece.column("text"))
                 if writer is None:
                     store.create_dir(root, recursive=True)

@@ -17,7 +17,9 @@ import pyarrow.compute as pc
 from tidemark.llm.common import trim
 
 #: A task forgets the units that it has encoded beyond this number, so that its memory is bounded.
-MAX_UNITS = 200_000
+MAX_UNITS = 500_000
+#: Bytes of text that are encoded at once: the more, the fewer lookups of distinct units.
+TOKEN_BYTES = 3_000_000
 #: A character between units that are encoded together; units that hold it are encoded one by one.
 MARK = "\x01"
 #: ASCII punctuation but the apostrophe.
