@@ -75,7 +75,7 @@ def shingles(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     out[whole] = mixed[at[whole]]
     for t in np.flatnonzero((sizes > 0) & (sizes < WORDS)).tolist():
         own = flat[bounds[t] : bounds[t + 1]]
-        out[starts[t]] = (own * _ODD[: len(own)]).sum() + np.uint64(len(own)) * _ODD[WORDS]
+        out[starts[t]] = (np.append(own, np.uint64(len(own))) * _ODD[[*range(len(own)), WORDS]]).sum()
     out ^= out >> np.uint64(32)
     out *= np.uint64(0xD6E8FEB86659FD93)
     return out ^ out >> np.uint64(29), starts
