@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import cdc, chat, decontam, html_tree, packing, qda, ring, rules, simhash, token_output
+from tidemark.llm import ball_tree, cdc, chat, decontam, html_tree, packing, qda, ring, rules, simhash, token_output
 from tidemark.llm.common import materialize, small_batches, work_path
 from tidemark.llm.tokens import vocabulary_path
 
@@ -66,6 +66,10 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_tree.extract(_table(spark, sf_dir, "pages"))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ball_tree.rank(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_output": op1_token_output,
     "op2_chat_formatting": op2_chat_formatting,
@@ -77,7 +81,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_hash_ring_shards": op8_hash_ring_shards,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_html_extraction": op10_html_extraction,
+    "op11_ranked_search": op11_ranked_search,
 }
 
 #: DuckDB SQL of those that SQL can express.
-ORACLES: dict[str, str] = {}
+_TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+ORACLES: dict[str, str] = {
+    "op11_ranked_search": f"""WITH d AS (SELECT doc_id, {_TERMS} AS ts FROM documents), l AS (SELECT doc_id, len(ts)::BIGINT AS n FROM d WHERE len(ts) > 0), c AS (SELECT count(*)::BIGINT AS big_n, sum(n)::BIGINT AS big_l FROM l),
+ tf AS (SELECT doc_id, term, count(*)::BIGINT AS tf FROM (SELECT doc_id, unnest(ts) AS term FROM d) GROUP BY 1, 2), q AS (SELECT DISTINCT item_id, term FROM (SELECT item_id, unnest({_TERMS}) AS term FROM benchmark)),
+ w AS (SELECT term, floor(1000 * ln((2 * big_n + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM tf, c GROUP BY term, big_n),
+ s AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * big_n) // big_l))))::BIGINT AS score FROM q JOIN tf USING (term) JOIN w USING (term) JOIN l USING (doc_id), c GROUP BY 1, 2),
+ r AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM s WHERE score > 0) SELECT * FROM r WHERE rank <= 10""",
+}
