@@ -95,6 +95,13 @@ def salted_rank(df: DataFrame, group: list[str], order: list[str], name: str, sa
     return numbered.join(starts, [*group, "_salt"]).withColumn(name, F.col("_start") + F.col("_at")).drop("_salt", "_start", "_at")
 
 
+def salted_lookup(df: DataFrame, table: DataFrame, on: list[str], salts: int) -> DataFrame:
+    """df joined with a table that has each key once: rows of a frequent key go to ``salts`` tasks, the table's rows to all of them."""
+    dealt = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(salts)).cast("int"))
+    copies = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return dealt.join(copies, [*on, "_salt"]).drop("_salt")
+
+
 def slices(batch: pa.RecordBatch, column: str = "text", size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cuts a batch so that each part has about ``size`` bytes of the column, one row at least."""
     if not batch.num_rows:

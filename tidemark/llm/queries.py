@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import ball_tree, cdc, chat, decontam, html_tree, packing, qda, ring, rules, simhash, token_output
+from tidemark.llm import ball_tree, cdc, chat, collocations, decontam, html_tree, packing, qda, ring, rules, simhash, token_output
 from tidemark.llm.common import materialize, small_batches, work_path
 from tidemark.llm.tokens import vocabulary_path
 
@@ -70,6 +70,10 @@ def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ball_tree.rank(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_output": op1_token_output,
     "op2_chat_formatting": op2_chat_formatting,
@@ -82,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_classifier": op9_quality_classifier,
     "op10_html_extraction": op10_html_extraction,
     "op11_ranked_search": op11_ranked_search,
+    "op12_phrase_collocations": op12_phrase_collocations,
 }
 
 #: DuckDB SQL of those that SQL can express.
@@ -92,4 +97,14 @@ ORACLES: dict[str, str] = {
  w AS (SELECT term, floor(1000 * ln((2 * big_n + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM tf, c GROUP BY term, big_n),
  s AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * big_n) // big_l))))::BIGINT AS score FROM q JOIN tf USING (term) JOIN w USING (term) JOIN l USING (doc_id), c GROUP BY 1, 2),
  r AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM s WHERE score > 0) SELECT * FROM r WHERE rank <= 10""",
+    "op12_phrase_collocations": r"""WITH p AS (SELECT doc_id, coalesce(lang, 'und') AS lang, unnest(x) AS piece, generate_subscripts(x, 1) AS i FROM (SELECT doc_id, lang, regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS x FROM documents)),
+ w AS (SELECT doc_id, lang, i, unnest(x) AS w1, generate_subscripts(x, 1) AS k FROM (SELECT doc_id, lang, i, regexp_extract_all(piece, '[^\x20\x09]+') AS x FROM p)),
+ g AS (SELECT lang, w1, lead(w1) OVER o AS w2, lead(w1, 2) OVER o AS w3 FROM w WINDOW o AS (PARTITION BY doc_id, lang, i ORDER BY k)), n AS (SELECT lang, count(*)::BIGINT AS n FROM w GROUP BY 1),
+ f1 AS (SELECT lang, w1, count(*)::HUGEINT AS f FROM g GROUP BY 1, 2), f2 AS (SELECT lang, w1, w2, count(*)::HUGEINT AS f FROM g WHERE w2 IS NOT NULL GROUP BY 1, 2, 3), f3 AS (SELECT lang, w1, w2, w3, count(*)::HUGEINT AS f FROM g WHERE w3 IS NOT NULL GROUP BY 1, 2, 3, 4 HAVING count(*) >= 10),
+ x AS (SELECT lang, w1, w2, max(f) AS f FROM (SELECT lang, w1, w2, f FROM f3 UNION ALL SELECT lang, w2, w3, f FROM f3) GROUP BY 1, 2, 3),
+ c AS (SELECT f2.lang, f2.w1 || ' ' || f2.w2 AS phrase, f2.f AS a, p.f AS l, q.f AS r, 1 AS k FROM f2 JOIN f1 p ON p.lang = f2.lang AND p.w1 = f2.w1 JOIN f1 q ON q.lang = f2.lang AND q.w1 = f2.w2 LEFT JOIN x ON x.lang = f2.lang AND x.w1 = f2.w1 AND x.w2 = f2.w2 WHERE f2.f >= 10 AND (x.f IS NULL OR 100 * x.f < 50 * f2.f)
+  UNION ALL SELECT t.lang, t.w1 || ' ' || t.w2 || ' ' || t.w3, t.f, p.f, q.f, 1 FROM f3 t JOIN f1 p ON p.lang = t.lang AND p.w1 = t.w1 JOIN f2 q ON q.lang = t.lang AND q.w1 = t.w2 AND q.w2 = t.w3
+  UNION ALL SELECT t.lang, t.w1 || ' ' || t.w2 || ' ' || t.w3, t.f, p.f, q.f, 2 FROM f3 t JOIN f2 p ON p.lang = t.lang AND p.w1 = t.w1 AND p.w2 = t.w2 JOIN f1 q ON q.lang = t.lang AND q.w1 = t.w3),
+ s AS (SELECT *, (1000000 * a * a) // (l * r) AS score FROM c), b AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS cut FROM s), o AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM b WHERE cut = 1)
+ SELECT lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score::BIGINT AS score FROM o JOIN n USING (lang) WHERE rank <= 2000""",
 }
