@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import ball_tree, cdc, chat, collocations, decontam, html_tree, packing, qda, ring, rules, simhash, token_output
+from tidemark.llm import ball_tree, cdc, chat, collocations, decontam, html_tree, identifiers, packing, qda, ring, rules, simhash, token_output
 from tidemark.llm.common import materialize, small_batches, work_path
 from tidemark.llm.tokens import vocabulary_path
 
@@ -74,6 +74,10 @@ def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.mine(_table(spark, sf_dir, "documents"))
 
 
+def op13_contextual_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identifiers.identifiers(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_output": op1_token_output,
     "op2_chat_formatting": op2_chat_formatting,
@@ -87,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_html_extraction": op10_html_extraction,
     "op11_ranked_search": op11_ranked_search,
     "op12_phrase_collocations": op12_phrase_collocations,
+    "op13_contextual_identifiers": op13_contextual_identifiers,
 }
 
 #: DuckDB SQL of those that SQL can express.
