@@ -5,9 +5,13 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructType
 
+from tidemark.functions.blocks import BLOCK, ewmas_in_blocks, in_blocks, numbered, with_halo
 from tidemark.functions.windows import change, ewmas, ordered, roll, span_alpha
 
 RETURNS = (1, 3, 6, 12, 24, 72)
@@ -54,8 +58,10 @@ def sma_distance(df: DataFrame, n: int) -> DataFrame:
     return df.withColumn(f"sma_{n}_distance", F.try_divide(F.col("close"), roll(F.avg, F.col("close"), n, ordered())) - 1)
 
 
-def ema_distance(df: DataFrame, fast: int = 12, slow: int = 26) -> DataFrame:
-    rows = ewmas(df, {"_fast": (F.col("close"), span_alpha(fast), fast), "_slow": (F.col("close"), span_alpha(slow), slow)})
+def ema_distance(df: DataFrame, fast: int = 12, slow: int = 26, block: int | None = None) -> DataFrame:
+    """``block``: a series is cut into blocks of so many rows, whose means are carried on."""
+    means = {"_fast": (F.col("close"), span_alpha(fast), fast), "_slow": (F.col("close"), span_alpha(slow), slow)}
+    rows = ewmas_in_blocks(df, means, block=block) if block else ewmas(df, means)
     return rows.withColumn(f"ema_{fast}_{slow}_distance", F.try_divide("_fast", "_slow") - 1).drop("_fast", "_slow")
 
 
@@ -96,39 +102,69 @@ def missing_flags(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.withColumns({f"{c}_missing": F.isnull(c).cast("byte") for c in cols})
 
 
-def mad_clip(df: DataFrame, cols: Sequence[str], n: int = 168, k: float = 8.0) -> DataFrame:
-    """Clips to median +- k * MAD of the n values before; unchanged where they are not complete or do not vary."""
-    w = ordered().rowsBetween(-n, -1)
-    out = {}
-    for c in cols:
-        frame = F.collect_list(c).over(w)
-        x = F.col(c)
-        limits = _let(_middle(frame, n), lambda med: _let(_middle(F.transform(frame, lambda v: F.abs(v - med)), n), lambda mad: F.struct(med.alias("med"), mad.alias("mad"))))  # noqa: B023
-        band = _let(limits, lambda m: F.when(m["mad"] > 0, F.greatest(m["med"] - k * m["mad"], F.least(m["med"] + k * m["mad"], x))))  # noqa: B023
-        out[f"{c}_clipped"] = F.coalesce(F.when((F.size(frame) == n) & x.isNotNull(), band), x)
-    return df.withColumns(out)
-
-
-def _let(value: Column, body) -> Column:
-    """body(value) with the value computed once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
+def mad_clip(df: DataFrame, cols: Sequence[str], n: int = 168, k: float = 8.0, block: int = BLOCK) -> DataFrame:
+    """Clips to median +- k * MAD of the n values before; unchanged where they are not complete or do not vary.
 
-def _middle(values: Column, n: int) -> Column:
-    return _let(F.array_sort(values), lambda a: (F.get(a, F.lit((n - 1) // 2)) + F.get(a, F.lit(n // 2))) / 2)
+    A block of a series with the n rows before it is one Arrow table, whose frames are partitioned around their middles
+    all at once. NaN counts as missing."""
+    if not cols:
+        return df
+    known = "_pos" in df.columns
+    rows = with_halo(numbered(df), n, block=block)
+    schema = StructType([f for f in rows.schema.fields if f.name != "_block"])
+    for c in cols:
+        schema = schema.add(f"{c}_clipped", DoubleType())
+
+    def clip(table: pa.Table) -> pa.Table:
+        table = table.sort_by("_pos")
+        own = pa.array(table.column("_pos").to_numpy() // block == table.column("_block").to_numpy())
+        for c in cols:
+            x = table.column(c).combine_chunks().cast(pa.float64())
+            values = clipped(x.to_numpy(zero_copy_only=False), n, k)
+            table = table.append_column(f"{c}_clipped", pa.array(values, pa.float64(), mask=np.asarray(x.is_null())))
+        return table.drop_columns(["_block"]).filter(own)
+
+    out = rows.groupBy("symbol", "_block").applyInArrow(clip, schema)
+    return out if known else out.drop("_pos")
+
+
+def clipped(x: np.ndarray, n: int, k: float) -> np.ndarray:
+    """x clipped to median +- k * MAD of the n values before each."""
+    out, low, high = x.copy(), (n - 1) // 2, n // 2
+    if len(x) <= n:
+        return out
+    frames = np.lib.stride_tricks.sliding_window_view(x, n)[:-1]
+    for at in range(0, len(frames), 2048):
+        some, here = frames[at : at + 2048], np.arange(at, min(at + 2048, len(frames))) + n
+        whole = ~np.isnan(some).any(axis=1) & ~np.isnan(x[here])
+        some, here = some[whole], here[whole]
+        part = np.partition(some, (low, high), axis=1)
+        middle = (part[:, low] + part[:, high]) / 2
+        part = np.partition(np.abs(some - middle[:, None]), (low, high), axis=1)
+        spread = (part[:, low] + part[:, high]) / 2
+        out[here] = np.where(spread > 0, np.maximum(middle - k * spread, np.minimum(middle + k * spread, x[here])), x[here])
+    return out
+
+
+#: Rows that the longest chain of frames of ``build`` reaches back: 168 volatilities of 24 returns each.
+LONGEST = 192
+
+
+def build(df: DataFrame, groups: Sequence[str], clip: int = 168, k: float = 8.0, block: int = BLOCK) -> DataFrame:
+    """All features of the groups, flags and clipped columns. A series is cut into blocks of rows, each with the rows
+    before it that the frames need, so a long series is many tasks."""
+    plain = [c for g in groups if g != "calendar" for c in GROUPS[g]]
 
+    def bounded(rows: DataFrame) -> DataFrame:
+        rows = volume_ratio(realized_vol(returns(rows)))
+        rows = sma_distance(sma_distance(rsi(rows), 24), 168)
+        rows = vol_percentile(vol_change(range_pct(rows)))
+        rows = rolling_zscore(rolling_zscore(rows, F.col("volume"), 24, "volume_zscore_24h"), F.col("volume"), 168, "volume_zscore_168h")
+        return range_position(rolling_zscore(rows, F.col("volume") * F.col("close"), 168, "dollar_volume_zscore_168h"))
 
-def build(df: DataFrame, groups: Sequence[str], clip: int = 168, k: float = 8.0) -> DataFrame:
-    """All features of the groups, flags and clipped columns, in chained windows over one partitioning by symbol."""
-    rows = returns(df)
-    rows = volume_ratio(realized_vol(rows))
-    rows = sma_distance(sma_distance(rsi(rows), 24), 168)
-    rows = vol_percentile(vol_change(range_pct(rows)))
-    rows = rolling_zscore(rolling_zscore(rows, F.col("volume"), 24, "volume_zscore_24h"), F.col("volume"), 168, "volume_zscore_168h")
-    rows = rolling_zscore(rows, F.col("volume") * F.col("close"), 168, "dollar_volume_zscore_168h")
-    rows = ema_distance(range_position(calendar(rows)))
-    plain = [c for g in groups if g != "calendar" for c in GROUPS[g]]
-    return mad_clip(missing_flags(rows, plain), plain, clip, k)
+    rows = ema_distance(numbered(df), block=block)
+    rows = calendar(in_blocks(rows, bounded, LONGEST, block=block))
+    return mad_clip(missing_flags(rows, plain), plain, clip, k, block).drop("_pos")
 
 
 # Labels and regimes.

@@ -105,6 +105,34 @@ def metrics(eq: DataFrame, fills: DataFrame, keys: Sequence[str] = ("symbol",))
     return rows.withColumn("turnover", F.col("_notional") / F.col("_start")).drop("_notional", "_start")
 
 
+def run_metrics(df: DataFrame, keys: Sequence[str] = ("symbol",), fee: float = FEE, slip: float = SLIPPAGE, capital: float = CAPITAL) -> DataFrame:
+    """The metrics of every run straight from its bars and signals: positions, wealth, fills and round trips are columns
+    of one windowed pass, and one aggregation by the same keys follows, so a grid costs one shuffle and one sort."""
+    w = ordered(keys)
+    until = w.rowsBetween(Window.unboundedPreceding, 0)
+    rows = _positions(df, keys)
+    last, moved, held = F.col("_last"), F.col("_pos") - F.col("_prev"), F.col("_pos") == 1
+    out = (1 - slip) * (1 - fee)
+    factor = F.when(last, 1.0).when(moved > 0, 1 / (F.col("_open1") * (1 + slip) * (1 + fee))).when(moved < 0, F.col("_open1") * out).otherwise(1.0)
+    side = F.when(last & held, -1).when(~last & (moved > 0), 1).when(~last & (moved < 0), -1)
+    rows = rows.withColumn("_w", capital * F.product(factor).over(until)).withColumn("_side", side)
+    rows = rows.withColumn("_raw", F.when(last, F.col("close")).otherwise(F.col("_open1"))).withColumn("_q", F.when(F.col("_side") > 0, F.col("_w")).when(F.col("_side") < 0, F.lag("_w").over(w)))
+    rows = rows.withColumn("_notional", F.col("_q") * F.col("_raw") * (1 + slip * F.col("_side"))).withColumn("_equity", F.when(held, F.col("_w") * F.col("close") * out).otherwise(F.col("_w")))
+    bought = F.last(F.when(F.col("_side") > 0, F.col("_notional")), ignorenulls=True).over(until)
+    rows = rows.withColumn("_trip", F.when(F.col("_side") < 0, F.col("_notional") * (1 - fee) / (bought * (1 + fee)) - 1)).withColumn("_dd", F.col("_equity") / F.max("_equity").over(until) - 1).withColumn("_r", F.col("_equity") / F.lag("_equity").over(w) - 1)
+    trip = F.col("_trip")
+    a = rows.groupBy(*keys).agg(
+        F.max_by("_equity", "timestamp").alias("_end"), F.min_by("_equity", "timestamp").alias("_start"), F.min("_dd").alias("max_drawdown"), F.avg("_r").alias("_m"), F.stddev_samp("_r").alias("_sd"), F.avg((held & ~last).cast("double")).alias("exposure"),
+        ((F.max(F.unix_seconds("timestamp")) - F.min(F.unix_seconds("timestamp"))) / 3600).alias("_h"), F.coalesce(F.sum("_notional"), F.lit(0.0)).alias("_notional"), F.coalesce(F.sum(F.col("_q") * F.col("_raw") * slip), F.lit(0.0)).alias("slippage_cost"), F.count("_side").alias("n_trades"),
+        F.avg((trip > 0).cast("double")).alias("win_rate"), F.avg(trip).alias("mean_trade_return"), F.try_divide(F.sum(F.when(trip > 0, trip).when(trip <= 0, 0.0)), F.nullif(-F.sum(F.when(trip < 0, trip)), F.lit(0.0))).alias("profit_factor"),
+    )
+    total = F.col("_end") / F.col("_start")
+    return a.select(
+        *keys, (total - 1).alias("total_return"), F.when((F.col("_h") >= 24) & (total > 0), F.pow(total, 8766 / F.col("_h")) - 1).alias("annual_return"), "max_drawdown", F.when(F.col("_sd") > 0, F.col("_m") / F.col("_sd") * F.sqrt(F.lit(8766.0))).alias("sharpe"), "exposure",
+        (F.col("_notional") * fee).alias("fees"), "slippage_cost", "n_trades", "win_rate", "mean_trade_return", "profit_factor", (F.col("_notional") / F.col("_start")).alias("turnover"),
+    )
+
+
 def check_ledger_input(df: DataFrame, keys: Sequence[str] = ("symbol",)) -> DataFrame:
     """keys, rule, n: runs with fewer than two rows, timestamps that are missing or not unique."""
     each = df.groupBy(*keys, "timestamp").agg(F.count(F.lit(1)).alias("_n"))

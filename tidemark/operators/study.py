@@ -7,11 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.distributions import t_test_p
 from tidemark.functions.windows import as_of, change, ordered, roll
 
 
 def engagement_split(posts: DataFrame, market: DataFrame, hours: int, share: float = 0.75) -> DataFrame:
-    """Forward return of the market after posts above and below the engagement quantile, and the pooled t statistic.
+    """Forward return of the market after posts above and below the engagement quantile, with the pooled t
+    statistic and its two-sided p-value, of every symbol of the market.
 
     posts(timestamp, engagement), market(timestamp, close): entry is the first bar at or after a post, exit the first
     one ``hours`` later.
@@ -26,12 +28,8 @@ def engagement_split(posts: DataFrame, market: DataFrame, hours: int, share: flo
     pick = lambda c: F.when(c, F.col("r"))
     s = both.agg(*[f.alias(n) for n, f in {"n_high": F.count(pick(high)), "n_low": F.count(pick(~high)), "mean_high": F.avg(pick(high)), "mean_low": F.avg(pick(~high)), "std_high": F.stddev_pop(pick(high)), "std_low": F.stddev_pop(pick(~high)), "v_high": F.var_samp(pick(high)), "v_low": F.var_samp(pick(~high)), "positive_high": F.avg((pick(high) > 0).cast("double")), "positive_low": F.avg((pick(~high) > 0).cast("double"))}.items()])
     pooled = ((F.col("n_high") - 1) * F.col("v_high") + (F.col("n_low") - 1) * F.col("v_low")) / (F.col("n_high") + F.col("n_low") - 2)
-    return s.withColumn("t_statistic", F.try_divide(F.col("mean_high") - F.col("mean_low"), F.sqrt(pooled * (1 / F.col("n_high") + 1 / F.col("n_low"))))).drop("v_high", "v_low")
-
-
-def best_lag(lags: DataFrame) -> DataFrame:
-    """Per lag table (lag, corr_engagement, corr_sentiment): the lags with the largest absolute correlations."""
-    return lags.agg(F.max_by("lag", F.abs("corr_engagement")).alias("best_engagement_lag"), F.max_by("lag", F.abs("corr_sentiment")).alias("best_sentiment_lag"))
+    s = s.withColumn("t_statistic", F.try_divide(F.col("mean_high") - F.col("mean_low"), F.sqrt(pooled * (1 / F.col("n_high") + 1 / F.col("n_low")))))
+    return s.withColumn("p_value", t_test_p(F.col("t_statistic"), F.col("n_high") + F.col("n_low") - 2)).drop("v_high", "v_low")
 
 
 def collinear_pairs(pairs: DataFrame, threshold: float = 0.7) -> DataFrame:

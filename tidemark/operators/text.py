@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.ranks import salted_join
 from tidemark.functions.windows import affine_scans, kalman_gain, ordered, span_alpha
 from tidemark.operators.candles import bucket, hour_grid
 
@@ -42,6 +43,32 @@ def tag_symbols(df: DataFrame, text: str, keywords: dict[str, Sequence[str]]) ->
     return df.withColumn("symbol", F.explode(tags))
 
 
+def lexicon_scores(df: DataFrame, key: str, text: str, lexicon: DataFrame, out: str = "sentiment_score", salts: int = 16) -> DataFrame:
+    """key and score of every row, by a lexicon that is a table (word, weight): the sum of the weights of its words over
+    the sum of their magnitudes, 0 where none is listed. A lexicon of any size is a join: words are counted per row
+    first, and those of a frequent word go to many tasks. A word listed twice counts with the sum of its weights."""
+    split = F.explode(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+"))
+    words = df.select(key, split.alias("_w")).select(key, F.btrim("_w", F.lit(PUNCTUATION)).alias("word")).groupBy(key, "word").agg(F.count(F.lit(1)).alias("_n"))
+    weights = lexicon.groupBy("word").agg(F.sum(F.col("weight").cast("double")).alias("_weight"))
+    sums = salted_join(words, weights, ["word"], salts).groupBy(key).agg(F.sum(F.col("_n") * F.col("_weight")).alias("_s"), F.sum(F.col("_n") * F.abs("_weight")).alias("_a"))
+    scored = df.select(key).distinct().join(sums, key, "left")
+    return scored.select(key, F.coalesce(F.try_divide("_s", F.nullif("_a", F.lit(0.0))), F.lit(0.0)).alias(out))
+
+
+def tag_by_patterns(df: DataFrame, key: str, text: str, patterns: DataFrame, longest: int = 5, salts: int = 16) -> DataFrame:
+    """key, symbol of every row whose text holds a pattern (symbol, pattern) as whole words in a row, whatever stands
+    between the words. Patterns are a table, found by their first word; those of more than ``longest`` words, or of
+    none, are an error, as a row would have to carry more of its text."""
+    known = patterns.select("symbol", F.regexp_extract_all(F.lower("pattern"), F.lit(r"\w+"), 0).alias("_p")).distinct()
+    bad = known.where(~F.size("_p").between(1, longest)).count()
+    if bad:
+        raise ValueError(f"{bad} patterns have no word or more than {longest}")
+    words = df.select(key, F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"\w+"), 0).alias("_t"))
+    here = words.select(key, F.explode(F.array_distinct(F.transform(F.col("_t"), lambda _, i: F.slice(F.col("_t"), i + 1, longest)))).alias("_here")).withColumn("_first", F.col("_here")[0])
+    found = salted_join(here, known.withColumn("_first", F.col("_p")[0]), ["_first"], salts).where(F.slice("_here", 1, F.size("_p")) == F.col("_p"))
+    return found.select(key, "symbol").distinct()
+
+
 def dedup_first(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
     """The first row of each key, by an order that leaves no choice."""
     return df.withColumn("_k", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("_k = 1").drop("_k")
@@ -161,11 +188,14 @@ def velocity_regime(df: DataFrame, of: str = "velocity") -> DataFrame:
     return df.withColumn("velocity_code", F.when(x <= -0.05, -2).when(x <= -0.01, -1).when(x <= 0.01, 0).when(x <= 0.05, 1).when(x.isNotNull(), 2))
 
 
-def join_sentiment(market: DataFrame, hourly: DataFrame, values: Sequence[str]) -> DataFrame:
-    """market with the hour's sentiment (of several rows of a timestamp the greatest, whichever task reads first);
-    missing hours get 0 and a flag."""
-    last = hourly.groupBy("timestamp").agg(F.max(F.struct(*values)).alias("_v")).select("timestamp", *[F.col("_v")[v].alias(v) for v in values])
-    rows = market.join(last.withColumn("_there", F.lit(1)), "timestamp", "left")
+def join_sentiment(market: DataFrame, hourly: DataFrame, values: Sequence[str], on: Sequence[str] = ("timestamp",), order: str | None = None) -> DataFrame:
+    """market with the sentiment of its hour (and symbol, if ``on`` names it); missing hours get 0 and a flag.
+
+    Of several rows of a key the one with the greatest ``order`` counts (a null order last of all; equal ones, or no
+    order: the greatest values, whichever task reads first)."""
+    taken = F.max(F.struct(*([F.col(order).alias("_order")] if order else []), F.struct(*values).alias("_v")))
+    last = hourly.groupBy(*on).agg(taken.alias("_r")).select(*on, *[F.col("_r._v")[v].alias(v) for v in values])
+    rows = market.join(last.withColumn("_there", F.lit(1)), list(on), "left")
     return rows.withColumn("sentiment_join_missing", F.isnull("_there").cast("int")).na.fill(0, list(values)).drop("_there")
 
 

@@ -8,9 +8,11 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions.ranks import global_place
+
 
 def run_grid(df: DataFrame, variants: dict[str, Callable[[DataFrame], DataFrame]]) -> DataFrame:
     """The union of all variants of a table, each under its name: later stages take ``variant`` as a key."""
@@ -23,8 +25,8 @@ def run_grid(df: DataFrame, variants: dict[str, Callable[[DataFrame], DataFrame]
 
 def time_cut(df: DataFrame, share: float) -> DataFrame:
     """part by the order of the distinct timestamps: the first ``share`` of them train."""
-    times = df.select("timestamp").distinct().withColumn("_r", F.percent_rank().over(Window.orderBy("timestamp")))  # one row per bar time
-    return df.join(times, "timestamp").withColumn("part", F.when(F.col("_r") < share, "train").otherwise("test")).drop("_r")
+    times, n = global_place(df.select("timestamp").distinct(), ["timestamp"], "_r")
+    return df.join(times, "timestamp").withColumn("part", F.when(F.col("_r") < share * max(n - 1, 1), "train").otherwise("test")).drop("_r")
 
 
 def route_by_regime(df: DataFrame, scores: dict[str, str], bull_only: bool = False) -> DataFrame:

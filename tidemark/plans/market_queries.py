@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions.blocks import in_blocks
 from tidemark.operators import candles as C
 from tidemark.operators import features as X
 from tidemark.operators import technical as K
@@ -165,12 +166,33 @@ def feature_mad_clip(spark, sf_dir):
     return result(X.mad_clip(X.missing_flags(X.returns(bars(spark, sf_dir), [1]), ["return_1h"]), ["return_1h"], 48, 3.0), "symbol", "timestamp", "return_1h_clipped", "return_1h_missing")
 
 
-@query()
+def _dataset_sql() -> str:
+    """SQL of all features, their flags, clipped columns and the label."""
+    plain = [c for g in X.GROUPS if g != "calendar" for c in X.GROUPS[g]]
+    frame = "OVER (PARTITION BY symbol ORDER BY t ROWS BETWEEN 168 PRECEDING AND 1 PRECEDING)"
+    h, d = "2 * pi() * ((t // 3600) % 24) / 24", "2 * pi() * ((t // 86400 + 3) % 7) / 7"
+    calendar = f"round(sin({h}), 6) + 0.0 AS hour_sin, round(cos({h}), 6) + 0.0 AS hour_cos, round(sin({d}), 6) + 0.0 AS day_of_week_sin, round(cos({d}), 6) + 0.0 AS day_of_week_cos, ((t // 86400 + 3) % 7 >= 5)::INT AS weekend_flag"
+    steps = [
+        f"f1 AS (SELECT *, volume / ({win('avg(volume)', 24)}) AS volume_ratio_24h, close - lag(close) OVER w AS s, volume * close AS dv, close / ({win('avg(close)', 24)}) - 1 AS sma_24_distance, close / ({win('avg(close)', 168)}) - 1 AS sma_168_distance, close / ({win('max(high)', 24)}) - 1 AS drawdown_from_24h_high, close / ({win('min(low)', 24)}) - 1 AS distance_from_24h_low, (high - low) / close AS high_low_range_1h, realized_volatility_24h / lag(realized_volatility_24h, 24) OVER w - 1 AS realized_volatility_change_24h, list(realized_volatility_24h) FILTER (WHERE realized_volatility_24h IS NOT NULL) OVER (PARTITION BY symbol ORDER BY t ROWS BETWEEN 167 PRECEDING AND CURRENT ROW) AS vl, ({exp_mean('close', 2 / 13, 12)}) / ({exp_mean('close', 2 / 27, 26)}) - 1 AS ema_12_26_distance FROM vol {W})",
+        "f2 AS (SELECT *, CASE WHEN s IS NOT NULL THEN greatest(s, 0) END AS g, CASE WHEN s IS NOT NULL THEN greatest(-s, 0) END AS lo FROM f1)",
+        f"f3 AS (SELECT *, {win('avg(g)', 14)} AS ga, {win('avg(lo)', 14)} AS la, CASE WHEN len(vl) = 168 THEN len(list_filter(vl, lambda x: x <= realized_volatility_24h)) / 168.0 END AS volatility_percentile_168h, {_z('volume', 24)} AS volume_zscore_24h, {_z('volume', 168)} AS volume_zscore_168h, {_z('dv', 168)} AS dollar_volume_zscore_168h FROM f2)",
+        f"f4 AS (SELECT *, CASE WHEN ga IS NULL THEN NULL WHEN la = 0 AND ga = 0 THEN 50 WHEN la = 0 THEN 100 ELSE 100 - 100 / (1 + ga / la) END AS rsi_14, lead(close, 12) OVER w / close - 1 AS nr, 0.003 + 0.1 * realized_volatility_24h AS band FROM f3 {W})",
+        "f5 AS (SELECT *, " + ", ".join(f"list({c}) FILTER (WHERE {c} IS NOT NULL) {frame} AS l_{c}" for c in plain) + " FROM f4)",
+        "f6 AS (SELECT *, " + ", ".join(f"list_median(l_{c}) AS m_{c}" for c in plain) + " FROM f5)",
+        "f7 AS (SELECT *, " + ", ".join(f"list_median(list_transform(l_{c}, lambda x: abs(x - m_{c}))) AS k_{c}" for c in plain) + " FROM f6)",
+    ]
+    clips = ", ".join(f"round(CASE WHEN len(l_{c}) = 168 AND k_{c} > 0 AND {c} IS NOT NULL THEN greatest(m_{c} - 8 * k_{c}, least(m_{c} + 8 * k_{c}, {c})) ELSE {c} END, 5) AS {c}_clipped, ({c} IS NULL)::TINYINT AS {c}_missing" for c in plain)
+    return f"WITH {BARS}, {RET}, {VOL}, {', '.join(steps)} SELECT symbol, t, {clips}, {calendar}, CASE WHEN nr IS NOT NULL AND band IS NOT NULL THEN (nr > band)::TINYINT END AS target FROM f7"
+
+
+@query(_dataset_sql())
 def feature_dataset(spark, sf_dir):
     """All groups with flags, clipped columns and label: the model table."""
     groups = list(X.GROUPS)
-    rows = X.label(X.build(bars(spark, sf_dir), groups), 12, X.cost_buffer("round_trip", 0.001, 0.0005), 0.1)
-    return result(rows, "symbol", "timestamp", *X.feature_columns(groups), "target")
+    rows = in_blocks(X.build(bars(spark, sf_dir), groups), lambda d: X.label(d, 12, X.cost_buffer("round_trip", 0.001, 0.0005), 0.1), 0, ahead=12)
+    rows = rows.withColumns({c: F.round(c, 5) for c in rows.columns if c.endswith("_clipped")})
+    rows = result(rows, "symbol", "timestamp", *X.feature_columns(groups), "target")
+    return rows.withColumns({c: F.col(c) + 0.0 for c in rows.columns if c.endswith(("sin", "cos"))})
 
 
 # Labels.

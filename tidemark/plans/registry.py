@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from tidemark.plans import ledger_queries, market_queries, stream_queries, study_queries, text_queries, validation_queries  # noqa: F401
+from tidemark.plans import experiment_queries, ledger_queries, market_queries, stream_queries, study_queries, text_queries, validation_queries  # noqa: F401
 from tidemark.plans.base import ORACLES, QUERIES, result  # noqa: F401

@@ -54,6 +54,29 @@ def text_score_distinct(spark, sf_dir):
     return result(T.score_distinct(posts(spark, sf_dir), "text", UP, DOWN), "doc_id", "sentiment_score")
 
 
+LISTED = "lex AS (SELECT word, CASE WHEN length(word) % 2 = 0 THEN 1.0 ELSE -1.0 END AS weight FROM (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM benchmark))"
+LISTED_WORDS = r"""lw AS (SELECT doc_id, trim(w, '.,!?;:()[]{}"''') AS word FROM (SELECT doc_id, unnest(regexp_split_to_array(lower(coalesce(text, '')), '\s+')) AS w FROM documents))"""
+
+
+@query(f"WITH {LISTED}, {LISTED_WORDS}, s AS (SELECT doc_id, sum(weight) / count(*) AS s FROM lw JOIN lex USING (word) GROUP BY 1) SELECT doc_id, round(coalesce(s, 0), 6) AS sentiment_score FROM documents LEFT JOIN s USING (doc_id)")
+def text_lexicon_table(spark, sf_dir):
+    """Scores by a lexicon that is a table, of any size: all words of the benchmark's items, even lengths positive."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    words = items.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), 0)).alias("word")).distinct()
+    lexicon = words.withColumn("weight", F.when(F.length("word") % 2 == 0, 1.0).otherwise(-1.0))
+    return result(T.lexicon_scores(posts(spark, sf_dir), "doc_id", "text", lexicon), "doc_id", "sentiment_score")
+
+
+@query(r"""WITH p AS (SELECT DISTINCT 'I' || (item_id % 7) AS symbol, x[1:2] AS p FROM (SELECT item_id, regexp_extract_all(lower(text), '[0-9A-Za-z_]+') AS x FROM benchmark)), t AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[0-9A-Za-z_]+') AS x FROM documents),
+ h AS (SELECT DISTINCT doc_id, x[i:i+1] AS two FROM (SELECT doc_id, x, unnest(range(1, len(x) + 1)) AS i FROM t)) SELECT DISTINCT doc_id, symbol FROM h JOIN p ON p.p = h.two""")
+def text_tag_patterns(spark, sf_dir):
+    """Documents that hold the first two words of a benchmark item, the items being a table of patterns."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    words = F.regexp_extract_all(F.lower("text"), F.lit(r"\w+"), 0)
+    patterns = items.select(F.concat(F.lit("I"), F.col("item_id") % 7).alias("symbol"), F.array_join(F.slice(words, 1, 2), " ").alias("pattern"))
+    return T.tag_by_patterns(posts(spark, sf_dir), "doc_id", "text", patterns)
+
+
 @query("SELECT doc_id, length(trim(coalesce(source, '') || chr(10) || coalesce(text, ''))) AS n FROM documents")
 def text_post_text(spark, sf_dir):
     return T.post_text(posts(spark, sf_dir), "source", "text").select("doc_id", F.length("post_text").cast("long").alias("n"))

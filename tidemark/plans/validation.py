@@ -61,10 +61,14 @@ def probability_diagnostics(df: DataFrame, keys: Sequence[str], p: str = "probab
 
 
 def threshold_sweep(scored: DataFrame, thresholds: Sequence[float], keys: Sequence[str]) -> DataFrame:
-    """Ledger metrics and the cash baseline for every (keys, threshold): the thresholds are a key, the sweep one job."""
+    """Ledger metrics and the cash baseline for every (keys, threshold): the thresholds are a key, the sweep one job.
+    With a column target also precision, recall and F1."""
     rows = scored.withColumn("threshold", F.explode(F.array(*map(F.lit, thresholds)))).withColumn("signal", (F.col("probability") >= F.col("threshold")).cast("int"))
     by = [*keys, "threshold"]
-    return ledger.metrics(ledger.equity(rows, by), ledger.trades(rows, by), by).withColumn("cash_return", F.lit(0.0))
+    out = ledger.run_metrics(rows, by).withColumn("cash_return", F.lit(0.0))
+    if "target" in scored.columns:
+        out = out.join(classification_metrics(rows, by, predicted="signal").select(*by, "precision", "recall", "f1"), by, "left")
+    return out
 
 
 def summarize_thresholds(m: DataFrame, keys: Sequence[str], kind: str = "return", most_exposure: float = 0.9) -> DataFrame:
@@ -108,6 +112,13 @@ ALWAYS = -1.0
 HOLDOUT = -1
 
 
+def against_holding(tested: DataFrame, keys: Sequence[str], thresholds: Sequence[float]) -> DataFrame:
+    """Ledger metrics of every (keys, threshold) of rows that are scored, with buy_hold_return of the same rows."""
+    m = threshold_sweep(tested, [ALWAYS, *thresholds], keys)
+    held = m.where(F.col("threshold") == ALWAYS).select(*keys, F.col("total_return").alias("buy_hold_return"))
+    return m.where(F.col("threshold") != ALWAYS).join(held, list(keys))
+
+
 def evaluate_grid(scored: DataFrame, keys: Sequence[str], thresholds: Sequence[float], min_train: int, test: int, step: int, share: float = 0.2) -> DataFrame:
     """Ledger metrics of every candidate (keys), fold and threshold, the holdout (fold HOLDOUT) and buy and hold included:
     candidates, folds and thresholds are keys of one sweep. buy_hold_return stands beside each row."""
@@ -115,22 +126,31 @@ def evaluate_grid(scored: DataFrame, keys: Sequence[str], thresholds: Sequence[f
     development = rows.where("part = 'development'").drop("part")
     folds = walk_forward(development.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")), min_train, test, step)
     tested = assign_folds(development, folds, keys).drop("pos").unionByName(rows.where("part = 'holdout'").drop("part").withColumn("fold", F.lit(HOLDOUT)))
-    m = threshold_sweep(tested, [ALWAYS, *thresholds], [*keys, "fold"])
-    held = m.where(F.col("threshold") == ALWAYS).select(*keys, "fold", F.col("total_return").alias("buy_hold_return"))
-    return m.where(F.col("threshold") != ALWAYS).join(held, [*keys, "fold"])
+    return against_holding(tested, [*keys, "fold"], thresholds)
+
+
+#: Medians are compared with so many decimals, so that rounding decides no tie.
+DIGITS = 9
+
 
+def select_and_confirm(m: DataFrame, keys: Sequence[str], kind: str = "interval", most_exposure: float = 0.9, among: Sequence[str] = (), candidate_order: Sequence = ()) -> DataFrame:
+    """One row per candidate: the selected threshold with its development medians (null where no threshold is eligible),
+    the holdout's metrics at it, the rank among the candidates of the same ``among``, and the decision.
 
-def select_and_confirm(m: DataFrame, keys: Sequence[str], kind: str = "interval", most_exposure: float = 0.9) -> DataFrame:
-    """Per candidate the selected threshold with its development medians, the holdout's metrics at it, the rank among the
-    candidates, and a decision: confirmed where the holdout is above cash and above buy and hold."""
+    Ranks go by return, smaller drawdown, turnover, exposure (kind "interval") and the candidates' own order; candidates
+    without a threshold have none. Only the first is decided on: confirmed where its holdout is above cash and above buy
+    and hold. The holdout ranks nothing."""
     summary = summarize_thresholds(m.where(F.col("fold") != HOLDOUT), keys, kind, most_exposure)
-    chosen = select_threshold(summary, keys, by_exposure=kind == "interval").drop("rank", "eligible")
+    summary = summary.withColumns({c: F.round(c, DIGITS) for c in ("median_return", "median_drawdown", "median_turnover", "median_exposure")})
+    interval = kind == "interval"
+    chosen = select_threshold(summary, keys, by_exposure=interval).drop("rank", "eligible")
     names = ["total_return", "max_drawdown", "exposure", "n_trades", "buy_hold_return"]
     holdout = m.where(F.col("fold") == HOLDOUT).select(*keys, "threshold", *[F.col(c).alias(f"holdout_{c}") for c in names])
-    out = chosen.join(holdout, [*keys, "threshold"], "left")
+    out = m.select(*keys).distinct().join(chosen, list(keys), "left").join(holdout, [*keys, "threshold"], "left")
+    order = [F.col("median_return").desc(), F.abs("median_drawdown"), F.col("median_turnover"), *[F.col("median_exposure")] * interval, *(candidate_order or keys)]
+    out = rank_eligible(out.withColumn("eligible", F.col("threshold").isNotNull().cast("int")), among, order)
     good = (F.col("holdout_total_return") > 0) & (F.col("holdout_total_return") > F.col("holdout_buy_hold_return"))
-    out = out.withColumn("decision", F.when(F.coalesce(good, F.lit(False)), "confirmed").otherwise("not_confirmed"))
-    return out.withColumn("rank", F.row_number().over(Window.orderBy(F.col("median_return").desc(), *keys)))  # one row per candidate
+    return out.withColumn("decision", F.when(F.col("rank") == 1, F.when(F.coalesce(good, F.lit(False)), "confirmed").otherwise("not_confirmed")))
 
 
 def label_grid(df: DataFrame, horizons: Sequence[int], costs: dict[str, float], vols: Sequence[float]) -> DataFrame:
@@ -152,45 +172,49 @@ def _design(features: Sequence[str]) -> list[str]:
 
 
 def standardize(df: DataFrame, features: Sequence[str], keys: Sequence[str], train: str = "is_train") -> DataFrame:
-    """Median imputation and standardisation by the cell's training rows (population deviation; constant: 0)."""
+    """Median imputation and standardisation by the cell's training rows (population deviation; constant, or no training
+    rows: 0)."""
     fit = df.where(F.col(train) == 1)
     medians = fit.groupBy(*keys).agg(*[F.percentile(f, 0.5).alias(f"_m_{f}") for f in features])
-    filled = df.join(medians, list(keys)).withColumns({f: F.coalesce(f, f"_m_{f}", F.lit(0.0)) for f in features}).drop(*[f"_m_{f}" for f in features])
+    filled = df.join(medians, list(keys), "left").withColumns({f: F.coalesce(f, f"_m_{f}", F.lit(0.0)) for f in features}).drop(*[f"_m_{f}" for f in features])
     moments = filled.where(F.col(train) == 1).groupBy(*keys).agg(*[F.avg(f).alias(f"_a_{f}") for f in features], *[F.stddev_pop(f).alias(f"_s_{f}") for f in features])
     scaled = {f: F.coalesce(F.try_divide(F.col(f) - F.col(f"_a_{f}"), F.nullif(f"_s_{f}", F.lit(0.0))), F.lit(0.0)) for f in features}
-    return filled.join(moments, list(keys)).withColumns(scaled).drop(*[f"_a_{f}" for f in features], *[f"_s_{f}" for f in features])
+    return filled.join(moments, list(keys), "left").withColumns(scaled).drop(*[f"_a_{f}" for f in features], *[f"_s_{f}" for f in features])
 
 
-def fit_logistic(df: DataFrame, features: Sequence[str], keys: Sequence[str], target: str = "target", c: float = 1.0, steps: int = 6) -> DataFrame:
-    """keys, beta (intercept first): L2 Newton for every cell at once; the intercept is penalised as well.
+def fit_logistic(df: DataFrame, features: Sequence[str], keys: Sequence[str], target: str = "target", c: float | str = 1.0, steps: int = 12, close: float = 1e-9) -> DataFrame:
+    """keys, beta (intercept first): L2 Newton for every cell at once; the intercept is penalised as well. ``c``: the
+    inverse of the penalty's weight, or the column that has it, the same in all rows of a cell.
 
-    A step is one grouped aggregation of the k(k+1)/2 + k sums, and a k x k solution per cell.
+    A step is one grouped aggregation of the k(k+1)/2 + k sums, and a k x k solution per cell; it ends when no
+    coefficient of any cell moves by more than ``close``. df is read once a step: hand in a table or a checkpoint.
     """
     x = _design(features)
     k = len(x)
-    spec = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keys).schema) + ", beta array<double>"
+    spec = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keys).schema) + ", beta array<double>, moved double"
     beta = df.select(*keys).distinct().withColumn("beta", F.array(*[F.lit(0.0)] * k))
     names = [f"h{i}_{j}" for i in range(k) for j in range(i, k)] + [f"g{i}" for i in range(k)]
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        upper = np.triu_indices(k)
         for rows in batches:
-            out = []
-            for _, r in rows.iterrows():
-                b, h, g = np.asarray(r["beta"]), np.zeros((k, k)), np.asarray([r[f"g{i}"] for i in range(k)])
-                for i in range(k):
-                    for j in range(i, k):
-                        h[i, j] = h[j, i] = r[f"h{i}_{j}"]
-                out.append((b + np.linalg.solve(c * h + np.eye(k), c * g - b)).tolist())
-            yield rows[list(keys)].assign(beta=out)
+            b, g = np.asarray(rows["beta"].tolist()).reshape(-1, k), rows[[f"g{i}" for i in range(k)]].to_numpy(float)
+            h = np.zeros((len(rows), k, k))
+            h[:, upper[0], upper[1]] = h[:, upper[1], upper[0]] = rows[names[: len(upper[0])]].to_numpy(float)
+            weight = rows["_c"].to_numpy(float)[:, None]
+            step = np.linalg.solve(weight[:, :, None] * h + np.eye(k), (weight * g - b)[:, :, None])[:, :, 0] if len(rows) else b
+            yield rows[list(keys)].assign(beta=list((b + step).tolist()), moved=np.abs(step).max(axis=1))
 
     for _ in range(steps):
-        joined = df.join(beta, list(keys))  # one row per cell
+        joined = df.join(beta.drop("moved"), list(keys))  # one row per cell
         eta = sum((F.col("beta")[i] * F.expr(f) for i, f in enumerate(x)), F.lit(0.0))
         rows = joined.withColumn("_p", 1 / (1 + F.exp(-eta))).withColumn("_w", F.col("_p") * (1 - F.col("_p")))
         sums = [F.sum(F.col("_w") * F.expr(x[i]) * F.expr(x[j])).alias(f"h{i}_{j}") for i in range(k) for j in range(i, k)] + [F.sum((F.col(target) - F.col("_p")) * F.expr(x[i])).alias(f"g{i}") for i in range(k)]
-        cells = rows.groupBy(*keys).agg(F.first("beta").alias("beta"), *sums)
-        beta = checkpointed(cells.select(*keys, "beta", *names).mapInPandas(solve, spec))
-    return beta
+        cells = rows.groupBy(*keys).agg(F.first("beta").alias("beta"), F.first(c if isinstance(c, str) else F.lit(float(c))).alias("_c"), *sums)
+        beta = checkpointed(cells.select(*keys, "beta", "_c", *names).mapInPandas(solve, spec))
+        if (beta.agg(F.max("moved")).first()[0] or 0.0) <= close:
+            break
+    return beta.drop("moved")
 
 
 def predict(df: DataFrame, beta: DataFrame, features: Sequence[str], keys: Sequence[str]) -> DataFrame:

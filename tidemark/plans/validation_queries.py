@@ -5,16 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions.windows import change, ordered
+from tidemark.functions.shared import checkpointed
 from tidemark.operators import features as X
 from tidemark.operators import ledger as L
-from tidemark.operators import text as T
 from tidemark.plans import experiments as E
 from tidemark.plans import validation as V
 from tidemark.plans.ledger_queries import SIGNALS, chain, met, signals
 from tidemark.plans.market_queries import BARS, RET, VOL, W, bars
 from tidemark.plans.base import query, result
-from tidemark.plans.text_queries import POSTS, scored
 
 SIZES = "sizes AS (SELECT symbol, count(*) AS n FROM bars GROUP BY symbol)"
 
@@ -107,83 +105,6 @@ def validation_threshold_selection(spark, sf_dir):
     return V.select_threshold(V.summarize_thresholds(sweep(spark, sf_dir), ["symbol"]), ["symbol"]).select("symbol", "threshold")
 
 
-def grid_sql(source: str, key: str, train: int, test: int, step: int, gate: str, exposure: bool = False) -> str:
-    """SQL of evaluate_grid and select_and_confirm on ``source`` (key, t, open, high, low, close, p)."""
-    k, pk = f"{key}, fold, threshold", f"PARTITION BY {key}"
-    start = f"({train} + fold * {step})"
-    tie = "e, " if exposure else ""
-    return f"""sp AS (SELECT *, row_number() OVER ({pk} ORDER BY t) - 1 AS pos_, count(*) OVER ({pk}) AS n_ FROM {source}), hs AS (SELECT *, n_ - greatest(1, least(n_ - 1, ceil(n_ * 0.2)))::BIGINT AS dev FROM sp),
- fr AS (SELECT hs.* EXCLUDE (pos_, n_, dev), fold::INT AS fold FROM hs, range(0, 500) r(fold) WHERE {start} <= dev - 1 AND pos_ >= {start} AND pos_ < least(dev, {start} + {test}) UNION ALL SELECT hs.* EXCLUDE (pos_, n_, dev), -1 FROM hs WHERE pos_ >= dev),
- th AS (SELECT fr.*, threshold, (p >= threshold)::INT AS signal FROM fr, (SELECT unnest({[V.ALWAYS, *THRESHOLDS]}::DOUBLE[]) AS threshold)), {chain('th', k)}, {met(k)},
- me AS (SELECT {k}, total_return, max_drawdown, exposure, coalesce(n_trades, 0) AS n, coalesce(notional, 0) / first_equity AS turnover FROM met LEFT JOIN mef USING ({k})), bh AS (SELECT {key}, fold, total_return AS bh FROM me WHERE threshold = -1),
- su AS (SELECT {key}, threshold, sum(n)::BIGINT AS n, median(total_return) AS r, median(bh) AS b, median(max_drawdown) AS d, median(turnover) AS tu, median(exposure) AS e FROM me JOIN bh USING ({key}, fold) WHERE fold >= 0 AND threshold >= 0 GROUP BY ALL),
- sel AS (SELECT *, row_number() OVER ({pk} ORDER BY r DESC, abs(d), tu, {tie}threshold) AS rank FROM su WHERE n > 0 AND {gate}),
- fin AS (SELECT s.*, h.total_return AS hr, hb.bh AS hb, h.n AS hn FROM sel s LEFT JOIN (SELECT * FROM me WHERE fold = -1) h USING ({key}, threshold) LEFT JOIN (SELECT * FROM bh WHERE fold = -1) hb USING ({key}) WHERE s.rank = 1),
- don AS (SELECT {key}, threshold, n AS n_trades, printf('%.5e', r) AS median_return, round(e, 6) AS median_exposure, printf('%.5e', hr) AS holdout_total_return, printf('%.5e', hb) AS holdout_buy_hold_return, hn::BIGINT AS holdout_n_trades, CASE WHEN hr > 0 AND hr > hb THEN 'confirmed' ELSE 'not_confirmed' END AS decision, row_number() OVER (ORDER BY r DESC, {key})::INT AS rank FROM fin)"""
-
-
-INTERVAL_GATE, REGIME_GATE, RETURN_GATE = "r > 0 AND r > b AND e <= 0.9", "r > 0 AND r > b", "r >= 0"
-DON = "threshold, n_trades, median_return, median_exposure, holdout_total_return, holdout_buy_hold_return, holdout_n_trades, decision, rank"
-
-
-def confirmed(scored: DataFrame, keys: list[str], train: int, test: int, step: int, kind: str) -> DataFrame:
-    rows = V.select_and_confirm(V.evaluate_grid(scored, keys, THRESHOLDS, train, test, step), keys, kind)
-    rows = rows.withColumns({c: F.format_string("%.5e", c) for c in ("median_return", "holdout_total_return", "holdout_buy_hold_return")})
-    return result(rows, *keys, *DON.split(", "))
-
-
-@query(f"WITH {BARS}, {SIGNALS}, {grid_sql('sig', 'symbol', 300, 60, 60, RETURN_GATE)} SELECT symbol, {DON} FROM don")
-def experiment_holdout_evaluation(spark, sf_dir):
-    """The threshold selected on the development folds, evaluated on the holdout beside buy and hold."""
-    return confirmed(signals(spark, sf_dir).drop("signal"), ["symbol"], 300, 60, 60, "return")
-
-
-GRID_INTERVALS = ["1h", "2h", "3h", "4h", "5h", "6h", "7h", "8h", "9h", "10h", "11h", "12h", "13h", "14h"]
-
-
-def _scored_intervals() -> str:
-    from tidemark.operators.candles import interval_seconds
-
-    each = " UNION ALL ".join(f"SELECT symbol, '{i}' AS interval, t // {n} * {n} AS t, first(open ORDER BY t) AS open, max(high) AS high, min(low) AS low, last(close ORDER BY t) AS close, sum(volume) AS volume FROM bars GROUP BY 1, 2, 3 HAVING count(*) * 3600 = {n}" for i in GRID_INTERVALS for n in [interval_seconds(i)])
-    return f"rs AS ({each}), gs AS (SELECT *, coalesce(1 / (1 + exp(-(close / lag(close, 6) OVER (PARTITION BY symbol, interval ORDER BY t) - 1))), 0.5) AS p FROM rs)"
-
-
-@query(f"WITH {BARS}, {_scored_intervals()}, {grid_sql('gs', 'symbol, interval', 20, 10, 10, INTERVAL_GATE, True)} SELECT symbol, interval, {DON} FROM don")
-def experiment_interval_grid(spark, sf_dir):
-    """Every symbol at every interval: sweep, selection with the exposure gate, ranking and confirmation as one job."""
-    from tidemark.operators.candles import resample_many
-
-    rows = resample_many(bars(spark, sf_dir), GRID_INTERVALS)
-    keys = ["symbol", "interval"]
-    p = F.coalesce(1 / (1 + F.exp(-change(F.col("close"), 6, ordered(keys)))), F.lit(0.5))
-    return confirmed(rows.withColumn("probability", p), keys, 20, 10, 10, "interval")
-
-
-def _group_scores() -> dict[str, str]:
-    """One additional group of features each, as the sum of a few of them."""
-    return {"baseline": "return_1h", "momentum_reversal": "return_1h + return_3h + return_12h", "volatility": "return_1h - realized_volatility_24h", "volume": "return_1h * ln(1 + volume)"}
-
-
-@query(f"WITH {BARS}, {RET}, {VOL}, gs AS ({' UNION ALL '.join(f'SELECT symbol, t, open, high, low, close, {chr(39)}{n}{chr(39)} AS variant, coalesce(1 / (1 + exp(-({e}))), 0.5) AS p FROM vol' for n, e in _group_scores().items())}), {grid_sql('gs', 'symbol, variant', 300, 60, 60, RETURN_GATE)} SELECT symbol, variant, {DON} FROM don")
-def experiment_feature_groups(spark, sf_dir):
-    """The baseline and one more group of features at a time, as a key of one sweep."""
-    rows = X.realized_vol(X.returns(bars(spark, sf_dir)))
-    grid = E.run_grid(rows, {n: lambda d, e=e: d.withColumn("probability", F.coalesce(1 / (1 + F.exp(-F.expr(e))), F.lit(0.5))) for n, e in _group_scores().items()})
-    return confirmed(grid, ["symbol", "variant"], 300, 60, 60, "return")
-
-
-REGIMES = f"gs AS (SELECT symbol, t, open, high, low, close, CASE WHEN tr >= 0 THEN p WHEN tr < 0 THEN 1 - p ELSE 0.5 END AS p, v.variant FROM (SELECT *, close / lag(close, 24) OVER w - 1 AS tr FROM sig {W}), (SELECT 'routed' AS variant) v UNION ALL SELECT symbol, t, open, high, low, close, p, 'global' FROM sig UNION ALL SELECT symbol, t, open, high, low, close, CASE WHEN tr < 0 THEN -1 ELSE coalesce(CASE WHEN tr >= 0 THEN p END, 0.5) END, 'bull_only' FROM (SELECT *, close / lag(close, 24) OVER w - 1 AS tr FROM sig {W}))"
-
-
-@query(f"WITH {BARS}, {SIGNALS}, {REGIMES}, {grid_sql('gs', 'symbol, variant', 300, 60, 60, REGIME_GATE)} SELECT symbol, variant, {DON} FROM don")
-def experiment_regime_specialists(spark, sf_dir):
-    """One score for all bars, a score of its own for each regime, and cash in falling markets."""
-    rows = X.regime(signals(spark, sf_dir).drop("signal")).withColumn("up", F.col("probability")).withColumn("down", 1 - F.col("probability"))
-    filled = lambda d: d.withColumn("probability", F.coalesce("probability", F.lit(0.5)))
-    grid = E.run_grid(rows, {"global": lambda d: d, "routed": lambda d: filled(E.route_by_regime(d, {"bull": "up", "bear": "down"})), "bull_only": lambda d: filled(E.route_by_regime(d, {"bull": "up"}, bull_only=True))})
-    return confirmed(grid, ["symbol", "variant"], 300, 60, 60, "regime")
-
-
 HORIZONS, COSTS, VOLS = (1, 3, 6, 12, 24), {"none": 0.0, "one_way": 0.0015, "round_trip": 0.003}, (0.0, 0.05, 0.1)
 
 
@@ -206,27 +127,14 @@ def model_walk_forward_logistic(spark, sf_dir):
     folds = V.walk_forward(sizes(b), 300, 60, 60)
     keys = ["symbol", "fold"]
     spans = folds.select("symbol", "fold", "train_start", "train_end", "test_start", "test_end")
-    rows = V.positions(b).join(F.broadcast(spans), "symbol").where("pos >= train_start and pos < test_end and (pos < train_end or pos >= test_start)")
+    rows = V.positions(b).join(spans, "symbol").where("pos >= train_start and pos < test_end and (pos < train_end or pos >= test_start)")
     rows = rows.withColumn("is_train", (F.col("pos") < F.col("train_end")).cast("int")).where("target is not null")
-    scaled = V.standardize(rows.select(*keys, "timestamp", "is_train", F.col("target").cast("double").alias("target"), *MODEL), MODEL, keys)
+    scaled = checkpointed(V.standardize(rows.select(*keys, "timestamp", "is_train", F.col("target").cast("double").alias("target"), *MODEL), MODEL, keys))
     beta = V.fit_logistic(scaled.where("is_train = 1"), MODEL, keys)
     tested = V.predict(scaled.where("is_train = 0"), beta, MODEL, keys).withColumn("predicted", (F.col("probability") >= 0.5).cast("int"))
     return result(V.classification_metrics(tested, keys))
 
 
-def _sentiment_scores() -> dict[str, str]:
-    return {"market": "return_1h", "mean": "return_1h + sentiment_mean", "lagged": "return_1h + coalesce(sentiment_lag, 0)", "count": "return_1h + sentiment_count / 1000.0"}
-
-
-@query(f"WITH {BARS}, {RET}, {POSTS}, a AS (SELECT t // 3600 * 3600 AS t, avg(s) AS m, count(*) AS n FROM posts GROUP BY 1), j AS (SELECT r.*, coalesce(a.m, 0) AS sentiment_mean, coalesce(a.n, 0) AS sentiment_count FROM ret r LEFT JOIN a ON a.t = r.t), l AS (SELECT *, lag(sentiment_mean) OVER w AS sentiment_lag FROM j {W}), gs AS ({' UNION ALL '.join(f'SELECT symbol, t, open, high, low, close, {chr(39)}{n}{chr(39)} AS variant, coalesce(1 / (1 + exp(-({e}))), 0.5) AS p FROM l' for n, e in _sentiment_scores().items())}), {grid_sql('gs', 'symbol, variant', 300, 60, 60, RETURN_GATE)} SELECT symbol, variant, {DON} FROM don")
-def experiment_sentiment_ablation(spark, sf_dir):
-    """The market's score alone and with one form of sentiment at a time, as a key of one sweep."""
-    h = scored(spark, sf_dir).groupBy(F.date_trunc("hour", "timestamp").alias("timestamp")).agg(F.avg("sentiment_score").alias("sentiment_mean"), F.count(F.lit(1)).alias("sentiment_count"))
-    rows = T.join_sentiment(X.returns(bars(spark, sf_dir)), h, ["sentiment_mean", "sentiment_count"]).withColumn("sentiment_lag", F.lag("sentiment_mean").over(ordered()))
-    grid = E.run_grid(rows, {n: lambda d, e=e: d.withColumn("probability", F.coalesce(1 / (1 + F.exp(-F.expr(e))), F.lit(0.5))) for n, e in _sentiment_scores().items()})
-    return confirmed(grid, ["symbol", "variant"], 300, 60, 60, "return")
-
-
 @query(f"WITH {BARS}, d AS (SELECT t, percent_rank() OVER (ORDER BY t) AS r FROM (SELECT DISTINCT t FROM bars)) SELECT symbol, bars.t, CASE WHEN r < 0.6 THEN 'train' ELSE 'test' END AS part FROM bars JOIN d ON d.t = bars.t")
 def validation_time_cut(spark, sf_dir):
     return result(E.time_cut(bars(spark, sf_dir), 0.6), "symbol", "timestamp", "part")
