@@ -12,6 +12,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.shared import checkpointed
 from tidemark.functions.windows import KEYS, ORDER, affine_scans
 
 #: Rows of a block, and seconds of the time blocks in which rows are numbered.
@@ -29,10 +30,11 @@ def _lookup(df: DataFrame, table: DataFrame, on: Sequence[str], values: Sequence
 
 def numbered(df: DataFrame, keys: Sequence[str] = KEYS, order: str = ORDER, span: int = SPAN) -> DataFrame:
     """``_pos``: the place of a row in its series, from 0. Rows are numbered inside time blocks of ``span`` seconds, whose
-    counts (one row each) give where a block starts. Rows of one time must be few, their order among each other is open."""
+    counts (one row each) give where a block starts. Rows of one time must be few, their order among each other is open.
+    The rows are written down first, as everything that is carried between blocks reads them more than once."""
     if "_pos" in df.columns:
         return df
-    timed = df.withColumn("_time", F.floor(F.unix_seconds(order) / span))
+    timed = checkpointed(df.withColumn("_time", F.floor(F.unix_seconds(order) / span)))
     counts = timed.groupBy(*keys, "_time").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_time").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0)))
@@ -72,16 +74,16 @@ _KINDS: dict[str, tuple[Callable, Callable]] = {
 }
 
 
-def running(df: DataFrame, values: dict[str, tuple[str, Column]], keys: Sequence[str] = KEYS, order: str = ORDER, block: int = BLOCK, span: int = SPAN, before: bool = False) -> DataFrame:
-    """For each name (kind, x): the sum, product, max or min of x up to each row (``before``: without it), null where
-    there is none yet. A block's total goes on to the blocks behind it as one number."""
+def running(df: DataFrame, values: dict[str, tuple[str, Column]], keys: Sequence[str] = KEYS, order: str = ORDER, block: int = BLOCK, span: int = SPAN, before: Sequence[str] = ()) -> DataFrame:
+    """For each name (kind, x): the sum, product, max or min of x up to each row (names in ``before``: without it), null
+    where there is none yet. A block's total goes on to the blocks behind it as one number."""
     known = "_pos" in df.columns
     rows = numbered(df, keys, order, span).withColumn("_block", F.floor(F.col("_pos") / block)).withColumns({f"_x_{n}": x for n, (_, x) in values.items()})
-    inside = Window.partitionBy(*keys, "_block").orderBy("_pos").rowsBetween(Window.unboundedPreceding, -1 if before else 0)
+    inside = Window.partitionBy(*keys, "_block").orderBy("_pos")
     totals = rows.groupBy(*keys, "_block").agg(*[_KINDS[kind][0](f"_x_{n}").alias(f"_t_{n}") for n, (kind, _) in values.items()])
     earlier = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     carries = totals.withColumns({f"_c_{n}": _KINDS[kind][0](f"_t_{n}").over(earlier) for n, (kind, _) in values.items()})
-    rows = rows.withColumns({f"_i_{n}": _KINDS[kind][0](f"_x_{n}").over(inside) for n, (kind, _) in values.items()})
+    rows = rows.withColumns({f"_i_{n}": _KINDS[kind][0](f"_x_{n}").over(inside.rowsBetween(Window.unboundedPreceding, -1 if n in before else 0)) for n, (kind, _) in values.items()})
     rows = _lookup(rows, carries, [*keys, "_block"], [f"_c_{n}" for n in values])
     rows = rows.withColumns({n: _KINDS[kind][1](F.col(f"_c_{n}"), F.col(f"_i_{n}")) for n, (kind, _) in values.items()})
     return rows.drop("_block", *([] if known else ["_pos"]), *[f"_{p}_{n}" for p in "xic" for n in values])
@@ -109,8 +111,8 @@ def ewmas_in_blocks(df: DataFrame, means: dict[str, tuple[Column, float, int]],
     known = "_pos" in df.columns
     rows = numbered(df, keys, order, span).withColumns({f"_v{i}": x for i, (x, _, _) in enumerate(means.values())})
     here = {i: F.col(f"_v{i}").isNotNull() for i in range(len(means))}
-    rows = running(rows, {f"_n{i}": ("sum", c.cast("long")) for i, c in here.items()}, keys, order, block, span)
-    rows = running(rows, {f"_b{i}": ("max", F.when(c, F.col("_pos"))) for i, c in here.items()}, keys, order, block, span, before=True)
+    carried = {f"_n{i}": ("sum", c.cast("long")) for i, c in here.items()} | {f"_b{i}": ("max", F.when(c, F.col("_pos"))) for i, c in here.items()}
+    rows = running(rows, carried, keys, order, block, span, before=[f"_b{i}" for i in here])
     maps = {}
     for i, (_, alpha, _) in enumerate(means.values()):
         x, old = F.col(f"_v{i}"), F.pow(F.lit(1.0 - alpha), F.col("_pos") - F.col(f"_b{i}"))

@@ -27,6 +27,18 @@ def global_place(df: DataFrame, order: Sequence[Column | str], name: str) -> tup
     return dealt.withColumn(name, start + inside).drop("_range"), total
 
 
+def shuffled_place(df: DataFrame, keys: Sequence[str], name: str, *seeds: Column | str) -> DataFrame:
+    """df with ``name``, each row's place (from 0) among the rows of its keys in the order of the MD5 of the seeds, which
+    must tell the rows apart: a permutation that any engine repeats. A key's rows are ordered in 256 parts by the first
+    two digits of the hash, whose counts (one row each) give where a part starts, so no key is one task."""
+    hashed = df.withColumn("_hash", F.md5(F.concat_ws(":", *seeds))).withColumn("_part", F.substring("_hash", 1, 2))
+    counts = hashed.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(*keys, "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    inside = hashed.withColumn("_row", F.row_number().over(Window.partitionBy(*keys, "_part").orderBy("_hash")) - 1)
+    return inside.join(starts, [*keys, "_part"]).withColumn(name, F.col("_start") + F.col("_row")).drop("_hash", "_part", "_start", "_row")
+
+
 def salted_join(df: DataFrame, table: DataFrame, on: Sequence[str], salts: int = 16, how: str = "inner") -> DataFrame:
     """df joined with a table of few rows per key: the rows of a frequent key go to ``salts`` tasks, the table's to all of them."""
     dealt = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(salts)).cast("int"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -150,9 +150,9 @@ def clipped(x: np.ndarray, n: int, k: float) -> np.ndarray:
 LONGEST = 192
 
 
-def build(df: DataFrame, groups: Sequence[str], clip: int = 168, k: float = 8.0, block: int = BLOCK) -> DataFrame:
+def build(df: DataFrame, groups: Sequence[str], clip: int = 168, k: float = 8.0, block: int = BLOCK, labels: Callable[[DataFrame], DataFrame] | None = None, ahead: int = 0) -> DataFrame:
     """All features of the groups, flags and clipped columns. A series is cut into blocks of rows, each with the rows
-    before it that the frames need, so a long series is many tasks."""
+    before it that the frames need, so a long series is many tasks. ``labels`` adds labels that look ``ahead`` rows on."""
     plain = [c for g in groups if g != "calendar" for c in GROUPS[g]]
 
     def bounded(rows: DataFrame) -> DataFrame:
@@ -160,10 +160,11 @@ def build(df: DataFrame, groups: Sequence[str], clip: int = 168, k: float = 8.0,
         rows = sma_distance(sma_distance(rsi(rows), 24), 168)
         rows = vol_percentile(vol_change(range_pct(rows)))
         rows = rolling_zscore(rolling_zscore(rows, F.col("volume"), 24, "volume_zscore_24h"), F.col("volume"), 168, "volume_zscore_168h")
-        return range_position(rolling_zscore(rows, F.col("volume") * F.col("close"), 168, "dollar_volume_zscore_168h"))
+        rows = range_position(rolling_zscore(rows, F.col("volume") * F.col("close"), 168, "dollar_volume_zscore_168h"))
+        return labels(rows) if labels else rows
 
     rows = ema_distance(numbered(df), block=block)
-    rows = calendar(in_blocks(rows, bounded, LONGEST, block=block))
+    rows = calendar(in_blocks(rows, bounded, LONGEST, ahead, block=block))
     return mad_clip(missing_flags(rows, plain), plain, clip, k, block).drop("_pos")
 
 

@@ -241,16 +241,24 @@ def open_risk(positions: DataFrame) -> DataFrame:
     return rows.withColumn("reward_risk", F.when(F.col("risk_to_stop") > 0, F.col("potential") / F.col("risk_to_stop")))
 
 
-def check_entries(candidates: DataFrame, snapshot: DataFrame, capital: float, most_positions: int = 5, single: float = 0.2, total: float = 0.8, sector: float = 0.4) -> DataFrame:
+def check_entries(candidates: DataFrame, snapshot: DataFrame, correlations: DataFrame, cash: float, reference: str, most_positions: int = 5, single: float = 0.2, total: float = 0.8, sector: float = 0.4, correlated: float = 0.6, unknown: float = 0.9) -> DataFrame:
     """candidates(symbol, sector, size) against the open positions (symbol, sector, value): the first limit that an
-    entry would break, each candidate on its own; null: none."""
-    all_ = snapshot.agg(F.count(F.lit(1)).alias("_n"), F.coalesce(F.sum("value"), F.lit(0.0)).alias("_value"))
+    entry would break, each candidate on its own; null: none.
+
+    Limits are shares of what is there now, cash and positions. In this order: the number of positions, a position in the
+    symbol already, all exposure, the position alone, its sector, and (but for the reference itself) exposure weighted by
+    the correlation with the reference; correlations(symbol, correlation), ``unknown`` where there is none."""
+    weight = F.coalesce("correlation", F.lit(unknown))
+    weighted = snapshot.join(correlations, "symbol", "left")
+    all_ = weighted.agg(F.count(F.lit(1)).alias("_n"), F.coalesce(F.sum("value"), F.lit(0.0)).alias("_value"), F.coalesce(F.sum(F.col("value") * weight), F.lit(0.0)).alias("_with"))
     by_sector = snapshot.groupBy("sector").agg(F.sum("value").alias("_sector"))
     held = snapshot.select("symbol").distinct().withColumn("_held", F.lit(True))
-    rows = candidates.join(all_, how="cross").join(by_sector, "sector", "left").join(held, "symbol", "left")  # all_: one row
+    rows = candidates.join(all_, how="cross").join(by_sector, "sector", "left").join(held, "symbol", "left").join(correlations, "symbol", "left")  # all_: one row
+    share = lambda x: F.coalesce(F.try_divide(x, F.col("_value") + cash), F.lit(0.0))
+    size = F.col("size")
     reason = (
-        F.when(F.col("_n") >= most_positions, "positions").when(F.col("_held"), "duplicate").when(F.col("size") > single * capital, "single")
-        .when(F.col("_value") + F.col("size") > total * capital, "exposure").when(F.coalesce("_sector", F.lit(0.0)) + F.col("size") > sector * capital, "sector")
+        F.when(F.col("_n") >= most_positions, "positions").when(F.col("_held"), "duplicate").when(share(F.col("_value") + size) > total, "exposure").when(share(size) > single, "single")
+        .when(share(F.coalesce("_sector", F.lit(0.0)) + size) > sector, "sector").when((F.col("symbol") != reference) & (share(F.col("_with") + size * weight) > correlated), "correlated")
     )
     return rows.withColumn("rejected_by", reason).select(*candidates.columns, "rejected_by")
 

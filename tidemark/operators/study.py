@@ -12,23 +12,23 @@ from tidemark.functions.windows import as_of, change, ordered, roll
 
 
 def engagement_split(posts: DataFrame, market: DataFrame, hours: int, share: float = 0.75) -> DataFrame:
-    """Forward return of the market after posts above and below the engagement quantile, with the pooled t
-    statistic and its two-sided p-value, of every symbol of the market.
+    """Per symbol the forward return of the market after posts above and below the symbol's engagement quantile, with
+    the pooled t statistic and its two-sided p-value.
 
-    posts(timestamp, engagement), market(timestamp, close): entry is the first bar at or after a post, exit the first
-    one ``hours`` later.
+    posts(symbol, timestamp, engagement), market(symbol, timestamp, close): entry is the first bar of the symbol at or
+    after a post, exit the first one ``hours`` later.
     """
-    rows = posts.withColumn("one", F.lit(1)).withColumn("_id", F.monotonically_increasing_id()).withColumn("leave", F.timestamp_seconds(F.unix_seconds("timestamp") + hours * 3600))
-    bars = market.select(F.lit(1).alias("one"), F.col("timestamp").alias("bar"), "close")
-    entered = as_of(rows, bars.withColumnRenamed("close", "p0"), ["one"], F.col("timestamp"), F.col("bar"), ["p0"], forward=True)
-    left = as_of(entered, bars.withColumnRenamed("close", "p1"), ["one"], F.col("leave"), F.col("bar"), ["p1"], forward=True)
-    cut = rows.agg(F.percentile("engagement", F.lit(share)).alias("cut"))
-    both = left.where("p0 is not null and p1 is not null").crossJoin(F.broadcast(cut)).withColumn("r", F.col("p1") / F.col("p0") - 1)  # cut: one row
+    rows = posts.withColumn("leave", F.timestamp_seconds(F.unix_seconds("timestamp") + hours * 3600))
+    bars = market.select("symbol", F.col("timestamp").alias("bar"), "close")
+    entered = as_of(rows, bars.withColumnRenamed("close", "p0"), ["symbol"], F.col("timestamp"), F.col("bar"), ["p0"], forward=True)
+    left = as_of(entered, bars.withColumnRenamed("close", "p1"), ["symbol"], F.col("leave"), F.col("bar"), ["p1"], forward=True)
+    cut = rows.groupBy("symbol").agg(F.percentile("engagement", F.lit(share)).alias("cut"))
+    both = left.where("p0 is not null and p1 is not null").join(cut, "symbol").withColumn("r", F.col("p1") / F.col("p0") - 1)
     high = F.col("engagement") >= F.col("cut")
     pick = lambda c: F.when(c, F.col("r"))
-    s = both.agg(*[f.alias(n) for n, f in {"n_high": F.count(pick(high)), "n_low": F.count(pick(~high)), "mean_high": F.avg(pick(high)), "mean_low": F.avg(pick(~high)), "std_high": F.stddev_pop(pick(high)), "std_low": F.stddev_pop(pick(~high)), "v_high": F.var_samp(pick(high)), "v_low": F.var_samp(pick(~high)), "positive_high": F.avg((pick(high) > 0).cast("double")), "positive_low": F.avg((pick(~high) > 0).cast("double"))}.items()])
-    pooled = ((F.col("n_high") - 1) * F.col("v_high") + (F.col("n_low") - 1) * F.col("v_low")) / (F.col("n_high") + F.col("n_low") - 2)
-    s = s.withColumn("t_statistic", F.try_divide(F.col("mean_high") - F.col("mean_low"), F.sqrt(pooled * (1 / F.col("n_high") + 1 / F.col("n_low")))))
+    s = both.groupBy("symbol").agg(*[f.alias(n) for n, f in {"n_high": F.count(pick(high)), "n_low": F.count(pick(~high)), "mean_high": F.avg(pick(high)), "mean_low": F.avg(pick(~high)), "std_high": F.stddev_pop(pick(high)), "std_low": F.stddev_pop(pick(~high)), "v_high": F.var_samp(pick(high)), "v_low": F.var_samp(pick(~high)), "positive_high": F.avg((pick(high) > 0).cast("double")), "positive_low": F.avg((pick(~high) > 0).cast("double"))}.items()])
+    pooled = F.try_divide((F.col("n_high") - 1) * F.col("v_high") + (F.col("n_low") - 1) * F.col("v_low"), F.col("n_high") + F.col("n_low") - 2)
+    s = s.withColumn("t_statistic", F.try_divide(F.col("mean_high") - F.col("mean_low"), F.sqrt(pooled * (F.try_divide(F.lit(1), F.col("n_high")) + F.try_divide(F.lit(1), F.col("n_low"))))))
     return s.withColumn("p_value", t_test_p(F.col("t_statistic"), F.col("n_high") + F.col("n_low") - 2)).drop("v_high", "v_low")
 
 

@@ -80,6 +80,7 @@ def adx(df: DataFrame, n: int = 14) -> DataFrame:
     rows = rows.withColumn("plus_di", 100 * F.try_divide("_pu", "_atr")).withColumn("minus_di", 100 * F.try_divide("_pd", "_atr"))
     rows = rows.withColumn("_dx", 100 * F.try_divide(F.abs(F.col("plus_di") - F.col("minus_di")), F.col("plus_di") + F.col("minus_di")))
     rows = ewma(rows, F.col("_dx"), span_alpha(n), "adx")
+    rows = rows.withColumn("adx", F.when(F.col("adx") > 100, 100.0).otherwise(F.col("adx")))  # rounding may pass 100
     strength = F.when(F.col("adx") <= 0, None).when(F.col("adx") <= 20, 0.0).when(F.col("adx") <= 40, 1.0).when(F.col("adx") <= 100, 2.0)
     strong = F.col("adx") > 20
     rows = rows.withColumn("trend_strength", strength).withColumn("adx_bullish", _flag((F.col("plus_di") > F.col("minus_di")) & strong)).withColumn("adx_bearish", _flag((F.col("minus_di") > F.col("plus_di")) & strong))

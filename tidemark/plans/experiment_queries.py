@@ -10,10 +10,12 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.shared import checkpointed
 from tidemark.functions.windows import change, ordered
 from tidemark.operators import features as X
 from tidemark.operators import text as T
 from tidemark.operators.candles import interval_seconds, resample_many
+from tidemark.plans import experiments as E
 from tidemark.plans import models as M
 from tidemark.plans import validation as V
 from tidemark.plans.base import query, result
@@ -41,7 +43,7 @@ def confirm_sql(key: str, gate: str, among: str = "", order: str = "", exposure:
  me AS MATERIALIZED (SELECT {k}, total_return, max_drawdown, exposure, coalesce(n_trades, 0) AS n, coalesce(notional, 0) / first_equity AS turnover FROM met LEFT JOIN mef USING ({k})), bh AS (SELECT {key}, fold, total_return AS bh FROM me WHERE threshold = -1),
  su AS (SELECT {key}, threshold, sum(n)::BIGINT AS n, median(total_return) AS r, median(bh) AS b, median(max_drawdown) AS d, median(turnover) AS tu, median(exposure) AS e FROM me JOIN bh USING ({key}, fold) WHERE fold >= 0 AND threshold >= 0 GROUP BY ALL),
  sel AS (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY round(r, 9) DESC, abs(round(d, 9)), round(tu, 9), {e}threshold) AS place FROM su WHERE n > 0 AND {gate}),
- fin AS (SELECT {key}, threshold, sel.n, r, d, tu, e, h.total_return AS hr, h.bh AS hb, h.n AS hn FROM (SELECT DISTINCT {key} FROM me) LEFT JOIN (SELECT * FROM sel WHERE place = 1) sel USING ({key}) LEFT JOIN (SELECT * FROM me JOIN bh USING ({key}, fold) WHERE fold = -1) h USING ({key}, threshold)),
+ fin AS (SELECT {key}, threshold, sel.n, r, d, tu, e, h.total_return AS hr, h.bh AS hb, h.n AS hn, h.max_drawdown AS hd, h.turnover AS ht FROM (SELECT DISTINCT {key} FROM me) LEFT JOIN (SELECT * FROM sel WHERE place = 1) sel USING ({key}) LEFT JOIN (SELECT * FROM me JOIN bh USING ({key}, fold) WHERE fold = -1) h USING ({key}, threshold)),
  ran AS (SELECT *, CASE WHEN threshold IS NOT NULL THEN row_number() OVER ({part} ORDER BY round(r, 9) DESC, abs(round(d, 9)), round(tu, 9), {e}{order or key}) END AS place FROM fin),
  don AS (SELECT {key}, threshold, n AS n_trades, printf('%.5e', round(r, 9)) AS median_return, round(e, 6) AS median_exposure, printf('%.5e', hr) AS holdout_total_return, printf('%.5e', hb) AS holdout_buy_hold_return, hn::BIGINT AS holdout_n_trades, CASE WHEN place = 1 THEN CASE WHEN hr > 0 AND hr > hb THEN 'confirmed' ELSE 'not_confirmed' END END AS decision, place::INT AS rank FROM ran)"""
 
@@ -131,6 +133,12 @@ def experiment_regime_specialists(spark, sf_dir):
     return compared(rows, candidates, ["symbol"], FOLDS, "regime", ["symbol"])
 
 
+PROMOTION = """base AS (SELECT symbol, threshold AS bt, round(r, 9) AS br, round(d, 9) AS bd, round(tu, 9) AS btu, hr AS bhr, hd AS bhd FROM ran WHERE variant = 'baseline'),
+ better AS (SELECT a.symbol, a.variant, a.threshold, count(*) AS n_improved FROM me a JOIN me b ON b.symbol = a.symbol AND b.fold = a.fold AND b.threshold = a.threshold AND b.variant = 'baseline' WHERE a.fold >= 0 AND round(a.total_return, 9) > round(b.total_return, 9) GROUP BY ALL),
+ judged AS (SELECT ran.symbol, ran.variant, ran.threshold, ran.place, coalesce(n_improved, 0) AS n_improved, CASE WHEN bt IS NULL THEN 'baseline_without_threshold' WHEN ran.threshold IS NULL THEN 'no_threshold' ELSE concat_ws(',', CASE WHEN coalesce(n_improved, 0) < 2 THEN 'few_folds_improved' END, CASE WHEN round(r, 9) <= br THEN 'no_median_gain' END, CASE WHEN round(r, 9) <= 0 THEN 'not_above_cash' END,
+  CASE WHEN abs(round(d, 9)) > abs(bd) + 0.02 THEN 'drawdown' END, CASE WHEN round(tu, 9) > greatest(btu * 1.5, btu + 2) THEN 'turnover' END, CASE WHEN NOT coalesce(round(hr, 9) > round(bhr, 9), false) THEN 'holdout_return' END, CASE WHEN NOT coalesce(abs(hd) <= abs(bhd) + 0.02, false) THEN 'holdout_drawdown' END, CASE WHEN NOT coalesce(ht <= greatest(btu * 2, btu + 4), false) THEN 'holdout_turnover' END) END AS reasons
+  FROM ran LEFT JOIN base USING (symbol) LEFT JOIN better ON better.symbol = ran.symbol AND better.variant = ran.variant AND better.threshold = ran.threshold WHERE ran.variant != 'baseline')"""
+
 GROUPED = {"baseline": ["return_1h"], "momentum_reversal": ["return_1h", "return_3h", "return_12h"], "volatility": ["return_1h", "realized_volatility_24h"], "volume": ["return_1h", "volume_ratio_24h"]}
 # fewer features first, then the name
 GROUP_SQL = sorted((dict(name=n, features=f) for n, f in GROUPED.items()), key=lambda c: (len(c["features"]), c["name"]))
@@ -143,6 +151,53 @@ def experiment_feature_groups(spark, sf_dir):
     return compared(rows, [M.Candidate(c["name"], tuple(c["features"])) for c in GROUP_SQL], ["symbol"], FOLDS, "return", ["symbol"])
 
 
+@query(f"WITH {BARS}, {RET}, {VOL}, {LABELED}, {fitted_sql('lb', 'symbol', GROUP_SQL, *FOLDS)}, {confirm_sql('symbol, variant', RETURN_GATE, 'symbol', _order(GROUP_SQL))}, {PROMOTION} SELECT symbol, variant, threshold, place::INT AS rank, n_improved, reasons, (reasons = '' AND row_number() OVER (PARTITION BY symbol, reasons ORDER BY place NULLS FIRST) = 1)::INT AS promoted FROM judged")
+def experiment_promotion(spark, sf_dir):
+    """Whether a candidate with one more group of features may replace the baseline, with the rules that it fails."""
+    rows = labeled(X.volume_ratio(X.realized_vol(X.returns(bars(spark, sf_dir)))))
+    candidates = [M.Candidate(c["name"], tuple(c["features"])) for c in GROUP_SQL]
+    scored_rows, _ = M.fit_and_route(rows, candidates, ["symbol"], *FOLDS)
+    m = checkpointed(V.against_holding(scored_rows.select("symbol", "variant", "fold", "timestamp", "open", "high", "low", "close", "probability"), ["symbol", "variant", "fold"], THRESHOLDS))
+    order = F.element_at(F.create_map(*[x for i, c in enumerate(candidates) for x in (F.lit(c.name), F.lit(i))]), F.col("variant"))
+    return E.promote(V.select_and_confirm(m, ["symbol", "variant"], "return", among=["symbol"], candidate_order=[order]), m, "baseline")
+
+
+IMPORTANT = ["return_1h", "return_6h", "volume_ratio_24h"]
+
+
+@query(f"""WITH {BARS}, {RET}, {VOL}, {LABELED}, sp AS (SELECT *, row_number() OVER w - 1 AS pos_, count(*) OVER (PARTITION BY symbol) AS n_ FROM lb {W}), ca AS (SELECT *, (pos_ < 0.6 * n_)::INT AS is_train, 1.0 AS pen FROM sp WHERE target IS NOT NULL),
+ md AS (SELECT symbol, {', '.join(f'median({f}) AS m_{f}' for f in IMPORTANT)} FROM ca WHERE is_train = 1 GROUP BY ALL), fi AS (SELECT ca.* REPLACE ({', '.join(f'coalesce({f}, m_{f}, 0) AS {f}' for f in IMPORTANT)}) FROM ca LEFT JOIN md USING (symbol)), mo AS (SELECT symbol, {', '.join(f'avg({f}) AS a_{f}, stddev_pop({f}) AS s_{f}' for f in IMPORTANT)} FROM fi WHERE is_train = 1 GROUP BY ALL),
+ sc AS MATERIALIZED (SELECT symbol, t, target, is_train, pen, {', '.join(f'coalesce(({f} - a_{f}) / nullif(s_{f}, 0), 0) AS x{i}' for i, f in enumerate(IMPORTANT, 1))} FROM fi LEFT JOIN mo USING (symbol)), {newton_sql('sc', 'symbol', 3)},
+ te AS (SELECT sc.*, b, b[1] + b[2] * x1 + b[3] * x2 + b[4] * x3 AS eta FROM sc JOIN fit USING (symbol) WHERE is_train = 0), lo AS ({' UNION ALL '.join(f"SELECT symbol, t, target, eta, '{f}' AS feature, x{i} AS x, b[{i + 1}] AS bx FROM te" for i, f in enumerate(IMPORTANT, 1))}),
+ gi AS (SELECT symbol, feature, x AS given, row_number() OVER (PARTITION BY symbol, feature ORDER BY md5('7:' || feature || ':' || t)) AS place FROM lo), ta AS (SELECT *, row_number() OVER (PARTITION BY symbol, feature ORDER BY md5('7:' || t)) AS place FROM lo),
+ pr AS (SELECT symbol, feature, target, 1 / (1 + exp(-eta)) AS p, 1 / (1 + exp(-(eta + bx * (given - x)))) AS q FROM ta JOIN gi USING (symbol, feature, place)),
+ im AS (SELECT symbol, feature, avg(-ln(CASE WHEN target = 1 THEN q ELSE 1 - q END)) - avg(-ln(CASE WHEN target = 1 THEN p ELSE 1 - p END)) AS importance, avg(((p >= 0.5) = (target = 1))::INT) - avg(((q >= 0.5) = (target = 1))::INT) AS accuracy_drop FROM pr GROUP BY ALL)
+ SELECT symbol, feature, round(importance, 6) AS importance, round(accuracy_drop, 6) AS accuracy_drop, row_number() OVER (PARTITION BY symbol ORDER BY round(importance, 9) DESC, feature)::INT AS place FROM im""")
+def model_permutation_importance(spark, sf_dir):
+    """What the log loss gains on the last 40 % of the rows when one feature is dealt anew, per symbol and feature."""
+    rows = V.positions(labeled(X.volume_ratio(X.realized_vol(X.returns(bars(spark, sf_dir)))))).withColumn("is_train", (F.col("pos") < 0.6 * F.col("n_rows")).cast("int")).where("target is not null")
+    scaled = checkpointed(V.standardize(rows.select("symbol", "timestamp", "is_train", F.col("target").cast("double").alias("target"), *IMPORTANT), IMPORTANT, ["symbol"]))
+    beta = V.fit_logistic(scaled.where("is_train = 1"), IMPORTANT, ["symbol"])
+    return result(M.permutation_importance(scaled.where("is_train = 0"), beta, IMPORTANT, ["symbol"], F.unix_seconds("timestamp"), seed=7))
+
+
+@query(f"""WITH {BARS}, l AS (SELECT symbol, t, open, high, low, close, CASE WHEN nr > 0.005 THEN 1 WHEN nr < -0.005 THEN -1 WHEN nr IS NOT NULL THEN 0 END AS label3 FROM (SELECT *, lead(close) OVER w / close - 1 AS nr FROM bars {W})), c AS (SELECT symbol, label3, count(*) AS n FROM l WHERE label3 IS NOT NULL GROUP BY ALL), k AS (SELECT symbol, sum(n) AS total, count(*) AS k FROM c GROUP BY 1)
+ SELECT l.symbol, l.t, l.label3, round(total / (k * n), 6) AS weight, CASE WHEN close - open > greatest(high - close, open - low) THEN 'BUY' WHEN open - low >= greatest(high - close, close - open) THEN 'SELL' ELSE 'HOLD' END AS action FROM l LEFT JOIN c ON c.symbol = l.symbol AND c.label3 = l.label3 LEFT JOIN k ON k.symbol = c.symbol""")
+def model_class_weights(spark, sf_dir):
+    """Class weights of the three-way label per symbol, and the action of the greatest of three scores."""
+    rows = E.balanced_weights(X.label_ternary(bars(spark, sf_dir)), "label3", ["symbol"])
+    rows = rows.withColumns({"up": F.col("close") - F.col("open"), "flat": F.col("high") - F.col("close"), "down": F.col("open") - F.col("low")})
+    return result(E.argmax_action(rows, {-1: "down", 0: "flat", 1: "up"}), "symbol", "timestamp", "label3", "weight", "action")
+
+
+@query()
+def model_tree_baseline(spark, sf_dir):
+    """A forest on the three-way label with classes of equal weight, on one chronological cut, and its actions."""
+    rows = E.time_cut(X.label_ternary(X.volume_ratio(X.realized_vol(X.returns(bars(spark, sf_dir))))), 0.6).select("symbol", "timestamp", "label3", "part", *IMPORTANT)
+    scored_rows = E.tree_baseline(rows.where("part = 'train'"), rows.where("part = 'test'"), IMPORTANT, trees=20)
+    return scored_rows.groupBy("symbol", "action").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg((F.col("label3") == 1).cast("double")), 6).alias("share_up"))
+
+
 WINDOW_SQL = [dict(name="expanding", features=["return_1h", "return_6h"]), *[dict(name=f"last_{n}", features=["return_1h", "return_6h"], window=n) for n in (240, 120, 60)]]
 
 

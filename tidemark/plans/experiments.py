@@ -8,7 +8,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.ranks import global_place
@@ -58,6 +58,54 @@ def gate(compared: DataFrame, by: Sequence[str] = ("variant", "threshold"), leas
     return rows.withColumn("reasons", F.concat_ws(",", reasons)).withColumn("accepted", (F.size(reasons) == 0).cast("int"))
 
 
+def promote(chosen: DataFrame, m: DataFrame, baseline: str, keys: Sequence[str] = ("symbol",), least_folds: int = 2, drawdown: float = 0.02, turnover: tuple[float, float] = (1.5, 2.0), holdout_turnover: tuple[float, float] = (2.0, 4.0)) -> DataFrame:
+    """keys, variant, n_improved, reasons, promoted: why each candidate may not replace the baseline (nothing: it may), and
+    1 at the first in rank of those that may.
+
+    chosen: of select_and_confirm; m: the fold metrics behind it. A candidate has to gain in ``least_folds`` development
+    folds at its threshold, in the median, and over cash; its drawdown may be ``drawdown`` deeper and its turnover a
+    multiple or an amount above the baseline's; and its holdout has to confirm all of it."""
+    base = chosen.where(F.col("variant") == baseline).select(*keys, *[F.col(c).alias(f"_{c}") for c in ("threshold", "median_return", "median_drawdown", "median_turnover", "holdout_total_return", "holdout_max_drawdown")])
+    rows = chosen.where(F.col("variant") != baseline).join(base, list(keys), "left")
+    folds = m.where("fold >= 0").select(*keys, "variant", "fold", "threshold", F.round("total_return", 9).alias("_r"))
+    better = folds.join(folds.where(F.col("variant") == baseline).select(*keys, "fold", "threshold", F.col("_r").alias("_b")), [*keys, "fold", "threshold"]).where("_r > _b").groupBy(*keys, "variant", "threshold").agg(F.count(F.lit(1)).alias("n_improved"))
+    rows = rows.join(better, [*keys, "variant", "threshold"], "left").na.fill(0, ["n_improved"])
+    r, most = F.col("median_return"), lambda limits: F.greatest(F.col("_median_turnover") * limits[0], F.col("_median_turnover") + limits[1])
+    needs = {
+        "few_folds_improved": F.col("n_improved") >= least_folds, "no_median_gain": r > F.col("_median_return"), "not_above_cash": r > F.coalesce("median_cash_return", F.lit(0.0)),
+        "drawdown": F.abs("median_drawdown") <= F.abs("_median_drawdown") + drawdown, "turnover": F.col("median_turnover") <= most(turnover),
+        "holdout_return": F.round("holdout_total_return", 9) > F.round("_holdout_total_return", 9), "holdout_drawdown": F.abs("holdout_max_drawdown") <= F.abs("_holdout_max_drawdown") + drawdown, "holdout_turnover": F.col("holdout_turnover") <= most(holdout_turnover),
+    }
+    failed = F.array_compact(F.array(*[F.when(~F.coalesce(good, F.lit(False)), F.lit(name)) for name, good in needs.items()]))
+    reasons = F.when(F.col("_threshold").isNull(), "baseline_without_threshold").when(F.col("threshold").isNull(), "no_threshold").otherwise(F.concat_ws(",", failed))
+    first = F.row_number().over(Window.partitionBy(*keys, "reasons").orderBy("rank"))
+    return rows.withColumn("reasons", reasons).withColumn("promoted", ((F.col("reasons") == "") & (first == 1)).cast("int")).select(*keys, "variant", "threshold", "rank", "n_improved", "reasons", "promoted")
+
+
+def balanced_weights(df: DataFrame, target: str, keys: Sequence[str] = (), name: str = "weight") -> DataFrame:
+    """A weight for each row with a class: rows / (classes * rows of its class), per ``keys``, so that classes weigh alike."""
+    each = df.where(F.col(target).isNotNull()).groupBy(*keys, target).agg(F.count(F.lit(1)).alias("_n"))
+    total = each.groupBy(*keys).agg(F.sum("_n").alias("_all"), F.count(F.lit(1)).alias("_k")) if keys else each.agg(F.sum("_n").alias("_all"), F.count(F.lit(1)).alias("_k"))
+    weights = (each.join(total, list(keys)) if keys else each.crossJoin(total)).select(*keys, target, (F.col("_all") / (F.col("_k") * F.col("_n"))).alias(name))  # one row per class
+    return df.join(weights, [*keys, target], "left")
+
+
+def argmax_action(df: DataFrame, probabilities: dict[int, str]) -> DataFrame:
+    """action of the likeliest class (1: BUY, -1: SELL, 0: HOLD); of equal ones the smallest class, as listed order decides
+    nothing; HOLD without probabilities."""
+    best = F.array_min(F.array_compact(F.array(*[F.when(F.col(c).isNotNull(), F.struct((-F.col(c)).alias("p"), F.lit(k).alias("k"))) for k, c in probabilities.items()])))
+    return df.withColumn("action", F.when(best["k"] == 1, "BUY").when(best["k"] == -1, "SELL").otherwise("HOLD"))
+
+
+def tree_baseline(train: DataFrame, test: DataFrame, features: Sequence[str], target: str = "label3", trees: int = 100, depth: int = 4, leaf: int = 10, seed: int = 42) -> DataFrame:
+    """test with the forest's probabilities p_down, p_flat, p_up and the likeliest class's action; classes weigh alike."""
+    rows = balanced_weights(train.where(F.col(target).isNotNull()), target).withColumn("_class", (F.col(target) + 1).cast("double"))
+    forest = RandomForestClassifier(featuresCol="features", labelCol="_class", weightCol="weight", numTrees=trees, maxDepth=depth, minInstancesPerNode=leaf, featureSubsetStrategy="0.5", seed=seed)
+    scored = pipeline(features, forest).fit(rows).transform(test).withColumn("_p", vector_to_array("probability"))
+    named = scored.withColumns({n: F.get("_p", F.lit(k)) for k, n in enumerate(("p_down", "p_flat", "p_up"))})
+    return argmax_action(named, {-1: "p_down", 0: "p_flat", 1: "p_up"}).select(*test.columns, "p_down", "p_flat", "p_up", "action")
+
+
 def summary_rows(selected: DataFrame, holdout: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The selected threshold's development metrics beside those of the holdout."""
     named = holdout.select(*keys, *[F.col(c).alias(f"holdout_{c}") for c in holdout.columns if c not in keys])

@@ -215,12 +215,3 @@ def risk_open_positions(spark, sf_dir):
     rows = rows.withColumns({"stop": F.col("entry_price") * (1 - 0.1 * F.col("side")), "take": F.col("entry_price") * (1 + 0.3 * F.col("side"))})
     rows = L.open_risk(rows).withColumn("reward_risk", F.round("reward_risk", 5))
     return result(rows, "symbol", "timestamp", "unrealized", "unrealized_percent", "risk_to_stop", "potential", "reward_risk").withColumns({c: F.col(c) + 0.0 for c in ("unrealized", "unrealized_percent")})
-
-
-@query(f"""WITH {BARS}, h AS (SELECT symbol, symbol AS sector, sum(volume) AS value FROM bars WHERE symbol < 'p' GROUP BY 1), c AS (SELECT symbol, t, symbol AS sector, (t // 3600 % 50)::DOUBLE * 100 AS size FROM bars), a AS (SELECT count(*) AS n, coalesce(sum(value), 0) AS v FROM h)
- SELECT c.symbol, c.t, CASE WHEN n >= 5 THEN 'positions' WHEN h.symbol IS NOT NULL THEN 'duplicate' WHEN size > 2000 THEN 'single' WHEN v + size > 8000 THEN 'exposure' WHEN coalesce(h.value, 0) + size > 1000 THEN 'sector' END AS rejected_by FROM c CROSS JOIN a LEFT JOIN h ON h.symbol = c.symbol""")
-def risk_entry_checks(spark, sf_dir):
-    b = bars(spark, sf_dir).withColumn("sector", F.col("symbol"))
-    held = b.where("symbol < 'p'").groupBy("symbol", "sector").agg(F.sum("volume").alias("value"))
-    c = b.select("symbol", "timestamp", "sector", (F.floor(F.unix_seconds("timestamp") / 3600) % 50 * 100.0).alias("size"))
-    return result(L.check_entries(c, held, 10_000.0, 5, 0.2, 0.8, 0.1), "symbol", "timestamp", "rejected_by")

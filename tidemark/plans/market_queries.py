@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions.blocks import in_blocks
 from tidemark.operators import candles as C
 from tidemark.operators import features as X
 from tidemark.operators import technical as K
@@ -189,7 +188,7 @@ def _dataset_sql() -> str:
 def feature_dataset(spark, sf_dir):
     """All groups with flags, clipped columns and label: the model table."""
     groups = list(X.GROUPS)
-    rows = in_blocks(X.build(bars(spark, sf_dir), groups), lambda d: X.label(d, 12, X.cost_buffer("round_trip", 0.001, 0.0005), 0.1), 0, ahead=12)
+    rows = X.build(bars(spark, sf_dir), groups, labels=lambda d: X.label(d, 12, X.cost_buffer("round_trip", 0.001, 0.0005), 0.1), ahead=12)
     rows = rows.withColumns({c: F.round(c, 5) for c in rows.columns if c.endswith("_clipped")})
     rows = result(rows, "symbol", "timestamp", *X.feature_columns(groups), "target")
     return rows.withColumns({c: F.col(c) + 0.0 for c in rows.columns if c.endswith(("sin", "cos"))})
@@ -276,7 +275,7 @@ def technical_atr(spark, sf_dir):
 
 @query(f"""WITH {BARS}, {TR}, m AS (SELECT *, CASE WHEN up > dn AND up > 0 THEN up ELSE 0 END AS pu, CASE WHEN dn > up AND dn > 0 THEN dn ELSE 0 END AS pd FROM tr),
  e AS (SELECT symbol, t, {exp_mean('tr', 2 / 15)} AS a, {exp_mean('pu', 2 / 15)} AS u, {exp_mean('pd', 2 / 15)} AS d FROM m {W}), i AS (SELECT *, 100 * u / nullif(a, 0) AS pdi, 100 * d / nullif(a, 0) AS mdi FROM e),
- x AS (SELECT *, 100 * abs(pdi - mdi) / nullif(pdi + mdi, 0) AS dx FROM i), y AS (SELECT *, {exp_mean('dx', 2 / 15)} AS adx FROM x {W})
+ x AS (SELECT *, 100 * abs(pdi - mdi) / nullif(pdi + mdi, 0) AS dx FROM i), y AS (SELECT * REPLACE (CASE WHEN adx > 100 THEN 100 ELSE adx END AS adx) FROM (SELECT *, {exp_mean('dx', 2 / 15)} AS adx FROM x {W}))
  SELECT symbol, t, round(pdi, 6) AS plus_di, round(mdi, 6) AS minus_di, round(adx, 6) AS adx, CASE WHEN adx <= 0 THEN NULL WHEN adx <= 20 THEN 0.0::DOUBLE WHEN adx <= 40 THEN 1.0::DOUBLE WHEN adx <= 100 THEN 2.0::DOUBLE END AS trend_strength,
  coalesce(pdi > mdi AND adx > 20, false)::INT AS adx_bullish, coalesce(mdi > pdi AND adx > 20, false)::INT AS adx_bearish FROM y""")
 def technical_adx(spark, sf_dir):

@@ -14,9 +14,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.ranks import shuffled_place
 from tidemark.functions.shared import checkpointed
 from tidemark.plans import validation as V
 
@@ -95,3 +96,27 @@ def fold_status(scored: DataFrame, cells: DataFrame, keys: Sequence[str]) -> Dat
     """keys, variant, fold, status: ok or skipped, one row per fold that has training rows."""
     by = [*keys, "variant", "fold"]
     return cells.select(*by).distinct().join(scored.select(*by).distinct().withColumn("status", F.lit("ok")), by, "left").na.fill("skipped", ["status"])
+
+
+def permutation_importance(rows: DataFrame, beta: DataFrame, features: Sequence[str], keys: Sequence[str], id: Column, target: str = "target", seed: int = 0) -> DataFrame:
+    """keys, feature, importance, accuracy_drop, place: how much the mean log loss grows, and the accuracy falls, when a
+    feature's values are dealt anew among the rows of a key. All features are keys of one job.
+
+    rows: scaled features and the target; ``id`` tells the rows of a key apart. The values of a feature are put in the
+    order of the MD5 of seed, feature and id, the rows that get them in that of seed and id, and places meet places.
+    Rows without a target or a model take no part; equal importances are ordered by the feature's name."""
+    x = V._design(features)
+    eta = sum((F.col("beta")[i] * F.expr(f) for i, f in enumerate(x)), F.lit(0.0))
+    known = rows.where(F.col(target).isNotNull()).join(beta.where("beta is not null"), list(keys)).withColumn("_id", id.cast("string")).withColumn("_eta", eta)
+    each = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).alias("_x"), F.col("beta")[i + 1].alias("_b")) for i, f in enumerate(features)]))
+    long = known.select(*keys, "_id", "_eta", F.col(target).cast("double").alias("_y"), each.alias("_e")).select(*keys, "_id", "_eta", "_y", "_e.*")
+    long = checkpointed(long)
+    by = [*keys, "feature"]
+    givers = shuffled_place(long.select(*by, "_id", F.col("_x").alias("_given")), by, "_place", F.lit(seed), "feature", "_id").drop("_id")
+    takers = shuffled_place(long, by, "_place", F.lit(seed), "_id")
+    met = takers.join(givers, [*by, "_place"])
+    p, q = 1 / (1 + F.exp(-F.col("_eta"))), 1 / (1 + F.exp(-(F.col("_eta") + F.col("_b") * (F.col("_given") - F.col("_x")))))
+    loss = lambda p: -F.ln(F.when(F.col("_y") == 1, p).otherwise(1 - p))
+    right = lambda p: ((p >= 0.5) == (F.col("_y") == 1)).cast("double")
+    found = met.groupBy(*by).agg((F.avg(loss(q)) - F.avg(loss(p))).alias("importance"), (F.avg(right(p)) - F.avg(right(q))).alias("accuracy_drop"))
+    return found.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(F.round("importance", V.DIGITS).desc(), "feature")))  # one row per feature

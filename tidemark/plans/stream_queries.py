@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.shared import new_path
 from tidemark.operators.candles import instant
 from tidemark.plans.base import query, result
+from tidemark.plans.ledger_queries import SIGNALS, chain, signals
 from tidemark.plans.market_queries import BARS, W, bars
 from tidemark.plans.text_queries import POSTS, scored
 from tidemark.streaming import stream as S
@@ -78,13 +79,60 @@ def stream_hourly_sentiment(spark, sf_dir):
     return result(_run(spark, S.hourly_sentiment(rows)), "symbol", "timestamp", "sentiment_mean", "sentiment_count")
 
 
-@query(f"WITH {BARS} SELECT symbol, t, round(close, 6) AS close, round(open / 2, 6) AS sentiment_mean, volume::BIGINT AS sentiment_count FROM bars WHERE volume > 1")
+#: A symbol of one row a year behind the others, which moves the watermark past all of them.
+BEAT = "~beat"
+
+
+def _with_beat(rows: DataFrame) -> DataFrame:
+    """rows and a last row of the symbol BEAT."""
+    late = rows.agg(F.max("timestamp").alias("timestamp")).select(F.lit(BEAT).alias("symbol"), (F.col("timestamp") + F.expr("interval 365 days")).alias("timestamp"))
+    return rows.unionByName(late, allowMissingColumns=True)
+
+
+@query(f"WITH {BARS} SELECT a.symbol, a.t, round(a.close, 6) AS close, round(b.open / 2, 6) AS sentiment_mean, b.volume::BIGINT AS sentiment_count FROM bars a LEFT JOIN (SELECT * FROM bars WHERE volume > 1) b ON b.symbol = a.symbol AND b.t = a.t")
 def stream_with_sentiment(spark, sf_dir):
-    """Candles joined with a stream of hourly values that some hours lack; the hours that have met."""
+    """Candles joined with a stream of hourly values that some hours lack; hours without one come out as well."""
     b = bars(spark, sf_dir)
-    left = _source(spark, b.select("symbol", "timestamp", "close"))
-    right = _source(spark, b.where("volume > 1").select("symbol", "timestamp", (F.col("open") / 2).alias("sentiment_mean"), F.col("volume").cast("long").alias("sentiment_count")))
-    return result(_run(spark, S.with_sentiment(left, right)).where("sentiment_mean is not null"), "symbol", "timestamp", "close", "sentiment_mean", "sentiment_count")
+    left = _source(spark, _with_beat(b.select("symbol", "timestamp", "close")))
+    right = _source(spark, _with_beat(b.where("volume > 1").select("symbol", "timestamp", (F.col("open") / 2).alias("sentiment_mean"), F.col("volume").cast("long").alias("sentiment_count"))))
+    return result(_run(spark, S.with_sentiment(left, right)).where(F.col("symbol") != BEAT), "symbol", "timestamp", "close", "sentiment_mean", "sentiment_count")
+
+
+def _in_batches(spark: SparkSession, parts: list[DataFrame]) -> DataFrame:
+    """The parts as a file stream that comes in several micro-batches, each symbol's rows of a part in one of them."""
+    folder = new_path(spark, "stream-source")
+    for part in parts:
+        part.write.mode("append").parquet(folder)
+    return spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", 4).parquet(folder)
+
+
+def _ledger(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    _stateful(spark)
+    rows = _with_beat(signals(spark, sf_dir).select("symbol", "timestamp", "open", "close", "signal")).na.fill(1.0, ["open", "close"])
+    day = F.date_format("timestamp", "yyyy-MM-dd")
+    parts = [rows.where(cond).repartition(4, "symbol") for cond in (day < "2024-01-10", (day >= "2024-01-10") & (day < "2024-01-20"), day >= "2024-01-20")]
+    return _run(spark, S.ledger(_in_batches(spark, parts), grace=7 * 86400, delay="60 days")).where((F.col("kind") == kind) & (F.col("symbol") != BEAT))
+
+
+@query(f"WITH {BARS}, {SIGNALS}, {chain('sig', 'symbol')} SELECT symbol, t, pos::INT AS position, printf('%.6e', equity) AS equity FROM eq")
+def stream_ledger(spark, sf_dir):
+    """The ledger with state per symbol over several micro-batches; a timer closes what is open at the last bar."""
+    return _ledger(spark, sf_dir, "bar").select("symbol", "t", "position", F.format_string("%.6e", "equity").alias("equity"))
+
+
+@query(f"WITH {BARS}, {SIGNALS}, {chain('sig', 'symbol')}, dy AS (SELECT symbol, t // 86400 AS day, arg_max(equity, t) AS equity, min(drawdown) AS drawdown FROM dd GROUP BY 1, 2), ch AS (SELECT *, equity / lag(equity) OVER (PARTITION BY symbol ORDER BY day) - 1 AS change FROM dy) SELECT symbol, day * 86400 AS t, printf('%.6e', equity) AS equity, round(drawdown, 6) AS drawdown, round(change, 6) AS daily_return, (coalesce(change <= -0.05, false) OR drawdown <= -0.15)::INT AS halt FROM ch")
+def stream_risk_halts(spark, sf_dir):
+    """Per symbol and day the last equity, deepest drawdown, return and halt, from the stateful ledger."""
+    return result(_ledger(spark, sf_dir, "day").withColumn("equity", F.format_string("%.6e", "equity")), "symbol", "t", "equity", "drawdown", "daily_return", "halt")
+
+
+@query("WITH e AS (SELECT event_id, epoch(ts) AS t, event_id % 50 = 0 AS held FROM events), f AS (SELECT max(t) AS m FROM e WHERE NOT held AND t < 1705708800) SELECT event_id, 1 AS batch_id FROM e, f WHERE (held OR t >= 1705708800) AND t < m - 7200")
+def stream_late_rows(spark, sf_dir):
+    """Ticks that come in the second micro-batch, more than two hours behind the first one's latest, as a table."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", instant("ts").alias("time"))
+    first = (F.col("event_id") % 50 != 0) & (F.unix_seconds("time") < 1705708800)
+    stream = _in_batches(spark, [events.where(cond).repartition(4) for cond in (first, ~first)])
+    return S.split_late(stream, "time", 7200, new_path(spark, "stream"))[1].select("event_id", F.col("batch_id").cast("int").alias("batch_id"))
 
 
 @query(f"WITH {BARS}, e AS (SELECT symbol, t, max(CASE WHEN t // 3600 % 9 = 0 THEN t END) OVER w AS x FROM bars {W}) SELECT symbol, t, coalesce(t - x < 4 * 3600, false)::INT AS cooling FROM e")

@@ -10,7 +10,7 @@ from tidemark.operators import study as Y
 from tidemark.operators import text as T
 from tidemark.plans.base import query, result
 from tidemark.plans.market_queries import BARS, RET, VOL, bars
-from tidemark.plans.text_queries import POSTS, posts
+from tidemark.plans.text_queries import POSTS, TAGGED_SQL, tagged
 from tidemark.sources import datasets as D
 
 
@@ -46,13 +46,17 @@ def source_metadata(spark, sf_dir):
     return D.metadata(bars(spark, sf_dir)).select("row_count", "start", "end", "schema_version")
 
 
-@query(f"""WITH {BARS}, {POSTS}, p AS (SELECT doc_id, t + doc_id % 3600 AS t, (score + 2 * num_comments)::DOUBLE AS e FROM posts), m AS (SELECT t AS bar, close FROM bars WHERE symbol = 'purchase'),
- j AS (SELECT p.*, a.close AS p0 FROM p ASOF LEFT JOIN m a ON a.bar >= p.t), k AS (SELECT j.*, b.close AS p1 FROM (SELECT *, t + 21600 AS lt FROM j) j ASOF LEFT JOIN m b ON b.bar >= j.lt),
- r AS (SELECT p1 / p0 - 1 AS r, e >= (SELECT quantile_cont(e, 0.75) FROM p) AS h FROM k WHERE p0 IS NOT NULL AND p1 IS NOT NULL)
- SELECT count(*) FILTER (h) AS n_high, count(*) FILTER (NOT h) AS n_low, round(avg(r) FILTER (h), 6) AS mean_high, round(avg(r) FILTER (NOT h), 6) AS mean_low, round(stddev_pop(r) FILTER (h), 6) AS std_high, round(avg((r > 0)::INT) FILTER (h), 6) AS positive_high FROM r""")
+@query(f"""WITH {BARS}, {POSTS}, p AS (SELECT {TAGGED_SQL} AS symbol, doc_id, t + doc_id % 3600 AS t, (score + 2 * num_comments)::DOUBLE AS e FROM posts), c AS (SELECT symbol, quantile_cont(e, 0.75) AS cut FROM p GROUP BY 1),
+ j AS (SELECT p.*, a.close AS p0, p.t + 21600 AS lt FROM p ASOF LEFT JOIN bars a ON a.symbol = p.symbol AND a.t >= p.t), k AS (SELECT j.*, b.close AS p1 FROM j ASOF LEFT JOIN bars b ON b.symbol = j.symbol AND b.t >= j.lt),
+ r AS (SELECT symbol, p1 / p0 - 1 AS r, e >= cut AS h FROM k JOIN c USING (symbol) WHERE p0 IS NOT NULL AND p1 IS NOT NULL),
+ s AS (SELECT symbol, count(*) FILTER (h) AS n_high, count(*) FILTER (NOT h) AS n_low, avg(r) FILTER (h) AS mh, avg(r) FILTER (NOT h) AS ml, stddev_pop(r) FILTER (h) AS sh, var_samp(r) FILTER (h) AS vh, var_samp(r) FILTER (NOT h) AS vl, avg((r > 0)::INT) FILTER (h) AS ph FROM r GROUP BY 1),
+ t AS (SELECT *, n_high + n_low - 2 AS df, (mh - ml) / sqrt(((n_high - 1) * vh + (n_low - 1) * vl) / (n_high + n_low - 2) * (1 / n_high + 1 / n_low)) AS t FROM s),
+ i AS (SELECT symbol, sum(CASE WHEN k = 0 OR k = 2000 THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END * pow(1 + pow(abs(t) * k / 2000, 2) / df, -(df + 1) / 2.0)) * abs(any_value(t)) / 6000 * exp(lgamma((any_value(df) + 1) / 2.0) - lgamma(any_value(df) / 2.0)) / sqrt(any_value(df) * pi()) AS half FROM t, range(0, 2001) g(k) GROUP BY symbol)
+ SELECT symbol, n_high, n_low, round(mh, 6) AS mean_high, round(ml, 6) AS mean_low, round(sh, 6) AS std_high, round(ph, 6) AS positive_high, round(t, 6) AS t_statistic, round(1 - 2 * half, 6) AS p_value FROM t JOIN i USING (symbol)""")
 def study_engagement_split(spark, sf_dir):
-    p = posts(spark, sf_dir).select(F.timestamp_seconds(F.unix_seconds("timestamp") + F.col("doc_id") % 3600).alias("timestamp"), (F.col("score") + 2 * F.col("num_comments")).cast("double").alias("engagement"))
-    return result(Y.engagement_split(p, bars(spark, sf_dir).where("symbol = 'purchase'"), 6), "n_high", "n_low", "mean_high", "mean_low", "std_high", "positive_high")
+    """Returns after posts of high and of low engagement, per symbol, each post standing for the symbol it is tagged with."""
+    p = tagged(spark, sf_dir).select("symbol", F.timestamp_seconds(F.unix_seconds("timestamp") + F.col("doc_id") % 3600).alias("timestamp"), (F.col("score") + 2 * F.col("num_comments")).cast("double").alias("engagement"))
+    return result(Y.engagement_split(p, bars(spark, sf_dir), 6), "symbol", "n_high", "n_low", "mean_high", "mean_low", "std_high", "positive_high", "t_statistic", "p_value")
 
 
 @query()
@@ -109,3 +113,15 @@ def risk_correlated_exposure(spark, sf_dir):
     held = b.withColumns({"quantity": F.col("volume"), "price": F.col("close"), "entry_price": F.col("close")})
     got = Y.correlated_exposure(L.portfolio_snapshot(held, ["symbol"]).select("symbol", "value"), Y.reference_correlation(b, "click"))
     return got.select(*[F.round(c, 4).alias(c) for c in got.columns])
+
+
+@query(f"""WITH {BARS}, {RET}, {CORR}, h AS (SELECT symbol, CASE WHEN symbol = 'click' THEN 'browse' ELSE 'act' END AS sector, sum(volume) AS value FROM bars WHERE symbol < 'p' GROUP BY 1), c AS (SELECT symbol, t, CASE WHEN symbol IN ('click', 'view') THEN 'browse' ELSE 'act' END AS sector, (t // 3600 % 50)::DOUBLE * 100 AS size FROM bars),
+ a AS (SELECT count(*) AS n, coalesce(sum(value), 0) AS v, coalesce(sum(value * coalesce(correlation, 0.9)), 0) AS wv FROM h LEFT JOIN cr USING (symbol)), s AS (SELECT sector, sum(value) AS sv FROM h GROUP BY 1)
+ SELECT c.symbol, c.t, CASE WHEN n >= 5 THEN 'positions' WHEN h.symbol IS NOT NULL THEN 'duplicate' WHEN (v + size) / (v + 10000) > 0.4 THEN 'exposure' WHEN size / (v + 10000) > 0.3 THEN 'single' WHEN (coalesce(sv, 0) + size) / (v + 10000) > 0.25 THEN 'sector' WHEN c.symbol != 'click' AND (wv + size * coalesce(correlation, 0.9)) / (v + 10000) > 0.08 THEN 'correlated' END AS rejected_by
+ FROM c CROSS JOIN a LEFT JOIN h ON h.symbol = c.symbol LEFT JOIN s ON s.sector = c.sector LEFT JOIN cr ON cr.symbol = c.symbol""")
+def risk_entry_checks(spark, sf_dir):
+    b = bars(spark, sf_dir)
+    held = b.where("symbol < 'p'").withColumn("sector", F.when(F.col("symbol") == "click", "browse").otherwise("act")).groupBy("symbol", "sector").agg(F.sum("volume").alias("value"))
+    c = b.select("symbol", "timestamp", F.when(F.col("symbol").isin("click", "view"), "browse").otherwise("act").alias("sector"), (F.floor(F.unix_seconds("timestamp") / 3600) % 50 * 100.0).alias("size"))
+    known = Y.reference_correlation(b, "click").select("symbol", "correlation")
+    return result(L.check_entries(c, held, known, 10_000.0, "click", 5, 0.3, 0.4, 0.25, 0.08), "symbol", "timestamp", "rejected_by")

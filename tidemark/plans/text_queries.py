@@ -180,12 +180,21 @@ def join_market_sentiment(spark, sf_dir):
     return result(T.join_sentiment(bars(spark, sf_dir), h, ["sentiment_mean", "sentiment_count"]), "symbol", "timestamp", "sentiment_mean", "sentiment_count", "sentiment_join_missing")
 
 
-@query(f"WITH {BARS}, {POSTS}, s AS (SELECT DISTINCT symbol FROM bars), p AS (SELECT doc_id, s.symbol, t + doc_id % 3600 AS pt FROM posts, s) SELECT p.doc_id, p.symbol, bars.t AS bar_t, round(close, 6) AS close FROM p ASOF LEFT JOIN bars ON p.symbol = bars.symbol AND bars.t >= p.pt")
+#: The market symbol that a post is about.
+MARKET = ["click", "error", "purchase", "signup", "view"]
+TAGGED_SQL = f"({MARKET}::VARCHAR[])[doc_id % 5 + 1]"
+
+
+def tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Posts with the market symbol that they are about."""
+    return posts(spark, sf_dir).withColumn("symbol", F.get(F.array(*map(F.lit, MARKET)), (F.col("doc_id") % 5).cast("int")))
+
+
+@query(f"WITH {BARS}, {POSTS}, p AS (SELECT doc_id, {TAGGED_SQL} AS symbol, t + doc_id % 3600 AS pt FROM posts) SELECT p.doc_id, p.symbol, bars.t AS bar_t, round(close, 6) AS close FROM p ASOF LEFT JOIN bars ON p.symbol = bars.symbol AND bars.t >= p.pt")
 def join_as_of_forward(spark, sf_dir):
-    """Each post with the next bar of every symbol (a handful, so posts are repeated by them)."""
+    """Each post with the next bar of the symbol that it is about."""
     market = bars(spark, sf_dir).select("symbol", "timestamp", F.unix_seconds("timestamp").alias("bar_t"), "close")
-    p = posts(spark, sf_dir).select("doc_id", F.timestamp_seconds(F.unix_seconds("timestamp") + F.col("doc_id") % 3600).alias("at"))
-    p = p.join(F.broadcast(market.select("symbol").distinct()), how="cross")
+    p = tagged(spark, sf_dir).select("doc_id", "symbol", F.timestamp_seconds(F.unix_seconds("timestamp") + F.col("doc_id") % 3600).alias("at"))
     return result(as_of(p, market, ["symbol"], F.col("at"), F.col("timestamp"), ["bar_t", "close"], forward=True), "doc_id", "symbol", "bar_t", "close")
 
 

@@ -144,7 +144,7 @@ def select_and_confirm(m: DataFrame, keys: Sequence[str], kind: str = "interval"
     summary = summary.withColumns({c: F.round(c, DIGITS) for c in ("median_return", "median_drawdown", "median_turnover", "median_exposure")})
     interval = kind == "interval"
     chosen = select_threshold(summary, keys, by_exposure=interval).drop("rank", "eligible")
-    names = ["total_return", "max_drawdown", "exposure", "n_trades", "buy_hold_return"]
+    names = ["total_return", "max_drawdown", "turnover", "exposure", "n_trades", "buy_hold_return"]
     holdout = m.where(F.col("fold") == HOLDOUT).select(*keys, "threshold", *[F.col(c).alias(f"holdout_{c}") for c in names])
     out = m.select(*keys).distinct().join(chosen, list(keys), "left").join(holdout, [*keys, "threshold"], "left")
     order = [F.col("median_return").desc(), F.abs("median_drawdown"), F.col("median_turnover"), *[F.col("median_exposure")] * interval, *(candidate_order or keys)]

@@ -117,6 +117,89 @@ def cooldown(rows: DataFrame, hours: float, keep_ms: int | None = None) -> DataF
     return rows.groupBy("symbol").transformWithStateInPandas(_Cooldown(hours, keep_ms), "symbol string, timestamp timestamp, cooling int", "Append", "ProcessingTime" if keep_ms else "None")
 
 
+class _Ledger(StatefulProcessor):
+    """A symbol's long-or-cash ledger, bar by bar. A bar's fill needs the next bar's open, so a bar comes out with the
+    next one; an event-time timer ``grace_ms`` behind the last bar closes what is open at that bar's close. A day's
+    row (last equity, deepest drawdown, return, halt) comes out with its last bar."""
+
+    def __init__(self, fee: float, slip: float, capital: float, daily: float, most: float, grace_ms: int):
+        self.fee, self.slip, self.capital, self.daily, self.most, self.grace_ms = fee, slip, capital, daily, most, grace_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.account = handle.getValueState("account", "wealth double, position int, peak double, day long, day_equity double, day_drawdown double, before double")
+        self.waiting = handle.getListState("waiting", "t long, close double, signal int")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        frame = pd.concat(list(rows)).sort_values("timestamp")
+        account = self.account.get() if self.account.exists() else (self.capital, 0, 0.0, None, 0.0, 0.0, None)
+        waiting, out = list(self.waiting.get()) if self.waiting.exists() else [], []
+        for t, opened, close, signal in zip(frame["timestamp"].map(lambda x: int(x.timestamp())), frame["open"], frame["close"], frame["signal"], strict=True):
+            if waiting:
+                account = self._settle(key, waiting[0], float(opened), account, out)
+            waiting = [(t, float(close), int(min(1, max(0, 0 if pd.isna(signal) else signal))))]
+        self.account.update(account)
+        self.waiting.put(waiting)
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(waiting[0][0] * 1000 + self.grace_ms)
+        yield self._frame(out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        out = []
+        if self.waiting.exists():
+            (last,) = list(self.waiting.get())
+            account = self._settle(key, last, None, self.account.get(), out)
+            self._day(key, account, out)
+            self.waiting.clear()
+            self.account.clear()
+        yield self._frame(out)
+
+    def _settle(self, key, bar, opened: float | None, account, out: list):
+        """The bar's row and the account behind it; without a next open the bar is the last."""
+        wealth, held, peak, day, day_equity, day_drawdown, before = account
+        t, close, signal = bar
+        sold = (1 - self.slip) * (1 - self.fee)
+        position = held if opened is None else signal
+        if opened is not None and position > held:
+            wealth /= opened * (1 + self.slip) * (1 + self.fee)
+        elif opened is not None and position < held:
+            wealth *= opened * sold
+        equity = wealth * close * sold if position else wealth
+        if day is not None and t // 86400 != day:
+            self._day(key, account, out)
+            before, day_drawdown = day_equity, 0.0
+        peak = max(peak, equity)
+        day, day_drawdown = t // 86400, min(day_drawdown, equity / peak - 1)
+        out.append((key[0], "bar", t, position, equity, day_drawdown, None, None))
+        return (wealth, position, peak, day, equity, day_drawdown, before)
+
+    def _day(self, key, account, out: list) -> None:
+        _, _, _, day, equity, drawdown, before = account
+        change = None if before is None else equity / before - 1
+        halt = int((change is not None and change <= -self.daily) or drawdown <= -self.most)
+        out.append((key[0], "day", day * 86400, None, equity, drawdown, change, halt))
+
+    def _frame(self, out: list) -> pd.DataFrame:
+        frame = pd.DataFrame(out, columns=["symbol", "kind", "t", "position", "equity", "drawdown", "daily_return", "halt"])
+        return frame.astype({"position": "Int32", "halt": "Int32", "equity": float, "drawdown": float, "daily_return": float, "t": "int64"})
+
+    def close(self) -> None:
+        pass
+
+
+LEDGER = "symbol string, kind string, t long, position int, equity double, drawdown double, daily_return double, halt int"
+
+
+def ledger(bars: DataFrame, fee: float = 0.001, slip: float = 0.0005, capital: float = 10_000.0, daily: float = 0.05, most: float = 0.15, grace: int = 86400, delay: str = "2 hours") -> DataFrame:
+    """bars(symbol, timestamp, open, close, signal) in time order per symbol: rows of kind ``bar`` (position, equity) and
+    ``day`` (last equity, deepest drawdown, return against the day before, halt), the same as the batch ledger and its
+    risk halts. A symbol without a bar for ``grace`` seconds of event time is closed at its last one; bars after that
+    start anew."""
+    rows = bars.withWatermark("timestamp", delay).groupBy("symbol")
+    return rows.transformWithStateInPandas(_Ledger(fee, slip, capital, daily, most, grace * 1000), LEDGER, "Append", "EventTime")
+
+
 def run_to_table(stream: DataFrame, checkpoint: str) -> DataFrame:
     """Runs a stream over what is there into a Parquet table beside its checkpoint and reads it: no row passes through
     the driver, and a restarted stream goes on where it was."""
@@ -126,6 +209,27 @@ def run_to_table(stream: DataFrame, checkpoint: str) -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).parquet(folder)
 
 
+def split_late(stream: DataFrame, time: str, delay_seconds: int, checkpoint: str) -> tuple[DataFrame, DataFrame]:
+    """Runs a stream over what is there into two tables, each with the number of its micro-batch (``batch_id``): the rows
+    that were in time and those that came more than the delay behind the latest time of the batches before theirs. A
+    batch that is run again replaces its own rows."""
+    spark, folder = stream.sparkSession, checkpoint.rstrip("/")
+    spark_read = lambda name, schema: spark.read.schema(schema).parquet(f"{folder}-{name}")
+    schema = StructType([*stream.schema.fields]).add("batch_id", "long")
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        latest = batch.sparkSession.read.schema("batch_id long, latest double").option("pathGlobFilter", "*.parquet").parquet(f"{folder}-times").where(F.col("batch_id") < batch_id).agg(F.max("latest")).first()[0] if batch_id else None
+        late = F.lit(False) if latest is None else F.col(time).cast("double") < latest - delay_seconds
+        rows = batch.withColumn("_late", F.coalesce(late, F.lit(False))).persist()
+        for name, part in (("rows", rows.where("not _late")), ("late", rows.where("_late"))):
+            part.drop("_late").withColumn("batch_id", F.lit(batch_id).cast("long")).write.mode("overwrite").parquet(f"{folder}-{name}/batch={batch_id}")
+        rows.agg(F.lit(batch_id).cast("long").alias("batch_id"), F.max(F.col(time).cast("double")).alias("latest")).write.mode("overwrite").parquet(f"{folder}-times/batch={batch_id}")
+        rows.unpersist()
+
+    stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return spark_read("rows", schema), spark_read("late", schema)
+
+
 def late_rows(query: StreamingQuery) -> int:
     """Rows that the watermark has dropped so far, of all stateful operators of the progress that Spark keeps."""
     return sum(o.numRowsDroppedByWatermark for p in query.recentProgress for o in p.stateOperators)
