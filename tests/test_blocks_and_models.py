@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import UTC, datetime, timedelta
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -20,6 +22,10 @@ from tidemark.plans import validation as V
 CANDLES = "symbol string, timestamp timestamp, open double, high double, low double, close double, volume double"
 
 
+def at(hours: int) -> datetime:
+    return datetime(2024, 1, 1, tzinfo=UTC) + timedelta(hours=hours)
+
+
 @pytest.fixture(scope="module")
 def candles(spark):
     """Two series of several blocks, one shorter than a halo, one of a null symbol; gaps and missing closes."""
@@ -29,7 +35,7 @@ def candles(spark):
         close = 100 * np.exp(np.cumsum(rng.normal(0, 0.01, n)))
         hours = np.cumsum(rng.integers(1, 4, n))
         for h, c, v in zip(hours, close, rng.integers(1, 50, n), strict=True):
-            rows.append((symbol, pd.Timestamp("2024-01-01", tz="UTC") + pd.Timedelta(hours=int(h)), float(c), float(c * 1.01), float(c * 0.99), None if symbol == "mid" and h % 41 == 0 else float(c), float(v)))
+            rows.append((symbol, at(int(h)), float(c), float(c * 1.01), float(c * 0.99), None if symbol == "mid" and h % 41 == 0 else float(c), float(v)))
     return spark.createDataFrame(rows, CANDLES).cache()
 
 
@@ -129,7 +135,7 @@ def labeled(spark):
             state = None if i < 5 else "up" if (i // 40) % 2 else "down"
             p = 1 / (1 + np.exp(-(a if state == "up" else -a)))
             price = float(100 + i % 7)
-            rows.append((s, pd.Timestamp("2024-01-01", tz="UTC") + pd.Timedelta(hours=i), price, price, None if i % 50 == 3 else float(a), float(b), state, None if i == 399 else int(rng.random() < p)))
+            rows.append((s, at(i), price, price, None if i % 50 == 3 else float(a), float(b), state, None if i == 399 else int(rng.random() < p)))
     return spark.createDataFrame(rows, "symbol string, timestamp timestamp, open double, close double, a double, b double, state string, target int").cache()
 
 
@@ -141,9 +147,9 @@ def test_cells_equal_newton_in_numpy(labeled):
     points = scored.toPandas()
     for s, own in frame.groupby("symbol"):
         own = own.reset_index(drop=True)
-        for fold, at, end in ((0, 100, 160), (3, 280, 320), (V.HOLDOUT, 320, 400)):
+        for fold, start, end in ((0, 100, 160), (3, 280, 320), (V.HOLDOUT, 320, 400)):
             for c in candidates:
-                train = own[max(0, at - (c.window or at)) : at]
+                train = own[max(0, start - (c.window or start)) : start]
                 train = train[train.target.notna()]
                 for cell in ("up", "down") if c.state else ("all",):
                     part = train[train.state == cell] if c.state else train
@@ -155,7 +161,7 @@ def test_cells_equal_newton_in_numpy(labeled):
                     named = dict(zip(["1", "a", "b"], r.beta, strict=True))
                     np.testing.assert_allclose([named["1"], *[named[f] for f in c.features]], beta, atol=1e-8)
                     assert all(named[f] == 0 for f in ("a", "b") if f not in c.features)
-                    tested = own[at:end]
+                    tested = own[start:end]
                     tested = tested[tested.target.notna() & ((tested.state == cell) if c.state else True)]
                     z = ((tested[list(c.features)].fillna(part[list(c.features)].median()) - x.mean()) / scale).to_numpy()
                     wanted = 1 / (1 + np.exp(-(beta[0] + z @ beta[1:])))
@@ -239,8 +245,7 @@ def test_lexicons_and_patterns_as_tables(spark):
 
 
 def test_sentiment_join_takes_the_last_row(spark):
-    at = pd.Timestamp("2024-01-01", tz="UTC")
-    market = spark.createDataFrame([(at, "A"), (at, "B"), (at + pd.Timedelta(hours=1), "A")], "timestamp timestamp, symbol string")
-    hourly = spark.createDataFrame([(at, "A", 0.9, 1), (at, "A", 0.1, 2), (at, "B", 0.5, 1)], "timestamp timestamp, symbol string, s double, seq int")
+    market = spark.createDataFrame([(at(0), "A"), (at(0), "B"), (at(1), "A")], "timestamp timestamp, symbol string")
+    hourly = spark.createDataFrame([(at(0), "A", 0.9, 1), (at(0), "A", 0.1, 2), (at(0), "B", 0.5, 1)], "timestamp timestamp, symbol string, s double, seq int")
     got = {(r.symbol, r.timestamp.hour): (r.s, r.sentiment_join_missing) for r in T.join_sentiment(market, hourly, ["s"], ["timestamp", "symbol"], "seq").collect()}
     assert sorted(got.values()) == [(0.0, 1), (0.1, 0), (0.5, 0)]

@@ -11,12 +11,31 @@ from tidemark.plans import registry
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
+#: Queries of which the smallest tables leave rows or a whole column empty: compared on the tables ten times as large.
+LARGER = {
+    "experiment_feature_groups", "experiment_holdout_evaluation", "experiment_interval_grid", "experiment_penalty_grid", "experiment_promotion", "experiment_regime_specialists", "experiment_sentiment_ablation", "experiment_train_windows",
+    "feature_dataset", "feature_volatility_percentile", "posts_retain", "resample_4h", "sentiment_cross_symbol", "sentiment_distribution", "stream_resample", "validation_fold_rows", "validation_rolling_purged",
+    "validation_threshold_selection", "validation_threshold_summary", "validation_threshold_sweep", "validation_walk_forward",
+}
+
+
+def folder(small: str, name: str) -> str:
+    return small.replace("sf0.001", "sf0.01") if name in LARGER else small
+
+
 @pytest.fixture(scope="session")
 def duck(small):
-    con = duckdb.connect()
-    for t in TABLES:
-        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{small}/{t}.parquet'")
-    return con
+    connections = {}
+
+    def run(name: str) -> pd.DataFrame:
+        at = folder(small, name)
+        if at not in connections:
+            connections[at] = duckdb.connect()
+            for t in TABLES:
+                connections[at].execute(f"CREATE VIEW {t} AS SELECT * FROM '{at}/{t}.parquet'")
+        return connections[at].execute(registry.ORACLES[name]).df()
+
+    return run
 
 
 def ordered(df: pd.DataFrame) -> pd.DataFrame:
@@ -26,8 +45,10 @@ def ordered(df: pd.DataFrame) -> pd.DataFrame:
 
 @pytest.mark.parametrize("name", sorted(registry.ORACLES))
 def test_query_equals_sql(spark, small, duck, name):
-    ours = ordered(registry.QUERIES[name](spark, small).toPandas())
-    theirs = ordered(duck.execute(registry.ORACLES[name]).df())
+    ours = ordered(registry.QUERIES[name](spark, folder(small, name)).toPandas())
+    theirs = ordered(duck(name))
+    assert len(theirs), "an empty table compares nothing"
+    assert not [c for c in theirs.columns if theirs[c].isna().all()], "a column without values compares nothing"
     assert list(ours.columns) == list(theirs.columns)
     assert len(ours) == len(theirs)
     for c in ours.columns:

@@ -9,7 +9,7 @@ from tidemark.functions.windows import change, ordered
 from tidemark.operators import ledger as L
 from tidemark.operators import technical as K
 from tidemark.plans.market_queries import BARS, RET, VOL, W, bars, exp_mean, win
-from tidemark.plans.base import query, result
+from tidemark.plans.base import ORACLES, QUERIES, query, result
 
 
 def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -149,9 +149,15 @@ def ledger_trade_stats(spark, sf_dir):
     return result(L.trade_stats(L.round_trips(L.trades(signals(spark, sf_dir)))), "symbol", "n", "win_rate", "best", "worst")
 
 
-@query(f"WITH {BARS}, {SIGNALS}, {chain('sig', KEY)}, m AS (SELECT symbol, strftime(to_timestamp(t) AT TIME ZONE 'UTC', '%Y-%m') AS month, arg_max(equity, t) AS e FROM eq GROUP BY 1, 2) SELECT symbol, month, printf('%.6e', e) AS equity, round(e / lag(e) OVER (PARTITION BY symbol ORDER BY month) - 1, 6) AS month_return FROM m")
+DAILY = f"dl AS ({ORACLES['candles_daily_lineitem']}), ds AS (SELECT *, (coalesce(close / lag(close, 12) OVER w - 1, 0) > 0)::INT AS signal FROM dl {W})"
+
+
+@query(f"WITH {DAILY}, {chain('ds', KEY)}, m AS (SELECT symbol, strftime(to_timestamp(t) AT TIME ZONE 'UTC', '%Y-%m') AS month, arg_max(equity, t) AS e FROM eq GROUP BY 1, 2) SELECT symbol, month, printf('%.6e', e) AS equity, round(e / lag(e) OVER (PARTITION BY symbol ORDER BY month) - 1, 6) AS month_return FROM m")
 def ledger_monthly_returns(spark, sf_dir):
-    rows = L.monthly_returns(L.equity(signals(spark, sf_dir))).withColumn("equity", F.format_string("%.6e", "equity"))
+    """Returns by month of a ledger on daily candles of several years."""
+    daily = QUERIES["candles_daily_lineitem"](spark, sf_dir).withColumn("timestamp", F.timestamp_seconds("t")).drop("t")
+    rows = daily.withColumn("signal", (F.coalesce(change(F.col("close"), 12, ordered()), F.lit(0.0)) > 0).cast("int"))
+    rows = L.monthly_returns(L.equity(rows)).withColumn("equity", F.format_string("%.6e", "equity"))
     return result(rows)
 
 
