@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark.functions.shared import new_path
 from tidemark.operators import features as X
 from tidemark.operators import ledger as L
+from tidemark.operators import sketches as SK
 from tidemark.operators import study as Y
 from tidemark.operators import text as T
+from tidemark.operators.candles import CANDLE
 from tidemark.plans.base import query, result
 from tidemark.plans.market_queries import BARS, RET, VOL, bars
-from tidemark.plans.text_queries import POSTS, TAGGED_SQL, tagged
+from tidemark.plans.text_queries import POSTS, TAGGED_SQL, comments, posts, scored, tagged
 from tidemark.sources import datasets as D
+from tidemark.sources import sentiment as DS
 
 
 @query(f"WITH {BARS} SELECT symbol, t, open, close, volume FROM bars")
@@ -41,9 +45,36 @@ def source_load_between(spark, sf_dir):
     return result(D.load_between(bars(spark, sf_dir), "timestamp", F.timestamp_seconds(F.lit(1704499200)), F.timestamp_seconds(F.lit(1705276800))), "symbol", "timestamp")
 
 
-@query(f"WITH {BARS} SELECT count(*) AS row_count, min(t) AS start, max(t) AS \"end\", 'candles.v1' AS schema_version FROM bars")
+def _quoted(values: dict[str, str]) -> str:
+    """SQL of a row's quoted values by column name, as content_hash quotes them."""
+    return " || ".join(f"coalesce(length({v})::VARCHAR, '-') || ':' || coalesce({v}, '')" for _, v in sorted(values.items()))
+
+
+CANDLE_TEXT = _quoted({"timestamp": "strftime(to_timestamp(t) AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S')", "symbol": "symbol", **{c: f"{c}::VARCHAR" for c in ("open", "high", "low", "close", "volume")}})
+
+
+@query(f"WITH {BARS}, h AS (SELECT t, symbol, sha256({CANDLE_TEXT}) AS h FROM bars) SELECT count(*) AS row_count, min(t) AS start, max(t) AS \"end\", count(DISTINCT symbol) AS n_symbols, 'candles.v1' AS schema_version, concat_ws('-', count(*), " + ", ".join(f"sum(('0x' || substr(h, {16 * k + 1}, 16))::UBIGINT)::VARCHAR" for k in range(4)) + ") AS content_hash FROM h")
 def source_metadata(spark, sf_dir):
-    return D.metadata(bars(spark, sf_dir)).select("row_count", "start", "end", "schema_version")
+    return D.metadata(bars(spark, sf_dir).select(*CANDLE)).select("row_count", "start", "end", "n_symbols", "schema_version", "content_hash")
+
+
+@query(f"WITH {POSTS} SELECT doc_id::VARCHAR AS submission_id, t, source AS subreddit, lang AS title, score FROM posts WHERE t BETWEEN 1704499200 AND 1705276800")
+def source_sentiment_dataset(spark, sf_dir):
+    """Posts and comments written as one dataset by day, checked, and read for nine days of it."""
+    p, c = posts(spark, sf_dir), comments(spark, sf_dir)
+    subs = p.select(F.col("doc_id").cast("string").alias("submission_id"), F.col("source").alias("subreddit"), F.col("timestamp").alias("created_utc"), F.col("lang").alias("title"), F.col("text").alias("selftext"), "score", "num_comments")
+    said = c.select(F.concat_ws("-", "conv_id", "turn").alias("comment_id"), F.col("conv_id").cast("string").alias("submission_id"), F.col("timestamp").alias("created_utc"), F.col("text").alias("body"), F.col("turn").cast("long").alias("depth"))
+    path = new_path(spark, "sentiment-dataset")
+    DS.write_posts(subs, said, path, "posts", "test")
+    rows = DS.read_table(spark, path, "submissions", F.timestamp_seconds(F.lit(1704499200)), F.timestamp_seconds(F.lit(1705276800)), verify=True)
+    return rows.select("submission_id", F.unix_seconds("created_utc").alias("t"), "subreddit", "title", "score")
+
+
+@query(f"WITH {POSTS} SELECT symbol, t // 86400 * 86400 AS t, count(s) AS n, round(avg(s), 6) AS mean, count(DISTINCT source) AS n_sources FROM posts GROUP BY 1, 2")
+def sentiment_daily_sketches(spark, sf_dir):
+    """Daily means and distinct sources from hourly sketches, without the posts (small counts are exact)."""
+    hours = SK.hourly(scored(spark, sf_dir))
+    return result(SK.estimates(SK.roll_up(hours)), "symbol", "timestamp", "n", "mean", "n_sources")
 
 
 @query(f"""WITH {BARS}, {POSTS}, p AS (SELECT {TAGGED_SQL} AS symbol, doc_id, t + doc_id % 3600 AS t, (score + 2 * num_comments)::DOUBLE AS e FROM posts), c AS (SELECT symbol, quantile_cont(e, 0.75) AS cut FROM p GROUP BY 1),

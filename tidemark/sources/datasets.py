@@ -8,16 +8,20 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.candles import CANDLE, check, duplicate_keys, normalize
+from tidemark.operators.text import content_hash
 
 CANDLE_SCHEMA = "timestamp timestamp, symbol string, open double, high double, low double, close double, volume double"
 POST_COLUMNS = ["id", "created_utc", "title", "selftext", "subreddit", "score", "num_comments", "source"]
 VERSION = "candles.v1"
 
 
-def metadata(df: DataFrame, time: str = "timestamp", source: str = "", version: str = VERSION) -> DataFrame:
-    """One row: count, start, end, version, source, and a hash of the rows whatever their order."""
-    row_hash = F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns]).cast("decimal(38,0)")
-    return df.agg(F.count(F.lit(1)).alias("row_count"), F.min(F.unix_seconds(time)).alias("start"), F.max(F.unix_seconds(time)).alias("end"), F.sum(row_hash).cast("string").alias("content_hash")).withColumns({"schema_version": F.lit(version), "source": F.lit(source)})
+def metadata(df: DataFrame, time: str = "timestamp", source: str = "", version: str = VERSION, distinct: str = "symbol") -> DataFrame:
+    """One row: count, start, end, distinct values of a column (null where there is no such column), version, source, and a
+    hash of the rows whatever their order, in which a null is no empty string."""
+    about = df.agg(F.count(F.lit(1)).alias("row_count"), F.min(F.unix_seconds(time)).alias("start"), F.max(F.unix_seconds(time)).alias("end"), (F.countDistinct(distinct) if distinct in df.columns else F.lit(None).cast("long")).alias(f"n_{distinct}s"))
+    digest = content_hash(df, sorted(df.columns))
+    hashed = digest.select(F.concat_ws("-", *digest.columns).alias("content_hash"))
+    return about.crossJoin(hashed).withColumns({"schema_version": F.lit(version), "source": F.lit(source)})  # one row each
 
 
 def frame_signature(df: DataFrame) -> DataFrame:

@@ -86,35 +86,46 @@ def filters(rows: DataFrame, alpha: float, q: float = 0.01, r: float = 0.25) ->
 
 
 class _Cooldown(StatefulProcessor):
-    """The last exit of a symbol, and whether an entry comes too soon after it. keep_ms: a symbol's state goes when it has
-    not been touched for so long (time to live)."""
+    """The last exit of a symbol, and whether an entry comes too soon after it. keep: an event-time timer forgets an exit
+    so many seconds behind it, so that symbols that are gone leave no state."""
 
-    def __init__(self, hours: float, keep_ms: int | None):
-        self.hours, self.keep_ms = hours, keep_ms
+    def __init__(self, hours: float, keep: int | None):
+        self.hours, self.keep = hours, keep
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last_exit", "t double", ttlDurationMs=self.keep_ms) if self.keep_ms else handle.getValueState("last_exit", "t double")
+        self.handle, self.last = handle, handle.getValueState("last_exit", "t double")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         frame = pd.concat(list(rows)).sort_values("timestamp")
-        last = self.last.get()[0] if self.last.exists() else None
+        before = last = self.last.get()[0] if self.last.exists() else None
         cooling = []
         for t, is_exit in zip(frame["timestamp"].map(pd.Timestamp.timestamp), frame["is_exit"], strict=True):
             if is_exit:
                 last = t
             cooling.append(int(last is not None and t - last < self.hours * 3600))
-        if last is not None:
+        if last is not None and last != before:
             self.last.update((last,))
+            if self.keep:
+                for timer in list(self.handle.listTimers()):
+                    self.handle.deleteTimer(timer)
+                self.handle.registerTimer(int((last + self.keep) * 1000))
         yield pd.DataFrame({"symbol": key[0], "timestamp": frame["timestamp"], "cooling": cooling})
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        self.last.clear()
+        yield pd.DataFrame({"symbol": pd.Series([], dtype=str), "timestamp": pd.Series([], dtype="datetime64[ns]"), "cooling": pd.Series([], dtype="int32")})
+
     def close(self) -> None:
         pass
 
 
-def cooldown(rows: DataFrame, hours: float, keep_ms: int | None = None) -> DataFrame:
+def cooldown(rows: DataFrame, hours: float, keep: int | None = None, delay: str = "2 hours") -> DataFrame:
     """rows(symbol, timestamp, is_exit): whether each row lies less than ``hours`` behind the last exit, itself included.
-    With keep_ms the state is dropped by its age, which needs processing time."""
-    return rows.groupBy("symbol").transformWithStateInPandas(_Cooldown(hours, keep_ms), "symbol string, timestamp timestamp, cooling int", "Append", "ProcessingTime" if keep_ms else "None")
+    keep: an exit is forgotten when the watermark has passed it by so many seconds; rows later than ``delay`` go then."""
+    schema, make = "symbol string, timestamp timestamp, cooling int", _Cooldown(hours, keep)
+    if not keep:
+        return rows.groupBy("symbol").transformWithStateInPandas(make, schema, "Append", "None")
+    return rows.withWatermark("timestamp", delay).groupBy("symbol").transformWithStateInPandas(make, schema, "Append", "EventTime")
 
 
 class _Ledger(StatefulProcessor):
