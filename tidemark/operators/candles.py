@@ -94,10 +94,12 @@ def normalize(rows: DataFrame) -> DataFrame:
     return rows.select(F.expr("try_cast(timestamp as timestamp)").alias("timestamp"), F.trim(F.col("symbol").cast("string")).alias("symbol"), *[F.nanvl(F.expr(f"try_cast({c} as double)"), F.lit(None).cast("double")).alias(c) for c in CANDLE[2:]])
 
 
-def check(candles: DataFrame) -> DataFrame:
-    """One row per violation: the candle and the rule that it breaks."""
-    broken = F.array_compact(F.array(*[F.when(F.expr(cond), F.lit(rule)) for rule, cond in RULES.items()]))
-    return candles.withColumn("rule", F.explode(broken))
+def check(candles: DataFrame, symbol: str | None = None) -> DataFrame:
+    """One row per violation: the candle and the rule that it breaks. With ``symbol`` all candles have to be of it."""
+    rules = [F.when(F.expr(cond), F.lit(rule)) for rule, cond in RULES.items()]
+    if symbol is not None:
+        rules.append(F.when(~F.col("symbol").eqNullSafe(symbol), F.lit("wrong_symbol")))
+    return candles.withColumn("rule", F.explode(F.array_compact(F.array(*rules))))
 
 
 def valid(candles: DataFrame) -> DataFrame:

@@ -162,12 +162,13 @@ def trading_statistics(eq: DataFrame, trips: DataFrame, keys: Sequence[str] = ("
     return a.join(b, list(keys), "left").withColumn("no_losses", F.isnull("profit_factor").cast("int"))
 
 
-def compare_runs(named: dict[str, DataFrame], keys: Sequence[str] = ("symbol",)) -> DataFrame:
-    """The metrics of several strategies below each other, with the difference to the first one's total return."""
+def compare_runs(named: dict[str, DataFrame], keys: Sequence[str] = ("symbol",), capital: float = CAPITAL) -> DataFrame:
+    """The metrics of several strategies below each other, with the value that ``capital`` grows to and the difference to
+    the first one's total return."""
     first = next(iter(named))
     rows = None
     for name, df in named.items():
-        own = df.select(*keys, F.lit(name).alias("strategy"), "total_return", "max_drawdown", "sharpe", "n_trades")
+        own = df.select(*keys, F.lit(name).alias("strategy"), "total_return", "max_drawdown", "sharpe", "n_trades", "win_rate", "profit_factor", (capital * (1 + F.col("total_return"))).alias("final_value"))
         rows = own if rows is None else rows.unionByName(own)
     base = F.max(F.when(F.col("strategy") == first, F.col("total_return"))).over(Window.partitionBy(*keys))
     return rows.withColumn("excess_return", F.col("total_return") - base)
@@ -187,9 +188,13 @@ def benchmark_signals(df: DataFrame, lookback: int = 24) -> DataFrame:
     return rows.withColumn("_k", kinds).select(*df.columns, "_k.*")
 
 
-def buy_and_hold(df: DataFrame, fee: float = FEE) -> DataFrame:
-    """Closed form: first to last close with a fee on both sides."""
-    return df.groupBy("symbol").agg((F.max_by("close", "timestamp") / F.min_by("close", "timestamp") * (1 - fee) * (1 - fee) - 1).alias("buy_hold_return"))
+def buy_and_hold(df: DataFrame, fee: float = FEE, bars: float = 8766.0) -> DataFrame:
+    """Closed form: first to last close with a fee on both sides; Sharpe of the closes' returns on ``bars`` a year (null
+    where they do not vary) and their deepest drawdown."""
+    w = ordered()
+    rows = df.withColumn("_r", F.col("close") / F.lag("close").over(w) - 1).withColumn("_d", F.col("close") / F.max("close").over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1)
+    spread = F.stddev_samp("_r")
+    return rows.groupBy("symbol").agg((F.max_by("close", "timestamp") / F.min_by("close", "timestamp") * (1 - fee) * (1 - fee) - 1).alias("buy_hold_return"), F.when(spread > 0, F.avg("_r") / spread * bars**0.5).alias("sharpe"), F.min("_d").alias("max_drawdown"))
 
 
 def equal_weight(df: DataFrame) -> DataFrame:
@@ -263,9 +268,12 @@ def check_entries(candidates: DataFrame, snapshot: DataFrame, correlations: Data
     return rows.withColumn("rejected_by", reason).select(*candidates.columns, "rejected_by")
 
 
-def stop_levels(positions: DataFrame, stop: float = 0.05, multiple: float = 2.0, reward: float = 2.0) -> DataFrame:
+def stop_levels(positions: DataFrame, stop: float = 0.05, multiple: float = 2.0, reward: float = 2.0, hours: float = 48) -> DataFrame:
+    """Fixed and ATR levels around the entry, and the time at which a position is left whatever its price."""
     e, a = F.col("entry_price"), F.col("atr")
-    return positions.withColumns({"stop_fixed": e * (1 - stop), "take_fixed": e * (1 + stop * reward), "stop_atr": e - multiple * a, "take_atr": e + multiple * a * reward})
+    levels = {"stop_fixed": e * (1 - stop), "take_fixed": e * (1 + stop * reward), "stop_atr": e - multiple * a, "take_atr": e + multiple * a * reward}
+    entered = F.col("entry_time") if "entry_time" in positions.columns else F.col("timestamp")
+    return positions.withColumns(levels | {"time_limit": F.timestamp_seconds(F.unix_seconds(entered) + int(hours * 3600))})
 
 
 def trailing_stop(df: DataFrame, keys: Sequence[str], activate: float = 0.02, trail: float = 0.03) -> DataFrame:
@@ -288,6 +296,14 @@ def portfolio_snapshot(positions: DataFrame, by: Sequence[str]) -> DataFrame:
     return positions.groupBy(*by).agg(F.count(F.lit(1)).alias("n_positions"), F.sum(value).alias("value"), F.sum(F.col("quantity") * F.col("entry_price")).alias("cost_basis"), F.sum(F.col("quantity") * (F.col("price") - F.col("entry_price"))).alias("unrealized"))
 
 
+def exposures(snapshot: DataFrame, cash: float) -> DataFrame:
+    """snapshot(symbol, sector, value) with each position's and its sector's share of all value, cash included."""
+    total = snapshot.agg((F.coalesce(F.sum("value"), F.lit(0.0)) + cash).alias("_total"))
+    sectors = snapshot.groupBy("sector").agg(F.sum("value").alias("_sector"))
+    rows = snapshot.join(sectors, snapshot["sector"].eqNullSafe(sectors["sector"])).drop(sectors["sector"]).crossJoin(total)  # total: one row
+    return rows.withColumns({"exposure": F.try_divide("value", "_total"), "sector_exposure": F.try_divide("_sector", "_total")}).drop("_total", "_sector")
+
+
 def risk_halts(eq: DataFrame, keys: Sequence[str] = ("symbol",), daily: float = 0.05, most: float = 0.15) -> DataFrame:
     """Per day: loss against the day before's last equity, deepest drawdown, and whether trading halts."""
     rows = drawdown(eq, keys).withColumn("day", F.floor(F.unix_seconds("timestamp") / 86400))

@@ -81,6 +81,20 @@ def append_new(existing: DataFrame, batch: DataFrame, key: str, order: Sequence[
     return existing.unionByName(dedup_first(batch, key, order).join(existing.select(key), key, "left_anti"), allowMissingColumns=True)
 
 
+def merge_posts(archive: DataFrame, rolling: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
+    """The archive and the rolling set as one: each key once, the archive's row first, of several the first by order."""
+    rows = archive.withColumn("_from", F.lit(0)).unionByName(rolling.withColumn("_from", F.lit(1)), allowMissingColumns=True)
+    return dedup_first(rows, key, ["_from", *order]).drop("_from")
+
+
+def hourly_by_symbol(posts: DataFrame, of: str = "sentiment_score") -> DataFrame:
+    """symbol, timestamp, sentiment_mean, post_count of every hour from a symbol's first to its last post; hours without
+    posts have a mean and a count of 0 and are marked missing."""
+    hours = posts.groupBy("symbol", bucket(F.col("timestamp"), 3600).alias("timestamp")).agg(F.avg(of).alias("sentiment_mean"), F.count(F.lit(1)).alias("post_count"))
+    rows = hour_grid(hours).join(hours, ["symbol", "timestamp"], "left")
+    return rows.withColumn("sentiment_missing", F.isnull("post_count").cast("int")).na.fill(0, ["sentiment_mean", "post_count"])
+
+
 def archive_stats(df: DataFrame, time: str, group: str) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("n_posts"), F.min(F.unix_seconds(time)).alias("first_t"), F.max(F.unix_seconds(time)).alias("last_t"), F.concat_ws(",", F.array_sort(F.collect_set(group))).alias("groups"))
 

@@ -118,17 +118,17 @@ def ledger_benchmarks(spark, sf_dir):
 
 
 @query(f"""WITH {BARS}, {SIGNALS}, {BENCH}, al AS (SELECT symbol, t, open, high, low, close, volume, 'strategy' AS strategy, signal FROM sig UNION ALL SELECT symbol, t, open, high, low, close, volume, benchmark, signal FROM ben), {chain('al', 'symbol, strategy')}, {met('symbol, strategy')}
- SELECT symbol, strategy, printf('%.6e', total_return) AS total_return, round(max_drawdown, 6) AS max_drawdown, round(sharpe, 6) AS sharpe, coalesce(n_trades, 0) AS n_trades, printf('%.5e', total_return - max(CASE WHEN strategy = 'strategy' THEN total_return END) OVER (PARTITION BY symbol)) AS excess_return FROM met LEFT JOIN mef USING (symbol, strategy)""")
+ SELECT symbol, strategy, printf('%.6e', total_return) AS total_return, round(max_drawdown, 6) AS max_drawdown, round(sharpe, 6) AS sharpe, coalesce(n_trades, 0) AS n_trades, round(win_rate, 6) AS win_rate, round(profit_factor, 6) AS profit_factor, printf('%.6e', 10000 * (1 + total_return)) AS final_value, printf('%.5e', total_return - max(CASE WHEN strategy = 'strategy' THEN total_return END) OVER (PARTITION BY symbol)) AS excess_return FROM met LEFT JOIN mef USING (symbol, strategy) LEFT JOIN met3 USING (symbol, strategy)""")
 def ledger_comparison(spark, sf_dir):
     s, b = signals(spark, sf_dir), L.benchmark_signals(bars(spark, sf_dir))
     named = {"strategy": L.metrics(L.equity(s), L.trades(s))}
     every = L.metrics(L.equity(b, ["symbol", "benchmark"]), L.trades(b, ["symbol", "benchmark"]), ["symbol", "benchmark"])
     named |= {k: every.where(F.col("benchmark") == k) for k in ("cash", "buy_and_hold", "momentum")}
     rows = L.compare_runs(named)
-    return result(rows.withColumn("total_return", F.format_string("%.6e", "total_return")).withColumn("excess_return", F.format_string("%.5e", "excess_return")))
+    return result(rows.withColumn("total_return", F.format_string("%.6e", "total_return")).withColumn("excess_return", F.format_string("%.5e", "excess_return")).withColumn("final_value", F.format_string("%.6e", "final_value")))
 
 
-@query(f"WITH {BARS} SELECT symbol, round(arg_max(close, t) / arg_min(close, t) * 0.999 * 0.999 - 1, 6) AS buy_hold_return FROM bars GROUP BY symbol")
+@query(f"WITH {BARS}, r AS (SELECT *, close / lag(close) OVER w - 1 AS r, close / max(close) OVER w - 1 AS d FROM bars {W}) SELECT symbol, round(arg_max(close, t) / arg_min(close, t) * 0.999 * 0.999 - 1, 6) AS buy_hold_return, round(avg(r) / stddev_samp(r) * sqrt(8766.0), 6) AS sharpe, round(min(d), 6) AS max_drawdown FROM r GROUP BY symbol")
 def ledger_buy_and_hold(spark, sf_dir):
     return result(L.buy_and_hold(bars(spark, sf_dir)))
 
@@ -181,10 +181,10 @@ def risk_position_sizes(spark, sf_dir):
 
 
 @query(f"""WITH {BARS}, tr AS (SELECT *, greatest(high - low, abs(high - lag(close) OVER w), abs(low - lag(close) OVER w)) AS tr FROM bars {W}), a AS (SELECT *, {exp_mean('tr', 2 / 15)} AS atr FROM tr {W})
- SELECT symbol, t, round(close * 0.95, 6) AS stop_fixed, round(close * 1.1, 6) AS take_fixed, round(close - 2 * atr, 6) AS stop_atr, round(close + 4 * atr, 6) AS take_atr FROM a""")
+ SELECT symbol, t, round(close * 0.95, 6) AS stop_fixed, round(close * 1.1, 6) AS take_fixed, round(close - 2 * atr, 6) AS stop_atr, round(close + 4 * atr, 6) AS take_atr, t + 172800 AS time_limit FROM a""")
 def risk_stop_levels(spark, sf_dir):
     rows = K.atr(bars(spark, sf_dir)).withColumns({"entry_price": F.col("close"), "atr": F.col("atr_14")})
-    return result(L.stop_levels(rows), "symbol", "timestamp", "stop_fixed", "take_fixed", "stop_atr", "take_atr")
+    return result(L.stop_levels(rows), "symbol", "timestamp", "stop_fixed", "take_fixed", "stop_atr", "take_atr", "time_limit")
 
 
 @query(f"""WITH {BARS}, e AS (SELECT *, first_value(close) OVER w AS ep, max(high) OVER w AS top FROM bars {W}), l AS (SELECT *, CASE WHEN top >= ep * 1.02 THEN top * 0.97 END AS l FROM e) SELECT symbol, t, round(max(l) OVER w, 6) AS trailing_stop FROM l {W}""")
@@ -221,3 +221,9 @@ def risk_open_positions(spark, sf_dir):
     rows = rows.withColumns({"stop": F.col("entry_price") * (1 - 0.1 * F.col("side")), "take": F.col("entry_price") * (1 + 0.3 * F.col("side"))})
     rows = L.open_risk(rows).withColumn("reward_risk", F.round("reward_risk", 5))
     return result(rows, "symbol", "timestamp", "unrealized", "unrealized_percent", "risk_to_stop", "potential", "reward_risk").withColumns({c: F.col(c) + 0.0 for c in ("unrealized", "unrealized_percent")})
+
+
+@query(f"WITH {BARS}, h AS (SELECT symbol, CASE WHEN symbol IN ('click', 'view') THEN 'browse' ELSE 'act' END AS sector, sum(volume * close) AS value FROM bars GROUP BY 1, 2) SELECT symbol, sector, round(value / (sum(value) OVER () + 10000), 6) AS exposure, round(sum(value) OVER (PARTITION BY sector) / (sum(value) OVER () + 10000), 6) AS sector_exposure FROM h")
+def risk_exposures(spark, sf_dir):
+    held = bars(spark, sf_dir).withColumn("sector", F.when(F.col("symbol").isin("click", "view"), "browse").otherwise("act")).withColumns({"quantity": F.col("volume"), "price": F.col("close"), "entry_price": F.col("close")})
+    return result(L.exposures(L.portfolio_snapshot(held, ["symbol", "sector"]), 10_000.0), "symbol", "sector", "exposure", "sector_exposure")

@@ -255,3 +255,16 @@ def sentiment_feature_diagnostics(spark, sf_dir):
 def feature_complete_cases(spark, sf_dir):
     rows = X.complete_cases(X.returns(bars(spark, sf_dir)), ["return_1h", "return_72h"])
     return rows.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), F.min(F.unix_seconds("timestamp")).alias("first_t"))
+
+
+@query(f"WITH {POSTS}, h AS (SELECT symbol, t // 3600 * 3600 AS t, avg(s) AS m, count(*) AS n FROM posts GROUP BY 1, 2), g AS (SELECT symbol, unnest(range(min(t), max(t) + 3600, 3600)) AS t FROM h GROUP BY 1) SELECT g.symbol, g.t, round(coalesce(m, 0), 6) AS sentiment_mean, coalesce(n, 0) AS post_count, (n IS NULL)::INT AS sentiment_missing FROM g LEFT JOIN h ON h.symbol = g.symbol AND h.t = g.t")
+def sentiment_hourly_by_symbol(spark, sf_dir):
+    return result(T.hourly_by_symbol(scored(spark, sf_dir)), "symbol", "timestamp", "sentiment_mean", "post_count", "sentiment_missing")
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 3 != 0 THEN 'archive' ELSE 'rolling' END AS kept FROM documents")
+def posts_merge(spark, sf_dir):
+    """Archive and rolling set, which overlap, as one table with each post once, the archive's first."""
+    p = posts(spark, sf_dir).select("doc_id", "text")
+    archive, rolling = p.where("doc_id % 3 != 0").withColumn("kept", F.lit("archive")), p.where("doc_id % 2 = 0 or doc_id % 3 = 0").withColumn("kept", F.lit("rolling"))
+    return T.merge_posts(archive, rolling, "doc_id", ["text"]).select("doc_id", "kept")

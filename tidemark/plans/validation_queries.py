@@ -151,15 +151,15 @@ VARIANTS = f"var AS (SELECT symbol, t, open, high, low, close, signal, 'base' AS
 VKEY = "symbol, variant"
 
 
-@query(f"""WITH {BARS}, {SIGNALS}, {VARIANTS}, {chain('var', VKEY)}, {met(VKEY)}, c AS (SELECT a.symbol, a.variant, a.total_return - b.total_return AS d FROM met a JOIN met b ON b.symbol = a.symbol AND b.variant = 'base' WHERE a.variant != 'base')
- SELECT variant, count(*) AS n_folds, count(*) FILTER (d > 0) AS n_improved, concat_ws(',', CASE WHEN count(*) FILTER (d > 0) < 0.5 * count(*) THEN 'few_folds_improved' END, CASE WHEN median(d) <= 0 THEN 'no_median_gain' END) AS reasons FROM c GROUP BY 1""")
+@query(f"""WITH {BARS}, {SIGNALS}, {VARIANTS}, {chain('var', VKEY)}, {met(VKEY)}, tu AS (SELECT met.*, coalesce(notional, 0) / first_equity AS turnover FROM met LEFT JOIN mef USING (symbol, variant)), c AS (SELECT a.symbol, a.variant, a.total_return - b.total_return AS d, a.turnover AS ta, b.turnover AS tb FROM tu a JOIN tu b ON b.symbol = a.symbol AND b.variant = 'base' WHERE a.variant != 'base')
+ SELECT variant, count(*) AS n_folds, count(*) FILTER (d > 0) AS n_improved, concat_ws(',', CASE WHEN count(*) FILTER (d > 0) < 0.5 * count(*) THEN 'few_folds_improved' END, CASE WHEN median(d) <= 0 THEN 'no_median_gain' END, CASE WHEN sum(ta) / nullif(sum(tb), 0) > 1.5 THEN 'turnover' END) AS reasons FROM c GROUP BY 1""")
 def experiment_gate(spark, sf_dir):
     """Signal variants as a key of one ledger query, each compared with the baseline per symbol."""
     morning = F.when(F.floor(F.unix_seconds("timestamp") / 3600) % 24 < 12, F.col("signal")).otherwise(0)
     rows = E.run_grid(signals(spark, sf_dir), {"base": lambda d: d, "inverse": lambda d: d.withColumn("signal", 1 - F.col("signal")), "mornings": lambda d: d.withColumn("signal", morning)})
     by = ["symbol", "variant"]
     m = L.metrics(L.equity(rows, by), L.trades(rows, by), by)
-    return E.gate(E.against_baseline(m, "base", ["symbol"]), ["variant"], most_turnover=1e300).select("variant", "n_folds", "n_improved", "reasons")
+    return E.gate(E.against_baseline(m, "base", ["symbol"]), ["variant"]).select("variant", "n_folds", "n_improved", "reasons")
 
 
 @query()
