@@ -138,6 +138,32 @@ def compare_models(train: DataFrame, test: DataFrame, features: Sequence[str]) -
     return out
 
 
+def model_grid(depths: Sequence[int] = (3, 5), leaves: Sequence[int] = (20, 50), boosted_depths: Sequence[int] = (2, 3), trees: int = 10, rounds: int = 5, seed: int = 42) -> dict[str, object]:
+    """Small grids of model classes, the baseline first; the order decides between equal candidates."""
+    base = {"featuresCol": "features", "labelCol": "target"}
+    forests = {f"forest_depth_{d}_leaf_{n}": RandomForestClassifier(**base, numTrees=trees, maxDepth=d, minInstancesPerNode=n, seed=seed) for d in depths for n in leaves}
+    boosted = {f"boosted_depth_{d}": GBTClassifier(**base, maxIter=rounds, maxDepth=d, stepSize=0.1, minInstancesPerNode=20, seed=seed) for d in boosted_depths}
+    return {"logistic": LogisticRegression(**base, regParam=0.001, standardization=False), **forests, **boosted}
+
+
+def score_grid(rows: DataFrame, features: Sequence[str], specs: dict[str, object], cuts: Sequence[float] = (0.4, 0.6, 0.8), holdout: int = -1) -> DataFrame:
+    """rows of every fold's test part with the probability of every model (``variant``): a fold trains on all rows before
+    a cut of the time axis and tests up to the next; behind the last cut is the holdout. One model serves all symbols.
+
+    The number of fits is that of models and folds, each a Spark job over all rows of its part."""
+    times, n = global_place(rows.select("timestamp").distinct(), ["timestamp"], "_r")
+    placed = rows.join(times, "timestamp").withColumn("_r", F.col("_r") / max(n - 1, 1))
+    out = None
+    for k, (low, high) in enumerate(zip(cuts, [*cuts[1:], 2.0], strict=True)):
+        train = placed.where((F.col("_r") < low) & F.col("target").isNotNull()).withColumn("target", F.col("target").cast("double"))
+        test = placed.where((F.col("_r") >= low) & (F.col("_r") < high)).withColumn("fold", F.lit(holdout if high > 1 else k))
+        for name, estimator in specs.items():
+            scored = pipeline(features, estimator).fit(train).transform(test)
+            one = scored.select(*rows.columns, "fold", F.lit(name).alias("variant"), vector_to_array("probability")[1].alias("probability"))
+            out = one if out is None else out.unionByName(one)
+    return out
+
+
 def save_model(model: PipelineModel, path: str, features: Sequence[str], spark: SparkSession) -> None:
     model.save(f"{path}/model")
     spark.createDataFrame([(k, f) for k, f in enumerate(features)], "place int, feature string").write.parquet(f"{path}/features")

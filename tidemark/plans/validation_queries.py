@@ -164,8 +164,11 @@ def experiment_gate(spark, sf_dir):
 
 @query()
 def experiment_model_classes(spark, sf_dir):
-    """Logistic regression, forest and boosted trees on one chronological cut."""
+    """Logistic regression, forests and boosted trees in small grids: folds, sweep, rank, and whether one may replace the
+    logistic model, per symbol."""
     b = X.label(X.volume_ratio(X.realized_vol(X.returns(bars(spark, sf_dir)))), 1, 0.003, 0.1)
-    rows = E.time_cut(b, 0.6).where("target is not null").select("symbol", "timestamp", "target", "part", *MODEL)
-    scored = E.compare_models(rows.where("part = 'train'"), rows.where("part = 'test'"), MODEL)
-    return result(V.classification_metrics(scored.withColumn("predicted", (F.col("probability") >= 0.5).cast("int")), ["model"]))
+    specs = E.model_grid((3,), (20,), (2,))
+    scored = E.score_grid(checkpointed(b.select("symbol", "timestamp", "open", "close", "target", *MODEL)), MODEL, specs)
+    m = checkpointed(V.against_holding(scored.select("symbol", "variant", "fold", "timestamp", "open", "close", "probability"), ["symbol", "variant", "fold"], THRESHOLDS))
+    order = F.element_at(F.create_map(*[x for i, n in enumerate(specs) for x in (F.lit(n), F.lit(i))]), F.col("variant"))
+    return E.promote(V.select_and_confirm(m, ["symbol", "variant"], "return", among=["symbol"], candidate_order=[order]), m, "logistic")
