@@ -71,8 +71,9 @@ def threshold_sweep(scored: DataFrame, thresholds: Sequence[float], keys: Sequen
     return out
 
 
-def summarize_thresholds(m: DataFrame, keys: Sequence[str], kind: str = "return", most_exposure: float = 0.9) -> DataFrame:
-    """Medians and sums over the folds per threshold, the filters it passes, and whether it is eligible.
+def summarize_thresholds(m: DataFrame, keys: Sequence[str], kind: str = "return", most_exposure: float = 0.9, thresholds: Sequence[float] = ()) -> DataFrame:
+    """Medians and sums over the folds per threshold, the filters it passes, and whether it is eligible. Those of
+    ``thresholds`` that have no rows stand there as well, without folds.
 
     kind "return": trades, a median return of 0 or more and not below cash; "regime": trades, a return above cash and
     above buy and hold (column buy_hold_return); "interval": that, and an exposure of most_exposure at most."""
@@ -82,6 +83,9 @@ def summarize_thresholds(m: DataFrame, keys: Sequence[str], kind: str = "return"
         F.sum("n_trades").alias("n_trades"), F.median("total_return").alias("median_return"), F.median("max_drawdown").alias("median_drawdown"), F.median("turnover").alias("median_turnover"), F.median("exposure").alias("median_exposure"), F.count(F.lit(1)).alias("n_folds"),
         *[F.median(c).alias(f"median_{c}") for c in median], *[F.avg(c).alias(f"mean_{c}") for c in mean],
     )
+    if thresholds:
+        every = m.select(*keys).distinct().withColumn("threshold", F.explode(F.array(*[F.lit(float(t)) for t in thresholds])))
+        rows = every.join(rows, [*keys, "threshold"], "left").na.fill(0, ["n_trades", "n_folds"])
     r, cash = F.col("median_return"), F.col("median_cash_return") if "cash_return" in median else F.lit(0.0)
     passes = {"trades": F.col("n_trades") > 0}
     if kind == "return":

@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.shared import checkpointed
+from tidemark.functions.windows import ordered
 from tidemark.operators import features as X
 from tidemark.operators import ledger as L
+from tidemark.operators import text as T
 from tidemark.plans import experiments as E
 from tidemark.plans import validation as V
 from tidemark.plans.ledger_queries import SIGNALS, chain, met, signals
@@ -94,10 +96,18 @@ def validation_threshold_sweep(spark, sf_dir):
 SUMMARY = f"su AS (SELECT symbol, threshold, sum(coalesce(n_trades, 0))::BIGINT AS n_trades, median(total_return) AS median_return, median(max_drawdown) AS median_drawdown, median(coalesce(notional, 0) / first_equity) AS median_turnover, count(*) AS n_folds FROM met LEFT JOIN mef USING ({FKEY}) GROUP BY 1, 2), el AS (SELECT *, (n_trades > 0 AND median_return >= 0)::INT AS eligible FROM su)"
 
 
-@query(f"WITH {BARS}, {SIGNALS}, {SIZES}, {SWEEP}, {chain('th', FKEY)}, {met(FKEY)}, {SUMMARY} SELECT symbol, threshold, n_trades, printf('%.6e', median_return) AS median_return, round(median_drawdown, 6) AS median_drawdown, n_folds, eligible FROM el")
+RISEN = f"ri AS (SELECT symbol, t, (lead(close) OVER w / close - 1 > 0.003)::INT AS target FROM bars {W}), cl AS (SELECT symbol, threshold, fold, count(*) FILTER (target = 1 AND signal = 1) AS tp, count(*) FILTER (target = 0 AND signal = 1) AS fp, count(*) FILTER (target = 1 AND signal = 0) AS fn FROM th JOIN ri USING (symbol, t) WHERE target IS NOT NULL GROUP BY ALL), mn AS (SELECT symbol, threshold, avg(coalesce(tp / nullif(tp + fp, 0), 0)) AS p, avg(coalesce(tp / nullif(tp + fn, 0), 0)) AS c, avg(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0)) AS f FROM cl GROUP BY ALL)"
+
+
+@query(f"WITH {BARS}, {SIGNALS}, {SIZES}, {SWEEP}, {chain('th', FKEY)}, {met(FKEY)}, {SUMMARY}, {RISEN} SELECT symbol, threshold, n_trades, printf('%.6e', median_return) AS median_return, round(median_drawdown, 6) AS median_drawdown, n_folds, eligible, round(p, 6) AS mean_precision, round(c, 6) AS mean_recall, round(f, 6) AS mean_f1 FROM el JOIN mn USING (symbol, threshold) UNION ALL SELECT symbol, 0.99, 0, NULL, NULL, 0, 0, NULL, NULL, NULL FROM (SELECT DISTINCT symbol FROM el)")
 def validation_threshold_summary(spark, sf_dir):
-    rows = V.summarize_thresholds(sweep(spark, sf_dir), ["symbol"]).withColumn("median_return", F.format_string("%.6e", "median_return"))
-    return result(rows, "symbol", "threshold", "n_trades", "median_return", "median_drawdown", "n_folds", "eligible")
+    """Per threshold the medians and means over the folds; a threshold that was not swept is listed without folds."""
+    rose = (F.lead("close").over(ordered()) / F.col("close") - 1 > 0.003).cast("int")
+    s = signals(spark, sf_dir).drop("signal").withColumn("target", rose)
+    m = V.threshold_sweep(V.assign_folds(s, V.walk_forward(sizes(s), 300, 60, 60)).drop("pos"), THRESHOLDS, ["symbol", "fold"])
+    rows = V.summarize_thresholds(m, ["symbol"], thresholds=[*THRESHOLDS, 0.99])
+    shown = F.when(F.col("median_return").isNotNull(), F.format_string("%.6e", "median_return"))
+    return result(rows.withColumn("median_return", shown), "symbol", "threshold", "n_trades", "median_return", "median_drawdown", "n_folds", "eligible", "mean_precision", "mean_recall", "mean_f1")
 
 
 @query(f"WITH {BARS}, {SIGNALS}, {SIZES}, {SWEEP}, {chain('th', FKEY)}, {met(FKEY)}, {SUMMARY}, r AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY median_return DESC, abs(median_drawdown), median_turnover, threshold) AS rank FROM el WHERE eligible = 1) SELECT symbol, threshold FROM r WHERE rank = 1")
@@ -172,3 +182,20 @@ def experiment_model_classes(spark, sf_dir):
     m = checkpointed(V.against_holding(scored.select("symbol", "variant", "fold", "timestamp", "open", "close", "probability"), ["symbol", "variant", "fold"], THRESHOLDS))
     order = F.element_at(F.create_map(*[x for i, n in enumerate(specs) for x in (F.lit(n), F.lit(i))]), F.col("variant"))
     return E.promote(V.select_and_confirm(m, ["symbol", "variant"], "return", among=["symbol"], candidate_order=[order]), m, "logistic")
+
+
+FOLD_TEXT = " || ".join(f"length({c}::VARCHAR)::VARCHAR || ':' || {c}::VARCHAR" for c in ("fold", "n", "symbol", "test_end", "test_start", "train_end", "train_start"))
+
+
+@query(f"WITH {BARS}, {SIZES}, f AS ({_folds(300, 60, 60)}), h AS (SELECT sha256({FOLD_TEXT}) AS h FROM f) SELECT count(*) AS n, " + ", ".join(f"sum(('0x' || substr(h, {16 * k + 1}, 16))::UBIGINT)::VARCHAR AS digest_{k}" for k in range(4)) + " FROM h")
+def validation_fold_signature(spark, sf_dir):
+    """A hash of all folds' bounds, whatever their order: equal folds, equal signature."""
+    folds = _longs(V.walk_forward(sizes(bars(spark, sf_dir)), 300, 60, 60))
+    return T.content_hash(folds, sorted(folds.columns))
+
+
+@query(f"WITH {BARS}, {SIGNALS}, v AS (SELECT symbol, t, p, CASE WHEN volume > 1 THEN 1 / (1 + exp(-(close / open - 1))) END AS q FROM sig) SELECT symbol, t, round(CASE WHEN q IS NULL THEN p ELSE (p + q) / 2 END, 6) AS probability FROM v")
+def model_soft_vote(spark, sf_dir):
+    """The mean of two scores, one of which some bars lack."""
+    rows = signals(spark, sf_dir).withColumn("p", F.col("probability")).withColumn("q", F.when(F.col("volume") > 1, 1 / (1 + F.exp(-(F.col("close") / F.col("open") - 1)))))
+    return result(E.soft_vote(rows, ["p", "q"]), "symbol", "timestamp", "probability")
