@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.windows import as_of
 from tidemark.operators import features as X
+from tidemark.operators import technical as K
 from tidemark.operators import text as T
 from tidemark.plans.market_queries import BARS, RET, W, bars, exp_mean
 from tidemark.plans.base import query, result
@@ -137,10 +138,20 @@ def _series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(spark, sf_dir).groupBy("symbol", F.date_trunc("hour", "timestamp").alias("timestamp")).agg(F.avg("sentiment_score").alias("sentiment"))
 
 
-@query(f"""WITH {POSTS}, {SERIES}, v AS (SELECT *, sentiment - lag(sentiment) OVER w AS v FROM ser {W}) SELECT symbol, t, round(v, 6) AS velocity, round(v - lag(v) OVER w, 6) AS acceleration,
- round(avg(sentiment) OVER (PARTITION BY symbol ORDER BY t ROWS BETWEEN 5 PRECEDING AND CURRENT ROW), 6) AS mean_6, round(sentiment - avg(sentiment) OVER (PARTITION BY symbol ORDER BY t ROWS BETWEEN 23 PRECEDING AND CURRENT ROW), 6) AS momentum_24 FROM v {W}""")
+@query(f"""WITH {POSTS}, {SERIES}, v AS (SELECT *, sentiment - lag(sentiment) OVER w AS v FROM ser {W}), g AS (SELECT *, CASE WHEN v > 0 THEN v ELSE 0 END AS g, CASE WHEN v < 0 THEN -v ELSE 0 END AS l FROM v)
+ SELECT symbol, t, round(v, 6) AS velocity, round(v - lag(v) OVER w, 6) AS acceleration, {', '.join(f"round(avg(sentiment) OVER (PARTITION BY symbol ORDER BY t ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW), 6) AS mean_{n}, round(sentiment - avg(sentiment) OVER (PARTITION BY symbol ORDER BY t ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW), 6) AS momentum_{n}" for n in (3, 6, 12, 24))},
+ round(100 - 100 / (1 + avg(g) OVER x / nullif(avg(l) OVER x, 0)), 4) AS sentiment_rsi FROM g WINDOW w AS (PARTITION BY symbol ORDER BY t), x AS (PARTITION BY symbol ORDER BY t ROWS BETWEEN 13 PRECEDING AND CURRENT ROW)""")
 def sentiment_dynamics(spark, sf_dir):
-    return result(T.dynamics(_series(spark, sf_dir)), "symbol", "timestamp", "velocity", "acceleration", "mean_6", "momentum_24")
+    rows = T.dynamics(_series(spark, sf_dir)).withColumn("sentiment_rsi", F.round("sentiment_rsi", 4))
+    return result(rows, "symbol", "timestamp", "velocity", "acceleration", *[f"{k}_{n}" for n in (3, 6, 12, 24) for k in ("mean", "momentum")], "sentiment_rsi")
+
+
+@query(f"WITH {POSTS}, {SERIES}, m AS (SELECT symbol, t, ({exp_mean('sentiment', 2 / 13)}) - ({exp_mean('sentiment', 2 / 27)}) AS macd FROM ser {W}), s AS (SELECT *, {exp_mean('macd', 0.2)} AS sig FROM m {W}) SELECT symbol, t, round(macd, 6) + 0.0 AS sentiment_macd, round(sig, 6) + 0.0 AS sentiment_macd_signal, round(macd - sig, 6) + 0.0 AS sentiment_macd_histogram FROM s")
+def sentiment_macd(spark, sf_dir):
+    """The difference of two exponential means of a symbol's sentiment, and its own mean."""
+    cols = ["sentiment_macd", "sentiment_macd_signal", "sentiment_macd_histogram"]
+    rows = result(K.macd(_series(spark, sf_dir), of="sentiment", prefix="sentiment_macd"), "symbol", "timestamp", *cols)
+    return rows.withColumns({c: F.col(c) + 0.0 for c in cols})
 
 
 @query(f"""WITH {POSTS}, d AS (SELECT symbol, t // 3600 * 3600 AS t, count(*) AS n, stddev_samp(s) AS sd, median(s) AS m, quantile_cont(s, 0.75) - quantile_cont(s, 0.25) AS iqr, max(s) AS mx, min(s) AS mn, avg((s > 0.5)::INT) AS eu, avg((s >= -0.1 AND s <= 0.1)::INT) AS ne, abs(avg(s)) / (stddev_samp(s) + 0.01) AS po FROM posts GROUP BY 1, 2)
