@@ -90,15 +90,31 @@ def study_engagement_split(spark, sf_dir):
     return result(Y.engagement_split(p, bars(spark, sf_dir), 6), "symbol", "n_high", "n_low", "mean_high", "mean_low", "std_high", "positive_high", "t_statistic", "p_value")
 
 
-@query()
+INFLATED = ["return_1h", "return_3h", "realized_volatility_24h", "high_low_range_1h"]
+
+
+def _inverse_sql(source: str, cols: list[str]) -> tuple[str, str]:
+    """SQL of the rows and of the table inv: the diagonal of the inverse correlation matrix, by Gauss-Jordan elimination on lists."""
+    k = len(cols)
+    rows = ", ".join("[" + ", ".join([("1.0" if a == b else f"corr({a}, {b})") for b in cols] + [str(float(a == b)) for b in cols]) + "]" for a in cols)
+    m = f"(SELECT [{rows}] AS m FROM {source})"
+    for j in range(1, k + 1):
+        m = f"(SELECT list_transform(range(1, {k + 1}), lambda i: CASE WHEN i = {j} THEN list_transform(m[{j}], lambda v: v / m[{j}][{j}]) ELSE list_transform(range(1, {2 * k + 1}), lambda c: m[i][c] - m[i][{j}] / m[{j}][{j}] * m[{j}][c]) END) AS m FROM {m})"
+    return " UNION ALL ".join(f"SELECT '{c}' AS feature, round(m[{i}][{k + i}], 6) AS vif FROM inv" for i, c in enumerate(cols, 1)), m
+
+
+@query(f"WITH {BARS}, {RET}, {VOL}, x AS (SELECT return_1h, return_3h, realized_volatility_24h, (high - low) / close AS high_low_range_1h FROM vol), f AS (SELECT * FROM x WHERE return_1h IS NOT NULL AND return_3h IS NOT NULL AND realized_volatility_24h IS NOT NULL AND high_low_range_1h IS NOT NULL), inv AS (SELECT * FROM {_inverse_sql('f', INFLATED)[1]}) {_inverse_sql('f', INFLATED)[0]}")
 def study_variance_inflation(spark, sf_dir):
     rows = X.range_pct(X.realized_vol(X.returns(bars(spark, sf_dir), [1, 3])))
-    return result(Y.variance_inflation(rows, ["return_1h", "return_3h", "realized_volatility_24h", "high_low_range_1h"]))
+    return result(Y.variance_inflation(rows, INFLATED))
+
+
+PRICES = ["open", "high", "low", "close", "volume"]
 
 
-@query(f"WITH {BARS}, c AS (SELECT corr(open, close) AS r FROM bars) SELECT 'open' AS a, 'close' AS b, round(r, 6) AS r FROM c WHERE abs(r) > 0.1")
+@query(f"WITH {BARS}, c AS ({' UNION ALL '.join(f"SELECT '{a}' AS a, '{b}' AS b, corr({a}, {b}) AS r FROM bars" for i, a in enumerate(PRICES) for b in PRICES[i + 1 :])}) SELECT a, b, round(r, 6) AS r FROM c WHERE abs(r) > 0.1")
 def study_collinear_pairs(spark, sf_dir):
-    return result(Y.collinear_pairs(T.correlation_pairs(bars(spark, sf_dir), ["open", "close"]), 0.1))
+    return result(Y.collinear_pairs(T.correlation_pairs(bars(spark, sf_dir), PRICES), 0.1))
 
 
 @query(f"WITH {BARS}, d AS (SELECT symbol, t, (t // 3600) % 24 AS h, (DATE '1970-01-01' + (t // 86400)::INT) AS d FROM bars) SELECT symbol, t, CASE WHEN h < 8 THEN 'asia' WHEN h < 16 THEN 'europe' ELSE 'america' END AS session, (last_day(d) - d)::INT AS days_to_month_end, ((last_day(d) - d) <= 2)::INT AS month_end FROM d")

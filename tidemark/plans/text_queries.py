@@ -78,9 +78,9 @@ def text_tag_patterns(spark, sf_dir):
     return T.tag_by_patterns(posts(spark, sf_dir), "doc_id", "text", patterns)
 
 
-@query("SELECT doc_id, length(trim(coalesce(source, '') || chr(10) || coalesce(text, ''))) AS n FROM documents")
+@query("SELECT doc_id, md5(trim(coalesce(source, '') || chr(10) || coalesce(text, ''))) AS digest FROM documents")
 def text_post_text(spark, sf_dir):
-    return T.post_text(posts(spark, sf_dir), "source", "text").select("doc_id", F.length("post_text").cast("long").alias("n"))
+    return T.post_text(posts(spark, sf_dir), "source", "text").select("doc_id", F.md5(F.col("post_text").cast("binary")).alias("digest"))
 
 
 @query("SELECT doc_id, unnest(list_filter([" + ", ".join(f"CASE WHEN regexp_matches(lower(text), '(^|[^\\w])({'|'.join(w)})($|[^\\w])') THEN '{s}' END" for s, w in KEYWORDS.items()) + "], lambda x: x IS NOT NULL)) AS symbol FROM documents")
