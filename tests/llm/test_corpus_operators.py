@@ -629,3 +629,23 @@ def test_pipeline_stages_take_odd_documents(spark, small, odd, empty):
 
 def test_all_ten_are_registered():
     assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES) == list(range(1, 11))
+
+
+def test_op10_stray_end_tags_and_pages_without_an_article():
+    import time
+
+    prose = "Long prose of many words, that goes on and on. " * 20
+    pages = [f"<body><div><p>{prose}</p></div><ul><li><a href=x>Home</a></li></ul></body>", f"<div class=nav><p>{prose}</p></div>", "<p>a<p>b</div></p></p>c", "<table><tr><td>x<td>y<tr><td>z</table></td></tr>w"]
+    single, pairs = html_tree.with_priors(np.zeros(html_tree.N_FEATURES * 2 + len(html_tree.TAGS) * 4))
+    texts = html_tree.main_texts(pa.RecordBatch.from_arrays([pa.array(pages)], ["html"]), single, pairs)
+    assert texts[0].startswith(prose.strip()) and texts[1] == ""
+    nodes = html_tree.Nodes()
+    for k, page in enumerate(pages):
+        html_tree.parse(k, page, nodes)
+    by_page = collections.defaultdict(list)
+    for node, text, _ in nodes.texts:
+        by_page[nodes.page[node]].append(text)
+    assert by_page[2] == ["a", "b", "c"] and by_page[3] == ["x", "y", "z", "w"]
+    began = time.time()
+    html_tree.parse(0, "<div>" * 40_000 + "</p>" * 20_000 + "x", html_tree.Nodes())
+    assert time.time() - began < 5  # a stray end tag does not walk the open elements

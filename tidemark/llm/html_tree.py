@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -96,6 +97,7 @@ def parse(page: int, source: str, nodes: Nodes) -> bool:
     """Adds a page's nodes; returns whether the page marks its article."""
     root = nodes.add(-1, TAG["other"], 0, False, page)
     stack: list[tuple[str, int]] = [("", root)]
+    opened: Counter[str] = Counter()  # the elements of the stack by name, so that a stray end tag costs nothing
     held: list[str] = []
     links, in_link, labelled, at = 0, False, False, 0
 
@@ -144,15 +146,19 @@ def parse(page: int, source: str, nodes: Nodes) -> bool:
         elif name not in TAG:
             continue  # inline: part of the block around it
         elif m[1]:
-            if any(name == n for n, _ in stack[1:]):
+            if opened[name]:
                 close_block()
-                while stack.pop()[0] != name:
-                    pass
+                while True:
+                    closed = stack.pop()[0]
+                    opened[closed] -= 1
+                    if closed == name:
+                        break
         else:
             close_block()
             ends = CLOSES.get(name, ("p",))
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k][0] in ends:
+                    opened.subtract(n for n, _ in stack[k:])
                     del stack[k:]
                     break
                 if stack[k][0] not in ("p", "td", "th", "dt", "dd", "li") or name not in CLOSES and stack[k][0] != "p":
@@ -165,6 +171,7 @@ def parse(page: int, source: str, nodes: Nodes) -> bool:
             label = (main or nodes.label[parent]) and marked != 1 and name not in _BOILER
             if not m[3].endswith("/"):
                 stack.append((name, nodes.add(parent, TAG[name], marked, label, page)))
+                opened[name] += 1
     close_block()
     return labelled
 
@@ -186,6 +193,10 @@ def prior_counts() -> tuple[np.ndarray, np.ndarray]:
     """(feature x state, tag x parent's state x state) counts before any page is seen; state 1 is content."""
     single, pairs = np.full((N_FEATURES, 2), 2.0), np.ones((len(TAGS), 2, 2))
     single[TAG["#text"]] = 40, 40
+    # long runs of sentences without links are rather content, wherever they stand: what decides if no page marks its article
+    single[LENGTH : LENGTH + 3], single[LENGTH + 3 : LENGTH + 8] = (3, 2), (2, 4)
+    single[LINKS], single[LINKS + 1 : LINKS + 4] = (2, 3), (4, 2)
+    single[PUNCT], single[PUNCT + 1 : PUNCT + 4] = (3, 2), (2, 3)
     for t in BOILERPLATE:
         single[TAG[t]] = SURE, 1 / SURE
         pairs[TAG[t]] = (40, 0.1), (40, 0.1)
