@@ -96,10 +96,11 @@ def salted_rank(df: DataFrame, group: list[str], order: list[str], name: str, sa
 
 
 def salted_lookup(df: DataFrame, table: DataFrame, on: list[str], salts: int, how: str = "inner") -> DataFrame:
-    """df joined with a table that has each key once: rows of a frequent key go to ``salts`` tasks, the table's rows to all of them."""
+    """df joined with a table that has each key once: rows of a frequent key go to ``salts`` tasks, the table's rows to all of them.
+    The copies are never broadcast: what Spark knows of the table's size is that of its file, not of its copies."""
     dealt = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(salts)).cast("int"))
     copies = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return dealt.join(copies, [*on, "_salt"], how).drop("_salt")
+    return dealt.join(apart(copies), [*on, "_salt"], how).drop("_salt")
 
 
 def slices(batch: pa.RecordBatch, column: str = "text", size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
