@@ -56,7 +56,8 @@ STAGES = [
     ("packing", packing_stage),
 ]
 
-#: The stages are not expressible in SQL; tests hold them against brute-force versions.
+#: The stages are not expressible in SQL. Tests hold near duplicates and substring dedup against brute-force versions, packing
+#: against its operator's, and run the others' operators on planted cases.
 ORACLE_SQL = None
 
 
