@@ -67,7 +67,7 @@ def fit_cells(rows: DataFrame, features: Sequence[str], keys: Sequence[str], tar
     train = scaled.where("is_train = 1")
     counts = train.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_train"), F.sum(F.col(target).cast("long")).alias("n_positive"))
     status = F.when(F.col("n_train") < least, "too_few").when((F.col("n_positive") == 0) | (F.col("n_positive") == F.col("n_train")), "one_class").otherwise("ok")
-    counts = counts.withColumn("status", status)
+    counts = checkpointed(counts.withColumn("status", status))
     beta = V.fit_logistic(train.join(counts.where("status = 'ok'").select(*keys), list(keys), "left_semi"), features, keys, target, c)
     return counts.join(beta, list(keys), "left"), scaled
 
