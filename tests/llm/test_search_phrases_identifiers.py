@@ -173,6 +173,14 @@ def test_phrases_equal_brute_force(spark, small, monkeypatch):
     assert {tuple(r) for r in collocations.mine(docs.repartition(2), top=50).select(names).collect()} == {w for w in wanted if w[1] <= 50}
 
 
+def test_phrases_of_very_long_texts(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    texts = [" ".join(rng.choice(list("abcdefgh"), 4000)) + ". " + " ".join(f"w{i}" for i in range(300)), "a b c. d " * 50, None]
+    monkeypatch.setattr(collocations, "_LOCAL", 7)  # as if 128 words were too many for a task's numbers
+    got = collocations.mine(docs_of(spark, texts).coalesce(1)).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    assert {tuple(r) for r in got.collect()} == phrases([(None, t) for t in texts])
+
+
 def test_phrases_of_an_empty_table(spark):
     assert collocations.mine(spark.createDataFrame([], DOCS)).count() == 0
 

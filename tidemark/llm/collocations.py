@@ -33,7 +33,7 @@ RANGE_WORDS, HELD_PHRASES, HELD_WORDS = 2_000_000, 2_000_000, 500_000
 #: Bits of a map of frequent words or pairs: 4 MB.
 MAP_BITS = 1 << 25
 _BUCKET = 1 << 15
-#: Bits of a word's number inside a task.
+#: Bits of a word's number inside a task: three fit into a key.
 _LOCAL = 21
 
 #: Ends of pieces become a byte that no UTF-8 text has; A-Z become a-z.
@@ -139,41 +139,52 @@ def _count_phrases(docs: DataFrame, length: int, seed: int, n_words: int, least:
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast((common_words, common_pairs))  # two maps of fixed size
 
-    def filters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def packed(at: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """The phrases of words in a row (numbers into ids, whose first stands for the end of a piece) as numbers packed into one."""
         words, pairs = sent.value
+        good = _in_map(words, ids)
+        good[0] = False
+        there = good[at]
+        n = max(len(at) - length + 1, 0)
+        start = there[:n].copy()
+        for k in range(1, length):
+            start &= there[k : n + k]
+        if pairs is not None and n:
+            seconds = np.flatnonzero(there[:-1] & there[1:])
+            both = np.zeros(len(at), bool)
+            both[seconds] = _in_map(pairs, Q.permute([ids[at[seconds]], ids[at[seconds + 1]]])[0])
+            start &= both[:n] & both[1 : n + 1]
+        first = np.flatnonzero(start)
+        key = at[first]
+        for k in range(1, length):
+            key = key << _LOCAL | at[first + k]
+        return key
+
+    def filters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, keys = _Held(), []
         for batch in batches:
             for piece in slices(batch):
                 at = held.numbers(piece)
                 ids = held.ids(seed)
-                good = _in_map(words, ids)
-                good[0] = False
-                there = good[at]
-                start = there[: len(at) - length + 1].copy()
-                for k in range(1, length):
-                    start &= there[k : len(at) - length + 1 + k]
-                if pairs is not None and len(start):
-                    seconds = np.flatnonzero(there[:-1] & there[1:])
-                    both = np.zeros(len(at), bool)
-                    both[seconds] = _in_map(pairs, Q.permute([ids[at[seconds]], ids[at[seconds + 1]]])[0])
-                    start &= both[: len(start)] & both[1 : len(start) + 1]
-                first = np.flatnonzero(start)
-                key = at[first]
-                for k in range(1, length):
-                    key = key << _LOCAL | at[first + k]
-                keys.append(key)
+                if len(ids) >> _LOCAL:  # a text of millions of different words: it is numbered anew in parts that overlap
+                    yield rows(ids, keys)
+                    for low in range(0, len(at), 1 << _LOCAL - 1):
+                        part, own = np.unique(np.concatenate([[0], at[low : low + (1 << _LOCAL - 1) + length - 1]]), return_inverse=True)
+                        yield rows(ids[part], [packed(own[1:], ids[part])])
+                    held, keys = _Held(), []
+                    continue
+                keys.append(packed(at, ids))
                 if sum(map(len, keys)) > HELD_PHRASES or len(held.words) > HELD_WORDS:
-                    yield rows(held, keys)
+                    yield rows(ids, keys)
                     held, keys = _Held(), []
-        yield rows(held, keys)
+        yield rows(held.ids(seed), keys)
 
-    def rows(held: _Held, keys: list[np.ndarray]) -> pa.RecordBatch:
-        packed, counts = np.unique(np.concatenate(keys), return_counts=True) if keys else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        ids = held.ids(seed)
+    def rows(ids: np.ndarray, keys: list[np.ndarray]) -> pa.RecordBatch:
+        found, counts = np.unique(np.concatenate(keys), return_counts=True) if keys else (np.zeros(0, np.int64), np.zeros(0, np.int64))
         mask = (1 << _LOCAL) - 1
-        words = [ids[(packed >> (_LOCAL * (length - 1 - k))) & mask] for k in range(length)]
-        found = Q.split(*Q.merged(Q.permute(words), counts), lead)
-        return pa.record_batch([pa.array([r for r, _ in found], pa.int32()), pa.array([f for _, f in found], pa.binary())], ["range", "filter"])
+        words = [ids[(found >> (_LOCAL * (length - 1 - k))) & mask] for k in range(length)]
+        parts = Q.split(*Q.merged(Q.permute(words), counts), lead)
+        return pa.record_batch([pa.array([r for r, _ in parts], pa.int32()), pa.array([f for _, f in parts], pa.binary())], ["range", "filter"])
 
     def merge(table: pa.Table) -> pa.Table:
         parts = [Q.decode(f) for f in table.column("filter").to_pylist()]
