@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import ctypes
 import sys
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -12,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.shared import shared_dir
+
 #: Bytes of text that an Arrow operator takes in hand at once, and rows and bytes of an Arrow batch on its way to Python.
 SLICE_BYTES = 1_500_000
 BATCH_ROWS, BATCH_BYTES = "2000", "4000000"
@@ -41,18 +42,6 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one only in local mode."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if base:
-        return base
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    base = f"file://{tempfile.mkdtemp(prefix='spark-tidemark-')}"
-    spark.conf.set("spark.checkpoint.dir", base)
-    return base
-
-
 def apart(df: DataFrame) -> DataFrame:
     """A side of a join that is never broadcast: so the Python steps before and behind the join are in stages of their
     own, and an executor has one Python worker for each core, not one for each step."""

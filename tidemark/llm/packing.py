@@ -7,8 +7,7 @@ how many pieces have each length (at most ``capacity`` numbers), never on the ro
 its number among the pieces of its length.
 
 Defined results: a null or empty text is one piece with the end id alone; rows with the same doc_id are packed as
-separate documents (told apart by ``part``, a running number inside a doc_id's equal pieces is not needed: each row
-gets a place of its own); an empty table gives no rows; other columns are ignored.
+separate documents, each in a place of its own; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
