@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.windows import change, ewma, ewmas, ordered, roll, span_alpha
+from tidemark.functions.windows import change, ewma, ewmas, logarithm, ordered, quotient, roll, span_alpha
 
 
 def _flag(cond) -> F.Column:
@@ -155,9 +155,9 @@ def vol_regime(df: DataFrame, n: int = 24, back: int = 168) -> DataFrame:
 
 
 def range_volatility(df: DataFrame, n: int = 24) -> DataFrame:
-    """Parkinson and Garman-Klass volatility."""
+    """Parkinson and Garman-Klass volatility; prices of 0 make them infinite or NaN."""
     w = ordered()
-    hl, co = F.pow(F.ln(F.col("high") / F.col("low")), 2), F.pow(F.ln(F.col("close") / F.col("open")), 2)
+    hl, co = (F.pow(logarithm(quotient(F.col(a), F.col(b))), 2) for a, b in (("high", "low"), ("close", "open")))
     import math
 
     rows = df.withColumn("parkinson", F.sqrt(roll(F.avg, hl, n, w) / (4 * math.log(2))))
