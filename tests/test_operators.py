@@ -16,6 +16,7 @@ from tidemark.operators import ledger as L
 from tidemark.operators import technical as K
 from tidemark.operators import text as T
 from tidemark.plans import validation as V
+from tidemark.plans.base import scientific
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -87,6 +88,43 @@ def test_mad_clip(spark):
     assert same.close_clipped.tolist() == [1, 1, 1, 5]  # no variation: unchanged
 
 
+def test_prices_of_zero_give_what_the_sql_gives(spark):
+    rows = market(spark, [3, 1, 2, 0, 4]).withColumn("low", F.when(F.col("close") == 1, 0.0).otherwise(F.col("close")))
+    got = K.range_volatility(X.sma_distance(X.range_position(rows, 2), 1), 2).orderBy("timestamp").toPandas()
+    inf = math.inf
+    assert [str(x) for x in got.distance_from_2h_low] == ["nan", "inf", "inf", "nan", "inf"]
+    assert [str(x) for x in got.sma_1_distance] == ["0.0", "0.0", "0.0", "nan", "0.0"]
+    assert got.parkinson[1:].tolist() == [inf, inf, inf, inf]
+    known = X.range_position(rows, 2).orderBy("timestamp").select(F.isnull("distance_from_2h_low").alias("x")).toPandas().x
+    assert known.tolist() == [True, False, False, False, False]
+
+
+def test_clipping_takes_infinite_values_and_nan_as_greatest(spark):
+    values = [1.0, 2.0, 4.0, math.inf, math.nan, 3.0, None, 9.0]
+    rows = market(spark, range(8)).join(spark.createDataFrame([(float(i), v) for i, v in enumerate(values)], "close double, x double"), "close")
+    got = [r.x_clipped for r in X.mad_clip(rows, ["x"], 3, 1.0).orderBy("timestamp").collect()]
+    assert got[:3] == [1, 2, 4] and got[3:5] == [3, 6] and math.isnan(got[5]) and got[6:] == [None, 9]
+
+
+def test_equal_weight_past_a_price_of_zero(spark):
+    one = L.equal_weight(market(spark, [2, 0, 5, 10])).first()
+    assert (one.n_bars, one.mean_return) == (3, math.inf) and math.isnan(one.total_return)
+    grown = L.equal_weight(market(spark, [10.0**k for k in range(0, 330, 30)])).first()
+    shown = spark.createDataFrame([(math.inf,), (-math.inf,), (math.nan,), (None,), (-12345.678,)], "x double").select(scientific("x", 5).alias("s"))
+    assert math.isclose(grown.total_return, 1e300, rel_tol=1e-9) and [r.s for r in shown.collect()] == ["inf", "-inf", "nan", None, "-1.23457e+04"]
+
+
+def test_ledger_costs_are_rounded_once(spark):
+    closes = [x / 7 for x in range(10, 60)]
+    rows = market(spark, closes).withColumn("signal", F.when(F.col("close") * 7 % 2 < 1, 1).otherwise(0))
+    w = 1.0
+    for fill in L.trades(rows).orderBy("timestamp").collect():
+        raw = next(c for c in closes if abs(fill.price / c - (1.0005 if fill.side == "BUY" else 0.9995)) < 1e-9)
+        w *= 1 / (raw * 1.0015005) if fill.side == "BUY" else raw * 0.9985005
+        if fill.side == "BUY":
+            assert fill.quantity == 10_000.0 * w
+
+
 def test_labels(spark):
     rows = market(spark, [100, 100.3, 100.55, 100.65])
     got = X.label(rows, 1, 0.0025).orderBy("timestamp").toPandas().target

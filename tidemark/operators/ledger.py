@@ -7,15 +7,22 @@ at the last close. ``keys`` name what separates runs (symbol, fold, threshold, .
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.windows import ordered
+from tidemark.functions.windows import logarithm, ordered, quotient
 
 FEE, SLIPPAGE, CAPITAL = 0.001, 0.0005, 10_000.0
 
 
+def _costs(fee: float, slip: float) -> tuple[float, float]:
+    """What a price is multiplied by in buying and in selling: products of decimals, rounded once."""
+    fee_, slip_ = Decimal(str(fee)), Decimal(str(slip))
+    return float((1 + slip_) * (1 + fee_)), float((1 - slip_) * (1 - fee_))
+
+
 def to_signal(df: DataFrame, threshold: float = 0.5, probability: str = "probability") -> DataFrame:
     return df.withColumn("signal", (F.col(probability) >= threshold).cast("int"))
 
@@ -39,11 +46,12 @@ def equity(df: DataFrame, keys: Sequence[str] = ("symbol",), fee: float = FEE, s
     """keys, timestamp, position, cash, quantity, equity (after the cost of selling), exposure per bar."""
     w = ordered(keys).rowsBetween(Window.unboundedPreceding, 0)
     rows = _positions(df, keys)
-    buy, sell = F.col("_open1") * (1 + slip) * (1 + fee), F.col("_open1") * (1 - slip) * (1 - fee)
+    bought, sold = _costs(fee, slip)
+    buy, sell = F.col("_open1") * bought, F.col("_open1") * sold
     moved = F.col("_pos") - F.col("_prev")
     factor = F.when(F.col("_last"), 1.0).when(moved > 0, 1 / buy).when(moved < 0, sell).otherwise(1.0)
     rows = rows.withColumn("_w", capital * F.product(factor).over(w))
-    out = F.col("close") * (1 - slip) * (1 - fee)
+    out = F.col("close") * sold
     long_ = F.col("_pos") == 1
     rows = rows.withColumn("quantity", F.when(long_ & ~F.col("_last"), F.col("_w")).otherwise(0.0)).withColumn("cash", F.when(~long_, F.col("_w")).when(F.col("_last"), F.col("_w") * out).otherwise(0.0))
     rows = rows.withColumn("equity", F.when(long_, F.col("_w") * out).otherwise(F.col("_w"))).withColumn("exposure", F.when(long_ & ~F.col("_last"), 1.0).otherwise(0.0))
@@ -60,7 +68,8 @@ def trades(df: DataFrame, keys: Sequence[str] = ("symbol",), fee: float = FEE, s
     rows = rows.withColumn("side", side).withColumn("_raw", raw).where("side is not null")
     buying = F.col("side") == "BUY"
     rows = rows.withColumn("price", F.col("_raw") * F.when(buying, 1 + slip).otherwise(1 - slip))
-    factor = F.when(buying, 1 / (F.col("price") * (1 + fee))).otherwise(F.col("price") * (1 - fee))
+    bought, sold = _costs(fee, slip)
+    factor = F.when(buying, 1 / (F.col("_raw") * bought)).otherwise(F.col("_raw") * sold)
     rows = rows.withColumn("_w", capital * F.product(factor).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     rows = rows.withColumn("quantity", F.when(buying, F.col("_w")).otherwise(F.lag("_w").over(w)))
     rows = rows.withColumn("notional", F.col("quantity") * F.col("price")).withColumn("fee", F.col("notional") * fee).withColumn("slippage", F.col("quantity") * F.col("_raw") * slip)
@@ -198,10 +207,10 @@ def buy_and_hold(df: DataFrame, fee: float = FEE, bars: float = 8766.0) -> DataF
 
 
 def equal_weight(df: DataFrame) -> DataFrame:
-    """Mean return over the symbols per timestamp, compounded."""
-    rows = df.withColumn("_r", F.col("close") / F.lag("close").over(ordered()) - 1).where("_r is not null")
+    """Mean return over the symbols per timestamp, compounded; a price of 0 makes the next return infinite (or NaN)."""
+    rows = df.withColumn("_r", quotient(F.col("close"), F.lag("close").over(ordered())) - 1).where("_r is not null")
     mean = rows.groupBy("timestamp").agg(F.avg("_r").alias("r"), F.count(F.lit(1)).alias("n_symbols"))
-    return mean.agg(F.count(F.lit(1)).alias("n_bars"), F.avg("r").alias("mean_return"), (F.exp(F.sum(F.ln(1 + F.col("r")))) - 1).alias("total_return"))
+    return mean.agg(F.count(F.lit(1)).alias("n_bars"), F.avg("r").alias("mean_return"), (F.exp(F.sum(logarithm(1 + F.col("r")))) - 1).alias("total_return"))
 
 
 def exit_breakdown(trips: DataFrame, by: str = "exit_reason") -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,6 +27,12 @@ def query(sql: str | None = None):
     return add
 
 
+def scientific(x: Column | str, digits: int) -> Column:
+    """x as C's printf writes it, null for null; Spark's own format calls what is not finite by other names."""
+    x = F.col(x) if isinstance(x, str) else x
+    return F.when(F.isnan(x), "nan").when(x == float("inf"), "inf").when(x == float("-inf"), "-inf").when(x.isNotNull(), F.format_string(f"%.{digits}e", x))
+
+
 def result(df: DataFrame, *cols: str) -> DataFrame:
     """The columns (all, if none is named): timestamps as seconds (``t``), doubles rounded."""
     out = []

@@ -18,7 +18,7 @@ from tidemark.operators.candles import interval_seconds, resample_many
 from tidemark.plans import experiments as E
 from tidemark.plans import models as M
 from tidemark.plans import validation as V
-from tidemark.plans.base import query, result
+from tidemark.plans.base import query, result, scientific
 from tidemark.plans.ledger_queries import SIGNALS, chain, met, signals
 from tidemark.plans.market_queries import BARS, RET, VOL, W, bars, win
 from tidemark.plans.text_queries import POSTS, scored
@@ -50,7 +50,7 @@ def confirm_sql(key: str, gate: str, among: str = "", order: str = "", exposure:
 
 def confirmed(m: DataFrame, keys: Sequence[str], kind: str, among: Sequence[str] = (), order: Sequence[str] = ()) -> DataFrame:
     rows = V.select_and_confirm(m, keys, kind, among=among, candidate_order=order)
-    shown = {c: F.when(F.col(c).isNotNull(), F.format_string("%.5e", c)) for c in ("median_return", "holdout_total_return", "holdout_buy_hold_return")}
+    shown = {c: F.when(F.col(c).isNotNull(), scientific(c, 5)) for c in ("median_return", "holdout_total_return", "holdout_buy_hold_return")}
     return result(rows.withColumns(shown), *keys, *DON.split(", "))
 
 

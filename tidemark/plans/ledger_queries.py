@@ -9,7 +9,7 @@ from tidemark.functions.windows import change, ordered
 from tidemark.operators import ledger as L
 from tidemark.operators import technical as K
 from tidemark.plans.market_queries import BARS, RET, VOL, W, bars, exp_mean, win
-from tidemark.plans.base import ORACLES, QUERIES, query, result
+from tidemark.plans.base import ORACLES, QUERIES, query, result, scientific
 
 
 def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,24 +56,24 @@ def signal_actions(spark, sf_dir):
 
 @query(f"WITH {BARS}, {SIGNALS}, {chain('sig', KEY)} SELECT symbol, t, pos::INT AS position, printf('%.6e', equity) AS equity, exposure FROM eq")
 def ledger_equity(spark, sf_dir):
-    return L.equity(signals(spark, sf_dir)).select("symbol", F.unix_seconds("timestamp").alias("t"), "position", F.format_string("%.6e", "equity").alias("equity"), "exposure")
+    return L.equity(signals(spark, sf_dir)).select("symbol", F.unix_seconds("timestamp").alias("t"), "position", scientific("equity", 6).alias("equity"), "exposure")
 
 
 @query(f"WITH {BARS}, {SIGNALS}, {chain('sig', KEY)} SELECT symbol, t, side, round(price, 6) AS price, printf('%.6e', notional) AS notional, printf('%.6e', fee) AS fee, printf('%.6e', slip) AS slippage, CASE WHEN fin THEN 'final_close' ELSE 'signal' END AS reason FROM fil")
 def ledger_trades(spark, sf_dir):
-    return L.trades(signals(spark, sf_dir)).select("symbol", F.unix_seconds("timestamp").alias("t"), "side", F.round("price", 6).alias("price"), *[F.format_string("%.6e", c).alias(c) for c in ("notional", "fee", "slippage")], "reason")
+    return L.trades(signals(spark, sf_dir)).select("symbol", F.unix_seconds("timestamp").alias("t"), "side", F.round("price", 6).alias("price"), *[scientific(c, 6).alias(c) for c in ("notional", "fee", "slippage")], "reason")
 
 
 @query(f"WITH {BARS}, {SIGNALS}, {chain('sig', KEY)} SELECT symbol, t AS entry_time, t2 AS exit_time, reason AS exit_reason, printf('%.6e', pnl) AS pnl, round(ret, 6) AS return, round(hours, 6) AS hours FROM tri")
 def ledger_round_trips(spark, sf_dir):
-    rows = L.round_trips(L.trades(signals(spark, sf_dir))).withColumn("pnl", F.format_string("%.6e", "pnl"))
+    rows = L.round_trips(L.trades(signals(spark, sf_dir))).withColumn("pnl", scientific("pnl", 6))
     return result(rows)
 
 
 @query(f"WITH {BARS}, {SIGNALS}, {chain('sig', KEY)}, {met(KEY)} SELECT symbol, printf('%.6e', total_return) AS total_return, round(max_drawdown, 6) AS max_drawdown, round(sharpe, 6) AS sharpe, round(exposure, 6) AS exposure, printf('%.6e', notional / first_equity) AS turnover, n_trades, round(win_rate, 6) AS win_rate, round(mean_trade_return, 6) AS mean_trade_return, round(profit_factor, 6) AS profit_factor FROM met JOIN mef USING (symbol) JOIN met3 USING (symbol)")
 def ledger_metrics(spark, sf_dir):
     s = signals(spark, sf_dir)
-    rows = L.metrics(L.equity(s), L.trades(s)).withColumn("total_return", F.format_string("%.6e", "total_return")).withColumn("turnover", F.format_string("%.6e", "turnover"))
+    rows = L.metrics(L.equity(s), L.trades(s)).withColumn("total_return", scientific("total_return", 6)).withColumn("turnover", scientific("turnover", 6))
     return result(rows, "symbol", "total_return", "max_drawdown", "sharpe", "exposure", "turnover", "n_trades", "win_rate", "mean_trade_return", "profit_factor")
 
 
@@ -82,13 +82,13 @@ def ledger_metrics(spark, sf_dir):
  SELECT symbol, round(CASE WHEN sd > 0 THEN m / sd * sqrt(6048) ELSE 0 END, 6) AS sharpe, round(CASE WHEN sd > 0 THEN CASE WHEN dd > 0 THEN m / dd * sqrt(6048) END ELSE 0 END, 6) AS sortino, printf('%.6e', (e / 10000 - 1) / -low) AS calmar, printf('%.6e', w) AS mean_win, printf('%.6e', l) AS mean_loss, round(h, 6) AS mean_hours, round(pf, 6) AS profit_factor FROM a JOIN b USING (symbol)""")
 def ledger_statistics(spark, sf_dir):
     s = signals(spark, sf_dir)
-    rows = L.trading_statistics(L.equity(s), L.round_trips(L.trades(s))).withColumns({c: F.format_string("%.6e", c) for c in ("calmar", "mean_win", "mean_loss")})
+    rows = L.trading_statistics(L.equity(s), L.round_trips(L.trades(s))).withColumns({c: scientific(c, 6) for c in ("calmar", "mean_win", "mean_loss")})
     return result(rows, "symbol", "sharpe", "sortino", "calmar", "mean_win", "mean_loss", "mean_hours", "profit_factor")
 
 
 @query(f"WITH {BARS}, {SIGNALS}, {chain('sig', KEY)}, a AS (SELECT symbol, count(*) AS n, sum(pnl) AS p, avg((pnl > 0)::INT) AS w FROM tri GROUP BY 1) SELECT symbol, n, printf('%.6e', p) AS total_pnl, round(w, 6) AS win_rate, row_number() OVER (ORDER BY p DESC, symbol)::INT AS place FROM a")
 def ledger_symbol_breakdown(spark, sf_dir):
-    rows = L.symbol_breakdown(L.round_trips(L.trades(signals(spark, sf_dir)))).withColumn("total_pnl", F.format_string("%.6e", "total_pnl"))
+    rows = L.symbol_breakdown(L.round_trips(L.trades(signals(spark, sf_dir)))).withColumn("total_pnl", scientific("total_pnl", 6))
     return result(rows, "symbol", "n", "total_pnl", "win_rate", "place")
 
 
@@ -113,7 +113,7 @@ BKEY = "symbol, benchmark"
 @query(f"WITH {BARS}, {BENCH}, {chain('ben', BKEY)}, {met(BKEY)} SELECT symbol, benchmark, printf('%.6e', total_return) AS total_return, round(max_drawdown, 6) AS max_drawdown, round(exposure, 6) AS exposure, coalesce(n_trades, 0) AS n_trades FROM met LEFT JOIN mef USING (symbol, benchmark)")
 def ledger_benchmarks(spark, sf_dir):
     s, by = L.benchmark_signals(bars(spark, sf_dir)), ["symbol", "benchmark"]
-    rows = L.metrics(L.equity(s, by), L.trades(s, by), by).withColumn("total_return", F.format_string("%.6e", "total_return"))
+    rows = L.metrics(L.equity(s, by), L.trades(s, by), by).withColumn("total_return", scientific("total_return", 6))
     return result(rows, "symbol", "benchmark", "total_return", "max_drawdown", "exposure", "n_trades")
 
 
@@ -125,7 +125,7 @@ def ledger_comparison(spark, sf_dir):
     every = L.metrics(L.equity(b, ["symbol", "benchmark"]), L.trades(b, ["symbol", "benchmark"]), ["symbol", "benchmark"])
     named |= {k: every.where(F.col("benchmark") == k) for k in ("cash", "buy_and_hold", "momentum")}
     rows = L.compare_runs(named)
-    return result(rows.withColumn("total_return", F.format_string("%.6e", "total_return")).withColumn("excess_return", F.format_string("%.5e", "excess_return")).withColumn("final_value", F.format_string("%.6e", "final_value")))
+    return result(rows.withColumn("total_return", scientific("total_return", 6)).withColumn("excess_return", scientific("excess_return", 5)).withColumn("final_value", scientific("final_value", 6)))
 
 
 @query(f"WITH {BARS}, r AS (SELECT *, close / lag(close) OVER w - 1 AS r, close / max(close) OVER w - 1 AS d FROM bars {W}) SELECT symbol, round(arg_max(close, t) / arg_min(close, t) * 0.999 * 0.999 - 1, 6) AS buy_hold_return, round(avg(r) / stddev_samp(r) * sqrt(8766.0), 6) AS sharpe, round(min(d), 6) AS max_drawdown FROM r GROUP BY symbol")
@@ -135,7 +135,7 @@ def ledger_buy_and_hold(spark, sf_dir):
 
 @query(f"WITH {BARS}, {RET}, m AS (SELECT t, avg(return_1h) AS r FROM ret WHERE return_1h IS NOT NULL GROUP BY t) SELECT count(*) AS n_bars, round(avg(r), 6) AS mean_return, printf('%.5e', exp(sum(ln(1 + r))) - 1) AS total_return FROM m")
 def ledger_equal_weight(spark, sf_dir):
-    rows = L.equal_weight(bars(spark, sf_dir)).withColumn("total_return", F.format_string("%.5e", "total_return"))
+    rows = L.equal_weight(bars(spark, sf_dir)).withColumn("total_return", scientific("total_return", 5))
     return result(rows)
 
 
@@ -157,7 +157,7 @@ def ledger_monthly_returns(spark, sf_dir):
     """Returns by month of a ledger on daily candles of several years."""
     daily = QUERIES["candles_daily_lineitem"](spark, sf_dir).withColumn("timestamp", F.timestamp_seconds("t")).drop("t")
     rows = daily.withColumn("signal", (F.coalesce(change(F.col("close"), 12, ordered()), F.lit(0.0)) > 0).cast("int"))
-    rows = L.monthly_returns(L.equity(rows)).withColumn("equity", F.format_string("%.6e", "equity"))
+    rows = L.monthly_returns(L.equity(rows)).withColumn("equity", scientific("equity", 6))
     return result(rows)
 
 

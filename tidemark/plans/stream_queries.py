@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.shared import new_path
 from tidemark.operators.candles import instant
-from tidemark.plans.base import query, result
+from tidemark.plans.base import query, result, scientific
 from tidemark.plans.ledger_queries import SIGNALS, chain, signals
 from tidemark.plans.market_queries import BARS, W, bars
 from tidemark.plans.text_queries import POSTS, scored
@@ -117,13 +117,13 @@ def _ledger(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
 @query(f"WITH {BARS}, {SIGNALS}, {chain('sig', 'symbol')} SELECT symbol, t, pos::INT AS position, printf('%.6e', equity) AS equity FROM eq")
 def stream_ledger(spark, sf_dir):
     """The ledger with state per symbol over several micro-batches; a timer closes what is open at the last bar."""
-    return _ledger(spark, sf_dir, "bar").select("symbol", "t", "position", F.format_string("%.6e", "equity").alias("equity"))
+    return _ledger(spark, sf_dir, "bar").select("symbol", "t", "position", scientific("equity", 6).alias("equity"))
 
 
 @query(f"WITH {BARS}, {SIGNALS}, {chain('sig', 'symbol')}, dy AS (SELECT symbol, t // 86400 AS day, arg_max(equity, t) AS equity, min(drawdown) AS drawdown FROM dd GROUP BY 1, 2), ch AS (SELECT *, equity / lag(equity) OVER (PARTITION BY symbol ORDER BY day) - 1 AS change FROM dy) SELECT symbol, day * 86400 AS t, printf('%.6e', equity) AS equity, round(drawdown, 6) AS drawdown, round(change, 6) AS daily_return, (coalesce(change <= -0.05, false) OR drawdown <= -0.15)::INT AS halt FROM ch")
 def stream_risk_halts(spark, sf_dir):
     """Per symbol and day the last equity, deepest drawdown, return and halt, from the stateful ledger."""
-    return result(_ledger(spark, sf_dir, "day").withColumn("equity", F.format_string("%.6e", "equity")), "symbol", "t", "equity", "drawdown", "daily_return", "halt")
+    return result(_ledger(spark, sf_dir, "day").withColumn("equity", scientific("equity", 6)), "symbol", "t", "equity", "drawdown", "daily_return", "halt")
 
 
 @query("WITH e AS (SELECT event_id, epoch(ts) AS t, event_id % 50 = 0 AS held FROM events), f AS (SELECT max(t) AS m FROM e WHERE NOT held AND t < 1705708800) SELECT event_id, 1 AS batch_id FROM e, f WHERE (held OR t >= 1705708800) AND t < m - 7200")

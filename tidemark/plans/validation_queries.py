@@ -14,7 +14,7 @@ from tidemark.plans import experiments as E
 from tidemark.plans import validation as V
 from tidemark.plans.ledger_queries import SIGNALS, chain, met, signals
 from tidemark.plans.market_queries import BARS, RET, VOL, W, bars
-from tidemark.plans.base import query, result
+from tidemark.plans.base import query, result, scientific
 
 SIZES = "sizes AS (SELECT symbol, count(*) AS n FROM bars GROUP BY symbol)"
 
@@ -89,7 +89,7 @@ def sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {BARS}, {SIGNALS}, {SIZES}, {SWEEP}, {chain('th', FKEY)}, {met(FKEY)} SELECT symbol, fold, threshold, printf('%.6e', total_return) AS total_return, round(max_drawdown, 6) AS max_drawdown, round(exposure, 6) AS exposure, coalesce(n_trades, 0) AS n_trades FROM met LEFT JOIN mef USING ({FKEY})")
 def validation_threshold_sweep(spark, sf_dir):
-    rows = sweep(spark, sf_dir).withColumn("total_return", F.format_string("%.6e", "total_return"))
+    rows = sweep(spark, sf_dir).withColumn("total_return", scientific("total_return", 6))
     return result(rows, "symbol", "fold", "threshold", "total_return", "max_drawdown", "exposure", "n_trades")
 
 
@@ -106,7 +106,7 @@ def validation_threshold_summary(spark, sf_dir):
     s = signals(spark, sf_dir).drop("signal").withColumn("target", rose)
     m = V.threshold_sweep(V.assign_folds(s, V.walk_forward(sizes(s), 300, 60, 60)).drop("pos"), THRESHOLDS, ["symbol", "fold"])
     rows = V.summarize_thresholds(m, ["symbol"], thresholds=[*THRESHOLDS, 0.99])
-    shown = F.when(F.col("median_return").isNotNull(), F.format_string("%.6e", "median_return"))
+    shown = F.when(F.col("median_return").isNotNull(), scientific("median_return", 6))
     return result(rows.withColumn("median_return", shown), "symbol", "threshold", "n_trades", "median_return", "median_drawdown", "n_folds", "eligible", "mean_precision", "mean_recall", "mean_f1")
 
 
