@@ -372,6 +372,34 @@ def test_near_copies_in_long_lists(spark):
     assert kept == sorted(set(linked_brute(texts).tolist()))
 
 
+def test_near_copies_pair_no_texts_that_their_parities_exclude(spark, monkeypatch):
+    base = [f"w{k}" for k in range(44)]
+    texts = [" ".join(base[: 8 + k % 30] + [f"own{k}"] + base[9 + k % 30 :]) for k in range(300)]  # 0.78 between any two, 0.78 to the base
+    counts, verified = [], near_copies._verified
+    monkeypatch.setattr(near_copies, "_verified", lambda nodes, names, pairs: (counts.append(pairs.count()), verified(nodes, names, pairs))[1])
+    kept = near_copies.keep_one(docs_of(spark, texts)).count()
+    sets = [near_copies.shingle_set(t) for t in texts]
+    assert len(counts) == 4 and counts[3] < 3000, counts  # the last turn; half of the square is 44,850
+    labels = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if near_copies.near(sets[i], sets[j]) and labels[i] != labels[j]:
+                labels = [labels[i] if x == labels[j] else x for x in labels]
+    assert kept == len(set(labels))
+
+
+def test_parities_exclude_no_near_pair():
+    rng = np.random.default_rng(5)
+    for n in (1, 5, 40, 300, 3000):
+        for _ in range(20):
+            x = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+            cut = int(rng.integers(0, n // 4 + 1))
+            y = np.unique(np.concatenate((x[cut:], rng.integers(0, 1 << 63, int(rng.integers(0, n // 4 + 1)), dtype=np.uint64))))
+            words = [np.frombuffer(near_copies.parities(s), np.uint64)[None] for s in (x, y)]
+            if near_copies.near(x, y):
+                assert near_copies._parities_allow(*words, np.array([len(x)]), np.array([len(y)]))[0]
+
+
 def test_near_copies_find_every_pair(spark):
     """Pairs at 0.75 to 0.9, families edited apart, a passage in a third of the texts, texts of that passage only, short texts, copies."""
     rng = np.random.default_rng(14)

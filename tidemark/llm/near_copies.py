@@ -10,8 +10,10 @@
 4. The lists are worked off in three turns, each of which verifies pairs and merges what they join. First: all pairs of
    short lists, links to leaders in long ones (lists of frequent shingles are cut into SALTS parts). Second: one member
    for each group in a list, against the largest group. Third: all pairs of different groups in the long lists, in parts
-   of PART members that Spark spreads. So every pair that shares a list is verified or inside a verified group, while a
-   large group of copies is never paired with itself.
+   of PART members that Spark spreads. A pair leaves a part only if the parities of both sets allow MIN_JACCARD (a bound
+   that no near pair fails), so texts that are made of one passage and are not near to each other make no rows. So every
+   pair that shares a list is verified, excluded by that bound or inside a verified group, while a large group of copies
+   is never paired with itself.
 
 Pairs are verified on the sets alone (63 bits of each shingle's hash), by sorted intersections.
 
@@ -42,6 +44,8 @@ FREQUENT, COUNTED = 64, 0.25
 SHORT_LIST, SALTS, PART = 16, 32, 2048
 #: Half fingerprints of a long list that differ in so few bits are linked to one leader; others are left to the later turns.
 LEADER_BITS = 8
+#: Bits of a set's parities.
+PARITIES = 1024
 _HALF = (1 << 32) - 1
 _TOP = np.uint64(1 << 63)
 _ODD = np.random.default_rng(99).integers(0, 1 << 63, WORDS + 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -107,6 +111,21 @@ def near(x: np.ndarray, y: np.ndarray) -> bool:
     return 9 * int((both[1:] == both[:-1]).sum()) >= 4 * (a + b)
 
 
+def parities(x: np.ndarray) -> bytes:
+    """For each of PARITIES cells whether an odd number of the set's hashes falls into it. Two sets' parities differ in
+    no more cells than there are hashes in only one of the sets."""
+    return np.packbits((np.bincount(x.view(np.int64) & (PARITIES - 1), minlength=PARITIES) & 1).astype(np.uint8)).tobytes()
+
+
+def _parities_allow(x: np.ndarray, y: np.ndarray, m: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Whether parities (one row of words a set) allow MIN_JACCARD for sets of m and n hashes: at most a ninth of m + n
+    may be in only one of them."""
+    differ = np.zeros(len(x), np.int64)
+    for k in range(x.shape[1]):
+        differ += np.bitwise_count(x[:, k] ^ y[:, k])
+    return 9 * differ <= m + n
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
     """doc_id, digest (SHA-256 of the text), text; rows with a doc_id only."""
     digest = F.unhex(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
@@ -218,9 +237,12 @@ def _fingerprint_pairs(nodes: DataFrame) -> DataFrame:
     return same.union(apart.select("x", "y")).where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _lists(nodes: DataFrame, bits: np.ndarray | None = None) -> DataFrame:
+def _lists(nodes: DataFrame, bits: np.ndarray | None = None, with_parities: bool = False) -> DataFrame:
     """token, node, meta: a row for each shingle of a prefix (with its bit set); meta: half of the fingerprint, and the
-    set's size in the 32 bits above it."""
+    set's size in the 32 bits above it. ``with_parities``: the set's parities, too."""
+    names, kinds = ["token", "node", "meta"], "token long, node long, meta long"
+    if with_parities:
+        names, kinds = [*names, "parities"], f"{kinds}, parities binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         free_units()
@@ -231,9 +253,12 @@ def _lists(nodes: DataFrame, bits: np.ndarray | None = None) -> DataFrame:
                 firsts = [x[has_bit(bits, x)] for x in firsts]
             row = pa.array(np.repeat(np.arange(len(firsts)), list(map(len, firsts))))
             meta = batch.column("fp").to_numpy() & _HALF | batch.column("n").to_numpy() << 32
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(firsts)), batch.column("node").take(row), pa.array(meta).take(row)], ["token", "node", "meta"])
+            columns = [pa.array(np.concatenate(firsts)), batch.column("node").take(row), pa.array(meta).take(row)]
+            if with_parities:
+                columns.append(pa.array([parities(x) if len(own) else None for x, own in zip(sets, firsts, strict=True)], pa.binary()).take(row))
+            yield pa.RecordBatch.from_arrays(columns, names)
 
-    return nodes.where("n > 0").select("node", "n", "fp", "tokens").mapInArrow(run, "token long, node long, meta long")
+    return nodes.where("n > 0").select("node", "n", "fp", "tokens").mapInArrow(run, kinds)
 
 
 def _sizes_fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -245,16 +270,24 @@ def _sizes_fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 def _grouped(names: list[str], of: Callable[..., Iterator[tuple[np.ndarray, np.ndarray]]]) -> Callable:
     """For rows sorted by the first column: ``of`` on whole groups of rows at a time, each column an array."""
 
+    def values(column: pa.Array) -> np.ndarray:
+        if pa.types.is_binary(column.type):  # all of one length: a row of words each
+            return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), -1)
+        return column.to_numpy()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         free_units()
-        held = [np.zeros(0, np.int64)] * len(names)
+        held: list[np.ndarray] = []
         for batch in batches:
-            held = [np.concatenate((x, batch.column(c).to_numpy())) for x, c in zip(held, names, strict=True)]
-            last = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0
+            if not len(batch):
+                continue
+            own = [values(batch.column(c)) for c in names]
+            held = [np.concatenate(x) for x in zip(held, own, strict=True)] if held else own
+            last = int(np.searchsorted(held[0], held[0][-1]))
             if last:
                 yield from made(*(x[:last] for x in held))
                 held = [x[last:] for x in held]
-        if len(held[0]):
+        if held:
             yield from made(*held)
 
     def made(*columns: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -293,17 +326,22 @@ def _first_turn(key: np.ndarray, node: np.ndarray, meta: np.ndarray, token: np.n
             own = own[~close]
 
 
-def _all_pairs(key: np.ndarray, node: np.ndarray, meta: np.ndarray, side: np.ndarray, root: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of different roots of both sides (0 and 1), or of all rows (2), of each key."""
+def _all_pairs(key: np.ndarray, node: np.ndarray, meta: np.ndarray, side: np.ndarray, root: np.ndarray, odd: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of different roots of both sides (0 and 1), or of all rows (2), of each key, that their parities allow."""
     starts, sizes = _cuts(key)
+    size_of = meta >> 32
     for k, size in zip(starts.tolist(), sizes.tolist(), strict=True):
         all_ = slice(k, k + size)
-        for at in range(k, k + size, 256):
-            own = slice(at, min(at + 256, k + size))
+        for at in range(k, k + size, 128):
+            own = slice(at, min(at + 128, k + size))
             ok = (root[own, None] != root[None, all_]) & (node[own, None] < node[None, all_]) & _sizes_fit(meta[own, None], meta[None, all_])
             ok &= (side[own, None] != side[None, all_]) | (side[own, None] == 2)
             x, y = np.nonzero(ok)
-            yield node[own][x], node[all_][y]
+            x, y = x + at, y + k
+            for words in (slice(0, 4), slice(None)):  # a part of the cells leaves out most pairs
+                kept = _parities_allow(odd[x, words], odd[y, words], size_of[x], size_of[y])
+                x, y = x[kept], y[kept]
+            yield node[x], node[y]
 
 
 def _from_lists(rows: DataFrame, names: list[str], of: Callable) -> DataFrame:
@@ -317,9 +355,9 @@ def _leader_pairs(nodes: DataFrame) -> DataFrame:
     return _from_lists(rows, ["node", "meta", "token"], _first_turn)
 
 
-def _long_lists(nodes: DataFrame, names: DataFrame, tokens: DataFrame) -> DataFrame:
+def _long_lists(nodes: DataFrame, names: DataFrame, tokens: DataFrame, with_parities: bool = False) -> DataFrame:
     """token, node, root of the lists in tokens (and few others, whose pairs are found once more)."""
-    return _lists(nodes, bit_map(tokens.select("token"))).join(names, "node")
+    return _lists(nodes, bit_map(tokens.select("token")), with_parities).join(names, "node")
 
 
 def _members(lists: DataFrame) -> DataFrame:
@@ -345,7 +383,7 @@ def _rest(lists: DataFrame, tokens: DataFrame) -> DataFrame:
     rows = rows.withColumn("_q", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
     side = F.when(F.col("_p") == F.col("_q"), 2).when(F.col("_p") < F.col("_q"), 0).otherwise(1).cast("long")
     rows = rows.withColumn("side", side).withColumn("key", F.xxhash64("token", F.least("_p", "_q"), F.greatest("_p", "_q")))
-    return _from_lists(rows, ["node", "meta", "side", "root"], _all_pairs)
+    return _from_lists(rows, ["node", "meta", "side", "root", "parities"], _all_pairs)
 
 
 def groups(docs: DataFrame) -> DataFrame:
@@ -362,7 +400,7 @@ def groups(docs: DataFrame) -> DataFrame:
         names = _merged(names, _verified(nodes, names, _group_pairs(members)))
         open_ = _open(_members(_long_lists(nodes, names, _open(members))))
         if not open_.isEmpty():
-            names = _merged(names, _verified(nodes, names, _rest(_long_lists(nodes, names, open_), open_)))
+            names = _merged(names, _verified(nodes, names, _rest(_long_lists(nodes, names, open_, True), open_)))
     return nodes.select("node", "doc_id", "digest").join(names, "node")
 
 
