@@ -45,27 +45,34 @@ def tag_symbols(df: DataFrame, text: str, keywords: dict[str, Sequence[str]]) ->
 
 def lexicon_scores(df: DataFrame, key: str, text: str, lexicon: DataFrame, out: str = "sentiment_score", salts: int = 16) -> DataFrame:
     """key and score of every row, by a lexicon that is a table (word, weight): the sum of the weights of its words over
-    the sum of their magnitudes, 0 where none is listed. A lexicon of any size is a join: words are counted per row
-    first, and those of a frequent word go to many tasks. A word listed twice counts with the sum of its weights."""
+    the sum of their magnitudes, 0 where none is listed. A lexicon of any size is a join, after which a task adds up the
+    listed words of its rows; those of a frequent word go to many tasks. A word listed twice counts with the sum of its
+    weights."""
     split = F.explode(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+"))
-    words = df.select(key, split.alias("_w")).select(key, F.btrim("_w", F.lit(PUNCTUATION)).alias("word")).groupBy(key, "word").agg(F.count(F.lit(1)).alias("_n"))
+    words = df.select(key, split.alias("_w")).select(key, F.btrim("_w", F.lit(PUNCTUATION)).alias("word"))
     weights = lexicon.groupBy("word").agg(F.sum(F.col("weight").cast("double")).alias("_weight"))
-    sums = salted_join(words, weights, ["word"], salts).groupBy(key).agg(F.sum(F.col("_n") * F.col("_weight")).alias("_s"), F.sum(F.col("_n") * F.abs("_weight")).alias("_a"))
+    sums = salted_join(words, weights, ["word"], salts).groupBy(key).agg(F.sum("_weight").alias("_s"), F.sum(F.abs("_weight")).alias("_a"))
     scored = df.select(key).distinct().join(sums, key, "left")
     return scored.select(key, F.coalesce(F.try_divide("_s", F.nullif("_a", F.lit(0.0))), F.lit(0.0)).alias(out))
 
 
 def tag_by_patterns(df: DataFrame, key: str, text: str, patterns: DataFrame, longest: int = 5, salts: int = 16) -> DataFrame:
     """key, symbol of every row whose text holds a pattern (symbol, pattern) as whole words in a row, whatever stands
-    between the words. Patterns are a table, found by their first word; those of more than ``longest`` words, or of
-    none, are an error, as a row would have to carry more of its text."""
+    between the words. Patterns are a table, found by all their words; those of more than ``longest`` words, or of none,
+    are an error, as a row would have to carry more of its text. A row's words meet the words behind them as columns, so
+    the work is linear in its length."""
     known = patterns.select("symbol", F.regexp_extract_all(F.lower("pattern"), F.lit(r"\w+"), 0).alias("_p")).distinct()
-    bad = known.where(~F.size("_p").between(1, longest)).count()
+    counts = {r["n"]: r["count"] for r in known.groupBy(F.size("_p").alias("n")).count().collect()}  # one row a length
+    bad = sum(c for n, c in counts.items() if not 1 <= n <= longest)
     if bad:
         raise ValueError(f"{bad} patterns have no word or more than {longest}")
+    lengths = sorted(counts) or [1]
     words = df.select(key, F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"\w+"), 0).alias("_t"))
-    here = words.select(key, F.explode(F.array_distinct(F.transform(F.col("_t"), lambda _, i: F.slice(F.col("_t"), i + 1, longest)))).alias("_here")).withColumn("_first", F.col("_here")[0])
-    found = salted_join(here, known.withColumn("_first", F.col("_p")[0]), ["_first"], salts).where(F.slice("_here", 1, F.size("_p")) == F.col("_p"))
+    behind = [F.slice("_t", k + 1, F.greatest(F.size("_t"), F.lit(1))).alias(f"_w{k}") for k in range(lengths[-1])]
+    zipped = words.select(key, *behind).select(key, F.explode(F.arrays_zip(*[f"_w{k}" for k in range(lengths[-1])])).alias("_z"))
+    runs = [F.when(F.col(f"_z._w{n - 1}").isNotNull(), F.concat_ws(" ", *[F.col(f"_z._w{k}") for k in range(n)])) for n in lengths]
+    here = zipped.select(key, (F.explode(F.array(*runs)) if len(runs) > 1 else runs[0]).alias("_here")).where("_here is not null")
+    found = salted_join(here, known.select("symbol", F.array_join("_p", " ").alias("_here")), ["_here"], salts)
     return found.select(key, "symbol").distinct()
 
 
