@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from datetime import UTC, datetime, timedelta
 
 import numpy as np
@@ -17,6 +18,7 @@ from tidemark.operators import features as X
 from tidemark.operators import ledger as L
 from tidemark.operators import text as T
 from tidemark.plans import models as M
+from tidemark.plans import registry
 from tidemark.plans import validation as V
 
 CANDLES = "symbol string, timestamp timestamp, open double, high double, low double, close double, volume double"
@@ -244,6 +246,28 @@ def test_lexicons_and_patterns_as_tables(spark):
     assert lots < few + 4000  # patterns are rows of a table, not words of the plan
 
 
+def test_each_post_meets_every_symbol(spark, small):
+    rows = registry.QUERIES["join_as_of_forward"](spark, small)
+    n = spark.read.parquet(f"{small}/documents.parquet").count()
+    kinds = spark.read.parquet(f"{small}/events.parquet").select("event_type").distinct().count()
+    assert kinds > 1 and rows.count() == n * kinds == rows.select("doc_id", "symbol").distinct().count()
+
+
+def test_a_long_text_of_different_words_is_tagged_in_linear_time(spark):
+    posts = spark.range(2).select("id", F.array_join(F.transform(F.sequence(F.lit(0), F.lit(60_000)), lambda x: F.concat(F.lit("w"), x)), " ").alias("text"))
+    patterns = spark.createDataFrame([("A", "w59999 w60000"), ("B", "w60000 w0"), ("C", "w7"), ("D", "w1 w2 w3")], "symbol string, pattern string")
+    start = time.time()
+    got = {(r.id, r.symbol) for r in T.tag_by_patterns(posts, "id", "text", patterns).collect()}
+    assert got == {(k, s) for k in (0, 1) for s in "ACD"} and time.time() - start < 60
+
+
+def test_listed_words_are_added_up_in_one_shuffle_of_sums(spark):
+    posts = spark.createDataFrame([(1, "a b a")], "id long, text string")
+    lexicon = spark.createDataFrame([("a", 1.0)], "word string, weight double")
+    plan = T.lexicon_scores(posts, "id", "text", lexicon)._jdf.queryExecution().optimizedPlan().toString()
+    assert "count(1)" not in plan  # words are not counted, and shuffled, before they meet the lexicon
+
+
 def test_sentiment_join_takes_the_last_row(spark):
     market = spark.createDataFrame([(at(0), "A"), (at(0), "B"), (at(1), "A")], "timestamp timestamp, symbol string")
     hourly = spark.createDataFrame([(at(0), "A", 0.9, 1), (at(0), "A", 0.1, 2), (at(0), "B", 0.5, 1)], "timestamp timestamp, symbol string, s double, seq int")

@@ -201,12 +201,14 @@ def tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return posts(spark, sf_dir).withColumn("symbol", F.get(F.array(*map(F.lit, MARKET)), (F.col("doc_id") % 5).cast("int")))
 
 
-@query(f"WITH {BARS}, {POSTS}, p AS (SELECT doc_id, {TAGGED_SQL} AS symbol, t + doc_id % 3600 AS pt FROM posts) SELECT p.doc_id, p.symbol, bars.t AS bar_t, round(close, 6) AS close FROM p ASOF LEFT JOIN bars ON p.symbol = bars.symbol AND bars.t >= p.pt")
+@query(f"WITH {BARS}, {POSTS}, s AS (SELECT DISTINCT symbol FROM bars), p AS (SELECT doc_id, s.symbol, t + doc_id % 3600 AS pt FROM posts, s) SELECT p.doc_id, p.symbol, bars.t AS bar_t, round(close, 6) AS close FROM p ASOF LEFT JOIN bars ON p.symbol = bars.symbol AND bars.t >= p.pt")
 def join_as_of_forward(spark, sf_dir):
-    """Each post with the next bar of the symbol that it is about."""
+    """Each post with the next bar of every symbol: the bars are found once for each time that posts have."""
     market = bars(spark, sf_dir).select("symbol", "timestamp", F.unix_seconds("timestamp").alias("bar_t"), "close")
-    p = tagged(spark, sf_dir).select("doc_id", "symbol", F.timestamp_seconds(F.unix_seconds("timestamp") + F.col("doc_id") % 3600).alias("at"))
-    return result(as_of(p, market, ["symbol"], F.col("at"), F.col("timestamp"), ["bar_t", "close"], forward=True), "doc_id", "symbol", "bar_t", "close")
+    p = posts(spark, sf_dir).select("doc_id", F.timestamp_seconds(F.unix_seconds("timestamp") + F.col("doc_id") % 3600).alias("at"))
+    times = p.select("at").distinct().join(market.select("symbol").distinct(), how="cross")
+    found = as_of(times, market, ["symbol"], F.col("at"), F.col("timestamp"), ["bar_t", "close"], forward=True).withColumnRenamed("at", "_at")
+    return result(p.join(found, F.col("at").eqNullSafe(F.col("_at"))), "doc_id", "symbol", "bar_t", "close")
 
 
 LAG_SQL = f"""{RET}, {POSTS}, l AS (SELECT unnest(range(1, 25)) AS lag), j AS (SELECT r.symbol, l.lag, p.score, p.s, r.return_1h AS r FROM posts p CROSS JOIN l JOIN ret r ON r.t = p.t // 3600 * 3600 + l.lag * 3600 WHERE r.return_1h IS NOT NULL),
