@@ -3,11 +3,10 @@
 1. The terms are the words of the benchmark, so everything that is fitted or sent to tasks depends on the benchmark's
    size, not on the corpus. Other words count in a passage's length only. Items and texts are read by the same function:
    cut at Unicode white space, lower case, without outer punctuation; what is only punctuation is no word.
-2. One pass over all texts counts the passages (64 words) that hold each term, which gives the IDF, and draws a bounded
-   sample of passages by a hash (SAMPLE_PASSAGES; it fits the space only). The IDF is never 0: however frequent, no
-   term loses its direction.
-3. A randomised SVD of TF-IDF passages: its rows are benchmark segments and the sampled passages. Tasks hold rows of A
-   and return A'(A Q); Spark adds these sums up. Every PART_ITEMS items have a space of their own, so that the share of
+2. One pass over all texts counts the passages (64 words) that hold each term, which gives the IDF, and writes the
+   passages down as terms. The IDF is never 0: however frequent, no term loses its direction.
+3. A randomised SVD of TF-IDF passages: its rows are benchmark segments and all passages. Tasks read rows of A and
+   return A'(A Q); Spark adds these sums up. Every PART_ITEMS items have a space of their own, so that the share of
    an item inside its space does not shrink with the benchmark.
 4. One pass over all texts: windows of 8, 16, 32 and 64 words at half steps are compared with the segments of the
    matching length by cosine in the latent space, by sums over blocks of 8 words (projection and product are linear).
@@ -26,7 +25,6 @@ columns are ignored.
 from __future__ import annotations
 
 import string
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -39,10 +37,10 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import free_units, materialize, slices
 
 RANK, OVERSAMPLED = 192, 208
-SAMPLE_PASSAGES, PASSAGE = 40_000, 64
-#: Tasks that hold the sample, whose size is bounded: each returns a matrix of terms x OVERSAMPLED numbers.
+PASSAGE = 64
+#: Tasks that add up the matrices of terms x OVERSAMPLED numbers, one from each task that reads passages.
 FIT_TASKS = 6
-#: Weight of a benchmark row against all sampled rows in the fit, so that the space holds what is searched for.
+#: Weight of a benchmark row against all passages in the fit, so that the space holds what is searched for.
 ITEM_SHARE = 0.05
 BLOCK, SCALES = 8, (8, 16, 32, 64)
 MIN_COSINE = 0.3
@@ -96,9 +94,7 @@ def word_codes(column: pa.Array, terms: pa.Array) -> tuple[np.ndarray, np.ndarra
 
 
 def _first_pass(docs: DataFrame, terms: Terms) -> tuple[np.ndarray, int, DataFrame]:
-    """For every term the passages that hold it, the number of passages, and the sample (arrays of terms)."""
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    rate = min(1.0, SAMPLE_PASSAGES * PASSAGE * 6 / max(size, 1))
+    """For every term the passages that hold it, the number of passages, and all passages (arrays of terms)."""
     n_terms = len(terms.words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,10 +110,10 @@ def _first_pass(docs: DataFrame, terms: Terms) -> tuple[np.ndarray, int, DataFra
                 known = codes >= 0
                 total[:-1] += np.bincount(np.unique(passage[known] * n_terms + codes[known]) % n_terms, minlength=n_terms)
                 total[-1] += int(per.sum())
-                starts = np.append(np.flatnonzero(np.diff(passage, prepend=-1)), len(codes)).tolist()
-                rows = [codes[a:b] for a, b in zip(starts, starts[1:]) if zlib.crc32(codes[a:b].tobytes()) < rate * 2**32]  # noqa: B905
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.nulls(len(rows), pa.int32()), pa.nulls(len(rows), pa.int64()), pa.array(rows, pa.list_(pa.int32()))], ["term", "n", "codes"])
+                starts = np.append(np.flatnonzero(np.diff(passage, prepend=-1)), len(codes))
+                rows = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(codes, pa.int32()))
+                if len(rows):
+                    yield pa.RecordBatch.from_arrays([pa.nulls(len(rows), pa.int32()), pa.nulls(len(rows), pa.int64()), rows], ["term", "n", "codes"])
         there = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(there.astype(np.int32)), pa.array(total[there]), pa.nulls(len(there), pa.list_(pa.int32()))], ["term", "n", "codes"])
 
@@ -139,8 +135,8 @@ def _sums(codes: np.ndarray, rows: np.ndarray, n_rows: int, factor: np.ndarray)
     return out
 
 
-def _gram_times(sample: DataFrame, idf: np.ndarray, other: float, q: np.ndarray) -> np.ndarray:
-    """A'(A q) over the sampled passages; a task returns its sum term by term, Spark adds them up."""
+def _gram_times(passages: DataFrame, idf: np.ndarray, other: float, q: np.ndarray) -> np.ndarray:
+    """A'(A q) over the passages; a task returns its sum term by term, Spark adds them up."""
     n_terms, width = q.shape
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,7 +165,7 @@ def _gram_times(sample: DataFrame, idf: np.ndarray, other: float, q: np.ndarray)
                 held[k] = held.get(k, 0) + row.values.to_numpy()
         yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array(list(held.values()), pa.list_(pa.float32()))], ["term", "row"])
 
-    parts = sample.repartition(FIT_TASKS).mapInArrow(run, "term long, row array<float>")
+    parts = passages.mapInArrow(run, "term long, row array<float>")
     out = np.zeros((n_terms, width), np.float32)
     for r in parts.repartition(FIT_TASKS, "term").mapInArrow(add, "term long, row array<float>").collect():  # terms x width numbers
         out[r["term"]] = r["row"]
@@ -224,15 +220,15 @@ def fit_space(docs: DataFrame, benchmark: DataFrame) -> Space | None:
     items = [np.array([number[w] for w in item], np.int32) for item in words]
     if not terms.words:
         return None
-    counts, n, sample = _first_pass(docs, terms)
+    counts, n, passages = _first_pass(docs, terms)
     idf = np.log((n + 1) / (counts + 1)) + 0.1
     other = float(np.median(idf))
     squares = np.append(idf, other) ** 2
-    parts = [_fit_part(items, range(k, min(k + PART_ITEMS, len(items))), idf, other, n, sample) for k in range(0, len(items), PART_ITEMS)]
+    parts = [_fit_part(items, range(k, min(k + PART_ITEMS, len(items))), idf, other, n, passages) for k in range(0, len(items), PART_ITEMS)]
     return Space(terms, [p for p in parts if p], squares.astype(np.float32), _runs(items), items, ids)
 
 
-def _fit_part(items: list[np.ndarray], own_items: range, idf: np.ndarray, other: float, n: int, sample: DataFrame) -> Part | None:
+def _fit_part(items: list[np.ndarray], own_items: range, idf: np.ndarray, other: float, n: int, passages: DataFrame) -> Part | None:
     segments = [(k, own[a : a + 80]) for k in own_items if len(own := items[k]) for a in range(0, max(1, len(own) - 40), 40)]
     if not segments:
         return None
@@ -240,8 +236,8 @@ def _fit_part(items: list[np.ndarray], own_items: range, idf: np.ndarray, other:
     for k, (_, own) in enumerate(segments):
         np.add.at(a[k], own, idf[own].astype(np.float32))
     a /= np.maximum(np.linalg.norm(a, axis=1, keepdims=True), 1e-9)
-    weight = np.float32(max(1.0, ITEM_SHARE * min(n, SAMPLE_PASSAGES)))
-    image_of = lambda q: _gram_times(sample, idf, other, q) + weight * (a.T @ (a @ q))
+    weight = np.float32(max(1.0, ITEM_SHARE * n))
+    image_of = lambda q: _gram_times(passages, idf, other, q) + weight * (a.T @ (a @ q))
     width = min(OVERSAMPLED, len(idf))
     q = _orthonormal(image_of(np.random.default_rng(7).standard_normal((len(idf), width), dtype=np.float32)))
     image = image_of(q)
