@@ -388,6 +388,14 @@ def test_near_copies_pair_no_texts_that_their_parities_exclude(spark, monkeypatc
     assert kept == len(set(labels))
 
 
+def test_decontamination_fits_its_space_to_all_passages(spark):
+    word = lambda x: F.concat(F.lit("w"), F.pmod(F.hash("doc_id", x), F.lit(100)))
+    docs = spark.range(4000).withColumnRenamed("id", "doc_id").withColumn("text", F.array_join(F.transform(F.sequence(F.lit(1), F.lit(1728)), word), " "))
+    assert docs.agg(F.sum(F.octet_length("text"))).first()[0] > 16_000_000
+    counts, n, passages = decontam._first_pass(docs, decontam.Terms([f"w{k}" for k in range(100)]))
+    assert n == passages.count() == 4000 * 27 and counts.min() > 0
+
+
 def test_parities_exclude_no_near_pair():
     rng = np.random.default_rng(5)
     for n in (1, 5, 40, 300, 3000):
