@@ -396,6 +396,41 @@ def test_decontamination_fits_its_space_to_all_passages(spark):
     assert n == passages.count() == 4000 * 27 and counts.min() > 0
 
 
+def test_decontamination_reads_the_passages_once_for_all_products(spark, monkeypatch):
+    items = random_items(41, 600, 12)  # three spaces, of two products each
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    around = random_items(42, 120, 50)
+    docs = docs_of(spark, [f"{around[k]} {items[5 * k]} {items[5 * k]} other {around[-k]}" for k in range(120)])
+    rows = lambda: {(r.doc_id, r.item_id): (r.cosine, r.lcs_share, r.first_word) for r in decontam.contaminated(docs, bench).collect()}
+    passes, times = [], decontam._gram_times
+    monkeypatch.setattr(decontam, "_gram_times", lambda *args: passes.append(args) or times(*args))
+    found = rows()
+    assert not passes and {(k, 5 * k) for k in range(120)} <= set(found)
+    monkeypatch.setattr(decontam, "GRAM_TERMS", 0)
+    again = rows()
+    assert len(passes) == 6 and set(again) == set(found)
+    for key, (cosine, *others) in again.items():
+        assert others == list(found[key][1:]) and (cosine == found[key][0] or abs(cosine - found[key][0]) < 1e-4)
+
+
+def test_decontamination_pairs_of_terms_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(decontam, "GRAM_PASSAGES", 7)
+    words = [f"w{k}" for k in range(300)]  # more than the rows of one batch; some stand in no text
+    rng = np.random.default_rng(43)
+    texts = [" ".join(f"w{x}" for x in rng.zipf(1.3, n) if x < 400) for n in (0, 1, 3, 64, 65, 200, 1000)] + [None, "other words", "w7 " * 70]
+    counts, n, passages = decontam._first_pass(docs_of(spark, texts).repartition(5), decontam.Terms(words))
+    idf, q = rng.random(300) + 0.5, rng.standard_normal((300, 11)).astype(np.float32)
+    rows = [np.array(r.codes) for r in passages.collect()]
+    a = np.zeros((len(rows), 300))
+    for row, codes in zip(a, rows, strict=True):
+        np.add.at(row, codes[codes >= 0], idf[codes[codes >= 0]])
+        row /= np.sqrt((np.where(codes >= 0, idf[codes], 1.5) ** 2).sum())
+    assert n == len(rows) > 14 and (counts == (a > 0).sum(0)).all()
+    want, gram = a.T @ (a @ q), decontam._gram(passages, counts, n, idf, 1.5)
+    assert np.abs(decontam._triangle_times(gram, counts, q) - want).max() < 1e-4 * np.abs(want).max()
+    assert np.abs(decontam._gram_times(passages, idf, 1.5, q) - want).max() < 1e-4 * np.abs(want).max()
+
+
 def test_parities_exclude_no_near_pair():
     rng = np.random.default_rng(5)
     for n in (1, 5, 40, 300, 3000):

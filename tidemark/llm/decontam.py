@@ -5,9 +5,10 @@
    cut at Unicode white space, lower case, without outer punctuation; what is only punctuation is no word.
 2. One pass over all texts counts the passages (64 words) that hold each term, which gives the IDF, and writes the
    passages down as terms. The IDF is never 0: however frequent, no term loses its direction.
-3. A randomised SVD of TF-IDF passages: its rows are benchmark segments and all passages. Tasks read rows of A and
-   return A'(A Q); Spark adds these sums up. Every PART_ITEMS items have a space of their own, so that the share of
-   an item inside its space does not shrink with the benchmark.
+3. A randomised SVD of TF-IDF passages: its rows are benchmark segments and all passages. It needs A'(A Q) only: A'A is
+   a table of pairs of terms, which one pass over the passages adds up, so its products cost nothing that grows with the
+   corpus (with more than GRAM_TERMS terms each product is a pass over the passages). Every PART_ITEMS items have a space
+   of their own, so that the share of an item inside its space does not shrink with the benchmark.
 4. One pass over all texts: windows of 8, 16, 32 and 64 words at half steps are compared with the segments of the
    matching length by cosine in the latent space, by sums over blocks of 8 words (projection and product are linear).
 5. Beside the cosine, a place where RUN words of an item stand in a row (or all, if it has fewer) is a candidate, so
@@ -25,7 +26,7 @@ columns are ignored.
 from __future__ import annotations
 
 import string
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,12 +35,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import free_units, materialize, slices
+from tidemark.llm.common import discard, free_units, materialize, slices
 
 RANK, OVERSAMPLED = 192, 208
 PASSAGE = 64
-#: Tasks that add up the matrices of terms x OVERSAMPLED numbers, one from each task that reads passages.
+#: Tasks, at least, that add up the matrices of the tasks before them, term by term.
 FIT_TASKS = 6
+#: Most terms whose pairs a task has in hand (8 bytes each; twice the terms, four times the memory), and passages that it
+#: reads for them, so that what such tasks return is a small share of what they read.
+GRAM_TERMS, GRAM_PASSAGES = 8_000, 400_000
 #: Weight of a benchmark row against all passages in the fit, so that the space holds what is searched for.
 ITEM_SHARE = 0.05
 BLOCK, SCALES = 8, (8, 16, 32, 64)
@@ -108,7 +112,8 @@ def _first_pass(docs: DataFrame, terms: Terms) -> tuple[np.ndarray, int, DataFra
                 per = -(-sizes // PASSAGE)
                 passage = np.repeat(np.concatenate(([0], np.cumsum(per)[:-1])), sizes) + (np.arange(len(codes)) - np.repeat(at[:-1], sizes)) // PASSAGE
                 known = codes >= 0
-                total[:-1] += np.bincount(np.unique(passage[known] * n_terms + codes[known]) % n_terms, minlength=n_terms)
+                held = np.sort(passage[known] * n_terms + codes[known])
+                total[:-1] += np.bincount(held[np.diff(held, prepend=-1) != 0] % n_terms, minlength=n_terms)
                 total[-1] += int(per.sum())
                 starts = np.append(np.flatnonzero(np.diff(passage, prepend=-1)), len(codes))
                 rows = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(codes, pa.int32()))
@@ -121,7 +126,9 @@ def _first_pass(docs: DataFrame, terms: Terms) -> tuple[np.ndarray, int, DataFra
     counts = np.zeros(n_terms + 1, np.int64)
     for r in table.where("term is not null").groupBy("term").agg(F.sum("n").alias("n")).collect():  # terms + 1 rows at most
         counts[r["term"]] = r["n"]
-    return counts[:-1], int(counts[-1]), table.where("codes is not null").select("codes")
+    passages = table.where("codes is not null").select("codes")
+    passages.work_table = table.work_table
+    return counts[:-1], int(counts[-1]), passages
 
 
 def _sums(codes: np.ndarray, rows: np.ndarray, n_rows: int, factor: np.ndarray) -> np.ndarray:
@@ -135,6 +142,26 @@ def _sums(codes: np.ndarray, rows: np.ndarray, n_rows: int, factor: np.ndarray)
     return out
 
 
+def _added(parts: DataFrame, n_tasks: int) -> DataFrame:
+    """The sum of each term's rows."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, row in zip(batch.column("term").to_pylist(), batch.column("row"), strict=True):
+                held[k] = held.get(k, 0) + row.values.to_numpy()
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array(list(held.values()), pa.list_(pa.float32()))], ["term", "row"])
+
+    return parts.repartition(n_tasks, "term").mapInArrow(add, "term long, row array<float>")
+
+
+def _collected(parts: DataFrame, n_terms: int, width: int) -> np.ndarray:
+    out = np.zeros((n_terms, width), np.float32)
+    for r in _added(parts, FIT_TASKS).collect():  # terms x width numbers
+        out[r["term"]] = r["row"]
+    return out
+
+
 def _gram_times(passages: DataFrame, idf: np.ndarray, other: float, q: np.ndarray) -> np.ndarray:
     """A'(A q) over the passages; a task returns its sum term by term, Spark adds them up."""
     n_terms, width = q.shape
@@ -143,13 +170,10 @@ def _gram_times(passages: DataFrame, idf: np.ndarray, other: float, q: np.ndarra
         free_units()
         total = np.zeros((n_terms, width), np.float32)
         for batch in batches:
-            column = batch.column("codes")
-            codes = column.flatten().to_numpy()
-            rows = np.repeat(np.arange(len(column)), pc.list_value_length(column).to_numpy(zero_copy_only=False))
-            square = np.maximum(np.bincount(rows, np.where(codes >= 0, idf[codes], other) ** 2, len(column)), 1e-9)
+            codes, rows, square = _squares(batch.column("codes"), idf, other)
             known = np.flatnonzero(codes >= 0)
             codes, rows = codes[known], rows[known]
-            hit = _sums(codes, rows, len(column), (idf[:, None] * q).astype(np.float32)) / square[:, None].astype(np.float32)
+            hit = _sums(codes, rows, len(square), (idf[:, None] * q).astype(np.float32)) / square[:, None].astype(np.float32)
             for k in range(0, len(codes), 20_000):
                 own = codes[k : k + 20_000]
                 order = np.argsort(own, kind="stable")
@@ -158,17 +182,75 @@ def _gram_times(passages: DataFrame, idf: np.ndarray, other: float, q: np.ndarra
         total *= idf[:, None].astype(np.float32)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(n_terms)), pa.array(list(total), pa.list_(pa.float32()))], ["term", "row"])
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, np.ndarray] = {}
+    return _collected(passages.mapInArrow(run, "term long, row array<float>"), n_terms, width)
+
+
+def _squares(column: pa.Array, idf: np.ndarray, other: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The passages' terms in a row, the passage of each, and each passage's squared norm."""
+    codes = column.flatten().to_numpy()
+    rows = np.repeat(np.arange(len(column)), pc.list_value_length(column).to_numpy(zero_copy_only=False))
+    return codes, rows, np.maximum(np.bincount(rows, np.where(codes >= 0, idf[codes], other) ** 2, len(column)), 1e-9)
+
+
+def _gram(passages: DataFrame, counts: np.ndarray, n: int, idf: np.ndarray, other: float) -> DataFrame:
+    """A'A over the passages: for each term its products with the terms that are not rarer (``_by_count``), itself last.
+
+    A task adds up all pairs of terms of its passages; Spark adds the tasks' sums up. Pairs of frequent terms, the most
+    by far, stand close together in a task's memory."""
+    n_terms, rank = len(idf), np.argsort(_by_count(counts))
+    first = np.arange(n_terms + 1) * np.arange(1, n_terms + 2) // 2  # of each term's row in the triangle
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_units()
+        total, of_rank = np.zeros(first[-1]), np.zeros(n_terms)
+        of_rank[rank] = idf  # in an array made here: np.add.at is twenty times slower with types that came from the driver
         for batch in batches:
-            for k, row in zip(batch.column("term").to_pylist(), batch.column("row"), strict=True):
-                held[k] = held.get(k, 0) + row.values.to_numpy()
-        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array(list(held.values()), pa.list_(pa.float32()))], ["term", "row"])
+            codes, rows, square = _squares(batch.column("codes"), idf, other)
+            known = codes >= 0
+            held = np.sort(rows[known] * n_terms + rank[codes[known]])
+            cuts = np.flatnonzero(np.diff(held, prepend=-1))
+            row, term = np.divmod(held[cuts], n_terms)
+            value = np.diff(cuts, append=len(held)) * of_rank[term] / np.sqrt(square[row])
+            begin = np.searchsorted(row, row)
+            own = np.arange(len(row))
+            pairs = own - begin + 1  # with itself and the terms before it in the passage
+            before = np.arange(pairs.sum()) - np.repeat(np.cumsum(pairs) - pairs - begin, pairs)
+            np.add.at(total, np.repeat(first[term], pairs) + term[before], np.repeat(value, pairs) * value[before])
+        for a in range(0, n_terms, 256):
+            at = first[a : min(a + 256, n_terms) + 1]
+            lists = pa.ListArray.from_arrays(pa.array(at - at[0], pa.int32()), pa.array(total[at[0] : at[-1]].astype(np.float32)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(a, a + len(lists))), lists], ["term", "row"])
+
+    tasks = max(1, -(-n // GRAM_PASSAGES))
+    parts = passages.coalesce(tasks).mapInArrow(run, "term long, row array<float>")
+    return materialize(_added(parts, max(FIT_TASKS, tasks)), "gram")
+
+
+def _by_count(counts: np.ndarray) -> np.ndarray:
+    """The terms, frequent ones first."""
+    return np.argsort(-counts, kind="stable")
+
+
+def _triangle_times(gram: DataFrame, counts: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """A'A q from the table of ``_gram``: each of its rows counts as a row and, but for its last number, as a column."""
+    n_terms, width = q.shape
+    order = _by_count(counts)
+    ranked = q[order].astype(np.float32)
 
-    parts = passages.mapInArrow(run, "term long, row array<float>")
-    out = np.zeros((n_terms, width), np.float32)
-    for r in parts.repartition(FIT_TASKS, "term").mapInArrow(add, "term long, row array<float>").collect():  # terms x width numbers
-        out[r["term"]] = r["row"]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_units()
+        total = np.zeros((n_terms, width), np.float32)
+        for batch in batches:
+            terms = batch.column("term").to_numpy()
+            dense = np.zeros((len(terms), n_terms), np.float32)
+            dense[np.arange(n_terms) <= terms[:, None]] = batch.column("row").flatten().to_numpy()
+            total[terms] += dense @ ranked
+            dense[np.arange(len(terms)), terms] = 0
+            total += dense.T @ ranked[terms]
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(n_terms)), pa.array(list(total), pa.list_(pa.float32()))], ["term", "row"])
+
+    out = np.empty((n_terms, width), np.float32)
+    out[order] = _collected(gram.mapInArrow(run, "term long, row array<float>"), n_terms, width)
     return out
 
 
@@ -224,11 +306,18 @@ def fit_space(docs: DataFrame, benchmark: DataFrame) -> Space | None:
     idf = np.log((n + 1) / (counts + 1)) + 0.1
     other = float(np.median(idf))
     squares = np.append(idf, other) ** 2
-    parts = [_fit_part(items, range(k, min(k + PART_ITEMS, len(items))), idf, other, n, passages) for k in range(0, len(items), PART_ITEMS)]
+    if len(terms.words) <= GRAM_TERMS:
+        gram = _gram(passages, counts, n, idf, other)
+        discard(passages)
+        times = lambda q: _triangle_times(gram, counts, q)
+    else:
+        times = lambda q: _gram_times(passages, idf, other, q)
+    parts = [_fit_part(items, range(k, min(k + PART_ITEMS, len(items))), idf, n, times) for k in range(0, len(items), PART_ITEMS)]
     return Space(terms, [p for p in parts if p], squares.astype(np.float32), _runs(items), items, ids)
 
 
-def _fit_part(items: list[np.ndarray], own_items: range, idf: np.ndarray, other: float, n: int, passages: DataFrame) -> Part | None:
+def _fit_part(items: list[np.ndarray], own_items: range, idf: np.ndarray, n: int, times: Callable[[np.ndarray], np.ndarray]) -> Part | None:
+    """times: the passages' A'A times a matrix."""
     segments = [(k, own[a : a + 80]) for k in own_items if len(own := items[k]) for a in range(0, max(1, len(own) - 40), 40)]
     if not segments:
         return None
@@ -237,7 +326,7 @@ def _fit_part(items: list[np.ndarray], own_items: range, idf: np.ndarray, other:
         np.add.at(a[k], own, idf[own].astype(np.float32))
     a /= np.maximum(np.linalg.norm(a, axis=1, keepdims=True), 1e-9)
     weight = np.float32(max(1.0, ITEM_SHARE * n))
-    image_of = lambda q: _gram_times(passages, idf, other, q) + weight * (a.T @ (a @ q))
+    image_of = lambda q: times(q) + weight * (a.T @ (a @ q))
     width = min(OVERSAMPLED, len(idf))
     q = _orthonormal(image_of(np.random.default_rng(7).standard_normal((len(idf), width), dtype=np.float32)))
     image = image_of(q)
