@@ -388,6 +388,45 @@ def test_near_copies_pair_no_texts_that_their_parities_exclude(spark, monkeypatc
     assert kept == len(set(labels))
 
 
+def test_near_copies_leave_no_table_of_sets_behind(spark):
+    from pathlib import Path
+
+    folder = Path(work_path(spark, "x").removeprefix("file:")).parent
+    there = set(folder.glob("*")) if folder.exists() else set()
+    words = [f"w{k}" for k in range(100)]
+    texts = [" ".join(words[:k] + [f"own{k}"] + words[k:]) for k in range(30)] + ["another text of six words only"]
+    assert near_copies.keep_one(docs_of(spark, texts)).count() == 2
+    left = collections.Counter(p.name.split("-")[0] for p in set(folder.glob("*")) - there)
+    assert left["groups"] == 1 and not left["nodes"] and not left["names"] and left["edges"] <= 3, left  # one table of edges for each merge
+
+
+def test_components_in_two_shuffles_a_round(spark):
+    from tidemark.llm.components import _large_star, _small_star, connected_components
+
+    rng = np.random.default_rng(3)
+    edges = [(0, k) for k in range(100, 180)] + [(k, k + 1) for k in range(200, 260)] + [tuple(map(int, rng.integers(300, 500, 2))) for _ in range(120)]
+    edges = [*edges, *edges[::-3], *[(b, a) for a, b in edges[::5]], (7, 7)]
+    table = spark.createDataFrame(edges, "a long, b long")
+    root = {n: n for e in edges for n in e if e != (7, 7)}
+    while (least := {n: min([root[n], *[root[b if n == a else a] for a, b in edges if n in (a, b)]]) for n in root}) != root:
+        root = least
+    linked = {n for e in edges if e[0] != e[1] for n in e}
+    assert sorted(map(tuple, connected_components(table).collect())) == sorted((n, r) for n, r in root.items() if n in linked)
+    plan = _small_star(_large_star(table.where("a > b")))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2, plan
+
+
+def test_bit_map_holds_every_id_in_one_shuffle(spark, monkeypatch):
+    ids = spark.range(0, 60000, 7).select("id").union(spark.range(0, 20000).select(F.lit(5).cast("long")))
+    bits = cdc.bit_map(ids)
+    assert cdc.has_bit(bits, np.arange(0, 60000, 7)).all() and cdc.has_bit(bits, np.array([5])).all()
+    assert np.unpackbits(bits).sum() == len(np.unique(cdc._mixed(np.append(np.arange(0, 60000, 7), 5))))
+    made = []
+    monkeypatch.setattr(type(ids), "collect", lambda self, f=type(ids).collect: (made.append(self), f(self))[1])
+    cdc.bit_map(ids)
+    assert made[0]._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange hashpartitioning") == 1
+
+
 def test_decontamination_fits_its_space_to_all_passages(spark):
     word = lambda x: F.concat(F.lit("w"), F.pmod(F.hash("doc_id", x), F.lit(100)))
     docs = spark.range(4000).withColumnRenamed("id", "doc_id").withColumn("text", F.array_join(F.transform(F.sequence(F.lit(1), F.lit(1728)), word), " "))

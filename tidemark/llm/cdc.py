@@ -197,26 +197,28 @@ def _mixed(ids: np.ndarray) -> np.ndarray:
 
 def bit_map(ids: DataFrame) -> np.ndarray:
     """Bits of the ids (one long column) in a map of MAP_BITS bits: its size does not depend on the data."""
-    block = 1 << 19  # bits
+    block = 1 << 15  # bits
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         free_units()
+        sent = np.zeros(MAP_BITS // 8, np.uint8)
         for batch in batches:
             at = np.unique(_mixed(batch.column(0).to_numpy()))
+            at = at[sent[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 0]  # a task sends a place once
+            np.bitwise_or.at(sent, at >> 3, (1 << (at & 7)).astype(np.uint8))
             yield pa.RecordBatch.from_arrays([pa.array(at // block), pa.array(at)], ["block", "place"])
 
     def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         free_units()
-        own: dict[int, np.ndarray] = {}
+        own = np.zeros((MAP_BITS // block, block // 8), np.uint8)
         for batch in batches:
             at = batch.column("place").to_numpy()
-            for k in np.unique(at // block).tolist():
-                bits = own.setdefault(k, np.zeros(block // 8, np.uint8))
-                np.bitwise_or.at(bits, at[at // block == k] % block >> 3, (1 << (at[at // block == k] & 7)).astype(np.uint8))
-        yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.int64()), pa.array([zlib.compress(v.tobytes(), 1) for v in own.values()], pa.binary())], ["block", "bits"])
+            np.bitwise_or.at(own.reshape(-1), at >> 3, (1 << (at & 7)).astype(np.uint8))
+        held = np.flatnonzero(own.any(1))
+        yield pa.RecordBatch.from_arrays([pa.array(held), pa.array([zlib.compress(own[k].tobytes(), 1) for k in held.tolist()], pa.binary())], ["block", "bits"])
 
     out = np.zeros(MAP_BITS // 8, np.uint8)
-    rows = ids.mapInArrow(places, "block long, place long").distinct().repartition(8, "block").mapInArrow(gathered, "block long, bits binary")
+    rows = ids.mapInArrow(places, "block long, place long").repartition("block").mapInArrow(gathered, "block long, bits binary")
     for r in rows.collect():  # MAP_BITS bits at most
         out[r["block"] * (block // 8) : (r["block"] + 1) * (block // 8)] = np.frombuffer(zlib.decompress(r["bits"]), np.uint8)
     return out

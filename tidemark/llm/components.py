@@ -2,26 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialize
+from tidemark.llm.common import discard, materialize
 
 
-def _least(both: DataFrame) -> DataFrame:
-    return both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+def _with_least(edges: DataFrame) -> DataFrame:
+    """The different edges (u, v), each with the smallest v of its u (m): one shuffle, for the rows stand in order."""
+    own = Window.partitionBy("u").orderBy("v")
+    rows = edges.select("u", "v", F.min("v").over(own.rowsBetween(Window.unboundedPreceding, 0)).alias("m"), F.lag("v").over(own).alias("_last"))
+    return rows.where("_last is null or _last != v").drop("_last")
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    return both.join(_least(both), "u").where("v > u and v != m").select(F.col("v").alias("a"), F.col("m").alias("b"))
+    return _with_least(both).where("v > u").select(F.col("v").alias("a"), F.least("u", "m").alias("b"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    down = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least, "u").where("v != m").select(F.col("v").alias("a"), F.col("m").alias("b"))
-    return moved.union(least.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct()
+    """edges(a, b) with a > b. The row of the smallest neighbour stays as it is, the others link theirs to it."""
+    rows = _with_least(edges.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    return rows.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("a"), F.col("m").alias("b"))
 
 
 def _digest(edges: DataFrame):
@@ -31,13 +33,15 @@ def _digest(edges: DataFrame):
 def connected_components(edges: DataFrame) -> DataFrame:
     """edges(a, b): node pairs (long). Returns (node, root), root being the component's smallest node, for linked nodes.
 
-    Every step is a grouped minimum and a join, so a star with very many leaves is no unbounded group; each step's
-    edges are written to the shared folder. The number of steps grows with the logarithm of the component size.
+    Every step sorts the edges by node once, so a star with very many leaves is held in no task's memory; each round is
+    two shuffles and one table in the shared folder, which replaces the one before. A round makes no more edges than it
+    gets, and repeated edges go in the next one. The number of rounds grows with the logarithm of the component size.
     """
-    now = materialize(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    now = materialize(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), "edges")
     seen = _digest(now)
     while seen[0]:
-        now = materialize(_small_star(_large_star(now)), "edges")
+        last, now = now, materialize(_small_star(_large_star(now)), "edges")
+        discard(last)
         if (digest := _digest(now)) == seen:
             break
         seen = digest

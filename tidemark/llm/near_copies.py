@@ -177,12 +177,13 @@ def _nodes(docs: DataFrame) -> DataFrame:
 
 
 def _merged(names: DataFrame, links: DataFrame) -> DataFrame:
-    """names(node, root) after the links (a, b) between nodes."""
+    """names(node, root) after the links (a, b) between roots; both tables are deleted if another takes their place."""
     if links.isEmpty():
         return names
-    apart = links.join(names.select(F.col("node").alias("a"), F.col("root").alias("x")), "a").join(names.select(F.col("node").alias("b"), F.col("root").alias("y")), "b")
-    moved = connected_components(apart.select(F.col("x").alias("a"), F.col("y").alias("b")).where("a != b")).select(F.col("node").alias("root"), F.col("root").alias("_to"))
-    return materialize(names.join(moved, "root", "left").select("node", F.coalesce("_to", "root").alias("root")), "names")
+    moved = connected_components(links).select(F.col("node").alias("root"), F.col("root").alias("_to"))
+    out = materialize(names.join(moved, "root", "left").select("node", F.coalesce("_to", "root").alias("root")), "names")
+    discard(names, links)
+    return out
 
 
 def may_be_near(x: np.ndarray, y: np.ndarray, m: int, n: int) -> bool:
@@ -197,32 +198,33 @@ def may_be_near(x: np.ndarray, y: np.ndarray, m: int, n: int) -> bool:
 
 
 def _with_sets(nodes: DataFrame, pairs: DataFrame, prefix: bool) -> DataFrame:
-    """a, b, m, n, x, y: the pairs with their sizes and sets (or the prefixes of these); only sets in use are moved."""
+    """The pairs with their sizes m, n and sets x, y (or the prefixes of these); only sets in use are moved."""
     used = pairs.select(F.col("a").alias("node")).union(pairs.select("b"))
     sets = filtered(nodes.select("node", "n", "tokens"), bit_map(used), column="node")
     if prefix:
         sets = sets.withColumn("tokens", F.expr("substring(tokens, 1, CAST(8 * (n - (4 * n + 4) DIV 5 + 1) AS INT))"))
-    left = apart(pairs.select("a", "b")).join(sets.select(F.col("node").alias("a"), F.col("n").alias("m"), F.col("tokens").alias("x")), "a")
-    return apart(left).join(sets.select(F.col("node").alias("b"), "n", F.col("tokens").alias("y")), "b").select("a", "b", "m", "n", "x", "y")
+    left = apart(pairs).join(sets.select(F.col("node").alias("a"), F.col("n").alias("m"), F.col("tokens").alias("x")), "a")
+    return apart(left).join(sets.select(F.col("node").alias("b"), "n", F.col("tokens").alias("y")), "b")
 
 
 def _verified(nodes: DataFrame, names: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The near pairs (a, b) of different roots: first by the bound that the prefixes give, then on the whole sets."""
+    """The different roots (a, b) of the near pairs: first by the bound that the prefixes give, then on the whole sets."""
 
-    def test(of: Callable) -> Callable:
+    def test(of: Callable, *kept: str) -> Callable:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             free_units()
             for batch in batches:
                 rows = zip(*(batch.column(c).to_pylist() for c in ("x", "y", "m", "n")), strict=True)
                 ok = [of(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), m, n) for x, y, m, n in rows]
-                yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+                yield batch.select(list(kept)).filter(pa.array(ok, pa.bool_()))
 
         return run
 
-    apart = pairs.join(names.select(F.col("node").alias("a"), F.col("root").alias("x")), "a").join(names.select(F.col("node").alias("b"), F.col("root").alias("y")), "b")
-    tried = materialize(apart.where("x != y").select("a", "b"), "pairs")
-    possible = materialize(_with_sets(nodes, tried, True).mapInArrow(test(may_be_near), "a long, b long"), "possible")
-    links = materialize(_with_sets(nodes, possible, False).mapInArrow(test(lambda x, y, m, n: near(x, y)), "a long, b long"), "links")
+    rooted = pairs.join(names.select(F.col("node").alias("a"), F.col("root").alias("p")), "a").join(names.select(F.col("node").alias("b"), F.col("root").alias("q")), "b")
+    tried = materialize(rooted.where("p != q").select("a", "b", "p", "q"), "pairs")
+    possible = materialize(_with_sets(nodes, tried, True).mapInArrow(test(may_be_near, "a", "b", "p", "q"), "a long, b long, p long, q long"), "possible")
+    near_roots = _with_sets(nodes, possible, False).mapInArrow(test(lambda x, y, m, n: near(x, y), "p", "q"), "p long, q long")
+    links = materialize(near_roots.select(F.col("p").alias("a"), F.col("q").alias("b")), "links")
     discard(tried, possible)
     return links
 
@@ -392,16 +394,18 @@ def groups(docs: DataFrame) -> DataFrame:
     least = nodes.groupBy("digest").agg(F.min("node").alias("root"))
     names = materialize(nodes.select("node", "digest").join(least, "digest").select("node", "root"), "names")
     names = _merged(names, _verified(nodes, names, _fingerprint_pairs(nodes)))
-    found = materialize(_leader_pairs(nodes), "found")
-    names = _merged(names, _verified(nodes, names, found.where("a != b")))
-    long = found.where("a = b").select(F.col("a").alias("token"))
+    listed = materialize(_leader_pairs(nodes), "found")
+    names = _merged(names, _verified(nodes, names, listed.where("a != b")))
+    long = listed.where("a = b").select(F.col("a").alias("token"))
     if not long.isEmpty():
         members = _members(_long_lists(nodes, names, long))
         names = _merged(names, _verified(nodes, names, _group_pairs(members)))
         open_ = _open(_members(_long_lists(nodes, names, _open(members))))
         if not open_.isEmpty():
             names = _merged(names, _verified(nodes, names, _rest(_long_lists(nodes, names, open_, True), open_)))
-    return nodes.select("node", "doc_id", "digest").join(names, "node")
+    found = materialize(nodes.select("node", "doc_id", "digest").join(names, "node"), "groups")
+    discard(nodes, names, listed)
+    return found
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
@@ -410,7 +414,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     Rows that surely stay are passed on in one pass; those whose doc_id is in a bit map of the others (at any size a
     superset) are joined exactly.
     """
-    found = materialize(groups(docs), "groups")
+    found = groups(docs)
     kept = materialize(found.groupBy("root").agg(F.min(F.struct("doc_id", "digest")).alias("_k")).select("_k.*"), "kept")
     ids = _keyed(docs).select("doc_id", "digest").groupBy("doc_id", "digest").agg(F.count(F.lit(1)).alias("_n"))
     staying = kept.select("doc_id", "digest", F.lit(True).alias("_there"))
